@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import bpe, chat, packing, token_counts, url_filter
+from papyra.llm import bpe, chat, fingerprints, packing, quality, token_counts, url_filter
 from papyra.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.with_probe(table(spark, sf_dir, "conversations"))).drop("n_tokens", "n_loss_tokens")
 
@@ -22,6 +26,10 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), keep=False)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -30,6 +38,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_chat_formatting, op3_best_fit_packing, op6_bpe_encoding, op9_token_counts, op10_url_filters)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_chat_formatting, op3_best_fit_packing, op6_bpe_encoding, op7_quality_rules, op9_token_counts, op10_url_filters)}
 
-ORACLES: dict[str, str] = {"op2_chat_formatting": chat.sql(), "op10_url_filters": url_filter.sql()}
+ORACLES: dict[str, str] = {"op2_chat_formatting": chat.sql(), "op7_quality_rules": quality.sql(), "op10_url_filters": url_filter.sql()}
