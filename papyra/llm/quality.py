@@ -70,37 +70,39 @@ BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 @dataclass(frozen=True)
 class Model:
-    """Share of good documents and each rule's accuracy where it votes."""
+    """Share of good documents, and of each rule the chance of a vote (bad, abstained, good) on a good and on a bad document."""
 
     good: float
-    accuracy: tuple[float, ...]
+    chances: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
 
-    def weights(self) -> list[float]:
-        return [math.log(a / (1 - a)) for a in self.accuracy]
+    def weights(self) -> list[list[float]]:
+        """Of each rule and vote: log odds that it adds. A vote for bad never speaks for good, nor the other way round."""
+        found = []
+        for good, bad in self.chances:
+            w = [math.log(g / b) for g, b in zip(good, bad, strict=True)]
+            found.append([min(w[0], 0.0), w[1], max(w[2], 0.0)])
+        return found
+
+    def prior(self) -> float:
+        return math.log(self.good / (1 - self.good))
 
     def posterior(self, votes: tuple[int, ...]) -> float:
-        return 1 / (1 + math.exp(-math.log(self.good / (1 - self.good)) - sum(w * v for w, v in zip(self.weights(), votes, strict=True))))
+        return 1 / (1 + math.exp(-self.prior() - sum(w[v + 1] for w, v in zip(self.weights(), votes, strict=True))))
 
 
-ROUNDS, START = 15, (0.8, 0.8)
-#: Limits of the good share and the accuracies. A rule is never taken to be worse than chance, which also keeps good and bad from changing places.
-GOOD_RANGE, ACCURACY_RANGE = (0.5, 0.95), (0.6, 0.99)
+#: Rounds of expectation-maximisation; before the first, the good share and each rule's chances, which say what a vote means.
+ROUNDS, START_GOOD, START = 15, 0.8, ((0.02, 0.28, 0.7), (0.4, 0.3, 0.3))
 
 
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> Model:
-    """Expectation-maximisation over the counts of vote patterns; START for a table without rows."""
-    n = len(next(iter(patterns), ()))
-    model = Model(START[0], (START[1],) * n)
-    clip = lambda x, r: min(max(x, r[0]), r[1])
+    """Expectation-maximisation over the counts of vote patterns, one of each vote added; what it starts from for a table without rows."""
+    rules = len(next(iter(patterns), ()))
+    model = Model(START_GOOD, (START,) * rules)
     for _ in range(rounds if patterns else 0):
-        believed = [(votes, count, model.posterior(votes)) for votes, count in sorted(patterns.items())]
-        good = sum(c * p for _, c, p in believed) / sum(c for _, c, _ in believed)
-        accuracy = []
-        for k in range(n):
-            cast = sum(c for v, c, _ in believed if v[k])
-            right = sum(c * (p if v[k] > 0 else 1 - p) for v, c, p in believed if v[k])
-            accuracy.append(clip(right / cast, ACCURACY_RANGE) if cast else START[1])
-        model = Model(clip(good, GOOD_RANGE), tuple(accuracy))
+        believed = [(votes, count * (p := model.posterior(votes)), count * (1 - p)) for votes, count in sorted(patterns.items())]
+        totals = sum(g for _, g, _ in believed), sum(b for _, _, b in believed)
+        chances = tuple(tuple(tuple((1 + sum(x[1 + side] for x in believed if x[0][k] == vote)) / (3 + totals[side]) for vote in (-1, 0, 1)) for side in (0, 1)) for k in range(rules))
+        model = Model((1 + totals[0]) / (2 + sum(totals)), chances)
     return model
 
 
@@ -118,10 +120,11 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[R
     votes = [f"__vote{i}" for i in range(len(rules))]
     found = with_features(df.select(key, text_or_empty(text).alias("text"))).drop("text")
     found = checkpointed(found.withColumns({v: _vote(r).cast("int") for v, r in zip(votes, rules, strict=True)}))
-    model = fit({tuple(r)[:-1]: r[-1] for r in found.groupBy(*votes).count().collect()})
-    odds = F.lit(math.log(model.good / (1 - model.good)))
+    found_votes = found.groupBy(*votes).count().collect()
+    model = fit({tuple(r)[:-1]: r[-1] for r in found_votes} or {(0,) * len(rules): 0})
+    odds = F.lit(model.prior())
     for v, w in zip(votes, model.weights(), strict=True):
-        odds = odds + F.lit(w) * F.col(v)
+        odds = odds + F.get(F.array(*map(F.lit, w)), F.col(v) + 1)
     found = found.withColumns({"base_failed": F.expr(BASE_FAILED), "quality": 1 / (1 + F.exp(-odds))})
     return found.withColumn("kept", ~F.col("base_failed") & (F.col("quality") > 0.5)).drop(*votes)
 
@@ -130,12 +133,14 @@ def sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> str:
     """The contract's columns in DuckDB SQL, with the rounds of expectation-maximisation written out."""
     n = len(rules)
     votes = ", ".join(f"CASE WHEN {r.bad} THEN -1 WHEN {r.good} THEN 1 ELSE 0 END AS v{k}" for k, r in enumerate(rules))
-    clip = lambda x, r: f"least(greatest({x}, {r[0]}), {r[1]})"
-    odds = "ln(good / (1 - good)) + " + " + ".join(f"ln(a{k} / (1 - a{k})) * v{k}" for k in range(n))
-    steps = [f"m0 AS (SELECT {START[0]} AS good, {', '.join(f'{START[1]} AS a{k}' for k in range(n))})"]
+    names = {-1: "b", 0: "n", 1: "g"}
+    weight = {-1: "least(ln({x}g / {x}b), 0)", 0: "ln({x}g / {x}b)", 1: "greatest(ln({x}g / {x}b), 0)"}
+    odds = "ln(good / (1 - good)) + " + " + ".join(f"CASE v{k} " + " ".join(f"WHEN {v} THEN {weight[v].format(x=f'{names[v]}{k}')}" for v in names) + " END" for k in range(n))
+    starts = ", ".join(f"{START[side][v + 1]} AS {names[v]}{k}{'gb'[side]}" for k in range(n) for side in (0, 1) for v in names)
+    steps = [f"m0 AS (SELECT {START_GOOD} AS good, {starts})"]
     for i in range(rounds):
-        updates = ", ".join(f"coalesce({clip(f'sum(c * CASE v{k} WHEN 1 THEN p WHEN -1 THEN 1 - p END) / sum(c) FILTER (v{k} <> 0)', ACCURACY_RANGE)}, {START[1]}) AS a{k}" for k in range(n))
-        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT {clip('sum(c * p) / sum(c)', GOOD_RANGE)} AS good, {updates} FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM patterns, m{i}))")
+        updates = ", ".join(f"(1 + coalesce(sum({share}) FILTER (v{k} = {v}), 0)) / (3 + sum({share})) AS {names[v]}{k}{side}" for k in range(n) for side, share in (("g", "c * p"), ("b", "c * (1 - p)")) for v in names)
+        steps.append(f"m{i + 1} AS MATERIALIZED (SELECT (1 + sum(c * p)) / (2 + sum(c)) AS good, {updates} FROM (SELECT *, 1 / (1 + exp(-({odds}))) AS p FROM patterns, m{i}))")
     return rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 split AS (
