@@ -4,8 +4,8 @@ Texts are sketched as weighted shingles (weight 1 + ln of how often a text has
 one), and signatures cut into bands. Texts with a band in common meet in its
 bucket. There each is compared only with one leader: the member with the
 most company in all its buckets, near to which a group of copies lies. Pairs are
-verified by their exact probability Jaccard similarity, links joined into
-components. Further rounds look at the buckets that still hold several classes
+verified by their exact probability Jaccard similarity, or the plain one where
+that is higher, links joined into components. Further rounds look at the buckets that still hold several classes
 and take their leader from a class that has not led. Nobody ever forms all
 pairs of a bucket, and no bucket is gathered in one task.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.common import checkpointed, map_batches, out
-from papyra.llm.shingles import _odd, mixed, probability_jaccard, probminhash, weighted_shingles
+from papyra.llm.shingles import _odd, jaccard, mixed, probability_jaccard, probminhash, weighted_shingles
 
 
 @dataclass(frozen=True)
@@ -126,7 +126,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
                 if head != leader:
                     leader, known = head, _weighted([batch.column(3)[i].as_py()], settings.shingle)[1:]
                 part = slice(cuts[i], cuts[i + 1])
-                if probability_jaccard(hashes[part], weights[part], *known) >= settings.threshold:
+                if probability_jaccard(hashes[part], weights[part], *known) >= settings.threshold or jaccard(hashes[part], known[0]) >= settings.threshold:
                     a.append(node)
                     b.append(head)
             if a:

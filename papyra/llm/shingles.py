@@ -105,6 +105,12 @@ def probability_jaccard(x: np.ndarray, x_weight: np.ndarray, y: np.ndarray, y_we
     return float(found)
 
 
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Plain Jaccard similarity of sorted distinct elements; 0 if one set is empty."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if common else 0.0
+
+
 def probminhash(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: int, registers: int) -> np.ndarray:
     """ProbMinHash signatures, texts x registers; rows of texts without shingles are 0.
 
