@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 def format_bytes(size: Column) -> Column:
     """Like 1.4 MB; one decimal under 10 except for bytes, a dash for 0 and null."""
-    power = F.least(F.floor(F.log(F.lit(1024.0), F.greatest(size, F.lit(1)).cast("double")) + 1e-12), F.lit(3)).cast("int")
+    power = F.when(size < 1 << 10, 0).when(size < 1 << 20, 1).when(size < 1 << 30, 2).otherwise(3)
     value = size / F.pow(F.lit(1024.0), power)
     unit = F.get(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), power)
     shown = F.when((value >= 10) | (power == 0), F.format_string("%.0f %s", value, unit)).otherwise(F.format_string("%.1f %s", value, unit))
@@ -27,13 +27,10 @@ def relative_time(stamp: Column, as_of: datetime) -> Column:
 
 def highlighted(text: Column, terms: list[str]) -> Column:
     """Array of text and whether it is one of the terms, in any case, in the text's order."""
-    import re
-
     if not terms:
         return F.array(F.struct(text.alias("text"), F.lit(False).alias("hit")))
     either = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms)
     parts = F.split(text, f"(?iu)(?<={either})|(?={either})") if max(map(len, terms)) < 256 else F.array(text)
-    del re
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(p.alias("text"), F.lower(p).isin(*[t.lower() for t in terms]).alias("hit")))
 
 

@@ -172,7 +172,7 @@ def from_reply(reply: Column) -> dict[str, Column]:
     """Fields of a model's JSON reply, normalised and capped; what cannot be read gives defaults."""
     r = F.from_json(reply, F.lit(_LLM))
     strings = lambda c, n, low=False: F.slice(F.transform(F.coalesce(r[c], F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)) if low else F.trim(x)), 1, n)
-    filled = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(r[c], F.array().cast("array<string>")), F.trim), lambda x: x != ""), 1, n)
+    filled = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(r[c], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
     clean = lambda x: F.coalesce(F.trim(x), F.lit(""))
     second = F.filter(F.transform(F.coalesce(r["secondary_departments"], F.array().cast("array<string>")), v.normalise_department), lambda d: d != v.UNASSIGNED)
     asked = F.transform(F.filter(r["actions"], lambda a: clean(a["action"]) != ""), lambda a: F.struct(clean(a["action"]).alias("action"), clean(a["owner"]).alias("owner"), clean(a["due_date"]).alias("due_date"), v.normalise_priority(a["priority"]).alias("priority")))

@@ -242,11 +242,11 @@ ORACLES: dict[str, str] = {
     "search_all_terms": ids(match("track", "inspection", "tamping")),
     "search_page2": page("id, score", ("the", "that"), offset=20),
     "search_total": f"SELECT count(*) AS total FROM ({LIB}) WHERE {match('the', 'that')} AND department IN ('Safety', 'Finance', 'IT')",
-    "search_snippet": page(f"id, {snippet('extracted_text', ('deadline', 'inspection', 'of'))} AS snippet", ("deadline", "inspection", "of"), limit=50),
+    "search_snippet": page(f"id, {snippet('extracted_text', ('inspection', 'of'))} AS snippet", ("inspection", "of"), limit=50),
     "search_escape_chars": f"{ids(match('src1_en', '100%', 'a_b'))} UNION ALL {ids(match('src1_en'))}",
     "search_highlight": f"SELECT id, h AS hits FROM (SELECT id, len(regexp_extract_all(left(extracted_text, 300), '(?i)the|inspection')) AS h FROM ({LIB})) WHERE h > 0",
     "search_blob": per_entry(n="length(search_blob)", digest="sha256(search_blob)"),
-    "search_part_catalog": page("p_partkey, score", ("a e",), table="part", by="score DESC, p_partkey DESC", limit=50, weights=PARTS, blob=("p_name", "p_type", "p_brand")),
+    "search_part_catalog": page("p_partkey, score", ("st",), table="part", by="score DESC, p_partkey DESC", limit=50, weights=PARTS, blob=("p_name", "p_type", "p_brand")),
     "search_pages_html": page("page_id, score", ("example", "the"), table="pages", by="score DESC, page_id DESC", limit=50, weights=lib.PAGES.weights, blob=("url", "html")),
     "search_events": page("event_id, score", ("k",), table="events", by="ts DESC, event_id DESC", limit=50, where="event_type IN ('click', 'view')", weights=lib.EVENTS.weights, blob=("event_type", "props")),
     "search_conversations": f"SELECT conv_id, turn, {score('user', 'the', weights={'role': 30, 'text': 10})} AS score FROM conversations WHERE {match('user', 'the', columns=('text', 'role'))}",

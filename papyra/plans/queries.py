@@ -103,11 +103,11 @@ QUERIES: dict[str, Query] = {
     "search_all_terms": lambda s, d: search.filtered(lib.library(s, d), lib.LIBRARY, P("track inspection tamping")).select("id"),
     "search_page2": found(P("the that", page=2, as_of=lib.AS_OF)),
     "search_total": lambda s, d: search.total(lib.library(s, d), lib.LIBRARY, P("the that", {"department": ["Safety", "Finance", "IT"]})),
-    "search_snippet": found(P("deadline inspection of", as_of=lib.AS_OF, page_size=50), "id", "snippet"),
+    "search_snippet": found(P("inspection of", as_of=lib.AS_OF, page_size=50), "id", "snippet"),
     "search_escape_chars": lambda s, d: search.filtered(lib.library(s, d), lib.LIBRARY, P("src1_en 100% a_b")).select("id").unionByName(search.filtered(lib.library(s, d), lib.LIBRARY, P("src1_en")).select("id")),
     "search_highlight": highlights,
     "search_blob": per_entry({"n": lambda: F.length("search_blob").cast("long"), "digest": lambda: F.sha2("search_blob", 256)}),
-    "search_part_catalog": found(P("a e", sort="relevance", page_size=50), spec=lib.PARTS, table="part"),
+    "search_part_catalog": found(P("st", page_size=50), spec=lib.PARTS, table="part"),
     "search_pages_html": found(P("example the", page_size=50), spec=lib.PAGES, table="pages"),
     "search_events": found(P("k", {"event_type": "click,view"}, sort="newest", page_size=50), spec=lib.EVENTS, table="events"),
     "search_conversations": lambda s, d: s.read.parquet(f"{d}/conversations.parquet").where(search.matches(SearchSpec("conv_id", {"role": 30, "text": 10}, ("text", "role")), ["user", "the"])).select("conv_id", "turn", search.score(SearchSpec("conv_id", {"role": 30, "text": 10}, ()), ["user", "the"]).alias("score")),
@@ -134,7 +134,7 @@ QUERIES: dict[str, Query] = {
     "stats_library": lambda s, d: facets.stats(lib.library(s, d)).drop("actions"),
     "stats_actions": lambda s, d: rules.with_sentences(rules.with_body(lib.library(s, d))).where("status = 'analysis_complete'").agg(F.coalesce(F.sum(F.least(F.size(F.filter("_sentences", lambda x: t.has_phrase(x["tags"], v.ACTION_SIGNALS))), F.lit(8))), F.lit(0)).cast("long").alias("actions"), F.count("*").alias("complete")),
     "text_clean": per_document({"digest": lambda: F.sha2(t.clean(F.concat(F.lit(" \t"), F.replace("text", F.lit("."), F.lit(".\n\n\n \t ")))), 256)}),
-    "text_reflow": per_document({"body": lambda: F.sha2(t.reflow(t.trimmed(F.regexp_replace("text", "(.{50}[^ ]*) ", "$1\n"))), 256)}),
+    "text_reflow": per_document({"body": lambda: F.sha2(t.reflow(t.trimmed(F.regexp_replace("text", r"([^\n]{50}[^ \n]*) ", "$1\n"))), 256)}),
     "text_sentences": per_document({"n": lambda: F.size(t.sentences(F.col("text"))).cast("long"), "digest": lambda: F.sha2(_joined(t.sentences(F.col("text"))), 256)}),
     "text_tokens": per_document({"n": lambda: F.size(t.tokens(F.col("text"))).cast("long"), "digest": lambda: F.sha2(_joined(t.tokens(F.col("text"))), 256)}),
     "text_upper_ratio": per_document({"ratio": lambda: F.round(t.upper_ratio(F.col("text")), 9)}),
