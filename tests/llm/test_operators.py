@@ -1,0 +1,151 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from papyra.llm import bpe, chat, fingerprints, licenses, near_dup, packing, pii, quality, shingles, token_counts, url_filter
+
+ODD = ["", "  a  b", "a\n\nb \n", "\ta b\x1cc d", "<|endoftext|>x <|endoftext|> y  <|endoftext|>", "<|startoftext|>a'S I'LL", "Éá ΑΣ İstanbul ﬁ", "日本語 ١٢٣ ½", "🙂👍🏽", "A\x00b", "x" * 3000, "na " * 3000]
+DOCS = "doc_id long, text string, lang string, node string, label int"
+#: Nulls, empty texts, repeated rows, ties and columns with clashing names.
+ROWS = [(1, None, "en", "n", 1), (2, "", None, "n", 2), (3, "one two three four five six seven", "en", None, 3), (3, "one two three four five six seven", "en", None, 3), (None, "null key here for all to see now", "en", "x", None), (5, "short", "fr", "y", 5), (6, "word " * 20_000, "en", "z", 6)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def test_bpe_is_the_library(spark):
+    coder, library = bpe.Bpe("word_bpe_49k.json"), bpe.library("word_bpe_49k.json")
+    rng = random.Random(1)
+    for text in [*ODD, *("".join(rng.choice("ab'S \n\t1é \x1ćΣ<|endoftext|>#") for _ in range(30)) for _ in range(500))]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        encoded, decoded = coder.encode_decode(text)
+        assert list(np.frombuffer(encoded, "<u4")) == ids
+        assert decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_token_counts_are_the_library(spark):
+    name = "byte_bpe_50k.json"
+    counter, library = token_counts.Counter(name, token_counts.frequent_lengths(name)), bpe.library(name)
+    rng = random.Random(2)
+    for text in [*ODD, *("".join(rng.choice("ab'S \n\t1é \x1ćΣ<|endoftext|>#") for _ in range(30)) for _ in range(500))]:
+        assert counter.count(text) == len(library.encode(text, add_special_tokens=False)), repr(text)
+
+
+def test_packing_is_whole_and_tight(spark):
+    lengths = np.sort(np.random.default_rng(0).integers(1, 2049, 5000))[::-1]
+    sequence, offset = packing.pack_lengths(lengths, packing.Capacity())
+    for s in np.unique(sequence):
+        mine = np.argsort(offset[sequence == s])
+        assert list(offset[sequence == s][mine]) == [0, *np.cumsum(lengths[sequence == s][mine])[:-1]]
+        assert lengths[sequence == s].sum() <= 2048
+    assert len(np.unique(sequence)) <= 1.01 * lengths.sum() / 2048 + 1
+    few = packing.pack_lengths(np.ones(100, int), packing.Capacity(documents=10))[0]
+    assert np.bincount(few).max() == 10
+
+
+def test_chat_round_trip(spark):
+    for text in ["</s>[INST] ok [/INST]", "\\", "<|turn|>\\<|end|>", "a\\[INST]", ""]:
+        assert chat.unescape(chat.escape(text)) == text
+        assert not any(c in chat.escape(text) for c in chat.CONTROLS)
+    rows = [(1, 2, "assistant", "é🙂 b"), (1, 1, "user", None), (1, 3, "assistant", "[INST]"), (2, 1, None, "x"), (None, 1, "user", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for size in (1, 200_000):
+        got = {r.conv_id: r for r in chat.read_back(df, segment_chars=size).collect()}
+        assert (got[1].n_turns, got[1].loss_chars) == (3, len("é🙂 b[INST]"))
+        assert got[1].loss_sha256 == hashlib.sha256("é🙂 b[INST]".encode()).hexdigest()
+        assert got[1].turns_sha256 == hashlib.sha256("user\n\nassistant\né🙂 b\nassistant\n[INST]\n".encode()).hexdigest()
+        assert len(got) == 3
+
+
+def test_fingerprints(spark, docs):
+    got = fingerprints.compare_with_edits(docs).collect()
+    assert len(got) == len(ROWS) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+    assert len({r.fingerprint for r in got if r.doc_id == 3}) == 1
+    a, b = list(range(1000)), list(range(500, 1500))
+    sets = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    sets = sets.select(*[fingerprints.bottom_k(F.transform(c, lambda x: F.xxhash64(x))).alias(c) for c in "ab"])
+    r = sets.select(fingerprints.resemblance(F.col("a"), F.col("b")), fingerprints.containment(F.col("a"), F.col("b")), fingerprints.distinct_shingles(F.col("a"))).first()
+    assert abs(r[0] - 1 / 3) < 0.15 and abs(r[1] - 0.5) < 0.2 and abs(r[2] - 1000) < 300
+
+
+def test_probability_jaccard_and_sketch():
+    texts = [b"a b c d e f g h i j", b"a b c d e f g h i k", b"x", b"", b"a b c d e a b c d e a b c d e"]
+    of, hashes, weights = shingles.weighted_shingles(texts)
+    assert [int(weights[of == i].sum()) for i in range(5)] == [6, 6, 1, 0, 11]
+    sets = [(hashes[of == i], np.ones((of == i).sum())) for i in range(5)]
+    assert shingles.probability_jaccard(*sets[0], *sets[1]) == pytest.approx(5 / 7)
+    signature = shingles.probminhash(of, hashes, weights, 5, 4096)
+    assert abs((signature[0] == signature[1]).mean() - 5 / 7) < 0.05
+
+
+def test_near_duplicates(spark, docs):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    near = base[:150] + ["changed"] + base[151:]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(300)]
+    rows = [(i, " ".join(x)) for i, x in enumerate([other, base, near, base, other[:150] + base[:150]])]
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (0, 1), 1: (1, 3), 2: (1, 3), 3: (1, 3), 4: (4, 1)}
+    assert near_dup.near_duplicates(docs).count() == len(ROWS)
+    assert near_dup.first_of_each(docs).columns == docs.columns
+
+
+def test_surrogates():
+    key = pii._key("k")
+    text = "Mrs Anna Lee (anna.lee@mail.org, anna.lee@mail.org) 4111111111111111 +1 (555) 123-4567 10.1.2.3; Lee said bob@mail.org"
+    made, counts = pii.replaced(text, key)
+    assert counts == {"name": 2, "email": 3, "card": 1, "phone": 1, "ip": 1}
+    assert not any(x in made for x in ("anna.lee", "4111111111111111", "123-4567", "10.1.2.3", "Anna", "bob@"))
+    mails = re.findall(r"[\w.]+@[\w.]+", made)
+    assert mails[0] == mails[1] != mails[2]
+    assert pii.luhn(re.search(r"\d{16}", made).group()) == 0
+    assert len({pii.same_format(key, "x", f"{i:03d}") for i in range(1000)}) == 1000
+    assert pii.replaced("Nothing to see here.", key) == ("Nothing to see here.", {})
+
+
+def test_url_rules(spark):
+    urls = [("http://A.Example.ORG/es/x?y", "block"), ("https://example.org/en/12", "block"), ("http://example.org/EN/1", "allow"), ("http://x.com/de/", "block"), ("http://xcom/de/", "allow"), ("http://ads.b.net/", "block"), ("http://a.net/b.org/", "allow"), (None, "allow"), ("nothing", "allow"), ("http://h.com" + "/a" * 5000, "allow")]
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df).collect()}
+    assert [got[i].verdict for i in range(len(urls))] == [w for _, w in urls]
+    assert got[0].host == "a.example.org" and got[0].path == "/es/x" and got[0].rule == "example.org/es/" and got[6].rule is None
+
+
+def test_quality(spark, docs):
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept
+    assert got[6].n_repeat_words == 20_000 and got[6].base_failed
+
+
+def test_licenses(spark):
+    mit = licenses.KNOWN[0][1]
+    rows = [(1, mit), (2, "Copyright (c) 2020 Me\n" + mit.upper().replace(",", " ,")), (3, mit + " but not"), (4, None), (5, "")]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
+
+
+@pytest.mark.parametrize("run", [bpe.encode_documents, token_counts.count_tokens, packing.pack_documents, fingerprints.compare_with_edits, near_dup.near_duplicates, pii.pseudonymise, quality.judge, licenses.scan], ids=lambda f: f.__name__)
+def test_odd_and_empty_tables(run, docs, none):
+    assert run(none).count() == 0
+    assert run(docs).count() >= len(ROWS)
+
+
+def test_pipeline_stages_keep_columns(spark, docs):
+    import corpus_pipeline
+
+    frame = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = stage(spark, frame, "")
+        assert frame.columns == docs.columns, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 6
