@@ -138,12 +138,12 @@ def smart_cased(text: Column) -> Column:
     return F.when(upper_ratio(text) < 0.7, text).otherwise(F.array_join(F.transform(words, word), " "))
 
 
-def title_from_text(text: Column) -> Column:
-    """What follows subject: in the first 30 lines, else the first of 8 lines that looks like a title, else empty."""
+def title_line(text: Column) -> Column:
+    """What follows subject: in the first 30 lines, else the first of 8 lines that looks like a title, else empty; its case as it is."""
     lines = F.slice(F.transform(F.split(text, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(x, "^[ \t\\-—_*#]+|[ \t\\-—_*#]+$", "")), 1, 30)
     subject = F.transform(lines, lambda x: F.when(x.rlike(r"(?i)^(?:subject:|sub:|subject -)"), F.regexp_replace(F.regexp_replace(x, r"(?i)^(?:subject:|sub:|subject -)", ""), "^[ \\-–—]+|[ \\-–—]+$", "")))
     fit = F.filter(F.slice(lines, 1, 8), lambda x: (F.length(x) >= 8) & (F.length(x) <= 140) & ~F.startswith(F.lower(x), F.lit("page ")))
-    return smart_cased(F.coalesce(F.get(F.filter(subject, lambda s: F.length(s) >= 8), F.lit(0)), F.get(fit, F.lit(0)), F.lit("")))
+    return F.coalesce(F.get(F.filter(subject, lambda s: F.length(s) >= 8), F.lit(0)), F.get(fit, F.lit(0)), F.lit(""))
 
 
 def safe_filename(name: Column) -> Column:

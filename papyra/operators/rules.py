@@ -127,9 +127,10 @@ def flags(tags: Column) -> Column:
     return F.slice(F.array_compact(found), 1, 6)
 
 
-def title(raw: Column, filename: Column) -> Column:
-    found = t.title_from_text(raw)
-    return F.coalesce(F.when(found != "", found), t.title_from_filename(filename))
+def with_title(df: DataFrame, filename: str = "filename") -> DataFrame:
+    """Each step is a column of its own, as it is used several times by the next."""
+    df = df.withColumn("_line", t.title_line(F.col("_raw"))).withColumn("_cased", t.smart_cased(F.col("_line")))
+    return df.withColumn("title", F.coalesce(F.when(F.col("_cased") != "", F.col("_cased")), t.title_from_filename(F.col(filename)))).drop("_line", "_cased")
 
 
 def confidence(body: Column, top: Column) -> Column:
@@ -151,9 +152,9 @@ def analysed(df: DataFrame, filename: str = "filename", text: str = "extracted_t
     df = df.withColumns({
         "actions": actions(), "deadlines": deadlines(), "risks": risks(),
         "compliance_flags": F.when(empty, none).otherwise(flags(F.col("_tags"))),
-        "title": F.when(empty, t.title_from_filename(F.col(filename))).otherwise(title(F.col("_raw"), F.col(filename))),
         "analysis_confidence": confidence(F.col("_body"), F.col("_top")),
     })
+    df = with_title(df, filename)
     return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 

@@ -177,8 +177,8 @@ def owner() -> str:
 
 
 def listed(expression: str, where: str, most: int, name: str, join: str = "") -> str:
-    return f"""{BASE}, some AS (SELECT id, n, {expression} AS x FROM said {join} WHERE {where} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) <= {most})
-SELECT id, coalesce((SELECT string_agg(x, '|' ORDER BY n) FROM some WHERE some.id = lib.id), '') AS {name} FROM lib"""
+    return f"""{BASE}, kept AS (SELECT id, n, {expression} AS x FROM said {join} WHERE {where} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) <= {most})
+SELECT id, coalesce((SELECT string_agg(x, '|' ORDER BY n) FROM kept WHERE kept.id = lib.id), '') AS {name} FROM lib"""
 
 
 def cased(x: str) -> str:
@@ -215,8 +215,8 @@ SELECT id, coalesce((SELECT string_agg(w, '|' ORDER BY k) FROM ranked_words r WH
 
 DEADLINES = f"""{BASE}, d AS (SELECT id, n, s, {date('s')} AS date FROM said),
 first AS (SELECT * FROM d WHERE date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, lower(date) ORDER BY n) = 1),
-some AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) <= 6)
-SELECT id, coalesce((SELECT string_agg(date || '~' || {trim_to('s', 200)}, '|' ORDER BY n) FROM some WHERE some.id = lib.id), '') AS deadlines FROM lib"""
+kept AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) <= 6)
+SELECT id, coalesce((SELECT string_agg(date || '~' || {trim_to('s', 200)}, '|' ORDER BY n) FROM kept WHERE kept.id = lib.id), '') AS deadlines FROM lib"""
 
 ACTION = f"{trim_to('s', 260)} || '~' || ({owner()}) || '~' || coalesce({date('s')}, '') || '~' || CASE WHEN {has('st', v.HIGH_SIGNALS)} THEN 'High' ELSE priority END"
 

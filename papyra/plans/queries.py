@@ -45,8 +45,16 @@ def per_entry(columns: dict[str, Callable[[], Column]]) -> Query:
     return lambda spark, sf_dir: lib.library(spark, sf_dir).select("id", *[c().alias(n) for n, c in columns.items()])
 
 
-def ruled(*columns: Column) -> Query:
-    return lambda spark, sf_dir: rules.analysed(lib.library(spark, sf_dir)).select("id", *columns)
+def ruled(steps: tuple[Callable[[DataFrame], DataFrame], ...], *columns: Callable[[], Column]) -> Query:
+    """Fields of the rule engine, by the steps that they need."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = rules.with_body(lib.library(spark, sf_dir).select("id", "filename", "extracted_text"))
+        for step in steps:
+            df = step(df)
+        return df.select("id", *[c() for c in columns])
+
+    return run
 
 
 def counted(spec: SearchSpec, table: str | None = None, **params) -> Query:
@@ -148,18 +156,18 @@ QUERIES: dict[str, Query] = {
     "text_preview": per_document({"preview": lambda: F.sha2(F.left("text", F.lit(4000)), 256)}),
     "text_sha256": per_document({"checksum": lambda: F.sha2("text", 256)}),
     "text_phrase_count": per_entry({n: (lambda w=w: t.phrase_count(t.tagged(F.col("extracted_text")), w).cast("long")) for n, w in (("the", "the"), ("of_the", "of the"), ("subject", "subject:"), ("safety", "safety"))}),
-    "rule_department": ruled(F.col("department")),
-    "rule_secondary": ruled(_joined("secondary_departments").alias("secondary")),
-    "rule_doc_type": ruled(F.col("document_type")),
-    "rule_priority": ruled(F.col("priority")),
-    "rule_keywords": ruled(_joined("keywords").alias("keywords")),
-    "rule_summary": ruled(F.col("summary"), _joined("key_points").alias("key_points")),
-    "rule_actions": ruled(_joined(F.transform("actions", lambda a: F.concat_ws("~", a["action"], a["owner"], a["due_date"], a["priority"]))).alias("actions")),
-    "rule_deadlines": ruled(_joined(F.transform("deadlines", lambda a: F.concat_ws("~", a["date"], a["description"]))).alias("deadlines")),
-    "rule_risks": ruled(_joined("risks").alias("risks")),
-    "rule_flags": ruled(_joined("compliance_flags").alias("flags")),
-    "rule_title": ruled(F.col("title")),
-    "rule_confidence": ruled(F.col("analysis_confidence").alias("confidence")),
+    "rule_department": ruled((rules.with_department,), lambda: F.col("department")),
+    "rule_secondary": ruled((rules.with_department,), lambda: _joined("secondary_departments").alias("secondary")),
+    "rule_doc_type": ruled((), lambda: rules.document_type(F.col("_tags")).alias("document_type")),
+    "rule_priority": ruled((rules.with_department, rules.with_priority), lambda: F.col("priority")),
+    "rule_keywords": ruled((rules.with_terms,), lambda: _joined(F.slice("_terms", 1, rules.KEYWORDS)).alias("keywords")),
+    "rule_summary": ruled((rules.with_terms, rules.with_sentences, rules.with_summary), lambda: F.col("summary"), lambda: _joined("key_points").alias("key_points")),
+    "rule_actions": ruled((rules.with_department, rules.with_priority, rules.with_sentences), lambda: _joined(F.transform(rules.actions(), lambda a: F.concat_ws("~", a["action"], a["owner"], a["due_date"], a["priority"]))).alias("actions")),
+    "rule_deadlines": ruled((rules.with_sentences,), lambda: _joined(F.transform(rules.deadlines(), lambda a: F.concat_ws("~", a["date"], a["description"]))).alias("deadlines")),
+    "rule_risks": ruled((rules.with_sentences,), lambda: _joined(rules.risks()).alias("risks")),
+    "rule_flags": ruled((), lambda: _joined(rules.flags(F.col("_tags"))).alias("flags")),
+    "rule_title": ruled((rules.with_title,), lambda: F.col("title")),
+    "rule_confidence": ruled((rules.with_department,), lambda: rules.confidence(F.col("_body"), F.col("_top")).alias("confidence")),
     "normalise_department": lambda s, d: documents(s, d).select("doc_id", v.normalise_department(F.expr(CASES)).alias("department")),
     "normalise_priority": lambda s, d: documents(s, d).select("doc_id", v.normalise_priority(F.expr(CASES)).alias("priority")),
     "normalise_doc_type": lambda s, d: documents(s, d).select("doc_id", v.normalise_document_type(F.expr(CASES)).alias("document_type")),
