@@ -40,8 +40,8 @@ class Settings:
 
 #: Bits of the filter that keeps texts without company out of the verification; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 26
-#: Pairs of one leader that are verified in one place.
-LEADER_PAIRS = 500
+#: Places that the pairs of one leader are dealt to; each that has some gets a copy of its text.
+LEADER_PLACES = 256
 
 
 def digest(text: bytes) -> bytes:
@@ -107,11 +107,9 @@ def _texts_of(df: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Those of the pairs (node, leader) whose texts are similar enough. A leader of many is copied to several places."""
-    places = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_PAIRS).cast("int").alias("places"))
-    spread = pairs.join(places, "leader").withColumn("place", F.pmod(F.xxhash64("node"), F.col("places")).cast("int")).drop("places")
+    spread = pairs.withColumn("place", F.pmod(F.xxhash64("node"), F.lit(LEADER_PLACES)).cast("int"))
     members = spread.join(texts, "node").withColumnRenamed("data", "data_a")
-    leaders = places.join(texts.select(F.col("node").alias("leader"), F.col("data").alias("data_b")), "leader")
-    leaders = leaders.select("leader", F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), "data_b")
+    leaders = spread.select("leader", "place").distinct().join(texts.select(F.col("node").alias("leader"), F.col("data").alias("data_b")), "leader")
     both = members.join(leaders, ["leader", "place"]).select("node", "leader", "data_a", "data_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
