@@ -5,10 +5,19 @@ one), and signatures cut into bands. Texts with a band in common meet in its
 bucket. There each is compared only with one leader: the member with the
 most company in all its buckets, near to which a group of copies lies. Pairs are
 verified by their exact probability Jaccard similarity, or the plain one where
-that is higher, links joined into components. Further rounds look at the buckets that still hold several classes
-and take their leader from a class that has not led. Nobody ever forms all
+that is higher, links joined into components. A second round looks at the buckets that still hold several classes
+and takes their leader from a class that has not led. Nobody ever forms all
 pairs of a bucket, and no bucket is gathered in one task.
 
+Leaders alone could miss a link between two other members. So what buckets with
+several classes hold is joined once more, exactly, by prefix filtering. If the
+shares a and b of two texts' weights are not in common, their similarity is at most
+(1 - a)(1 - b) / (1 - ab), by Jensen's inequality, and for plain sets just that.
+Shingles are ordered from rare to frequent, so before the first common one only what
+is not in common lies. Only texts of different classes are compared that have a
+shingle in common where the shares before it still allow for the threshold; a passage that many texts
+share is not rare, and does not bring them together.
+
 Texts are known by a 128-bit digest, so exact copies are one text from the start.
 """
 
@@ -35,13 +44,17 @@ class Settings:
     threshold: float = 0.8
     bands: int = 24
     rows: int = 5
-    rounds: int = 3
+    rounds: int = 2
 
 
 #: Bits of the filter that keeps texts without company out of the verification; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 26
 #: Places that the pairs of one leader are dealt to; each that has some gets a copy of its text.
 LEADER_PLACES = 256
+#: Slots that shingles are counted in, for their order from rare to frequent; a fixed size, whatever the corpus.
+SLOTS = 1 << 22
+#: For rounding, in bounds of similarities.
+SLACK = 1e-6
 
 
 def digest(text: bytes) -> bytes:
@@ -160,6 +173,62 @@ def _round(number: int, rows: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(leaders, "bucket").where(F.col("label") != F.col("l.label")).select("node", F.col("l.node").alias("leader")).distinct()
 
 
+def _slot_counts(texts: DataFrame, settings: Settings) -> np.ndarray:
+    """In how many texts the shingles of each slot are, at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            counts += np.bincount((_weighted([v.as_py() for v in batch.column(0)], settings.shingle)[1] % SLOTS).astype(np.int64), minlength=SLOTS)
+        for slots in np.array_split(np.flatnonzero(counts), 16):
+            if len(slots):
+                yield out(["slot", "n"], [pa.array(slots), pa.array(counts[slots])])
+
+    table = map_batches(texts.select("data"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
+    counts = np.ones(SLOTS, dtype=np.int32)
+    counts[table["slot"].to_numpy()] = np.minimum(table["n"].to_numpy(), np.iinfo(np.int32).max)
+    return counts
+
+
+def prefixes(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, frequency: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the shingles, from rare to frequent, before which no more lies than the threshold leaves: with these shares of their text's weight and of its number of shingles."""
+    order = np.lexsort((hashes, frequency, of))
+    first = np.flatnonzero(np.diff(of[order], prepend=-1))
+    sizes, shares = np.diff(np.append(first, len(order))), []
+    for values in (weights[order], np.ones(len(order))):
+        before = np.cumsum(values) - values
+        total = np.add.reduceat(values, first) if len(first) else values
+        shares.append((before - np.repeat(before[first], sizes)) / np.repeat(total, sizes))
+    kept = np.minimum(*shares) <= 1 - threshold + SLACK
+    return order[kept], shares[0][kept], shares[1][kept]
+
+
+def _rest(rows: DataFrame, texts: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs (node, leader) of different labels, among texts of buckets with several, that may be similar enough: no link between labels is outside them."""
+    known = rows.join(labels, "node")
+    several = known.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
+    open_nodes = known.join(several, "bucket").select("node", "label").distinct()
+    open_texts = checkpointed(texts.join(open_nodes, "node").select("node", "label", "data"))
+    shared = rows.sparkSession.sparkContext.broadcast(_slot_counts(open_texts, settings))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            of, hashes, weights = _weighted([v.as_py() for v in batch.column(2)], settings.shingle)
+            frequency = counts[(hashes % SLOTS).astype(np.int64)]
+            at, by_weight, by_count = prefixes(of, hashes, weights, frequency, settings.threshold)
+            for part in np.array_split(np.flatnonzero(frequency[at] > 1), -(-len(at) // 100_000) or 1):
+                row = pa.array(of[at[part]])
+                yield out(["shingle", "node", "label", "by_weight", "by_count"], [pa.array(hashes[at[part]].astype(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(by_weight[part]), pa.array(by_count[part])])
+
+    postings = checkpointed(map_batches(open_texts, run, "shingle long, node binary, label binary, by_weight double, by_count double"))
+    mixed_shingles = postings.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("shingle")
+    postings = postings.join(mixed_shingles, "shingle")
+    allowed = " OR ".join(f"(1 - x.{c}) * (1 - y.{c}) >= {settings.threshold - SLACK} * (1 - x.{c} * y.{c})" for c in ("by_weight", "by_count"))
+    pairs = postings.alias("x").join(postings.alias("y"), F.expr(f"x.shingle = y.shingle AND x.label < y.label AND ({allowed})"))
+    return pairs.select(F.col("x.node").alias("node"), F.col("y.node").alias("leader")).distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of df: key, class_id (least key of its class), class_size (rows in the class).
 
@@ -178,8 +247,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
     members = checkpointed(rows.select("node").distinct())
     texts = checkpointed(_texts_of(df, text, members))
     labels, tried, edges = members.withColumn("label", F.col("node")), None, None
-    for number in range(settings.rounds):
-        pairs = _round(number, rows, labels)
+    for number in range(settings.rounds + 1):
+        pairs = _round(number, rows, labels) if number < settings.rounds else _rest(rows, texts, labels, settings)
         if tried is not None:
             pairs = pairs.join(tried, ["node", "leader"], "left_anti")
         pairs = checkpointed(pairs)

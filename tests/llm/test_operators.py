@@ -149,3 +149,29 @@ def test_pipeline_stages_keep_columns(spark, docs):
         frame = stage(spark, frame, "")
         assert frame.columns == docs.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 6
+
+
+def test_prefixes_lose_no_link():
+    rng = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        words = common[: rng.randrange(60)] + [f"u{rng.randrange(400)}" for _ in range(rng.randrange(1, 30))]
+        texts += [" ".join(w for w in words for _ in range(rng.choice((1, 1, 1, 3))) if rng.random() < 0.98) for _ in range(3)]
+    of, hashes, counts = shingles.weighted_shingles([t.encode() for t in texts], 1)
+    weights = 1 + np.log(counts)
+    frequency = np.unique(hashes, return_inverse=True, return_counts=True)
+    frequency = frequency[2][frequency[1]]
+    at, by_weight, by_count = near_dup.prefixes(of, hashes, weights, frequency, 0.8)
+    links = met = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            x, y = of == i, of == j
+            allowed = False
+            for share in (by_weight, by_count):
+                u, v = (dict(zip(hashes[at[of[at] == k]].tolist(), share[of[at] == k].tolist(), strict=True)) for k in (i, j))
+                allowed |= any((1 - u[h]) * (1 - v[h]) >= (0.8 - 1e-6) * (1 - u[h] * v[h]) for h in u.keys() & v.keys())
+            link = max(shingles.probability_jaccard(hashes[x], weights[x], hashes[y], weights[y]), shingles.jaccard(hashes[x], hashes[y])) >= 0.8
+            assert allowed or not link
+            links, met = links + link, met + allowed
+    assert links >= 20 and met < len(texts) ** 2 / 4
