@@ -173,8 +173,8 @@ def _round(number: int, rows: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(leaders, "bucket").where(F.col("label") != F.col("l.label")).select("node", F.col("l.node").alias("leader")).distinct()
 
 
-def _slot_counts(texts: DataFrame, settings: Settings) -> np.ndarray:
-    """In how many texts the shingles of each slot are, at most."""
+def _frequencies(texts: DataFrame, settings: Settings) -> np.ndarray:
+    """How frequent the shingles of each slot are, as a byte: 0 for those of one text, else 8 times the binary logarithm of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
@@ -184,10 +184,12 @@ def _slot_counts(texts: DataFrame, settings: Settings) -> np.ndarray:
             if len(slots):
                 yield out(["slot", "n"], [pa.array(slots), pa.array(counts[slots])])
 
-    table = map_batches(texts.select("data"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    counts = np.ones(SLOTS, dtype=np.int32)
-    counts[table["slot"].to_numpy()] = np.minimum(table["n"].to_numpy(), np.iinfo(np.int32).max)
-    return counts
+    counts = map_batches(texts.select("data"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
+    levels = counts.selectExpr("slot DIV 8 AS word", "shiftleft(CAST(least(round(8 * log2(n)), 255) AS BIGINT), CAST(8 * (slot % 8) AS INT)) AS bits")
+    table = levels.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    found = np.zeros(SLOTS // 8, dtype="<i8")
+    found[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return found.view(np.uint8)
 
 
 def prefixes(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, frequency: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,15 +211,15 @@ def _rest(rows: DataFrame, texts: DataFrame, labels: DataFrame, settings: Settin
     several = known.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
     open_nodes = known.join(several, "bucket").select("node", "label").distinct()
     open_texts = checkpointed(texts.join(open_nodes, "node").select("node", "label", "data"))
-    shared = rows.sparkSession.sparkContext.broadcast(_slot_counts(open_texts, settings))
+    shared = rows.sparkSession.sparkContext.broadcast(_frequencies(open_texts, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        levels = shared.value
         for batch in batches:
             of, hashes, weights = _weighted([v.as_py() for v in batch.column(2)], settings.shingle)
-            frequency = counts[(hashes % SLOTS).astype(np.int64)]
+            frequency = levels[(hashes % SLOTS).astype(np.int64)]
             at, by_weight, by_count = prefixes(of, hashes, weights, frequency, settings.threshold)
-            for part in np.array_split(np.flatnonzero(frequency[at] > 1), -(-len(at) // 100_000) or 1):
+            for part in np.array_split(np.flatnonzero(frequency[at] > 0), -(-len(at) // 100_000) or 1):
                 row = pa.array(of[at[part]])
                 yield out(["shingle", "node", "label", "by_weight", "by_count"], [pa.array(hashes[at[part]].astype(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(by_weight[part]), pa.array(by_count[part])])
 
