@@ -5,8 +5,7 @@ one), and signatures cut into bands. Texts with a band in common meet in its
 bucket. There each is compared only with one leader: the member with the
 most company in all its buckets, near to which a group of copies lies. Pairs are
 verified by their exact probability Jaccard similarity, or the plain one where
-that is higher, links joined into components. A second round looks at the buckets that still hold several classes
-and takes their leader from a class that has not led. Nobody ever forms all
+that is higher, links joined into components. Nobody ever forms all
 pairs of a bucket, and no bucket is gathered in one task.
 
 Leaders alone could miss a link between two other members. So what buckets with
@@ -44,7 +43,6 @@ class Settings:
     threshold: float = 0.8
     bands: int = 24
     rows: int = 5
-    rounds: int = 2
 
 
 #: Bits of the filter that keeps texts without company out of the verification; a fixed size, whatever the corpus.
@@ -90,7 +88,7 @@ def _filter_words(nodes: DataFrame) -> np.ndarray:
     """A Bloom filter of the nodes in FILTER_BITS bits."""
     places = nodes.select(F.explode(F.array(*[F.expr(f"conv(hex(substring(node, {1 + 4 * i}, 4)), 16, 10)").cast("long") % FILTER_BITS for i in range(3)])).alias("bit"))
     words = places.groupBy(F.expr("bit DIV 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits"))
-    table = words.toPandas()
+    table = words.toArrow()
     found = np.zeros(FILTER_BITS // 32, dtype=np.uint64)
     found[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint64)
     return found.astype(np.uint32)
@@ -160,17 +158,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _round(number: int, rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (node, leader) that round number compares."""
-    if number == 0:
-        leaders = rows.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("leader"))
-        return rows.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select("node", "leader").distinct()
-    known = rows.join(labels, "node")
-    several = known.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max_by("label", F.struct("score", "node")).alias("led"))
-    known = known.join(several.where(F.col("least") != F.col("most")).select("bucket", "led"), "bucket")
-    rank = F.struct("score", "node") if number == 1 else F.struct(F.xxhash64("node", F.lit(number)), "node")
-    leaders = known.where(F.col("label") != F.col("led")).groupBy("bucket").agg(F.max_by(F.struct("node", "label"), rank).alias("l"))
-    return known.join(leaders, "bucket").where(F.col("label") != F.col("l.label")).select("node", F.col("l.node").alias("leader")).distinct()
+def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members with the label of their component, or themselves as label."""
+    return checkpointed(members.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+
+
+def _with_leaders(rows: DataFrame) -> DataFrame:
+    """Pairs (node, leader) of the buckets."""
+    leaders = rows.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("leader"))
+    return rows.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select("node", "leader").distinct()
 
 
 def _frequencies(texts: DataFrame, settings: Settings) -> np.ndarray:
@@ -186,7 +182,7 @@ def _frequencies(texts: DataFrame, settings: Settings) -> np.ndarray:
 
     counts = map_batches(texts.select("data"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1")
     levels = counts.selectExpr("slot DIV 8 AS word", "shiftleft(CAST(least(round(8 * log2(n)), 255) AS BIGINT), CAST(8 * (slot % 8) AS INT)) AS bits")
-    table = levels.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toPandas()
+    table = levels.groupBy("word").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
     found = np.zeros(SLOTS // 8, dtype="<i8")
     found[table["word"].to_numpy()] = table["bits"].to_numpy()
     return found.view(np.uint8)
@@ -248,19 +244,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
     rows = checkpointed(rows.join(rows.groupBy("node").agg(F.sum("n").alias("score")), "node").select("bucket", "node", "score"))
     members = checkpointed(rows.select("node").distinct())
     texts = checkpointed(_texts_of(df, text, members))
-    labels, tried, edges = members.withColumn("label", F.col("node")), None, None
-    for number in range(settings.rounds + 1):
-        pairs = _round(number, rows, labels) if number < settings.rounds else _rest(rows, texts, labels, settings)
-        if tried is not None:
-            pairs = pairs.join(tried, ["node", "leader"], "left_anti")
-        pairs = checkpointed(pairs)
-        found = checkpointed(_verified(pairs, texts, settings))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if number and found.isEmpty():
-            continue
-        edges = found if edges is None else edges.unionByName(found)
-        linked = components(edges)
-        labels = checkpointed(members.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    pairs = checkpointed(_with_leaders(rows))
+    edges = checkpointed(_verified(pairs, texts, settings))
+    labels = _labelled(members, edges)
+    further = _rest(rows, texts, labels, settings).join(pairs, ["node", "leader"], "left_anti")
+    found = checkpointed(_verified(checkpointed(further), texts, settings))
+    if not found.isEmpty():
+        labels = _labelled(members, edges.unionByName(found))
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
     classes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     of = named.join(classes, "label").select("node", "class_id", "class_size")
