@@ -15,7 +15,8 @@ shares a and b of two texts' weights are not in common, their similarity is at m
 Shingles are ordered from rare to frequent, so before the first common one only what
 is not in common lies. Only texts of different classes are compared that have a
 shingle in common where the shares before it still allow for the threshold; a passage that many texts
-share is not rare, and does not bring them together.
+share is not rare, and does not bring them together. A text just under the threshold meets a class
+not text by text but in blocks of its texts, with the least shares that any of the block has.
 
 Texts are known by a 128-bit digest, so exact copies are one text from the start.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm.common import checkpointed, map_batches, out
-from papyra.llm.shingles import _odd, jaccard, mixed, probability_jaccard, probminhash, weighted_shingles
+from papyra.llm.shingles import Block, _odd, jaccard, mixed, probability_jaccard, probminhash, weighted_shingles
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,8 @@ FILTER_BITS = 1 << 26
 LEADER_PLACES = 256
 #: Slots that shingles are counted in, for their order from rare to frequent; a fixed size, whatever the corpus.
 SLOTS = 1 << 22
+#: Texts and bytes of texts that a block of a class has about; and places that the texts to compare with one are dealt to.
+BLOCK_TEXTS, BLOCK_BYTES, BLOCK_PLACES = 512, 2 << 20, 16
 #: For rounding, in bounds of similarities.
 SLACK = 1e-6
 
@@ -202,29 +205,71 @@ def prefixes(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, frequency:
 
 
 def _rest(rows: DataFrame, texts: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (node, leader) of different labels, among texts of buckets with several, that may be similar enough: no link between labels is outside them."""
+    """Links (a, b) between different labels, among texts of buckets with several; no such link is left out.
+
+    Texts of one label are cut into blocks. A text is compared with a block if one of its
+    shingles lets some text of the block be similar enough.
+    """
     known = rows.join(labels, "node")
     several = known.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
     open_nodes = known.join(several, "bucket").select("node", "label").distinct()
     open_texts = checkpointed(texts.join(open_nodes, "node").select("node", "label", "data"))
+    blocks = open_texts.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.length("data")) / BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
+    open_texts = checkpointed(open_texts.join(blocks, "label", "left").select("node", "label", "data", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)")))
     shared = rows.sparkSession.sparkContext.broadcast(_frequencies(open_texts, settings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
         for batch in batches:
-            of, hashes, weights = _weighted([v.as_py() for v in batch.column(2)], settings.shingle)
+            of, hashes, weights = _weighted([v.as_py() for v in batch.column("data")], settings.shingle)
             frequency = levels[(hashes % SLOTS).astype(np.int64)]
             at, by_weight, by_count = prefixes(of, hashes, weights, frequency, settings.threshold)
             for part in np.array_split(np.flatnonzero(frequency[at] > 0), -(-len(at) // 100_000) or 1):
                 row = pa.array(of[at[part]])
-                yield out(["shingle", "node", "label", "by_weight", "by_count"], [pa.array(hashes[at[part]].astype(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(by_weight[part]), pa.array(by_count[part])])
+                own = ["node", "label", "blocks", "block"]
+                yield out(["shingle", *own, "by_weight", "by_count"], [pa.array(hashes[at[part]].astype(np.int64)), *(batch.column(c).take(row) for c in own), pa.array(by_weight[part]), pa.array(by_count[part])])
 
-    postings = checkpointed(map_batches(open_texts, run, "shingle long, node binary, label binary, by_weight double, by_count double"))
+    postings = checkpointed(map_batches(open_texts, run, "shingle long, node binary, label binary, blocks long, block long, by_weight double, by_count double"))
+    of_blocks = postings.groupBy("shingle", "label", "blocks", "block").agg(F.min("by_weight").alias("by_weight"), F.min("by_count").alias("by_count"))
     mixed_shingles = postings.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("shingle")
-    postings = postings.join(mixed_shingles, "shingle")
     allowed = " OR ".join(f"(1 - x.{c}) * (1 - y.{c}) >= {settings.threshold - SLACK} * (1 - x.{c} * y.{c})" for c in ("by_weight", "by_count"))
-    pairs = postings.alias("x").join(postings.alias("y"), F.expr(f"x.shingle = y.shingle AND x.label < y.label AND ({allowed})"))
-    return pairs.select(F.col("x.node").alias("node"), F.col("y.node").alias("leader")).distinct()
+    asked = postings.join(mixed_shingles, "shingle").alias("x").join(of_blocks.alias("y"), F.expr(f"x.shingle = y.shingle AND (x.blocks < y.blocks OR x.blocks = y.blocks AND x.label < y.label) AND ({allowed})"))
+    return _compared(checkpointed(asked.select("x.node", "y.label", "y.block").distinct()), open_texts, settings)
+
+
+def _compared(asked: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) of the nodes asked (node, label, block) with texts of that block.
+
+    A task holds one block at a time; the texts to compare with it stream past, dealt to several places.
+    """
+    asked = asked.withColumn("place", F.expr(f"pmod(xxhash64(node), {BLOCK_PLACES})"))
+    asking = asked.join(texts.select("node", "data"), "node").withColumn("asks", F.lit(True))
+    held = asked.select("label", "block", "place").distinct().join(texts.select("label", "block", "node", "data"), ["label", "block"]).withColumn("asks", F.lit(False))
+    columns = ["label", "block", "place", "asks", "node", "data"]
+    both = held.select(columns).unionByName(asking.select(columns)).repartition("label", "block", "place").sortWithinPartitions("label", "block", "place", "asks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, members, block = None, [], None
+        for batch in batches:
+            texts = [v.as_py() for v in batch.column("data")]
+            of, hashes, weights = _weighted(texts, settings.shingle)
+            cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+            a, b = [], []
+            for i, (*key, asks, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[:5]), strict=True)):
+                if key != current:
+                    current, members, block = key, [], None
+                own = hashes[cuts[i] : cuts[i + 1]], weights[cuts[i] : cuts[i + 1]]
+                if not asks:
+                    members.append((node, *own))
+                    continue
+                block = block or Block(*([m[k] for m in members] for k in (1, 2)))
+                for j in block.alike(*own, settings.threshold):
+                    a.append(node)
+                    b.append(members[j][0])
+            if a:
+                yield out(["a", "b"], [pa.array(a, pa.binary()), pa.array(b, pa.binary())])
+
+    return map_batches(both, run, "a binary, b binary")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -244,11 +289,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
     rows = checkpointed(rows.join(rows.groupBy("node").agg(F.sum("n").alias("score")), "node").select("bucket", "node", "score"))
     members = checkpointed(rows.select("node").distinct())
     texts = checkpointed(_texts_of(df, text, members))
-    pairs = checkpointed(_with_leaders(rows))
-    edges = checkpointed(_verified(pairs, texts, settings))
+    edges = checkpointed(_verified(checkpointed(_with_leaders(rows)), texts, settings))
     labels = _labelled(members, edges)
-    further = _rest(rows, texts, labels, settings).join(pairs, ["node", "leader"], "left_anti")
-    found = checkpointed(_verified(checkpointed(further), texts, settings))
+    found = checkpointed(_rest(rows, texts, labels, settings))
     if not found.isEmpty():
         labels = _labelled(members, edges.unionByName(found))
     named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")

@@ -111,6 +111,32 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common) if common else 0.0
 
 
+class Block:
+    """Shingles of some texts, each text's sorted, to compare others with all of them at once."""
+
+    def __init__(self, hashes: list[np.ndarray], weights: list[np.ndarray]):
+        self.texts = list(zip(hashes, weights, strict=True))
+        self.counts, self.totals = np.array([len(h) for h in hashes]), np.array([w.sum() for w in weights])
+        every, of = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), self.counts)
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.weights, self.of = every[order], np.concatenate(weights)[order], of[order]
+
+    def alike(self, hashes: np.ndarray, weights: np.ndarray, threshold: float) -> list[int]:
+        """Places of the texts whose plain Jaccard or probability Jaccard similarity to the given shingles reaches threshold."""
+        low = np.searchsorted(self.hashes, hashes)
+        counts = np.searchsorted(self.hashes, hashes, side="right") - low
+        own = np.repeat(np.arange(len(hashes)), counts)
+        at = np.arange(len(own)) + np.repeat(low - (np.cumsum(counts) - counts), counts)
+        of, size = self.of[at], len(self.counts)
+        common = np.bincount(of, minlength=size)
+        plain = common / np.maximum(len(hashes) + self.counts - common, 1)
+        a = 1 - np.bincount(of, weights[own], size) / max(weights.sum(), 1)
+        b = 1 - np.bincount(of, self.weights[at], size) / np.maximum(self.totals, 1)
+        bound = (1 - a) * (1 - b) / np.maximum(1 - a * b, 1e-12)  # of the probability Jaccard similarity
+        near = (plain >= threshold) | (bound >= threshold - 1e-6)
+        return [j for j in np.flatnonzero(near).tolist() if plain[j] >= threshold or probability_jaccard(hashes, weights, *self.texts[j]) >= threshold]
+
+
 def probminhash(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, texts: int, registers: int) -> np.ndarray:
     """ProbMinHash signatures, texts x registers; rows of texts without shingles are 0.
 

@@ -175,3 +175,46 @@ def test_prefixes_lose_no_link():
             assert allowed or not link
             links, met = links + link, met + allowed
     assert links >= 20 and met < len(texts) ** 2 / 4
+
+
+def _close_texts():
+    """Groups of texts on both sides of the threshold, with repeated words."""
+    rng, texts = random.Random(5), []
+    for group in range(4):
+        base = [f"g{group}w{rng.randrange(150)}" for _ in range(200)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def test_block_is_pairwise():
+    of, hashes, counts = shingles.weighted_shingles([t.encode() for t in _close_texts()[:60]])
+    cuts = np.searchsorted(of, np.arange(61))
+    parts = [(hashes[u:v], 1 + np.log(counts[u:v])) for u, v in zip(cuts, cuts[1:])]
+    block, found = shingles.Block(*map(list, zip(*parts[:50], strict=True))), 0
+    for h, w in parts:
+        want = [j for j, (x, y) in enumerate(parts[:50]) if max(shingles.probability_jaccard(h, w, x, y), shingles.jaccard(h, x)) >= 0.8]
+        assert block.alike(h, w, 0.8) == want
+        found += len(want)
+    assert 100 < found < 2000
+    assert block.alike(h[:0], w[:0], 0.8) == []
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dup, "BLOCK_TEXTS", block)
+    texts = _close_texts()
+    of, hashes, counts = shingles.weighted_shingles([t.encode() for t in texts])
+    parts = [(hashes[of == i], 1 + np.log(counts[of == i])) for i in range(len(texts))]
+    first = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if first[i] != first[j] and max(shingles.probability_jaccard(*parts[i], *parts[j]), shingles.jaccard(parts[i][0], parts[j][0])) >= 0.8:
+                least, most = sorted((first[i], first[j]))
+                first = [least if f == most else f for f in first]
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(first))
+    assert 8 < len(set(first)) < 150
