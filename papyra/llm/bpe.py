@@ -162,6 +162,24 @@ class Bpe:
         return b"".join(map(self.chunks.__getitem__, chunks)), " ".join([t for t in map(self.texts.__getitem__, chunks) if t])
 
 
+class LibraryBpe(Bpe):
+    """The same ids, but the library's own model merges the pre-tokens; for operators whose method is not the encoding."""
+
+    def __init__(self, name: str):
+        super().__init__(name)
+        self.model = self.library.model
+
+    def merged(self, word: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def library_bpe(name: str) -> LibraryBpe:
+    """One encoder, with its caches, for all tasks of a worker."""
+    return LibraryBpe(name)
+
+
 @lru_cache(maxsize=2)
 def bpe(name: str) -> Bpe:
     """One encoder, with its caches, for all tasks of a worker."""

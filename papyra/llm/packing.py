@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from papyra.llm.bpe import bpe
+from papyra.llm.bpe import library_bpe
 from papyra.llm.common import checkpointed, map_batches, out
 
 
@@ -48,7 +48,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, width = bpe(tokenizer), separator.to_bytes(4, "little"), 4 * tokens
+        coder, end, width = library_bpe(tokenizer), separator.to_bytes(4, "little"), 4 * tokens
         for batch in batches:
             rows, number, starts, lengths, sums, ids = [], [], [], [], [], []
             for row, value in enumerate(batch.column(1)):

@@ -31,6 +31,7 @@ def test_bpe_is_the_library(spark):
         ids = library.encode(text, add_special_tokens=False).ids
         encoded, decoded = coder.encode_decode(text)
         assert list(np.frombuffer(encoded, "<u4")) == ids
+        assert bpe.library_bpe("word_bpe_49k.json").encode(text) == encoded
         assert decoded == library.decode(ids, skip_special_tokens=False)
 
 
