@@ -72,7 +72,7 @@ def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = lib.library(spark, sf_dir).select("id", F.posexplode(display.highlighted(F.left("extracted_text", F.lit(300)), ["the", "inspection"])).alias("at", "part"))
+    parts = lib.library(spark, sf_dir).select("id", F.posexplode(display.highlighted(F.col("extracted_text"), ["the", "inspection"])).alias("at", "part"))
     return parts.where("part.hit").groupBy("id").agg(F.count("*").alias("hits"))
 
 

@@ -82,3 +82,12 @@ def test_facets_scan_once(spark):
     df = lib.library(spark, "/root/testdata/sf0.001")
     plan = facets(df, lib.LIBRARY, SearchParams.of("the", {"priority": "High"}, as_of=datetime(2024, 3, 30)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1
+
+
+def test_highlights_of_whole_texts(spark, monkeypatch):
+    from papyra.plans import queries
+
+    late = "The track. " + "word " * 100 + "the INSPECTION"
+    texts = spark.createDataFrame([(7, "word " * 100 + "Inspection"), (8, late), (9, "none")], "id long, extracted_text string")
+    monkeypatch.setattr(lib, "library", lambda spark, sf_dir: texts)
+    assert {r.id: r.hits for r in queries.highlights(spark, "").collect()} == {7: 1, 8: 3}
