@@ -1,6 +1,6 @@
 """License scans: whole texts in canonical form are looked up by digest among known licence texts.
 
-Canonical form: lower case, copyright lines gone, runs of anything but letters
+Canonical form: lower case, copyright notices gone, runs of anything but letters
 and digits a single space, and one spelling of each word that licences spell
 in several ways. Two texts that differ in no more than that have one digest.
 """
@@ -69,13 +69,21 @@ KNOWN = (
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
 
+#: What follows "copyright" or "(c)" in the wording of licences, so that a line that begins so is no notice (fixed values).
+WORDING = ("also", "and", "are", "disclaimer", "doctrines?", "for", "holders?", "if", "interests?", "laws?", "licen[cs]e[ds]?", "like", "line", "notices?", "of", "on", "or", "owner(?:s|ship)?", "patents?", "permissions?", "representations", "resulting", "statements?", "the (?:software|library|program|work)", "those", "treat(?:y|ies)", "under", "you")
+#: A notice, after comment marks if there are any, goes with its line; "all rights reserved" with its sentence.
+_NOTICE = (
+    r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:copyrights?(?!\p{L})|\(c\)|©|&copy;)(?:[^\p{L}\p{N}\n]*+(?!(?:%s)(?![\p{L}\p{N}]))[\p{L}\p{N}]|[ \t]*_{2})[^\n]*|all rights reserved[^\n.]*\.?)"
+    % "|".join(("the(?=\n)", *WORDING))
+)
+#: Of the SQL: all lines that begin so, notices or not.
 _COPYRIGHT = r"(?:^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Canonical form; empty for null and for texts of copyright lines only."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "\n"), _OTHER, "  ")
+    """Canonical form; empty for null and for texts of copyright notices only."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOTICE, "\n"), _OTHER, "  ")
     spelled = F.concat(F.lit(" "), bare, F.lit(" "))
     for written, taken in SPELLINGS:
         spelled = F.replace(spelled, F.lit(f" {written} "), F.lit(f" {taken} "))

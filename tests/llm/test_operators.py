@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -136,6 +137,21 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
 
 
+def _wrapped(text, width, mark):
+    """text in lines of the width behind comment marks, under notices."""
+    lines = [f"{mark}Copyright (c) 2020 Me", f"{mark}© Jane Doe", f"{mark}Copyright The Foo Authors. All rights reserved.", mark]
+    for line in text.split("\n"):
+        lines += [mark + part for part in textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) or [""]]
+    return "\n".join(lines)
+
+
+def test_licenses_wrapped_and_in_comments(spark):
+    rows = [(name, width, mark, _wrapped(text, width, mark)) for name, text in licenses.KNOWN for width in range(20, 100) for mark in ("", " * ", "# ", "// ")]
+    got = licenses.scan(spark.createDataFrame(rows, "name string, width int, mark string, text string").selectExpr("struct(name, width, mark) AS doc_id", "text")).collect()
+    assert len(got) == len(rows)
+    assert [r.doc_id for r in got if r.license != r.doc_id.name] == []
+
+
 @pytest.mark.parametrize("run", [bpe.encode_documents, token_counts.count_tokens, packing.pack_documents, fingerprints.compare_with_edits, near_dup.near_duplicates, pii.pseudonymise, quality.judge, licenses.scan], ids=lambda f: f.__name__)
 def test_odd_and_empty_tables(run, docs, none):
     assert run(none).count() == 0
