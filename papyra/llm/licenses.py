@@ -23,6 +23,8 @@ SPELLINGS = (
     ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
     ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
+#: Further ones, of one or two words, that the SQL does not have.
+MORE_SPELLINGS = (("sub  license", "sublicense"), ("copyright  owner", "copyright  holder"), ("copyright  owners", "copyright  holders"))
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
@@ -68,6 +70,33 @@ KNOWN = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
+_MIT, _BSD2, _BSD3, _ISC_TEXT, _0BSD = (KNOWN[i][1] for i in (1, 3, 5, 7, 8))
+#: Further known texts, which the SQL does not have: other titles, or none.
+MORE_KNOWN = (
+    *(("MIT", f"{title}\n\n{_MIT}") for title in ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)")),
+    *(("BSD-2-Clause", f"{title}\n\n{_BSD2}") for title in ("The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License")),
+    *(("BSD-3-Clause", f"{title}\n\n{_BSD3}") for title in ("The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License")),
+    ("ISC", _ISC_TEXT.removeprefix("ISC License\n\n")), ("ISC", f"The {_ISC_TEXT}"),
+    ("0BSD", _0BSD.removeprefix("BSD Zero Clause License\n\n")),
+)
+#: Digests of whole texts as they are handed out (fixed values); they hold for this canonical form, and change with it.
+DIGESTS = (
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3-only", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0-only", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0-only", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "7225b0001bd95a632194e617575add06ce2e69da0b6dac31dc9a4943dda300eb"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"),
+)
 
 #: What follows "copyright" or "(c)" in the wording of licences, so that a line that begins so is no notice (fixed values).
 WORDING = ("also", "and", "are", "disclaimer", "doctrines?", "for", "holders?", "if", "interests?", "laws?", "licen[cs]e[ds]?", "like", "line", "notices?", "of", "on", "or", "owner(?:s|ship)?", "patents?", "permissions?", "representations", "resulting", "statements?", "the (?:software|library|program|work)", "those", "treat(?:y|ies)", "under", "you")
@@ -85,7 +114,7 @@ def canonical(text: Column) -> Column:
     """Canonical form; empty for null and for texts of copyright notices only."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOTICE, "\n"), _OTHER, "  ")
     spelled = F.concat(F.lit(" "), bare, F.lit(" "))
-    for written, taken in SPELLINGS:
+    for written, taken in (*SPELLINGS, *MORE_SPELLINGS):
         spelled = F.replace(spelled, F.lit(f" {written} "), F.lit(f" {taken} "))
     return F.regexp_replace(F.trim(spelled), " +", " ")
 
@@ -94,16 +123,18 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known=KNOWN) -> DataFrame:
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known=(*KNOWN, *MORE_KNOWN), digests=DIGESTS) -> DataFrame:
     """One row per row of df: key, digest, license (null where the whole text is no known one).
 
     Null texts count as empty, whose digest no licence has. Equal digests in
-    known with different identifiers give the alphabetically first. Repeated
+    known and digests with different identifiers give the alphabetically first. Repeated
     rows stay, an empty table gives an empty one, further columns are not read.
-    The known digests, as many as known has entries, are broadcast.
+    The known digests, as many as both have entries, are broadcast.
     """
     spark = df.sparkSession
     names = spark.createDataFrame([*known], "license string, __known string").select("license", digest(F.col("__known")).alias("digest"))
+    if digests:
+        names = names.unionByName(spark.createDataFrame([*digests], "license string, digest string"))
     names = names.groupBy("digest").agg(F.min("license").alias("license"))
     own = df.select(key, digest(text_or_empty(text)).alias("digest"))
     return own.join(F.broadcast(names), "digest", "left").select(key, "digest", "license")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import textwrap
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -152,6 +153,16 @@ def test_licenses_wrapped_and_in_comments(spark):
     assert [r.doc_id for r in got if r.license != r.doc_id.name] == []
 
 
+def test_licenses_of_whole_files_and_spellings(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}
+    rows = [(name, (folder / f).read_text("utf-8")) for f, name in files.items() if (folder / f).exists()]
+    mit, bsd = licenses.KNOWN[1][1], licenses.KNOWN[5][1]
+    rows += [("MIT", mit.replace("sublicense", "sub-license")), ("MIT", "The MIT License (MIT)\n\n" + mit), ("BSD-3-Clause", bsd.replace("COPYRIGHT HOLDER OR", "COPYRIGHT OWNER OR")), (None, rows[0][1] + " but not")]
+    got = licenses.scan(spark.createDataFrame(rows, "name string, text string"), "name").collect()
+    assert [r.license for r in got] == [r.name for r in got] and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("run", [bpe.encode_documents, token_counts.count_tokens, packing.pack_documents, fingerprints.compare_with_edits, near_dup.near_duplicates, pii.pseudonymise, quality.judge, licenses.scan], ids=lambda f: f.__name__)
 def test_odd_and_empty_tables(run, docs, none):
     assert run(none).count() == 0
