@@ -179,6 +179,20 @@ def test_pipeline_stages_keep_columns(spark, docs):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= 6
 
 
+def test_quality_stage_rejects_rows_not_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    word = lambda: rng.choice(("the", "of", "and", "to", "with", "".join(rng.choice("aeioubdklmnrst") for _ in range(rng.randrange(3, 9)))))
+    good = lambda k: "\n".join(f"{k} " + " ".join(word() for _ in range(rng.randrange(8, 18))) + "." for _ in range(15))
+    junk = "#" * 400
+    rows = [(1, good("first")), (1, junk), (None, good("second")), (None, junk), (None, None), (2, junk), (3, good("third"))]
+    got = corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    kept = {r.text for r in quality.judge(spark.createDataFrame([(t, t) for _, t in rows], "doc_id string, text string")).where("kept").withColumnRenamed("doc_id", "text").collect()}
+    assert len(kept) == 3
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((i or 0, t) for i, t in rows if t in kept)
+
+
 def test_prefixes_lose_no_link():
     rng = random.Random(4)
     common = [f"c{i}" for i in range(60)]
