@@ -172,6 +172,7 @@ class Document:
 
     def __init__(self, key: bytes):
         self.key, self.known, self.taken = key, {}, set()
+        self.full: dict[tuple, int] = {}  # of names that begin alike: the first round of attempts with a free one
 
     def reserve(self, values) -> None:
         self.taken.update(values)
@@ -179,20 +180,37 @@ class Document:
     def of(self, kind: str, value: str, gender: str = "n") -> str:
         found = self.known.get((kind, value))
         if found is None:
-            attempt = 0
-            while (found := self._make(kind, value, gender, attempt)) in self.taken and attempt < 1000:
-                attempt += 1
+            found = self._name(kind, value, gender) if kind in ("given", "family") else self._string(kind, value, gender)
             self.known[kind, value] = found
             self.taken.add(found)
         return found
 
-    def _make(self, kind: str, value: str, gender: str, attempt: int) -> str:
-        if kind in ("given", "family"):
-            names = GIVEN[script(value), gender] if kind == "given" else FAMILY[script(value)]
-            turn, at = divmod(attempt, len(names))
-            name = names[(digest(self.key, kind, script(value), gender, value) + at) % len(names)]
-            return name if not turn else f"{name}-{names[(at + turn) % len(names)]}" if turn < len(names) else f"{name}{turn}"
-        return surrogate(self.key, kind, value, gender, attempt)
+    def _name(self, kind: str, value: str, gender: str) -> str:
+        """The first free one of the names, then of pairs of them, then of names with a number, however many it takes."""
+        names = GIVEN[script(value), gender] if kind == "given" else FAMILY[script(value)]
+        first = digest(self.key, kind, script(value), gender, value) % len(names)
+        place = kind, script(value), gender if kind == "given" else "", first
+        turn = self.full.get(place, 0)
+        while True:
+            for at in range(len(names)):
+                name = names[(first + at) % len(names)]
+                found = name if not turn else f"{name}-{names[(at + turn) % len(names)]}" if turn < len(names) else f"{name}{turn}"
+                if found not in self.taken:
+                    self.full[place] = turn
+                    return found
+            turn += 1
+
+    def _string(self, kind: str, value: str, gender: str) -> str:
+        """A free string of the format; a numbered placeholder where the format has but this one, or as good as all are taken."""
+        if any(c in _OF for c in value):
+            for attempt in range(1000):
+                if (found := surrogate(self.key, kind, value, gender, attempt)) not in self.taken:
+                    return found
+        number = self.full.get((kind,), 0) + 1
+        while f"[{kind}-{number}]" in self.taken:
+            number += 1
+        self.full[kind,] = number
+        return f"[{kind}-{number}]"
 
 
 def replaced(text: str, key: bytes) -> tuple[str, dict[str, int]]:

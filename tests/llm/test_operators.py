@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import textwrap
@@ -117,6 +118,15 @@ def test_surrogates():
     assert pii.replaced("Nothing to see here.", key) == ("Nothing to see here.", {})
 
 
+def test_surrogates_of_many_names_and_of_fixed_strings():
+    names = ["".join(x).capitalize() for x in itertools.islice(itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvw"), 1500)]
+    document = pii.Document(pii._key("k"))
+    document.reserve(names)
+    assert len({document.of("given", n, "f") for n in names} | set(names)) == 3000
+    made, counts = pii.replaced("password = !!!!!! and token = ...... and password = !!!!!!", pii._key("k"))
+    assert made == "password = [secret-1] and token = [secret-2] and password = [secret-1]" and counts == {"secret": 3}
+
+
 def test_url_rules(spark):
     urls = [("http://A.Example.ORG/es/x?y", "block"), ("https://example.org/en/12", "block"), ("http://example.org/EN/1", "allow"), ("http://x.com/de/", "block"), ("http://xcom/de/", "allow"), ("http://ads.b.net/", "block"), ("http://a.net/b.org/", "allow"), (None, "allow"), ("nothing", "allow"), ("http://h.com" + "/a" * 5000, "allow")]
     df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
