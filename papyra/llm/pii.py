@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,7 +48,7 @@ PATTERNS = (
     ("email", r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("key", r"(?<![A-Z0-9])(?:AKIA|ASIA)(?P<v1>[A-Z0-9]{16})(?![A-Z0-9])"),
     ("key", r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)(?P<v2>[A-Za-z0-9_-]{16,})"),
-    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?(?P<v3>[A-Za-z0-9+/_\-.!@#$%^&*]{6,})"),
+    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))[\"']?[ \t]*+\s{0,3}+[ \t]*+[=:][ \t]*+\s{0,3}+[ \t]*+[\"']?(?P<v3>[A-Za-z0-9+/_\-.!@#$%^&*]{6,})"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ip6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     ("mac", r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])"),
@@ -59,8 +60,8 @@ PATTERNS = (
 )
 _ALL = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(PATTERNS)))
 _VALUES = ("v1", "v2", "v3", "v4", "v5")
-#: A text without digit, at sign, sign of assignment or title has nothing to find.
-_MAYBE = re.compile(r"[0-9@=:]|\b(?:" + "|".join(TITLES) + r")\b")
+#: A text without digit, at sign, sign of assignment, beginning of a key, title or six pairs of letters with hyphens has nothing to find.
+_MAYBE = re.compile(r"[\d@=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|\b(?:" + "|".join(TITLES) + r")\b|(?:[A-Fa-f]{2}-){5}[A-Fa-f]{2}")
 
 
 def digest(key: bytes, *parts: str | bytes, bits: int = 256) -> int:
@@ -86,10 +87,29 @@ def permuted(key: bytes, tweak: str, value: int, size: int) -> int:
             return value
 
 
-_CLASSES = (("0123456789", "d"), ("abcdefghijklmnopqrstuvwxyz", "l"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "u"))
+_CLASSES = (
+    ("0123456789", "d"), ("abcdefghijklmnopqrstuvwxyz", "l"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "u"),
+    ("абвгдежзийклмнопрстуфхцчшщъыьэюяё", "cyrillic l"), ("АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ", "cyrillic u"),
+    ("αβγδεζηθικλμνξοπρστυφχψω", "greek l"), ("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", "greek u"),
+)
 _OF = {c: (letters, name) for letters, name in _CLASSES for c in letters}
 
 
+@lru_cache(maxsize=1 << 16)
+def _class(c: str) -> tuple[str, str]:
+    """The characters that c is permuted among, and their name: digits of a script, or letters of a kind in a block of 128; none for other characters."""
+    if c in _OF or c < "\x80":
+        return _OF.get(c, ("", c))
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10))), f"d {zero}"
+    if kind[0] != "L":
+        return "", c
+    block = ord(c) & ~127
+    return "".join(x for x in map(chr, range(block, block + 128)) if x not in _OF and unicodedata.category(x) == kind), f"{kind} {block}"
+
+
 #: Characters that are permuted together; a longer string goes piece by piece, each in the light of the one before.
 PIECE = 64
 
@@ -103,7 +123,7 @@ def same_format(key: bytes, kind: str, text: str, attempt: int = 0) -> str:
 def _same_format(key: bytes, tweak: str, text: str) -> str:
     value, size, form = 0, 1, []
     for c in text:
-        letters, name = _OF.get(c, ("", c))
+        letters, name = _class(c)
         form.append(name)
         if letters:
             value = value * len(letters) + letters.index(c)
@@ -111,7 +131,7 @@ def _same_format(key: bytes, tweak: str, text: str) -> str:
     value = permuted(key, f"{tweak}/{''.join(form)}", value, size)
     made = []
     for c in reversed(text):
-        letters = _OF.get(c, ("", c))[0]
+        letters = _class(c)[0]
         if letters:
             value, at = divmod(value, len(letters))
             c = letters[at]
@@ -143,7 +163,9 @@ def surrogate(key: bytes, kind: str, value: str, gender: str = "n", attempt: int
         for part in value.split("."):
             number = number << 8 | int(part)
         number = permuted(key, f"ip/{attempt}", number, 1 << 32)
-        return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
+        made = ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
+        other = next((c for c in value if c.isdecimal() and c > "9"), "0")
+        return made.translate(str.maketrans("0123456789", _class(other)[0]))
     if kind in ("ip6", "mac"):
         digits = re.sub(r"[^0-9A-Fa-f]", "", value)
         number = permuted(key, f"{kind}/{len(digits)}/{attempt}", int(digits, 16), 16 ** len(digits))
@@ -155,7 +177,7 @@ def surrogate(key: bytes, kind: str, value: str, gender: str = "n", attempt: int
         digits = "".join(value[i] for i in places)
         head = same_format(key, "card", digits[:-1], attempt)
         wrong = luhn(digits)
-        last = next(c for c in "0123456789" if luhn(head + c) == wrong)
+        last = next(c for c in _class(digits[-1])[0] if luhn(head + c) == wrong)
         made = list(value)
         for i, c in zip(places, head + last, strict=True):
             made[i] = c
@@ -202,7 +224,7 @@ class Document:
 
     def _string(self, kind: str, value: str, gender: str) -> str:
         """A free string of the format; a numbered placeholder where the format has but this one, or as good as all are taken."""
-        if any(c in _OF for c in value):
+        if any(len(_class(c)[0]) > 1 for c in value):
             for attempt in range(1000):
                 if (found := surrogate(self.key, kind, value, gender, attempt)) not in self.taken:
                     return found
