@@ -1,7 +1,8 @@
 """Near-duplicate classes by ProbMinHash.
 
 Texts are sketched as weighted shingles (weight 1 + ln of how often a text has
-one), and signatures cut into bands. Texts with a band in common meet in its
+one), and once more with all weights 1, as pairs may be alike by either similarity;
+signatures are cut into bands. Texts with a band in common meet in its
 bucket. There each is compared only with one leader: the member with the
 most company in all its buckets, near to which a group of copies lies. Pairs are
 verified by their exact probability Jaccard similarity, or the plain one where
@@ -68,7 +69,7 @@ def _weighted(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def sketch(df: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
-    """key, node (digest of the text), buckets (one for each band; none for a text without words)."""
+    """key, node (digest of the text), buckets (one for each band of the weighted and of the plain signature; none for a text without words)."""
     bands, rows = settings.bands, settings.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,11 +77,14 @@ def sketch(df: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
         for batch in batches:
             texts = [(v.as_py() or "").encode("utf-8", "surrogatepass") for v in batch.column(1)]
             of, hashes, weights = _weighted(texts, settings.shingle)
-            signature = probminhash(of, hashes, weights, len(texts), bands * rows).reshape(-1, bands, rows)
-            buckets = mixed((signature * factors).sum(axis=2, dtype=np.uint64) + numbers).astype(np.int64)
+            found = []
+            for first, by in ((0, weights), (bands, np.ones(len(weights)))):
+                signature = probminhash(of, hashes, by, len(texts), bands * rows).reshape(-1, bands, rows)
+                found.append(mixed((signature * factors).sum(axis=2, dtype=np.uint64) + numbers + np.uint64(first)).astype(np.int64))
+            buckets = np.concatenate(found, axis=1)
             full = np.zeros(len(texts), dtype=bool)
             full[of] = True
-            offsets = np.concatenate([[0], np.cumsum(full * bands)])
+            offsets = np.concatenate([[0], np.cumsum(full * buckets.shape[1])])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(buckets[full].ravel()))
             yield out([key, "node", "buckets"], [batch.column(0), pa.array([digest(t) for t in texts], pa.binary()), lists])
 

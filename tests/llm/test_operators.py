@@ -297,3 +297,24 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, block):
     got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(first))
     assert 8 < len(set(first)) < 150
+
+
+def test_bands_cover_plain_similarity(spark):
+    """Pairs of plain similarity over 0.8 and probability similarity far under it, as parts are repeated in one text only."""
+    rng, texts, links = random.Random(7), [], []
+    for _ in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        other = list(base)
+        for _ in range(2):
+            other[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(other[:100] * 100 + other[100:])]
+    of, hashes, counts = shingles.weighted_shingles([t.encode() for t in texts])
+    parts = [(hashes[of == i], 1 + np.log(counts[of == i])) for i in range(len(texts))]
+    for i in range(0, len(texts), 2):
+        if shingles.jaccard(parts[i][0], parts[i + 1][0]) >= 0.8:
+            assert shingles.probability_jaccard(*parts[i], *parts[i + 1]) < 0.7
+            links.append(i)
+    assert len(links) > 100
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    buckets = {r.doc_id: set(r.buckets) for r in near_dup.sketch(rows, "doc_id", "text", near_dup.Settings()).collect()}
+    assert [i for i in links if not buckets[i] & buckets[i + 1]] == []
