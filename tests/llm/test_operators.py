@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import itertools
 import random
@@ -128,6 +129,59 @@ def test_surrogates_of_many_names_and_of_fixed_strings():
     assert made == "password = [secret-1] and token = [secret-2] and password = [secret-1]" and counts == {"secret": 3}
 
 
+def test_surrogates_are_one_to_one_over_a_corpus():
+    """No original is left, none shares a surrogate with another, and each has one whatever document it is in."""
+    key, rng = pii._key("k"), random.Random(8)
+    names = ["".join(x).capitalize() for x in itertools.islice(itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvw"), 2000)]
+    text = " ".join(f"Mrs {n} said so." for n in names)
+    made, counts = pii.replaced(text, key)
+    new = re.findall(r"Mrs (\S+) said", made)
+    assert counts == {"name": 2000} and len(new) == len({*new, *names} - {*names}) == 2000
+    values = {
+        "email": [f"{a}{n}@{d}.org" for a in "ab" for n in range(50) for d in ("x", "mail", "ä")],
+        "ssn": [f"{i:03d}-10-0001" for i in range(300)],
+        "ip": [f"10.0.{i % 7}.{i}" for i in range(250)],
+        "secret": [f"pass{i:04d}" for i in range(300)],
+        "phone": [f"+49 30 {i:04d} 5678" for i in range(300)],
+        "iban": [f"DE{pii.iban_check('DE', f'{i:018d}')}{i:018d}" for i in range(300)],
+        "card": [f"411111111111{i:04d}" for i in range(300)],
+    }
+    for kind, originals in values.items():
+        whole = pii.Document(key)
+        whole.reserve(originals)
+        together = [whole.of(kind, v) for v in originals]
+        assert len({*together} | {*originals}) == 2 * len(originals), kind
+        alone = []
+        for v in originals:
+            document = pii.Document(key)
+            document.reserve([v])
+            alone.append(document.of(kind, v))
+        assert len({*alone}) == len(originals) and not any(a == b for a, b in zip(alone, originals, strict=True)), kind
+        assert sum(a == b for a, b in zip(alone, together, strict=True)) > 0.5 * len(originals) or kind in ("ssn", "email")
+    assert all(pii.iban_check("DE", v[4:]) == v[2:4] for v in (pii.surrogate(key, "iban", v) for v in values["iban"]))
+    for name in rng.sample(names, 50) + ["Anna", "Šimić", "Müller", "Ольга", "Νίκος", "Anne-Marie", "O'Neill", "McDonald"]:
+        first = pii.replaced(f"Herr {name} was here.", key)[0]
+        assert pii.replaced(f"Then {name} left. Call 10.1.2.3, Herr {name} and Frau Clara {names[0]}.", key)[0].split()[1] == first.split()[1] != name
+
+
+def test_surrogates_keep_gender_and_script():
+    key = pii._key("k")
+    for text, end in (("Mrs Wanda Keller", "lla"), ("Mr Wanda Keller", "n"), ("Dr Anna Keller", "lla"), ("Госпожа Зоя Белова", "лла"), ("Κύριος Σπύρος Βλάχος", "ς")):
+        title, given, family = pii.replaced(text, key)[0].split()
+        assert title == text.split()[0] and given.endswith(end) and pii.script(given) == pii.script(text.split()[1]) == pii.script(family)
+    for text in ("السيد أحمد", "श्री रमेश", "מר דוד"):
+        title, name = pii.replaced(text, key)[0].split()
+        assert title == text.split()[0] and name != text.split()[1] and unicodedata.name(name[0]).split()[0] == unicodedata.name(text.split()[1][0]).split()[0]
+
+
+def test_surrogates_need_a_secret_and_replace_a_column_of_counts(spark, docs):
+    with pytest.raises(ValueError):
+        pii.pseudonymise(docs, "")
+    got = pii.pseudonymise(docs, "k", counts="lang").collect()
+    assert len(got) == len(ROWS) and {r.lang for r in got} == {""} and [r.text for r in got if r.doc_id in (1, 2)] == [None, ""]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted((r[0] or 0, r[1] or "") for r in ROWS)
+
+
 @pytest.mark.parametrize(
     "text, hidden",
     [
@@ -200,7 +254,7 @@ def test_licenses_of_whole_files_and_spellings(spark):
     assert [r.license for r in got] == [r.name for r in got] and len(got) == len(rows)
 
 
-@pytest.mark.parametrize("run", [bpe.encode_documents, token_counts.count_tokens, packing.pack_documents, fingerprints.compare_with_edits, near_dup.near_duplicates, pii.pseudonymise, quality.judge, licenses.scan], ids=lambda f: f.__name__)
+@pytest.mark.parametrize("run", [bpe.encode_documents, token_counts.count_tokens, packing.pack_documents, fingerprints.compare_with_edits, near_dup.near_duplicates, functools.partial(pii.pseudonymise, secret="k"), quality.judge, licenses.scan], ids=lambda f: getattr(f, "__name__", "pseudonymise"))
 def test_odd_and_empty_tables(run, docs, none):
     assert run(none).count() == 0
     assert run(docs).count() >= len(ROWS)
