@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import near_dup, packing, pii, quality
 from papyra.llm.common import text_or_empty
+from papyra.llm.queries import pii_secret
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, pii_secret(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
