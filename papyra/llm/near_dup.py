@@ -16,8 +16,13 @@ shares a and b of two texts' weights are not in common, their similarity is at m
 Shingles are ordered from rare to frequent, so before the first common one only what
 is not in common lies. Only texts of different classes are compared that have a
 shingle in common where the shares before it still allow for the threshold; a passage that many texts
-share is not rare, and does not bring them together. A text just under the threshold meets a class
-not text by text but in blocks of its texts, with the least shares that any of the block has.
+share is not rare, and does not bring them together. Texts do not meet one by one but in blocks
+of some hundred: those of a large class are cut into blocks, all others go with the texts that
+have their least common shingle, as like texts mostly do. A text meets a block by the least shares
+that any of its texts has.
+
+Joins on keys that many rows may share are salted: the grouped side says which
+salts its rows have, and is copied to these only, never to more than there are rows.
 
 Texts are known by a 128-bit digest, so exact copies are one text from the start.
 """
@@ -30,8 +35,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
 from papyra.llm.common import checkpointed, map_batches, out
 from papyra.llm.shingles import Block, _odd, jaccard, mixed, probability_jaccard, probminhash, weighted_shingles
@@ -53,14 +59,38 @@ FILTER_BITS = 1 << 26
 LEADER_PLACES = 256
 #: Slots that shingles are counted in, for their order from rare to frequent; a fixed size, whatever the corpus.
 SLOTS = 1 << 22
-#: Texts and bytes of texts that a block of a class has about; and places that the texts to compare with one are dealt to.
+#: Texts and bytes of texts that a block has about; and places that the texts to compare with one are dealt to.
 BLOCK_TEXTS, BLOCK_BYTES, BLOCK_PLACES = 512, 2 << 20, 16
+#: Texts with a shingle in common above which its rows are dealt to several places.
+SHINGLE_TEXTS = 1000
+#: Places that the rows of one key are dealt to in salted joins, a bit of a long for each.
+SALTS = 64
 #: For rounding, in bounds of similarities.
 SLACK = 1e-6
 
 
 def digest(text: bytes) -> bytes:
-    return hashlib.blake2b(text, digest_size=16).digest()
+    return hashlib.sha256(text).digest()[:16]
+
+
+def digest_of(text: Column) -> Column:
+    """digest() of a text column; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
+
+
+def _salts(column: str) -> Column:
+    """Of a group: the salts that its rows have, by the column that sets them apart."""
+    return F.expr(f"bit_or(shiftleft(1L, CAST(pmod(xxhash64(`{column}`), {SALTS}) AS INT)))").alias("salts")
+
+
+def _salted_join(rows: DataFrame, groups: DataFrame, by: str, apart: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, one row for each value of by with its _salts(apart); no task has all rows of a value."""
+    places = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.getbit("salts", i) == 1))
+    return rows.withColumn("salt", _salt(apart)).join(groups.withColumn("salt", places).drop("salts"), [by, "salt"], how).drop("salt")
 
 
 def _weighted(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,6 +121,12 @@ def sketch(df: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     return map_batches(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, node binary, buckets array<long>")
 
 
+def _may_have(bits: np.ndarray, node: bytes) -> bool:
+    """Whether the filter may have the node."""
+    places = [int.from_bytes(node[i : i + 4], "big") % FILTER_BITS for i in (0, 4, 8)]
+    return all(bits[p >> 5] >> (p & 31) & 1 for p in places)
+
+
 def _filter_words(nodes: DataFrame) -> np.ndarray:
     """A Bloom filter of the nodes in FILTER_BITS bits."""
     places = nodes.select(F.explode(F.array(*[F.expr(f"conv(hex(substring(node, {1 + 4 * i}, 4)), 16, 10)").cast("long") % FILTER_BITS for i in range(3)])).alias("bit"))
@@ -112,8 +148,7 @@ def _texts_of(df: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
             for v in batch.column(0):
                 data = (v.as_py() or "").encode("utf-8", "surrogatepass")
                 node = digest(data)
-                places = [int.from_bytes(node[i : i + 4], "big") % FILTER_BITS for i in (0, 4, 8)]
-                if node not in seen and all(bits[p >> 5] >> (p & 31) & 1 for p in places):
+                if node not in seen and _may_have(bits, node):
                     seen.add(node)
                     keys.append(node)
                     texts.append(data)
@@ -172,8 +207,8 @@ def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _with_leaders(rows: DataFrame) -> DataFrame:
     """Pairs (node, leader) of the buckets."""
-    leaders = rows.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("leader"))
-    return rows.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select("node", "leader").distinct()
+    leaders = rows.groupBy("bucket").agg(F.max_by("node", F.struct("score", "node")).alias("leader"), _salts("node"))
+    return _salted_join(rows, leaders, "bucket", "node").where(F.col("node") != F.col("leader")).select("node", "leader").distinct()
 
 
 def _frequencies(texts: DataFrame, settings: Settings) -> np.ndarray:
@@ -208,49 +243,85 @@ def prefixes(of: np.ndarray, hashes: np.ndarray, weights: np.ndarray, frequency:
     return order[kept], shares[0][kept], shares[1][kept]
 
 
+def _blocks(texts: DataFrame, frequencies, settings: Settings) -> DataFrame:
+    """texts (node, label, data) that have a shingle in common with others, with the block of each and the number of texts that its blocks have.
+
+    A label of several blocks has its own ones; texts of other labels go with those that have their least common shingle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = frequencies.value
+        for batch in batches:
+            texts = [v.as_py() for v in batch.column(1)]
+            of, hashes, _ = _weighted(texts, settings.shingle)
+            common = levels[(hashes % SLOTS).astype(np.int64)] > 0
+            of, least = of[common], mixed(hashes[common])
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            if len(first):
+                rows = pa.array(of[first])
+                size = pa.array([len(t) for t in texts], pa.int64())
+                yield out(["node", "size", "least"], [batch.column(0).take(rows), size.take(rows), pa.array(np.minimum.reduceat(least, first).astype(np.int64))])
+
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_BYTES)).alias("parts")
+    homes = map_batches(texts.select("node", "data"), run, "node binary, size long, least long")
+    homes = checkpointed(homes.join(texts.select("node", "label"), "node"))
+    large = homes.groupBy("label").agg(parts, _salts("node")).where("parts > 1").select("label", F.lit(True).alias("large"), "salts")
+    homes = _salted_join(homes, large, "label", "node", "left").withColumn("home", F.expr("CASE WHEN large THEN xxhash64(label) ELSE least END")).select("node", "size", "home")
+    groups = homes.groupBy("home").agg(parts, F.count("*").alias("n"), _salts("node"))
+    homes = _salted_join(homes, groups, "home", "node").select("node", F.expr("xxhash64(home, pmod(xxhash64(node, 1), parts))").alias("block"), F.expr("n DIV parts").alias("held"))
+    return texts.join(homes, "node")
+
+
 def _rest(rows: DataFrame, texts: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) between different labels, among texts of buckets with several; no such link is left out.
 
-    Texts of one label are cut into blocks. A text is compared with a block if one of its
-    shingles lets some text of the block be similar enough.
+    A text is compared with a block if one of its shingles lets some text of the block be similar enough.
     """
     known = rows.join(labels, "node")
-    several = known.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("bucket")
-    open_nodes = known.join(several, "bucket").select("node", "label").distinct()
+    several = known.groupBy("bucket").agg((F.min("label") != F.max("label")).alias("several"), _salts("node")).where("several").select("bucket", "salts")
+    open_nodes = _salted_join(known, several, "bucket", "node").select("node", "label").distinct()
     open_texts = checkpointed(texts.join(open_nodes, "node").select("node", "label", "data"))
-    blocks = open_texts.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum(F.length("data")) / BLOCK_BYTES)).alias("blocks")).where("blocks > 1")
-    open_texts = checkpointed(open_texts.join(blocks, "label", "left").select("node", "label", "data", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks")).withColumn("block", F.expr("pmod(xxhash64(node), blocks)")))
     shared = rows.sparkSession.sparkContext.broadcast(_frequencies(open_texts, settings))
+    open_texts = checkpointed(_blocks(open_texts, shared, settings))
+    asked = checkpointed(_asked(open_texts, shared, settings))
+    return _compared(asked, open_texts, settings)
+
+
+def _asked(texts: DataFrame, frequencies, settings: Settings) -> DataFrame:
+    """node, label and block: which blocks the texts (node, label, data, block, held) are to be compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared.value
+        levels = frequencies.value
         for batch in batches:
             of, hashes, weights = _weighted([v.as_py() for v in batch.column("data")], settings.shingle)
             frequency = levels[(hashes % SLOTS).astype(np.int64)]
             at, by_weight, by_count = prefixes(of, hashes, weights, frequency, settings.threshold)
+            places = np.maximum(1, (2.0 ** (frequency[at] / 8) / SHINGLE_TEXTS).astype(np.int64))
             for part in np.array_split(np.flatnonzero(frequency[at] > 0), -(-len(at) // 100_000) or 1):
                 row = pa.array(of[at[part]])
-                own = ["node", "label", "blocks", "block"]
-                yield out(["shingle", *own, "by_weight", "by_count"], [pa.array(hashes[at[part]].astype(np.int64)), *(batch.column(c).take(row) for c in own), pa.array(by_weight[part]), pa.array(by_count[part])])
+                own = ["node", "label", "block", "held"]
+                yield out(["shingle", "places", *own, "by_weight", "by_count"], [pa.array(hashes[at[part]].astype(np.int64)), pa.array(places[part]), *(batch.column(c).take(row) for c in own), pa.array(by_weight[part]), pa.array(by_count[part])])
 
-    postings = checkpointed(map_batches(open_texts, run, "shingle long, node binary, label binary, blocks long, block long, by_weight double, by_count double"))
-    of_blocks = postings.groupBy("shingle", "label", "blocks", "block").agg(F.min("by_weight").alias("by_weight"), F.min("by_count").alias("by_count"))
-    mixed_shingles = postings.groupBy("shingle").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("shingle")
+    postings = checkpointed(map_batches(texts, run, "shingle long, places long, node binary, label binary, block long, held long, by_weight double, by_count double"))
+    of_blocks = postings.groupBy("shingle", "places", "block", "held").agg(F.min("by_weight").alias("by_weight"), F.min("by_count").alias("by_count"), F.min("label").alias("least"), F.max("label").alias("most"))
+    x = postings.withColumn("place", F.expr("pmod(xxhash64(node), places)")).alias("x")
+    y = of_blocks.withColumn("place", F.explode(F.expr("sequence(0L, places - 1)"))).alias("y")
     allowed = " OR ".join(f"(1 - x.{c}) * (1 - y.{c}) >= {settings.threshold - SLACK} * (1 - x.{c} * y.{c})" for c in ("by_weight", "by_count"))
-    asked = postings.join(mixed_shingles, "shingle").alias("x").join(of_blocks.alias("y"), F.expr(f"x.shingle = y.shingle AND (x.blocks < y.blocks OR x.blocks = y.blocks AND x.label < y.label) AND ({allowed})"))
-    return _compared(checkpointed(asked.select("x.node", "y.label", "y.block").distinct()), open_texts, settings)
+    # Of two blocks the texts of the smaller one ask; a block of one label is of no use to it.
+    turn = "(x.held < y.held OR x.held = y.held AND x.block <= y.block) AND (y.least != x.label OR y.most != x.label)"
+    return x.join(y, F.expr(f"x.shingle = y.shingle AND x.place = y.place AND {turn} AND ({allowed})")).select("x.node", "x.label", "y.block").distinct()
 
 
 def _compared(asked: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) of the nodes asked (node, label, block) with texts of that block.
+    """Links (a, b) of the nodes asked (node, label, block) with texts of that block that have another label.
 
     A task holds one block at a time; the texts to compare with it stream past, dealt to several places.
     """
     asked = asked.withColumn("place", F.expr(f"pmod(xxhash64(node), {BLOCK_PLACES})"))
     asking = asked.join(texts.select("node", "data"), "node").withColumn("asks", F.lit(True))
-    held = asked.select("label", "block", "place").distinct().join(texts.select("label", "block", "node", "data"), ["label", "block"]).withColumn("asks", F.lit(False))
-    columns = ["label", "block", "place", "asks", "node", "data"]
-    both = held.select(columns).unionByName(asking.select(columns)).repartition("label", "block", "place").sortWithinPartitions("label", "block", "place", "asks")
+    held = asked.select("block", "place").distinct().join(texts.select("block", "node", "label", "data"), "block").withColumn("asks", F.lit(False))
+    columns = ["block", "place", "asks", "node", "label", "data"]
+    both = held.select(columns).unionByName(asking.select(columns)).repartition("block", "place").sortWithinPartitions("block", "place", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, members, block = None, [], None
@@ -259,37 +330,31 @@ def _compared(asked: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
             of, hashes, weights = _weighted(texts, settings.shingle)
             cuts = np.searchsorted(of, np.arange(len(texts) + 1))
             a, b = [], []
-            for i, (*key, asks, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[:5]), strict=True)):
+            for i, (*key, asks, node, label) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns[:5]), strict=True)):
                 if key != current:
                     current, members, block = key, [], None
                 own = hashes[cuts[i] : cuts[i + 1]], weights[cuts[i] : cuts[i + 1]]
                 if not asks:
-                    members.append((node, *own))
+                    members.append((node, label, *own))
                     continue
-                block = block or Block(*([m[k] for m in members] for k in (1, 2)))
+                block = block or Block(*([m[k] for m in members] for k in (2, 3)))
                 for j in block.alike(*own, settings.threshold):
-                    a.append(node)
-                    b.append(members[j][0])
+                    if members[j][1] != label:
+                        a.append(node)
+                        b.append(members[j][0])
             if a:
                 yield out(["a", "b"], [pa.array(a, pa.binary()), pa.array(b, pa.binary())])
 
     return map_batches(both, run, "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """One row per row of df: key, class_id (least key of its class), class_size (rows in the class).
-
-    Null texts count as empty. Texts without words are alike only if equal;
-    a text of fewer than five words has one shingle, itself. Equal texts are
-    always of one class, whatever their keys, and repeated rows stay. Null keys
-    are left out of class_id unless a class has no other. An empty table gives
-    an empty one; further columns are not read.
-    """
-    sketched = checkpointed(sketch(df, key, text, settings))
-    nodes = sketched.groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.max("buckets").alias("buckets"))
+def _classified(df: DataFrame, key: str, text: str, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """key, node and place (a number of its task) of all rows; and node, label of its class, copies, least (key of its rows) and salts (by place) of all texts."""
+    sketched = checkpointed(sketch(df, key, text, settings).withColumn("place", F.spark_partition_id()))
+    nodes = sketched.groupBy("node").agg(F.min(key).alias("least"), F.count("*").alias("copies"), F.max("buckets").alias("buckets"), _salts("place"))
     rows = nodes.select("node", F.explode("buckets").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = checkpointed(rows.join(sizes, "bucket"))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), _salts("node")).where("n > 1")
+    rows = checkpointed(_salted_join(rows, sizes, "bucket", "node"))
     rows = checkpointed(rows.join(rows.groupBy("node").agg(F.sum("n").alias("score")), "node").select("bucket", "node", "score"))
     members = checkpointed(rows.select("node").distinct())
     texts = checkpointed(_texts_of(df, text, members))
@@ -298,13 +363,70 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
     found = checkpointed(_rest(rows, texts, labels, settings))
     if not found.isEmpty():
         labels = _labelled(members, edges.unionByName(found))
-    named = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "least", "copies")
-    classes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
-    of = named.join(classes, "label").select("node", "class_id", "class_size")
-    return sketched.select(key, "node").join(of, "node").select(key, "class_id", "class_size")
+    return sketched, checkpointed(nodes.drop("buckets").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """One row per row of df: key, class_id, class_size (rows in the class).
+
+    class_id is the least key of the class. Where keys are repeated or null, so
+    that classes would have one name, the first of them by digest keeps it and
+    the others get a negative number made of theirs. Null texts count as empty.
+    Texts without words are alike only if equal; a text of fewer than five words
+    has one shingle, itself. Equal texts are always of one class, whatever their
+    keys, and repeated rows stay. An empty table gives an empty one; further
+    columns are not read.
+    """
+    sketched, named = _classified(df, key, text, settings)
+    classes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), _salts("node"))
+    classes = classes.withColumn("name", F.xxhash64("class_id"))
+    owners = classes.groupBy("name").agg(F.min("label").alias("owner"), F.count("*").alias("n"), _salts("label")).where("n > 1").drop("n")
+    kind = df.schema[key].dataType
+    if isinstance(kind, IntegralType):
+        classes, other = classes.withColumn("class_id", F.col("class_id").cast("long")), F.expr("-1 - abs(shiftright(xxhash64(label), 1))")
+    else:
+        other = F.hex("label") if isinstance(kind, StringType) else F.col("class_id")
+    classes = _salted_join(classes, owners, "name", "label", "left").withColumn("class_id", F.when(F.col("owner") != F.col("label"), other).otherwise(F.col("class_id")))
+    of = _salted_join(named.select("node", "label", F.col("salts").alias("places")), classes.select("label", "class_id", "class_size", "salts"), "label", "node")
+    of = of.select("node", "class_id", "class_size", F.col("places").alias("salts"))
+    return _salted_join(sketched.select(key, "node", "place"), of, "node", "place").select(key, "class_id", "class_size")
+
+
+def _first_rows(df: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
+    """Rows of df with texts of the nodes, and few others; of rows with equal key and text, one for each task but for some."""
+    shared = df.sparkSession.sparkContext.broadcast(_filter_words(nodes))
+    names = df.columns
+    at, of = names.index(text), names.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            rows = []
+            for i, (k, v) in enumerate(zip(batch.column(of), batch.column(at), strict=True)):
+                node = digest((v.as_py() or "").encode("utf-8", "surrogatepass"))
+                if _may_have(shared.value, node) and (row := (node, str(k.as_py()))) not in seen:
+                    seen.add(row)
+                    rows.append(i)
+            if len(seen) > 200_000:
+                seen.clear()
+            if rows:
+                yield batch.take(pa.array(rows))
+
+    return map_batches(df, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
 
 
 def first_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Rows of df, all columns, with one of each class: the one with the least key (of rows with equal keys all that repeat it)."""
-    kept = near_duplicates(df, key, text, settings).where(F.col("class_id").eqNullSafe(F.col(key))).select(F.col(key).alias("__kept")).distinct()
-    return df.join(kept, df[key].eqNullSafe(F.col("__kept"))).drop("__kept")
+    """One row of df for each class, all its columns: that with the least key (null after all others), of equal keys that with the least digest, of rows that repeat both any one."""
+    sketched, named = _classified(df, key, text, settings)
+    first = F.min(F.struct(F.col("least").isNull().alias("no"), "least", "node")).alias("first")
+    kept = checkpointed(named.groupBy("label").agg(first).select(F.col("first.node").alias("node"), F.xxhash64("first.least").alias("of")))
+    repeated = sketched.select("node", F.xxhash64(key).alias("of")).groupBy("node", "of").count().where("count > 1").drop("count")
+    repeated = checkpointed(repeated.join(kept, ["node", "of"]))
+    node, of = (next(n for n in (f"{name}{'_' * i}" for i in range(len(df.columns) + 1)) if n not in df.columns) for name in ("node", "of"))
+    known = lambda rows: rows.withColumns({node: digest_of(F.col(text)), of: F.xxhash64(key)})
+    only = lambda names: names.select(F.col("node").alias(node), F.col("of").alias(of))
+    rows = known(df).join(only(kept.join(repeated, ["node", "of"], "left_anti")), [node, of], "left_semi")
+    if not repeated.isEmpty():
+        again = known(_first_rows(df, key, text, repeated.select("node"))).join(only(repeated), [node, of], "left_semi")
+        rows = rows.unionByName(again.dropDuplicates([node, of]))
+    return rows.select(df.columns)

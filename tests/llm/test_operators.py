@@ -353,6 +353,49 @@ def test_near_duplicates_are_those_of_brute_force(spark, monkeypatch, block):
     assert 8 < len(set(first)) < 150
 
 
+def test_unlinked_texts_of_a_bucket_do_not_meet_one_by_one(spark, monkeypatch):
+    """400 texts, all alike but none enough: what is compared are texts with blocks, far fewer than pairs."""
+    rng, asked = random.Random(9), []
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(5, 195, 10), 4):
+            words[at] = f"x{i}y{at}"
+        texts.append(" ".join(words))
+    plain = near_dup._asked
+    monkeypatch.setattr(near_dup, "_asked", lambda *a: asked.append(plain(*a)) or asked[-1])
+    got = near_dup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    of, hashes, _ = shingles.weighted_shingles([t.encode() for t in texts])
+    sets = [hashes[of == i] for i in range(400)]
+    first = list(range(400))
+    for i in range(400):
+        for j in range(i):
+            if first[i] != first[j] and shingles.jaccard(sets[i], sets[j]) >= 0.8:
+                least, most = sorted((first[i], first[j]))
+                first = [least if f == most else f for f in first]
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(first)) and len(set(first)) > 350
+    assert 0 < asked[0].count() < 0.05 * 400 * 399 / 2
+
+
+def test_classes_with_repeated_and_null_keys(spark):
+    rng = random.Random(10)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "y"), (None, c, "z"), (None, c, "z"), (2, c + " more", "z"), (None, d, "n"), (None, d, "n"), (None, None, "e"), (7, "", "e"), (5, a + " more", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string").withColumn("of", F.lit(1)).withColumn("__kept", F.lit(2))
+    got = near_dup.near_duplicates(df).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, []).append(r.doc_id)
+    assert len(got) == len(rows) and len(classes) == 5
+    assert sorted(len(x) for x in classes.values()) == [2, 2, 2, 2, 3] and len(classes[2]) == 3 and {1, None, 7} < classes.keys()
+    assert all(r.class_size == len(classes[r.class_id]) for r in got)
+    kept = near_dup.first_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.node) for r in kept.collect()) == [(0, "n"), (1, "x"), (1, "y"), (2, "z"), (7, "e")]
+
+
 def test_bands_cover_plain_similarity(spark):
     """Pairs of plain similarity over 0.8 and probability similarity far under it, as parts are repeated in one text only."""
     rng, texts, links = random.Random(7), [], []
