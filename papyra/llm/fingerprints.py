@@ -8,6 +8,10 @@ is column expressions.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from papyra.llm.words import shingle_hashes, words
 K, SHINGLE = 128, 5
 #: Documents in a bucket of neighbours, and the most buckets there are.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 50_000
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def bottom_k(hashes: Column, k: int = K) -> Column:
@@ -64,42 +69,63 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most key, found in two steps over about their number's root."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: "array(" + ", ".join(f"{x}L" if x > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in xs) + ")"
-    first, every = F.expr(longs([g[0] for g in groups])), F.expr("array(" + ", ".join(map(longs, groups)) + ")")
-    group = F.size(F.filter(first, lambda b: b <= key))
-    return F.when(group == 0, 0).otherwise((group - 1) * step + F.size(F.filter(F.element_at(every, F.greatest(group, F.lit(1))), lambda b: b <= key)))
+def _constant(values: list[int]) -> Column:
+    """values as one constant, not an expression for each: it is read when the plan is optimised."""
+    return F.from_json(F.lit(f"[{','.join(map(str, values))}]"), "array<bigint>")
+
+
+def _at_most(bounds: Column, count: int, key: Column) -> Column:
+    """How many of the sorted bounds are at most key, by binary search."""
+    steps = [1 << i for i in range(count.bit_length() - 1, -1, -1)] or [0]
+    tried = lambda found, step: F.coalesce(F.get(bounds, found + step - 1) <= key, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda found, step: F.when(tried(found, step), found + step).otherwise(found))
 
 
-def with_next(df: DataFrame, key: str, columns: list[str], tie: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """df with next_<column>: the values in the row that follows by ascending key, after the last row in the first.
+def _in_buckets(df: DataFrame, buckets: int, tie: str) -> tuple[DataFrame, bool]:
+    """df, which has a __key, with the __bucket that the key is in, and the __part of it by the hash of tie; and whether a bucket has parts.
+
+    A bound that is several quantiles at once is a key of many rows: it has a
+    bucket of its own, of as many parts.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = Counter(df.agg(F.percentile_approx("__key", shares, max(10_000, 10 * buckets))).first()[0] or () if shares else ())
+    bounds = sorted({*cuts, *(c + 1 for c, n in cuts.items() if n > 1 and c < MOST)})
+    parts = [1] * (len(bounds) + 1)
+    for c, n in cuts.items():
+        parts[bisect_right(bounds, c)] = n
+    df = df.withColumn("__bucket", _at_most(_constant(bounds), len(bounds), F.col("__key")))
+    if max(parts) == 1:
+        return df.withColumn("__part", F.lit(0)), False
+    own = F.get(_constant(parts), F.col("__bucket"))
+    share = F.xxhash64(tie) / 2.0**64 + 0.5
+    return df.withColumn("__part", F.when(own > 1, F.least(F.floor(share * own), own - 1)).otherwise(0).cast("int")), True
+
+
+def with_next(df: DataFrame, key: str, columns: list[str], tie: str, prepared: Callable[[DataFrame], DataFrame] = lambda df: df, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """prepared(df) with next_<column>: the values in the row that follows by ascending key, after the last row in the first.
 
     Rows go to buckets of neighbouring keys, cut at quantiles, in one shuffle;
     each bucket also gets a copy of the row that follows its last. What comes
     to the driver is a bound and a first key for each of MOST_BUCKETS buckets
-    at most. Null keys come first, equal keys are ordered by tie.
+    or so at most. Null keys come first, equal keys are ordered by a hash of
+    tie, then by tie; so a key of many rows has several buckets. Only rows that
+    are equal in both stay together. prepared adds columns to each row alone.
     """
-    spark, least = df.sparkSession, -(1 << 63)
-    df = df.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.expr("-9223372036854775807L - 1L")))
-    rows = df.count()
-    buckets = min(MOST_BUCKETS, max(1, rows // bucket_rows))
-    cuts = df.agg(F.percentile_approx("__key", [i / buckets for i in range(1, buckets)], max(10_000, 10 * buckets))).first()[0] if buckets > 1 else []
-    df = df.withColumn("__bucket", _bucket(F.col("__key"), sorted({*(cuts or [])} - {least})))
-    heads = sorted((r[0], r[1]) for r in df.groupBy("__bucket").agg(F.min("__key")).collect())
-    follow = [(b, heads[(i + 1) % len(heads)][1]) for i, (b, _) in enumerate(heads)]
-    following = spark.createDataFrame(follow, "__at int, __head long")
+    spark = df.sparkSession
+    df = df.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit(LEAST)))
+    df, parts = _in_buckets(df, min(MOST_BUCKETS, max(1, df.count() // bucket_rows)), tie)
+    heads = sorted(tuple(r) for r in df.groupBy("__bucket", "__part").agg(F.min("__key")).collect())
+    follow = [(*heads[i - 1][:2], head[2], head[1]) for i, head in enumerate(heads)]
+    following = spark.createDataFrame(follow, "__at int, __at_part int, __head long, __head_part int")
     own = df.columns
-    copies = df.join(F.broadcast(following), F.col("__key") == F.col("__head")).groupBy("__at").agg(F.min_by(F.struct(*own), F.col(tie)).alias("__row"))
-    copies = copies.select(*[F.col("__row")[c].alias(c) if c != "__bucket" else F.col("__at").alias(c) for c in own], F.lit(1).alias("__copy"))
-    order = Window.partitionBy("__bucket").orderBy("__copy", "__key", tie)
-    both = df.withColumn("__copy", F.lit(0)).unionByName(copies)
+    heading = (F.col("__key") == F.col("__head")) & ((F.col("__part") == F.col("__head_part")) if parts else F.lit(True))
+    copies = df.join(F.broadcast(following), heading).groupBy("__at", "__at_part").agg(F.min_by(F.struct(*own), F.struct(F.xxhash64(tie), F.col(tie))).alias("__row"))
+    places = {"__bucket": F.col("__at"), "__part": F.col("__at_part")}
+    copies = copies.select(*[places.get(c, F.col("__row")[c]).alias(c) for c in own], F.lit(1).alias("__copy"))
+    both = prepared(df.withColumn("__copy", F.lit(0))).unionByName(prepared(copies)).withColumn("__tie", F.xxhash64(tie))
+    order = Window.partitionBy("__bucket", "__part").orderBy("__copy", "__key", "__tie", tie)
     both = both.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return both.where(F.col("__copy") == 0).drop("__key", "__bucket", "__copy")
+    return both.where(F.col("__copy") == 0).drop("__key", "__bucket", "__part", "__copy", "__tie")
 
 
 def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, size: int = SHINGLE) -> DataFrame:
@@ -111,13 +137,16 @@ def fingerprint_documents(df: DataFrame, key: str = "doc_id", text: str = "text"
     return with_sketch(df.select(key, text_or_empty(text).alias("text")), "text", "sketch", k, size).withColumn("fingerprint", as_text(F.col("sketch")))
 
 
-def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, size: int = SHINGLE) -> DataFrame:
+def compare_with_edits(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, size: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last quarter is the beginning of the next document.
 
     One row per row of df: key, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. A single document follows itself.
+    edited_fingerprint, near_edited, near_next. A single document follows itself;
+    null texts count as empty, null keys come first, rows with equal keys follow
+    each other as with_next() says. Each text is sketched once, as is each edited one.
     """
-    docs = with_next(with_sketch(df.select(key, text_or_empty(text).alias("text")), "text", "sketch", k, size), key, ["text", "sketch"], "text")
+    docs = df.select(key, text_or_empty(text).alias("text"))
+    docs = with_next(docs, key, ["text", "sketch"], "text", lambda d: with_sketch(d, "text", "sketch", k, size), bucket_rows)
     docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("__quarter", F.expr("CAST(n_chars DIV 4 AS INT)"))
     docs = docs.withColumn("edited", F.concat(F.expr("left(text, CAST(n_chars AS INT) - __quarter)"), F.expr("left(next_text, __quarter)")))
     docs = with_sketch(docs, "edited", "edited_sketch", k, size)

@@ -85,6 +85,62 @@ def test_fingerprints(spark, docs):
     assert abs(r[0] - 1 / 3) < 0.15 and abs(r[1] - 0.5) < 0.2 and abs(r[2] - 1000) < 300
 
 
+def _fingerprint(text, k=fingerprints.K):
+    """Brute force: hashes of five words in a row each, the k least."""
+    import xxhash
+
+    words, found = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        h = 42
+        for w in words[i : i + 5]:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(found)[:k]
+
+
+def _near(a, b, k=fingerprints.K):
+    union = sorted({*a, *b})[:k]
+    return len([h for h in union if h in a and h in b]) / len(union) if union else 1.0
+
+
+@pytest.mark.parametrize("bucket_rows", [1000, 7])
+def test_fingerprints_are_those_of_brute_force(spark, bucket_rows):
+    rng = random.Random(11)
+    words = [f"w{i}é" for i in range(40)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 4, 5, 30, 300)))) + rng.choice(("", "\n", " 🙂")) for _ in range(120)]
+    # Repeated and null keys: a third of the rows have one key, some rows are equal in all.
+    keys = [rng.choice((None, 77, i * i - 500, i * i - 500)) for i in range(120)]
+    rows = list(zip(keys, texts, strict=True)) + [(77, texts[0])] * 5 + [(3, None)]
+    spread = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sketch", F.lit("x")).repartition(5)
+    got = fingerprints.compare_with_edits(spread, bucket_rows=bucket_rows).drop("unused").collect()
+    import xxhash
+
+    tie = lambda t: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1]), r[1]))
+    want = []
+    for i, (key, text) in enumerate(order):
+        follower = order[(i + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 4] + follower[: len(text) // 4]
+        a, b, c = _fingerprint(text), _fingerprint(edited), _fingerprint(follower)
+        shown = ["".join(f"{h & (1 << 64) - 1:016x}" for h in x) for x in (a, b)]
+        want.append((key is not None, key or 0, len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, _near(a, b), _near(a, c)))
+    found = [(r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got]
+    assert sorted(found) == sorted(want)
+
+
+def test_merged_fingerprints(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") + rng.choice("ijklmn") for _ in range(rng.choice((0, 3, 50, 400)))) for _ in range(40)]
+    df = fingerprints.fingerprint_documents(spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.doc_id: r.sketch for r in fingerprints.merged_by(df, ["doc_id"], "sketch").collect()}
+    for part in range(3):
+        every = sorted({h for i, t in enumerate(texts) if i % 3 == part for h in _fingerprint(t, 1 << 30)})
+        assert got[part] == every[: fingerprints.K] and len(every) > fingerprints.K
+    pair = df.where("doc_id = 0").select("sketch").limit(2).collect()
+    merged = spark.createDataFrame([(pair[0][0], pair[1][0])], "a array<long>, b array<long>").select(fingerprints.merge(F.col("a"), F.col("b"))).first()[0]
+    assert merged == sorted({*pair[0][0], *pair[1][0]})[: fingerprints.K]
+
+
 def test_probability_jaccard_and_sketch():
     texts = [b"a b c d e f g h i j", b"a b c d e f g h i k", b"x", b"", b"a b c d e a b c d e a b c d e"]
     of, hashes, weights = shingles.weighted_shingles(texts)
