@@ -8,8 +8,8 @@ vector with the smallest weighted norm, or else into a new sequence.
 
 from __future__ import annotations
 
-import heapq
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from papyra.llm.bpe import library_bpe
 from papyra.llm.common import checkpointed, map_batches, out
@@ -68,36 +69,63 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
 
 
 class Bins:
-    """Open sequences by their residual tokens; of those that leave equally many, the one with the most attention cost left is looked at."""
+    """Open sequences by residual tokens and documents, in the order of their residual attention cost.
+
+    Of those with equal tokens and documents the one with the least sufficient
+    attention has the smallest norm. Bounds for all with equal tokens, by their
+    least documents and attention, say which of them are to be looked at.
+    """
 
     def __init__(self, capacity: Capacity):
         self.c, self.count = capacity, 0
         full = capacity.tokens + 1
-        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(full)]
-        self.documents, self.attention = np.full(full, -1, dtype=np.int64), np.full(full, -1, dtype=np.int64)
+        self.levels: list[dict[int, list[tuple[int, int]]]] = [{} for _ in range(full)]  # documents left: (attention left, number)
+        self.documents, self.least, self.most = (np.full(full, -1, dtype=np.int64) for _ in range(3))
+
+    def _bounds(self, left: int) -> None:
+        groups = self.levels[left]
+        self.documents[left] = min(groups, default=-1)
+        self.least[left] = min((g[0][0] for g in groups.values()), default=-1)
+        self.most[left] = max((g[-1][0] for g in groups.values()), default=-1)
 
-    def _head(self, left: int) -> None:
-        heap = self.heaps[left]
-        self.attention[left], self.documents[left] = (-heap[0][0], heap[0][1]) if heap else (-1, -1)
+    def norm(self, tokens, documents, attention):
+        """Weighted norm, squared, of residuals."""
+        c = self.c
+        return c.weights[0] * (tokens / c.tokens) ** 2 + c.weights[1] * (documents / c.documents) ** 2 + c.weights[2] * (attention / c.attention) ** 2
+
+    def _best(self, left: int, length: int) -> tuple[float, int, int, int]:
+        """Norm, documents left, place in their group, and number of the best sequence of a level."""
+        found = (np.inf, 0, 0, 0)
+        for documents, group in self.levels[left].items():
+            at = bisect_left(group, (length * length,))
+            if at < len(group):
+                found = min(found, (self.norm(left - length, documents - 1, group[at][0] - length * length), documents, at, group[at][1]))
+        return found
 
     def place(self, length: int) -> tuple[int, int]:
         """Number of the sequence and offset in it."""
-        c = self.c
-        documents, attention = self.documents[length:], self.attention[length:]
-        fits = np.flatnonzero((documents >= 1) & (attention >= length * length))
-        if len(fits):
-            rest = np.stack([fits / c.tokens, (documents[fits] - 1) / c.documents, (attention[fits] - length * length) / c.attention])
-            left = length + int(fits[np.argmin(np.array(c.weights) @ (rest * rest))])
-            most, held, number = heapq.heappop(self.heaps[left])
-            self._head(left)
-            attended = -most
+        c, cost, best = self.c, length * length, (np.inf, 0, 0, 0)
+        levels = length + np.flatnonzero(self.most[length:] >= cost)
+        if len(levels):
+            bounds = self.norm(levels - length, self.documents[levels] - 1, np.maximum(self.least[levels] - cost, 0))
+            while bounds[at := int(np.argmin(bounds))] < best[0]:
+                here = self._best(int(levels[at]), length)
+                if here[0] < best[0]:
+                    best, left = here, int(levels[at])
+                bounds[at] = np.inf
+        if best[0] < np.inf:
+            _, held, at, number = best
+            attended, _ = self.levels[left][held].pop(at)
+            if not self.levels[left][held]:
+                del self.levels[left][held]
+            self._bounds(left)
         else:
             left, held, attended, number = c.tokens, c.documents, c.attention, self.count
             self.count += 1
         after = left - length
         if after and held > 1:
-            heapq.heappush(self.heaps[after], (-(attended - length * length), held - 1, number))
-            self._head(after)
+            insort(self.levels[after].setdefault(held - 1, []), (attended - cost, number))
+            self._bounds(after)
         return number, c.tokens - left
 
 
@@ -112,12 +140,14 @@ def pack_lengths(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, n
 def pack(parts: DataFrame, key: str = "doc_id", capacity: Capacity = Capacity(), block: int = BLOCK_PIECES) -> DataFrame:
     """parts (key, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    Pieces are dealt at random into as many blocks as keep each under about
-    block rows; a block is packed in one task, whose memory that bounds. A
-    retried task packs alike, as it sorts its rows first. An empty table gives
-    an empty one.
+    Pieces are dealt by a hash of their row's number into as many blocks as keep
+    each under about block rows, whatever keys are repeated or null; a block is
+    packed in one task, whose memory that bounds. The numbers are of checkpointed
+    rows, so they stay, and a retried task packs alike, as it sorts its rows
+    first. An empty table gives an empty one.
     """
     parts = checkpointed(parts.select(key, "piece", "start", "length", "ids_crc32"))
+    dealt = parts.withColumn("__row", F.monotonically_increasing_id())
     blocks = max(1, -(-parts.count() // block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +159,7 @@ def pack(parts: DataFrame, key: str = "doc_id", capacity: Capacity = Capacity(),
         sequence += TaskContext.get().partitionId() << 40
         yield from rows.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).to_batches(max_chunksize=50_000)
 
-    return map_batches(parts.repartition(blocks, key, "piece"), run, f"`{key}` {parts.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_batches(dealt.repartition(blocks, "__row").drop("__row"), run, f"`{key}` {parts.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", capacity: Capacity = Capacity()) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 import textwrap
 import unicodedata
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -60,6 +61,46 @@ def test_packing_is_whole_and_tight(spark):
     assert np.bincount(few).max() == 10
 
 
+@pytest.mark.parametrize("capacity", [packing.Capacity(), packing.Capacity(100, 6, 10_000), packing.Capacity(100, 50, 10_000, (1.0, 1.0, 1.0)), packing.Capacity(64, 3, 5000, (0.1, 2.0, 1.0))])
+def test_packing_is_best_fit(capacity):
+    """Each piece goes where all three capacities hold it and the norm of what is left is least, into a new sequence only if none holds it."""
+    c, rng = capacity, np.random.default_rng(13)
+    lengths = np.sort(np.minimum(rng.geometric(8 / c.tokens, 1500), c.tokens))[::-1].tolist()
+    bins, left = packing.Bins(c), []
+    for length in lengths:
+        fits = {i: bins.norm(t - length, d - 1, a - length**2) for i, (t, d, a) in enumerate(left) if t >= length and d >= 1 and a >= length**2}
+        number, offset = bins.place(length)
+        if number == len(left):
+            assert not fits and offset == 0
+            left.append([c.tokens, c.documents, c.attention])
+        else:
+            assert fits[number] == min(fits.values()) and offset == c.tokens - left[number][0]
+        left[number] = [left[number][0] - length, left[number][1] - 1, left[number][2] - length**2]
+        assert min(left[number]) >= 0
+    assert len(left) < len(lengths)
+
+
+def test_pieces_are_whole_documents(spark):
+    """Against the library: ids of each piece, where it starts, its place, and that no id is lost, for nulls and repeated rows and keys."""
+    rng = random.Random(14)
+    texts = [None, "", "a b", "a b", *(" ".join(rng.choice(("the", "packing", "zyx9", "é")) for _ in range(rng.choice((3, 700, 2047, 2048, 5000)))) for _ in range(30))]
+    rows = [(rng.choice((None, 7, i)), t) for i, t in enumerate(texts)] + [(7, "a b"), (7, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("piece", F.lit("x")).repartition(3)
+    library, want = bpe.library("word_bpe_49k.json"), []
+    for key, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
+        for start in range(0, len(ids), 2048):
+            part = ids[start : start + 2048]
+            want.append((key or -1, start // 2048, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    got = packing.pack_documents(df).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id or -1, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    for sequence in {r.sequence_id for r in got}:
+        mine = sorted((r.offset, r.length) for r in got if r.sequence_id == sequence)
+        assert [o for o, _ in mine] == [0, *np.cumsum([n for _, n in mine])[:-1].tolist()] and sum(n for _, n in mine) <= 2048
+    small = packing.pack(packing.pieces(df, keep=False), block=10)
+    assert small.count() == len(want) and max(r[1] for r in small.groupBy(F.shiftright("sequence_id", 40)).count().collect()) < len(want) / 2
+
+
 def test_chat_round_trip(spark):
     for text in ["</s>[INST] ok [/INST]", "\\", "<|turn|>\\<|end|>", "a\\[INST]", ""]:
         assert chat.unescape(chat.escape(text)) == text
