@@ -49,6 +49,22 @@ def test_token_counts_are_the_library(spark):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False)), repr(text)
 
 
+def test_token_counts_whatever_the_table_holds(spark, docs):
+    """The table has the corpus's frequent pre-tokens; counts are the library's with it, without it and with one of rare ones."""
+    name, library = "byte_bpe_50k.json", bpe.library("byte_bpe_50k.json")
+    rows = [(i, t) for i, t in enumerate([None, *ODD, *("the cat sat  on the mat,\nthe end <|endoftext|>" for _ in range(50))])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
+    found = token_counts.frequent_pretokens(df)
+    assert found[0] == " na" and {" cat", "the", " mat,"} < set(found) and len(token_counts.frequent_pretokens(df, entries=2)) == 2
+    assert len(token_counts.frequent_pretokens(df.unionByName(df), docs=len(rows))) <= len(found)
+    lengths = token_counts.frequent_lengths(name, found)
+    assert token_counts.Table.of(lengths).unpacked() == lengths and token_counts.Table.of({}).unpacked() == {}
+    want = sorted((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False)), n > 512) for i, t in rows)
+    for frequent in (None, [], ["zzz", " sat"]):
+        assert sorted(map(tuple, token_counts.count_tokens(df, tokenizer=name, frequent=frequent).collect())) == want
+    assert [r.n_tokens for r in token_counts.count_tokens(docs).orderBy("doc_id").collect()][1:3] == [0, 0]
+
+
 def test_packing_is_whole_and_tight(spark):
     lengths = np.sort(np.random.default_rng(0).integers(1, 2049, 5000))[::-1]
     sequence, offset = packing.pack_lengths(lengths, packing.Capacity())
