@@ -5,7 +5,10 @@ tokens of the tokenizer; wherever a control string (a mark, or a control string
 of another common template) begins inside a role or text, a backslash follows
 its first character, and backslashes are doubled, so that no control string
 is left and unescaping is exact. The rendered text is encoded once, with
-offsets; binary search finds the tokens of each turn's span.
+offsets; binary search finds the tokens of each turn's span. As no token ever
+goes over a mark, what is encoded in parts that begin with one has the ids and
+mask that the whole has; so a conversation of any length is encoded in bounded
+memory, and no result shows where the parts were.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from papyra.llm.common import map_batches, out, text_or_empty
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Control strings of common templates (fixed values), escaped along with the marks.
 CONTROLS = (TURN, TEXT, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
-#: Characters of rendered text that are encoded at once at least, if a conversation has so many; it is cut between turns only, where a mark begins.
-SEGMENT_CHARS = 200_000
+#: Characters of rendered text that are handed to the tokenizer at once at least, if a conversation has so many; a bound of memory, without any effect on results.
+PART_CHARS = 200_000
 
 _BEGINS = re.compile("(?s)(?=" + "|".join(map(re.escape, CONTROLS)) + ")(.)")
 _ESCAPED = re.compile(r"(?s)\\(.)")
@@ -163,34 +166,37 @@ def segments(batches: Iterator[pa.RecordBatch], learn: frozenset[str], size: int
         yield now, segment, True
 
 
-def format_conversations(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", learn: tuple[str, ...] = ("assistant",), segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """Training text of every conversation: conv_id, segment, formatted, ids, loss_mask (a byte per token, 1 under the mask).
+def format_conversations(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", learn: tuple[str, ...] = ("assistant",), part_chars: int = PART_CHARS) -> DataFrame:
+    """One row per conversation: conv_id, formatted (the training text), ids, loss_mask (a byte per token, 1 under the mask).
 
     Turns come by turn, equal turn numbers by role and text; null roles and
-    texts count as empty, rows with a null conv_id form one conversation. A
-    conversation of over segment_chars characters has several rows, cut
-    between turns. An empty table gives an empty one; further columns are
-    not read.
+    texts count as empty, rows with a null conv_id form one conversation. An
+    empty table gives an empty one; further columns are not read.
     """
     roles = frozenset(learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, before = 0, object()
-        for conv, segment, _ in segments(batches, roles, segment_chars):
-            number, before = (number + 1 if conv == before else 0), conv
-            text, ids, _, mask = encode(segment, tokenizer)
-            yield out(["conv_id", "segment", "formatted", "ids", "loss_mask"], [pa.array([conv], pa.int64()), pa.array([number], pa.int32()), [text], pa.array([ids], pa.list_(pa.int32())), pa.array([mask.astype("u1").tobytes()], pa.binary())])
+        texts, ids, masks = [], [], []
+        for conv, segment, last in segments(batches, roles, part_chars):
+            text, part, _, mask = encode(segment, tokenizer)
+            texts.append(text)
+            ids.append(np.array(part, dtype=np.int32))
+            masks.append(mask.astype("u1").tobytes())
+            if last:
+                every = pa.ListArray.from_arrays(pa.array([0, sum(map(len, ids))], pa.int32()), pa.array(np.concatenate(ids)))
+                yield out(["conv_id", "formatted", "ids", "loss_mask"], [pa.array([conv], pa.int64()), ["".join(texts)], every, pa.array([b"".join(masks)], pa.binary())])
+                texts, ids, masks = [], [], []
 
-    return map_batches(_sorted(df), run, "conv_id long, segment int, formatted string, ids array<int>, loss_mask binary")
+    return map_batches(_sorted(df), run, "conv_id long, formatted string, ids array<int>, loss_mask binary")
 
 
-def read_back(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", learn: tuple[str, ...] = ("assistant",), segment_chars: int = SEGMENT_CHARS) -> DataFrame:
+def read_back(df: DataFrame, tokenizer: str = "byte_bpe_50k.json", learn: tuple[str, ...] = ("assistant",), part_chars: int = PART_CHARS) -> DataFrame:
     """One row per conversation with what its formatted output says (COLUMNS); cases as for format_conversations()."""
     roles = frozenset(learn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, reader = [], Reader()
-        for conv, segment, last in segments(batches, roles, segment_chars):
+        for conv, segment, last in segments(batches, roles, part_chars):
             reader.read(segment, tokenizer)
             if last:
                 rows.append((conv, *reader.row()))

@@ -124,7 +124,7 @@ def test_chat_round_trip(spark):
     rows = [(1, 2, "assistant", "é🙂 b"), (1, 1, "user", None), (1, 3, "assistant", "[INST]"), (2, 1, None, "x"), (None, 1, "user", "y")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for size in (1, 200_000):
-        got = {r.conv_id: r for r in chat.read_back(df, segment_chars=size).collect()}
+        got = {r.conv_id: r for r in chat.read_back(df, part_chars=size).collect()}
         assert (got[1].n_turns, got[1].loss_chars) == (3, len("é🙂 b[INST]"))
         assert got[1].loss_sha256 == hashlib.sha256("é🙂 b[INST]".encode()).hexdigest()
         assert got[1].turns_sha256 == hashlib.sha256("user\n\nassistant\né🙂 b\nassistant\n[INST]\n".encode()).hexdigest()
@@ -142,6 +142,31 @@ def test_fingerprints(spark, docs):
     assert abs(r[0] - 1 / 3) < 0.15 and abs(r[1] - 0.5) < 0.2 and abs(r[2] - 1000) < 300
 
 
+@pytest.mark.parametrize("size", [1, 300, chat.PART_CHARS])
+def test_chat_in_parts_is_chat_at_once(spark, size):
+    """Ids and mask are those of the whole text, encoded at once by the library; null and repeated turns, ties and further columns included."""
+    rng = random.Random(15)
+    said = lambda: "".join(rng.choice(("hello ", "é🙂", "\\", "[INST]", "<|turn|>", "<|endoftext|>", "\n", " ")) for _ in range(rng.randrange(20)))
+    rows = [(rng.choice((1, 2, 3, None)), rng.randrange(12), rng.choice(("user", "assistant", None)), rng.choice((None, said())), 1) for _ in range(60)] + [(4, 0, "assistant", "twice", 1)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids int").repartition(3)
+    got = {r.conv_id: r for r in chat.format_conversations(df, part_chars=size).collect()}
+    read = {r.conv_id: r for r in chat.read_back(df, part_chars=size).collect()}
+    assert got.keys() == read.keys() == {1, 2, 3, 4, None}
+    for conv, row in got.items():
+        turns = sorted((t, r or "", x or "") for c, t, r, x, _ in rows if c == conv)
+        whole = chat.Segment()
+        for _, role, text in turns:
+            whole.add(role, text, role == "assistant")
+        text = "".join(whole.parts)
+        encoding = chat._tokenizer("byte_bpe_50k.json").encode(text, add_special_tokens=False)
+        spans = [s for s, learned in zip(whole.texts, whole.learned, strict=True) if learned]
+        mask = [any(a < e and b > s for s, e in spans) for a, b in encoding.offsets]
+        assert row.formatted == text and row.ids == encoding.ids and list(row.loss_mask) == mask
+        learned = "".join(x for _, r, x in turns if r == "assistant")
+        assert (read[conv].loss_chars, read[conv].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+        assert (read[conv].n_turns, read[conv].formatted_chars, read[conv].n_tokens, read[conv].n_loss_tokens) == (len(turns), len(text), len(mask), sum(mask))
+
+
 def _fingerprint(text, k=fingerprints.K):
     """Brute force: hashes of five words in a row each, the k least."""
     import xxhash
