@@ -17,14 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from papyra.llm.common import map_batches, out
 
 #: (verdict, host, path): the rule fits its host and all its subdomains.
 HOST_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Globs of what is blocked where no host rule fits; ** takes any characters, * none that is a slash.
-BLOCK_GLOBS = ("**ads-track**", "**cheap-pills**", "**spam-farm**", "**casino**", "**porn**", "**/wp-login**", "ads.**", "**.ads.**", "**.exe")
+#: Words that a host is blocked for, and globs of what else is, where no host rule fits; ** takes any characters, * none that is a slash.
+HOST_WORDS = ("ads-track", "casino", "cheap-pills", "porn", "spam-farm")
+OTHER_GLOBS = ("ads.**", "*.ads.**", "**/wp-login*", "**.exe")
+BLOCK_GLOBS = (*(g for w in HOST_WORDS for g in (f"*{w}*", f"*{w}*/**")), *OTHER_GLOBS)
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -73,6 +75,24 @@ def host_globs(host: str, path: str) -> list[str]:
     return [start + escaped(host) + end for start in ("", "*.") for end in ends]
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[tuple[tuple[str, str, str], ...], tuple[str, ...]]:
+    """Host rules and globs of a list: lines like "allow org/", "block example.org/es/" or "glob *.ads.**"; empty ones and those after # say nothing.
+
+    A list comes to the driver whole, and its bits to every task: some thousand rules.
+    """
+    hosts, globs = [], []
+    for line in (r.value.partition("#")[0].strip() for r in spark.read.text(path).collect()):
+        verdict, _, what = line.partition(" ")
+        host, slash, rest = what.strip().partition("/")
+        if verdict == "glob" and what.strip():
+            globs.append(what.strip())
+        elif verdict in ("allow", "block") and host:
+            hosts.append((verdict, host.lower(), slash + rest))
+        elif line:
+            raise ValueError(f"not a rule: {line}")
+    return tuple(hosts), tuple(globs)
+
+
 class Automaton:
     """Shift-And over all globs; matches(texts) gives a row per text and a column per glob."""
 

@@ -354,6 +354,41 @@ def test_url_rules(spark):
     assert got[0].host == "a.example.org" and got[0].path == "/es/x" and got[0].rule == "example.org/es/" and got[6].rule is None
 
 
+def test_many_globs_are_those_of_brute_force():
+    """Bits over many words, wildcards and literals across their borders, against regular expressions."""
+    rng = random.Random(16)
+    globs = ["".join(rng.choice(("a", "b", "/", ".", "\\*", "*", "**", "é")) for _ in range(rng.randrange(1, 30))) for _ in range(120)] + ["", "*", "**", "a" * 200]
+    automaton = url_filter.Automaton([url_filter.Glob.parse(g) for g in globs])
+    assert automaton.size > 20 * 64 and automaton.start.shape[0] > 20
+    texts = ["".join(rng.choice("aab/.*éx") for _ in range(rng.randrange(12))) for _ in range(300)] + ["a" * 200, "a" * 199, ""]
+    texts += [g.replace("\\*", "*").replace("**", "b/").replace("*", "a") for g in globs]
+    parts = {"**": "(?s:.*)", "*": "[^/]*", "\\*": "\\*"}
+    patterns = [re.compile("".join(parts.get(x, re.escape(x)) for x in re.findall(r"\\\*|\*\*|.", g))) for g in globs]
+    got = automaton.matches(texts)
+    assert got.tolist() == [[bool(p.fullmatch(t)) for p in patterns] for t in texts] and got.sum() > 400
+
+
+def test_rules_of_a_list(spark, tmp_path):
+    (tmp_path / "rules.txt").write_text("# list\nallow org/\nblock Example.org/es/  # why\n\nglob *.ads.**\nblock com\n")
+    hosts, globs = url_filter.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert hosts == (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "com", "")) and globs == ("*.ads.**",)
+    rows = [(1, "http://x.org/es/"), (2, "http://example.org/es/"), (3, "http://a.ads.net/x"), (4, "http://b.net/.ads."), (5, "http://x.com"), (5, "http://x.com"), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("h")).withColumn("verdict", F.lit(1))
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.filter_urls(df, host_rules=hosts, block_globs=globs).collect()]
+    want = [(1, "org/", "allow"), (2, "example.org/es/", "block"), (3, None, "block"), (4, None, "allow"), (5, "com", "block"), (5, "com", "block"), (None, None, "allow")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+    (tmp_path / "bad.txt").write_text("perhaps org/\n")
+    with pytest.raises(ValueError):
+        url_filter.read_rules(spark, str(tmp_path / "bad.txt"))
+
+
+def test_ordinary_pages_are_not_blocked(spark):
+    urls = ["https://news.net/2024/casino-law-passed", "https://b.net/books/pornography-and-law", "https://casino.net", "https://my-casino.net/x", "https://b.net/wp-login.php", "https://b.net/a.exe", "https://b.net/about/ads.html"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
+    assert [r.verdict for r in got] == ["allow", "allow", "block", "block", "block", "block", "allow"]
+
+
 def test_quality(spark, docs):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept
