@@ -23,7 +23,7 @@ SPELLINGS = (
     ("organise", "organize"), ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
     ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
-#: Further ones, of one or two words, that the SQL does not have.
+#: Further ones, of one or two words.
 MORE_SPELLINGS = (("sub  license", "sublicense"), ("copyright  owner", "copyright  holder"), ("copyright  owners", "copyright  holders"))
 
 _WARRANTY = (
@@ -71,7 +71,7 @@ KNOWN = (
     ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\n\nEveryone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.\n\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n\n0. You just DO WHAT THE FUCK YOU WANT TO."),
 )
 _MIT, _BSD2, _BSD3, _ISC_TEXT, _0BSD = (KNOWN[i][1] for i in (1, 3, 5, 7, 8))
-#: Further known texts, which the SQL does not have: other titles, or none.
+#: Further known texts: other titles, or none.
 MORE_KNOWN = (
     *(("MIT", f"{title}\n\n{_MIT}") for title in ("The MIT License", "The MIT License (MIT)", "MIT License (MIT)")),
     *(("BSD-2-Clause", f"{title}\n\n{_BSD2}") for title in ("The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License")),
@@ -100,13 +100,12 @@ DIGESTS = (
 
 #: What follows "copyright" or "(c)" in the wording of licences, so that a line that begins so is no notice (fixed values).
 WORDING = ("also", "and", "are", "disclaimer", "doctrines?", "for", "holders?", "if", "interests?", "laws?", "licen[cs]e[ds]?", "like", "line", "notices?", "of", "on", "or", "owner(?:s|ship)?", "patents?", "permissions?", "representations", "resulting", "statements?", "the (?:software|library|program|work)", "those", "treat(?:y|ies)", "under", "you")
-#: A notice, after comment marks if there are any, goes with its line; "all rights reserved" with its sentence.
+_WORDING = "|".join(("the(?=\\n|\\z)", *WORDING))
+#: A notice, after comment marks if there are any, goes with its line: "copyright" or its sign and a name or year, or (c) and a year; "all rights reserved" goes with its sentence.
 _NOTICE = (
-    r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:copyrights?(?!\p{L})|\(c\)|©|&copy;)(?:[^\p{L}\p{N}\n]*+(?!(?:%s)(?![\p{L}\p{N}]))[\p{L}\p{N}]|[ \t]*_{2})[^\n]*|all rights reserved[^\n.]*\.?)"
-    % "|".join(("the(?=\n)", *WORDING))
-)
-#: Of the SQL: all lines that begin so, notices or not.
-_COPYRIGHT = r"(?:^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+    r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:copyrights?(?!\p{L})|©|&copy;)(?:[^\p{L}\p{N}\n]*+(?!(?:%s)(?![\p{L}\p{N}]))[\p{L}\p{N}]|[ \t]*_{2})[^\n]*"
+    r"|\(c\)[^\p{L}\p{N}\n]*(?:copyright(?!\p{L})|(?:19|20)[0-9]{2}(?![0-9]))[^\n]*|all rights reserved[^\n.]*\.?)"
+) % _WORDING
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -140,17 +139,30 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known=(*KNOWN,
     return own.join(F.broadcast(names), "digest", "left").select(key, "digest", "license")
 
 
-def sql(known=KNOWN) -> str:
+def sql(known=(*KNOWN, *MORE_KNOWN), digests=DIGESTS) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    wording = "|".join(("the$", *WORDING))
+    # Line by line, as there is no lookahead here.
+    none = r"[^\p{L}\p{N}]"
+    mark = quote(rf"^{none}*(?:copyrights?($|[^\p{{L}}].*)|(?:©|&copy;)(.*))$")
+    follows = f"(regexp_extract(l, {mark}, 1) || regexp_extract(l, {mark}, 2))"
+    said = f"regexp_replace({follows}, '^{none}*', '')"
+    named = f"{said} <> '' AND NOT regexp_matches({said}, {quote(f'^(?:{wording})(?:{none}|$)')}) OR regexp_matches({follows}, {quote('^[ ' + chr(9) + ']*_{2}')})"
+    dated = "regexp_matches(l, " + quote(rf"^{none}*\(c\){none}*(?:copyright(?:[^\p{{L}}]|$)|(?:19|20)[0-9]{{2}}(?:[^0-9]|$))") + ")"
+    reserved = quote(rf"^{none}*all rights reserved[^.]*\.?")
 
     def form(column: str) -> str:
-        x = f"' ' || regexp_replace(regexp_replace(lower(coalesce({column}, '')), {quote(_COPYRIGHT)}, chr(10), 'g'), {quote(_OTHER)}, '  ', 'g') || ' '"
-        for written, taken in SPELLINGS:
+        lines = f"list_filter(string_split(lower(coalesce({column}, '')), chr(10)), lambda l: NOT ({named} OR {dated}))"
+        lines = f"list_transform({lines}, lambda l: regexp_replace(l, {reserved}, ''))"
+        x = f"' ' || regexp_replace(array_to_string({lines}, chr(10)), {quote(_OTHER)}, '  ', 'g') || ' '"
+        for written, taken in (*SPELLINGS, *MORE_SPELLINGS):
             x = f"replace({x}, ' {written} ', ' {taken} ')"
         return f"sha256(regexp_replace(trim({x}), ' +', ' ', 'g'))"
 
     rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in known)
+    whole = ", ".join(f"({quote(name)}, {quote(digest)})" for name, digest in digests)
     return f"""
-WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, {form('body')} AS digest FROM (VALUES {rows}) AS t(license, body)) GROUP BY digest),
+WITH known AS (SELECT digest, min(license) AS license FROM (
+  SELECT license, {form('body')} AS digest FROM (VALUES {rows}) AS t(license, body) UNION ALL SELECT * FROM (VALUES {whole}) AS u(license, digest)) GROUP BY digest),
 own AS (SELECT doc_id, {form('text')} AS digest FROM documents)
 SELECT doc_id, own.digest AS digest, license FROM own LEFT JOIN known ON own.digest = known.digest"""

@@ -427,6 +427,36 @@ def test_licenses_of_whole_files_and_spellings(spark):
     assert [r.license for r in got] == [r.name for r in got] and len(got) == len(rows)
 
 
+def test_license_clauses_are_no_notices(spark):
+    mit = licenses.KNOWN[1][1]
+    clauses = ("(c) You must give notice", "(c) You may never give notice", "(c) The Licensee must pay", "(c) Jane pays")
+    notices = ("(c) 2020 Jane", "(C) Copyright Jane", "Copyright Jane", "© Jane", "Copyright 2019, 2020", "All rights reserved. ", "# Copyright (c) Jane", "copyright __ Jane")
+    rows = [(1, c, mit + "\n" + c) for c in clauses] + [(2, n, mit + "\n" + n) for n in notices]
+    got = licenses.scan(spark.createDataFrame(rows, "kind int, line string, text string").selectExpr("struct(kind, line) AS doc_id", "text")).collect()
+    assert {(r.doc_id.line, r.license) for r in got} == {(c, None) for c in clauses} | {(n, "MIT") for n in notices}
+    assert len({r.digest for r in got}) == len(clauses) + 1
+
+
+def test_license_sql_is_the_operator(spark):
+    """Over texts that are licences, nearly so or not, with notices and lines that look like them."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(17)
+    lines = ["Copyright (c) 2020 Me", "copyright notice and this", "COPYRIGHT HOLDERS", "(c) You must", "(c) 1999", "(c) copyright x", "© Jane", "©", "Copyrights", "copyrighted", "All rights reserved. But not", "all rights reserved", " * Copyright the", "copyright the software", "&copy; me", "copyright  ____", "copyright2020", "plain", "", "// © 2020", "licence sub-license copyright owner"]
+    texts = [None, ""] + [_wrapped(t, rng.randrange(20, 100), rng.choice(("", " * ", "# "))) for _, t in (*licenses.KNOWN, *licenses.MORE_KNOWN)]
+    texts += [t for _, t in licenses.KNOWN] + [t.replace("software", "hardware") for _, t in licenses.KNOWN]
+    texts += ["\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    folder = Path("/usr/share/common-licenses")
+    texts += [f.read_text("utf-8") for f in (folder.iterdir() if folder.exists() else []) if f.is_file()]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.sql(licenses.sql()).fetchall()
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "digest", "license").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(r.license is not None for r in got) > 45
+
+
 @pytest.mark.parametrize("run", [bpe.encode_documents, token_counts.count_tokens, packing.pack_documents, fingerprints.compare_with_edits, near_dup.near_duplicates, functools.partial(pii.pseudonymise, secret="k"), quality.judge, licenses.scan], ids=lambda f: getattr(f, "__name__", "pseudonymise"))
 def test_odd_and_empty_tables(run, docs, none):
     assert run(none).count() == 0
