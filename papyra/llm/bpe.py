@@ -17,6 +17,7 @@ from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from papyra.llm.common import map_batches, out
@@ -71,6 +72,11 @@ class Cache(dict):
         return value
 
 
+def _flat(step: dict | None, inner: str) -> list[dict]:
+    """The steps of a part of a tokenizer file."""
+    return [x for s in step[inner] for x in _flat(s, inner)] if step and step["type"] == "Sequence" else [step] * bool(step)
+
+
 class Bpe:
     """Encoder of a BPE file whose pre-tokens never hold white space, so that the runs between it are encoded one by one."""
 
@@ -88,7 +94,12 @@ class Bpe:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+        split, *others = [p for p in _flat(spec["pre_tokenizer"], "pretokenizers") if p["type"] != "ByteLevel"] or [{}]
+        if others or split.get("type") != "Split" or not split["invert"] or split["behavior"] != "Removed" or "Regex" not in split["pattern"]:
+            raise ValueError(f"{name}: not a file of the supported kind")
+        #: For printable ASCII without white space, which no other normalizer than this changes.
+        self.plain = regex.compile(split["pattern"]["Regex"])
+        self.lower = any(n["type"] == "Lowercase" for n in _flat(spec["normalizer"], "normalizers"))
         self.words = Cache(self.merged, CACHE_ENTRIES // 2)
         self.chunks = Cache(self.chunk)
         self.texts = Cache(self.chunk_text)
@@ -136,7 +147,7 @@ class Bpe:
     def pretokens(self, chunk: str) -> list[str]:
         """Normalised and split as the file says, in its byte alphabet."""
         if chunk.isascii() and chunk.isprintable():
-            return self.plain.findall(chunk.lower())
+            return self.plain.findall(chunk.lower() if self.lower else chunk)
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def chunk(self, chunk: str) -> bytes:
