@@ -17,7 +17,6 @@ from functools import lru_cache
 from itertools import islice
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from papyra.llm.common import map_batches, out
@@ -77,6 +76,18 @@ def _flat(step: dict | None, inner: str) -> list[dict]:
     return [x for s in step[inner] for x in _flat(s, inner)] if step and step["type"] == "Sequence" else [step] * bool(step)
 
 
+def _for_ascii(pattern: str) -> str:
+    """A pattern of the tokenizer files for ASCII texts, which the faster standard library understands."""
+    found, inside = [], False
+    for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+        letters = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9", r"\p{Lu}": "A-Z", r"\p{Ll}": "a-z"}.get(part)
+        if part.startswith(r"\p{") and letters is None:
+            raise ValueError(f"{part}: not supported")
+        inside = part == "[" or inside and part != "]"
+        found.append(part if letters is None else letters if inside else f"[{letters}]")
+    return "".join(found)
+
+
 class Bpe:
     """Encoder of a BPE file whose pre-tokens never hold white space, so that the runs between it are encoded one by one."""
 
@@ -98,7 +109,7 @@ class Bpe:
         if others or split.get("type") != "Split" or not split["invert"] or split["behavior"] != "Removed" or "Regex" not in split["pattern"]:
             raise ValueError(f"{name}: not a file of the supported kind")
         #: For printable ASCII without white space, which no other normalizer than this changes.
-        self.plain = regex.compile(split["pattern"]["Regex"])
+        self.plain = re.compile(_for_ascii(split["pattern"]["Regex"]), re.ASCII)
         self.lower = any(n["type"] == "Lowercase" for n in _flat(spec["normalizer"], "normalizers"))
         self.words = Cache(self.merged, CACHE_ENTRIES // 2)
         self.chunks = Cache(self.chunk)
