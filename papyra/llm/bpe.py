@@ -16,7 +16,9 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from papyra.llm.common import map_batches, out
@@ -26,6 +28,8 @@ SPACES = "\t-\r \x85\xa0  -     　"
 _SPACES, _ODD = re.compile(f"[{SPACES}]+"), re.compile("[\x1c-\x1f]")
 #: Entries of a worker's cache of some 200 bytes each, and the length in characters above which nothing is kept.
 CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+#: Above which a text is not encoded together with others.
+LONG_BYTES = 4 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,11 +80,15 @@ def _flat(step: dict | None, inner: str) -> list[dict]:
     return [x for s in step[inner] for x in _flat(s, inner)] if step and step["type"] == "Sequence" else [step] * bool(step)
 
 
-def _for_ascii(pattern: str) -> str:
-    """A pattern of the tokenizer files for ASCII texts, which the faster standard library understands."""
+#: Runs of what _for_latin() knows: printable ASCII and the letters from U+00C0 to U+00FF.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+
+
+def _for_latin(pattern: str) -> str:
+    """A pattern of the tokenizer files for such texts, which the faster standard library understands."""
     found, inside = [], False
     for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
-        letters = {r"\p{L}": "a-zA-Z", r"\p{N}": "0-9", r"\p{Lu}": "A-Z", r"\p{Ll}": "a-z"}.get(part)
+        letters = {r"\p{L}": "a-zA-ZÀ-ÖØ-öø-ÿ", r"\p{N}": "0-9"}.get(part)
         if part.startswith(r"\p{") and letters is None:
             raise ValueError(f"{part}: not supported")
         inside = part == "[" or inside and part != "]"
@@ -108,8 +116,9 @@ class Bpe:
         split, *others = [p for p in _flat(spec["pre_tokenizer"], "pretokenizers") if p["type"] != "ByteLevel"] or [{}]
         if others or split.get("type") != "Split" or not split["invert"] or split["behavior"] != "Removed" or "Regex" not in split["pattern"]:
             raise ValueError(f"{name}: not a file of the supported kind")
-        #: For printable ASCII without white space, which no other normalizer than this changes.
-        self.plain = re.compile(_for_ascii(split["pattern"]["Regex"]), re.ASCII)
+        #: For runs of printable ASCII and the letters of Latin-1, which no other normalizer than this changes.
+        self.plain = re.compile(_for_latin(split["pattern"]["Regex"]), re.ASCII)
+        self.bytes = {ord(c): self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100)) if c.isalpha()}
         self.lower = any(n["type"] == "Lowercase" for n in _flat(spec["normalizer"], "normalizers"))
         self.words = Cache(self.merged, CACHE_ENTRIES // 2)
         self.chunks = Cache(self.chunk)
@@ -157,8 +166,9 @@ class Bpe:
 
     def pretokens(self, chunk: str) -> list[str]:
         """Normalised and split as the file says, in its byte alphabet."""
-        if chunk.isascii() and chunk.isprintable():
-            return self.plain.findall(chunk.lower() if self.lower else chunk)
+        if _LATIN.fullmatch(chunk):
+            found = self.plain.findall(chunk.lower() if self.lower else chunk)
+            return found if chunk.isascii() else [w.translate(self.bytes) for w in found]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
     def chunk(self, chunk: str) -> bytes:
@@ -195,6 +205,23 @@ class LibraryBpe(Bpe):
         ids = [t.id for t in self.model.tokenize(word)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode() of each text of a string array, null as empty: each distinct run of the array is looked up once."""
+        texts = pc.fill_null(texts, "")
+        alone = pc.or_(pc.greater(pc.binary_length(texts), LONG_BYTES), pc.match_substring_regex(texts, "[\x1c-\x1f]"))
+        runs = pc.utf8_split_whitespace(pc.if_else(alone, "", texts))
+        distinct = pc.dictionary_encode(runs.flatten())
+        ids = [self.chunks[c] if c else b"" for c in distinct.dictionary.to_pylist()]
+        table, sizes = np.frombuffer(b"".join(ids), dtype="<u4"), np.array([len(b) // 4 for b in ids], dtype=np.int64)
+        of = distinct.indices.to_numpy()
+        counts = sizes[of]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        firsts = (np.cumsum(sizes) - sizes)[of] - ends[:-1]
+        every = table[np.arange(ends[-1]) + np.repeat(firsts, counts)]
+        cuts = ends[runs.offsets.to_numpy() - runs.offsets[0].as_py()]
+        for i, single in enumerate(alone.to_pylist()):
+            yield self.encode(texts[i].as_py()) if single else every[cuts[i] : cuts[i + 1]].tobytes()
+
 
 @lru_cache(maxsize=2)
 def library_bpe(name: str) -> LibraryBpe:

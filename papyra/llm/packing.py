@@ -52,8 +52,8 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
         coder, end, width = library_bpe(tokenizer), separator.to_bytes(4, "little"), 4 * tokens
         for batch in batches:
             rows, number, starts, lengths, sums, ids = [], [], [], [], [], []
-            for row, value in enumerate(batch.column(1)):
-                encoded = coder.encode(value.as_py() or "") + end
+            for row, encoded in enumerate(coder.encode_all(batch.column(1))):
+                encoded += end
                 for at in range(0, len(encoded), width):
                     part = encoded[at : at + width]
                     rows.append(row)

@@ -9,6 +9,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,21 @@ def test_bpe_is_the_library(spark):
         assert decoded == library.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_of_many_texts_is_bpe_of_each(monkeypatch):
+    coder = bpe.LibraryBpe("word_bpe_49k.json")
+    rng = random.Random(18)
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace() or unicodedata.category(chr(c)) in ("Zs", "Cc", "Cf")]
+    latin = ["".join(rng.choice("ab1'SÀÖ×ØßéÿÞðç-÷µª²") for _ in range(8)) for _ in range(500)]
+    assert [coder.encode(x) for x in latin] == [np.array(coder.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in latin]
+    texts = [None, *ODD, *(f"a{c}b {c}{c}c{c}" for c in spaces), *("".join(rng.choice("ab'S \n\t1é \x1c\u0107Σ<|endoftext|>#") for _ in range(30)) for _ in range(300))]
+    want = [np.array(coder.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for most in (bpe.LONG_BYTES, 10):
+        monkeypatch.setattr(bpe, "LONG_BYTES", most)
+        assert [*coder.encode_all(pa.array(texts, pa.string()))] == want
+        assert [*coder.encode_all(pa.array(texts, pa.string())[7:20])] == want[7:20]
+    assert [*coder.encode_all(pa.array([], pa.string()))] == [] and [*coder.encode_all(pa.array([None, ""], pa.string()))] == [b"", b""]
+
+
 def test_token_counts_are_the_library(spark):
     name = "byte_bpe_50k.json"
     counter, library = token_counts.Counter(name, token_counts.frequent_lengths(name)), bpe.library(name)
