@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as t
 from papyra.functions import vocabulary as v
-from papyra.operators import facets, search
+from papyra.operators import facets, rules, search
 from papyra.operators.search import Paging, SearchParams, SearchSpec
 from papyra.sources import files
 from papyra.sources.library import ANALYSED
@@ -29,7 +29,7 @@ class Engine:
         self.spark, self.store, self.spec = spark, store, spec
 
     def documents(self) -> DataFrame:
-        return ingest.read_store(self.spark, self.store).withColumn("keywords_text", F.array_join("keywords", ","))
+        return rules.searchable(ingest.read_store(self.spark, self.store))
 
     def search(self, params: SearchParams) -> SearchPage:
         df = self.documents()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -70,8 +71,6 @@ def tagged(text: Column) -> Column:
 
 
 def tagged_phrase(phrase: str) -> str:
-    import re
-
     return re.sub("([a-z0-9]+)", f"{OPEN}\\1{CLOSE}", phrase.lower())
 
 
@@ -91,6 +90,20 @@ def has_phrase(tags: Column, phrases: Iterable[str]) -> Column:
     return found
 
 
+def phrases_in(text: Column, phrases: Iterable[str]) -> Column:
+    """For each place where phrases occur whole the longest of them, lower-cased, in one scan. Those that this begins with occur there too (begins_with_phrase)."""
+    by_first: dict[str, list[str]] = {}
+    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
+        by_first.setdefault(phrase[0], []).append(re.sub(r"([^\w ])", r"\\\1", phrase[1:]))
+    either = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z0-9])(?=({either})(?![a-z0-9]))"), F.lit(1))
+
+
+def begins_with_phrase(longer: str, phrase: str) -> bool:
+    """Whether where one phrase occurs whole the other does, too."""
+    return longer == phrase or longer.startswith(phrase) and not re.match("[a-z0-9]", longer[len(phrase)])
+
+
 def trim_to(text: Column, limit: int) -> Column:
     """Collapsed; cut to limit characters, the last an ellipsis, if longer."""
     one = collapsed(text)
@@ -180,3 +193,9 @@ def chunk(text: Column, offset: int, limit: int) -> dict[str, Column]:
         raise ValueError("offset must not be negative, limit lie between 1 and 200,000")
     total = F.length(text)
     return {"text": F.substring(text, offset + 1, limit), "total_chars": total, "has_more": F.lit(offset + limit) < total}
+
+
+def json_list(items: Column) -> Column:
+    """An array of strings as JSON with a space after each comma, other than ASCII as it is; [] for null."""
+    quoted = F.transform(items, lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))
+    return F.concat(F.lit("["), F.coalesce(F.array_join(quoted, ", "), F.lit("")), F.lit("]"))

@@ -18,20 +18,34 @@ def format_bytes(size: Column) -> Column:
 
 
 def relative_time(stamp: Column, as_of: datetime) -> Column:
+    """Like 2 hr ago; minutes, hours and days each rounded from the unit before, half up. A dash for null, a date from 30 days on."""
     now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
-    minutes = F.timestamp_diff("MINUTE", stamp, now)
-    hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
-    some = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
-    return F.when(minutes < 1, "just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min ago"))).when(hours < 24, F.concat(hours.cast("string"), F.lit(" hr ago"))).when(days < 30, some(days, "day")).otherwise(F.date_format(stamp, "dd MMM yyyy"))
+    rounded = lambda n, unit: F.floor((n + unit // 2) / unit)
+    minutes = rounded(F.timestamp_diff("MILLISECOND", stamp, now), 60_000)
+    hours = rounded(minutes, 60)
+    days = rounded(hours, 24)
+    ago = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit} ago"))
+    shown = F.when(minutes < 1, "just now").when(minutes < 60, ago(minutes, "min")).when(hours < 24, ago(hours, "hr"))
+    shown = shown.when(days == 1, ago(days, "day")).when(days < 30, ago(days, "days")).otherwise(F.date_format(stamp, "dd MMM yyyy"))
+    return F.when(stamp.isNull(), "—").otherwise(shown)
+
+
+#: Marks around hits; no characters for interchange, so texts do not have them.
+_BEGIN, _END = "\ufdd0", "\ufdd1"
 
 
 def highlighted(text: Column, terms: list[str]) -> Column:
-    """Array of text and whether it is one of the terms, in any case, in the text's order."""
+    """Array of text and whether it is one of the terms, in any case, in the text's order.
+
+    Terms of one character do not count. Where several begin at one place the
+    first of the list is the hit, of any length.
+    """
+    terms = [t for t in (t.strip().lower() for t in terms) if len(t) > 1]
     if not terms:
         return F.array(F.struct(text.alias("text"), F.lit(False).alias("hit")))
     either = "|".join(r"\Q" + t.replace(r"\E", r"\E\\E\Q") + r"\E" for t in terms)
-    parts = F.split(text, f"(?iu)(?<={either})|(?={either})") if max(map(len, terms)) < 256 else F.array(text)
-    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(p.alias("text"), F.lower(p).isin(*[t.lower() for t in terms]).alias("hit")))
+    parts = F.split(F.regexp_replace(text, f"(?iu)({either})", f"{_BEGIN}$1{_END}"), f"[{_BEGIN}{_END}]")
+    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(p.alias("text"), F.lower(p).isin(*terms).alias("hit")))
 
 
 def grouped_digits(number: int) -> str:

@@ -57,3 +57,8 @@ def stats(df: DataFrame) -> DataFrame:
 
 def low_quality_ocr(used: Column, quality: Column, least: float = 70.0) -> Column:
     return F.coalesce(used & (quality < least), F.lit(False))
+
+
+def in_progress(status: Column) -> Column:
+    """Statuses from which a document goes on by itself."""
+    return F.coalesce(status.isin("queued", "processing", "ocr_processing", "ai_analysis"), F.lit(False))

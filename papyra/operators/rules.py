@@ -2,7 +2,7 @@
 
 analysed() adds all fields to a table of file names and texts. Each document is
 one row throughout, so nothing is shuffled; what several fields need (the
-reflowed body, its tagged form, sentences, ranked terms) is computed once.
+reflowed body, the phrases found in it, sentences, ranked terms) is computed once.
 """
 
 from __future__ import annotations
@@ -17,19 +17,44 @@ NO_TEXT = "No machine-readable text could be extracted from this file, so the an
 MOST_CANDIDATES, SUMMARY_SENTENCES, TERMS, KEYWORDS = 400, 5, 40, 12
 
 
-def scored(tags: Column, keywords: dict[str, tuple[str, ...]], long: int, own_name: int = 0) -> Column:
+#: All phrases that are looked for in a whole document.
+PHRASES = tuple(dict.fromkeys([
+    *(w for words in v.DEPARTMENT_KEYWORDS.values() for w in words), *(w for words in v.DOCUMENT_TYPE_KEYWORDS.values() for w in words),
+    *(n.lower() for n in v.DOCUMENT_TYPE_KEYWORDS), *v.HIGH_SIGNALS, *v.MEDIUM_SIGNALS, *v.COMPLIANCE_SIGNALS,
+]))
+
+
+def _weighed(hits: Column, weights: dict[str, int]) -> Column:
+    """Sum of the weights of phrases over all places where they occur: a place counts for its own phrase and for those that this begins with."""
+    by_hit: dict[int, list[str]] = {}
+    for hit in PHRASES:
+        weight = sum(w for phrase, w in weights.items() if t.begins_with_phrase(hit, phrase))
+        if weight:
+            by_hit.setdefault(weight, []).append(hit)
+    return sum((F.size(F.filter(hits, _one_of(own))) * weight for weight, own in by_hit.items()), F.lit(0))
+
+
+def _one_of(phrases: list[str]):
+    return lambda hit: hit.isin(*phrases)
+
+
+def _has(hits: Column, phrase: str) -> Column:
+    return F.exists(hits, _one_of([p for p in PHRASES if t.begins_with_phrase(p, phrase)]))
+
+
+def scored(hits: Column, keywords: dict[str, tuple[str, ...]], long: int, own_name: int = 0) -> Column:
     """Names with a score, best first, equal ones in the vocabulary's order: hits count twice for keywords of over long characters."""
     entries = []
     for place, (name, words) in enumerate(keywords.items()):
-        score = sum((t.phrase_count(tags, w) * (2 if len(w) > long else 1) for w in words), F.lit(0))
+        score = _weighed(hits, {w: 2 if len(w) > long else 1 for w in words})
         if own_name:
-            score = score + F.when(t.has_phrase(tags, [name.lower()]), own_name).otherwise(0)
+            score = score + F.when(_has(hits, name.lower()), own_name).otherwise(0)
         entries.append(F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("name")))
     return F.sort_array(F.filter(F.array(*entries), lambda e: e["score"] > 0), asc=False)
 
 
-def signal_count(tags: Column, signals) -> Column:
-    return sum((t.phrase_count(tags, s) for s in signals), F.lit(0))
+def signal_count(hits: Column, signals) -> Column:
+    return _weighed(hits, dict.fromkeys(signals, 1))
 
 
 def owner(sentence: Column, tags: Column) -> Column:
@@ -41,27 +66,27 @@ def owner(sentence: Column, tags: Column) -> Column:
 
 
 def with_body(df: DataFrame, filename: str = "filename", text: str = "extracted_text") -> DataFrame:
-    """df with _raw (trimmed), _body (reflowed) and _tags (file name and body, tagged)."""
+    """df with _raw (trimmed), _body (reflowed) and _hits (phrases found in file name and body, in one scan)."""
     df = df.withColumn("_raw", t.trimmed(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_body", t.reflow(F.col("_raw")))
-    return df.withColumn("_tags", t.tagged(F.concat(F.col(filename), F.lit("\n"), F.col("_body"))))
+    return df.withColumn("_hits", t.phrases_in(F.concat(F.col(filename), F.lit("\n"), F.col("_body")), PHRASES))
 
 
 def with_department(df: DataFrame) -> DataFrame:
-    df = df.withColumn("_departments", F.when(F.col("_body") != "", scored(F.col("_tags"), v.DEPARTMENT_KEYWORDS, 12)))
+    df = df.withColumn("_departments", F.when(F.col("_body") != "", scored(F.col("_hits"), v.DEPARTMENT_KEYWORDS, 12)))
     df = df.withColumn("_top", F.coalesce(F.get("_departments", F.lit(0))["score"], F.lit(0)))
     ranked = F.coalesce(F.slice("_departments", 2, 3), F.expr("slice(_departments, 1, 0)"))
     second = F.transform(F.filter(ranked, lambda d: d["score"] >= F.greatest(F.lit(2.0), F.col("_top") * 0.35)), lambda d: d["name"])
     return df.withColumns({"department": F.coalesce(F.get("_departments", F.lit(0))["name"], F.lit(v.UNASSIGNED)), "secondary_departments": F.coalesce(second, F.array().cast("array<string>"))})
 
 
-def document_type(tags: Column) -> Column:
-    return F.coalesce(F.get(scored(tags, v.DOCUMENT_TYPE_KEYWORDS, 14, own_name=3), F.lit(0))["name"], F.lit("Other"))
+def document_type(hits: Column) -> Column:
+    return F.coalesce(F.get(scored(hits, v.DOCUMENT_TYPE_KEYWORDS, 14, own_name=3), F.lit(0))["name"], F.lit("Other"))
 
 
 def with_priority(df: DataFrame) -> DataFrame:
     """Needs the department."""
-    df = df.withColumns({"_high": signal_count(F.col("_tags"), v.HIGH_SIGNALS), "_medium": signal_count(F.col("_tags"), v.MEDIUM_SIGNALS), "_dated": t.has_date(F.col("_body"))})
+    df = df.withColumns({"_high": signal_count(F.col("_hits"), v.HIGH_SIGNALS), "_medium": signal_count(F.col("_hits"), v.MEDIUM_SIGNALS), "_dated": t.has_date(F.col("_body"))})
     high = (F.col("_high") >= 3) | ((F.col("_high") >= 1) & (F.col("department") == "Safety")) | ((F.col("_high") >= 2) & F.col("_dated"))
     medium = (F.col("_high") >= 1) | (F.col("_medium") >= 2) | F.col("_dated")
     return df.withColumn("priority", F.when(F.col("_body") == "", "Medium").when(high, "High").when(medium, "Medium").otherwise("Low"))
@@ -122,8 +147,8 @@ def risks() -> Column:
     return F.transform(F.slice(F.filter("_sentences", lambda x: t.has_phrase(x["tags"], v.RISK_SIGNALS)), 1, 5), lambda x: t.trim_to(x["s"], 200))
 
 
-def flags(tags: Column) -> Column:
-    found = F.array(*[F.when(t.has_phrase(tags, [s]), s.title()) for s in sorted(v.COMPLIANCE_SIGNALS)])
+def flags(hits: Column) -> Column:
+    found = F.array(*[F.when(_has(hits, s), s.title()) for s in sorted(v.COMPLIANCE_SIGNALS)])
     return F.slice(F.array_compact(found), 1, 6)
 
 
@@ -146,12 +171,12 @@ def analysed(df: DataFrame, filename: str = "filename", text: str = "extracted_t
     """
     held = {"title", "document_type", "department", "secondary_departments", "priority", "summary", "key_points", "keywords", "actions", "deadlines", "risks", "compliance_flags", "analysis_confidence"}
     df = with_sentences(with_terms(with_priority(with_department(with_body(df.drop(*held), filename, text)))))
-    df = with_summary(df).withColumns({"document_type": document_type(F.col("_tags")), "keywords": F.slice("_terms", 1, KEYWORDS)})
+    df = with_summary(df).withColumns({"document_type": document_type(F.col("_hits")), "keywords": F.slice("_terms", 1, KEYWORDS)})
     empty = F.col("_body") == ""
     none = F.array().cast("array<string>")
     df = df.withColumns({
         "actions": actions(), "deadlines": deadlines(), "risks": risks(),
-        "compliance_flags": F.when(empty, none).otherwise(flags(F.col("_tags"))),
+        "compliance_flags": F.when(empty, none).otherwise(flags(F.col("_hits"))),
         "analysis_confidence": confidence(F.col("_body"), F.col("_top")),
     })
     df = with_title(df, filename)
@@ -166,6 +191,12 @@ def search_blob() -> Column:
     return F.lower(F.concat_ws(" \n", *[F.when(p != "", p) for p in parts]))
 
 
+def searchable(df: DataFrame) -> DataFrame:
+    """Rows of analysed() with what a search over them reads: keywords_text, search_blob, action_count and deadline_count."""
+    counts = {f"{name}_count": F.greatest(F.size(f"{name}s"), F.lit(0)) for name in ("action", "deadline")}
+    return df.withColumns({"keywords_text": t.json_list(F.col("keywords")), "search_blob": search_blob(), **counts})
+
+
 _LLM = "title string, document_type string, department string, secondary_departments array<string>, priority string, summary string, key_points array<string>, keywords array<string>, actions array<struct<action:string,owner:string,due_date:string,priority:string>>, deadlines array<struct<date:string,description:string>>, risks array<string>, compliance_flags array<string>, confidence string"
 
 
@@ -188,4 +219,26 @@ def from_reply(reply: Column) -> dict[str, Column]:
 
 def as_confidence(value: Column) -> Column:
     """Between 0 and 1 with two decimals, null if no number."""
-    return F.round(F.least(F.greatest(F.expr("0D"), value.try_cast("double")), F.lit(1.0)), 2)
+    number = value.try_cast("double")
+    return F.when(number.isNotNull(), F.round(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), 2))
+
+
+def with_fallback(df: DataFrame, reply: str, error: str, filename: str = "filename", text: str = "extracted_text") -> DataFrame:
+    """analysed() with the fields of a model's reply where there is one that can be read, and analysis_engine and analysis_error.
+
+    reply is a column of JSON, null where the model was not asked or failed; error
+    says how it failed. A document without text is left to the rules.
+    """
+    df = analysed(df, filename, text)
+    given = from_reply(F.col(reply))
+    asked = t.trimmed(F.coalesce(F.col(text), F.lit(""))) != ""
+    read = F.coalesce(asked & F.from_json(reply, F.lit("map<string,string>")).isNotNull(), F.lit(False))
+    failed = asked & ~read & (F.col(reply).isNotNull() | F.col(error).isNotNull())
+    df = df.withColumns({"_read": read, "_failed": F.coalesce(failed, F.lit(False))})
+    fields = {name: F.when(F.col("_read"), column).otherwise(F.col(name)) for name, column in given.items() if name not in ("confidence", "title")}
+    fields["title"] = F.when(F.col("_read") & (given["title"] != ""), given["title"]).otherwise(F.col("title"))
+    fields["analysis_confidence"] = F.when(F.col("_read"), given["confidence"]).otherwise(F.col("analysis_confidence"))
+    fields["analysis_engine"] = F.when(F.col("_read"), "model").otherwise("rule-based")
+    note = F.concat(F.lit("AI analysis unavailable ("), F.coalesce(F.col(error), F.lit("unreadable reply")), F.lit("); used rule-based analysis."))
+    fields["analysis_error"] = F.when(F.col("_failed"), note).otherwise("")
+    return df.withColumns(fields).drop("_read", "_failed")

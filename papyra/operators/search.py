@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta, timezone
 from functools import reduce
+from itertools import pairwise
+from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,6 +69,36 @@ class SearchParams:
         found |= {k: x.isoformat() for k, x in (("date_from", self.date_from), ("date_to", self.date_to)) if x}
         return found
 
+    @property
+    def has_filters(self) -> bool:
+        return bool(self.applied_filters())
+
+    def as_query(self) -> str:
+        """The search as a URL's query; what is as by default is left out."""
+        given = {"q": self.q, **self.filters, "date_range": self.date_range if self.date_range != "any" else "", "sort": self.sort if self.sort != "relevance" else ""}
+        given |= {"page": self.page if self.page > 1 else "", "page_size": self.page_size if self.page_size != 20 else ""}
+        return urlencode({k: x for k, x in given.items() if x}, doseq=True)
+
+    @staticmethod
+    def of_query(query: str, kinds: tuple[str, ...]) -> SearchParams:
+        """Of a URL's query with filters of these kinds; pages that cannot be are moved to the nearest that can."""
+        given = parse_qs(query)
+        first = lambda name, default: (given.get(name) or [default])[0]
+        number = lambda name, default: int(x) if (x := first(name, "")).lstrip("-").isdigit() else default
+        filters = {k: given[k] for k in kinds if k in given}
+        return SearchParams.of(first("q", ""), filters, first("date_range", "any"), first("sort", "relevance"), max(1, number("page", 1)), min(100, max(1, number("page_size", 20))))
+
+    def filtered_by(self, kind: str, values: list[str]) -> SearchParams:
+        """With another choice of one kind, from the first page on."""
+        filters = {k: x for k, x in {**self.filters, kind: values}.items() if x}
+        return replace(self, filters=filters, page=1)
+
+    def active(self, labels: dict[str, dict[str, str]]) -> list[tuple[str, str, str]]:
+        """Kind, value and label of each filter that is on, the date range last."""
+        chosen = [(k, x) for k, values in self.filters.items() for x in values]
+        chosen += [("date_range", self.date_range)] * (self.date_range not in ("", "any"))
+        return [(k, x, labels.get(k, {}).get(x, x)) for k, x in chosen]
+
     def applied_sort(self) -> str:
         if self.sort not in SORTS:
             return "relevance" if self.q.strip() else "newest"
@@ -86,6 +118,11 @@ def parse_terms(query: str | None) -> list[str]:
     return (terms or [asked] * bool(asked))[:MOST_TERMS]
 
 
+def shown_terms(query: str | None) -> list[str]:
+    """Words and quoted phrases of a query as they are to be highlighted: their case as it is, all quotes gone, of two characters at least."""
+    return [t for t in (raw.replace('"', "").strip() for raw in re.findall(r'"[^"]+"|\S+', query or "")) if len(t) > 1]
+
+
 def _contains(column: Column, term: str) -> Column:
     return F.coalesce(F.contains(F.lower(column), F.lit(term)), F.lit(False))
 
@@ -162,34 +199,40 @@ def snippet(text: Column, terms: list[str]) -> Column:
     return F.when(shut != "", shut)
 
 
-def order(spec: SearchSpec, sort: str) -> list[Column]:
+def sort_keys(spec: SearchSpec, sort: str) -> list[tuple[Column, bool]]:
+    """What results are sorted by, and whether falling; the id is last, so no two rows are equal."""
     key = F.col(spec.id)
     stamp = F.col(spec.timestamp) if spec.timestamp else key
     if sort == "newest":
-        return [stamp.desc(), key.desc()]
+        return [(stamp, True), (key, True)]
     if sort == "oldest":
-        return [stamp.asc(), key.asc()]
+        return [(stamp, False), (key, False)]
     if sort == "name" and spec.name:
-        return [F.lower(F.col(spec.name)).asc(), key.asc()]
+        return [(F.lower(F.col(spec.name)), False), (key, False)]
     if sort == "priority" and spec.rank:
         rank = F.lit(len(spec.ranks))
         for i, values in reversed(list(enumerate(spec.ranks))):
             rank = F.when(F.col(spec.rank).isin(*values), i).otherwise(rank)
-        return [rank.asc(), stamp.desc(), key.desc()]
-    return [F.col("score").desc(), stamp.desc(), key.desc()]
+        return [(rank, False), (stamp, True), (key, True)]
+    return [(F.col("score"), True), (stamp, True), (key, True)]
 
 
 def search(df: DataFrame, spec: SearchSpec, params: SearchParams) -> DataFrame:
     """The page of results asked for, in order: the projection, score and snippet.
 
     A page beyond the last is empty. Ties end at the id, so pages never overlap.
+    Snippets are cut before rows are sorted, so that no whole text leaves its task.
     """
     terms = parse_terms(params.q)
     kept = [*dict.fromkeys([spec.id, *spec.projection])]
-    rows = filtered(df, spec, params).withColumn("score", score(spec, terms))
-    rows = rows.orderBy(*order(spec, params.applied_sort())).offset((params.page - 1) * params.page_size).limit(params.page_size)
     shown = [F.coalesce(v.one_of(F.col(spec.filters[k]), names), F.col(spec.filters[k])).alias(f"{k}_label") for k, names in spec.labels.items()]
-    return rows.select(*kept, *shown, F.round("score", 1).alias("score"), *([snippet(F.col(spec.text), terms).alias("snippet")] if spec.text else []))
+    found = filtered(df, spec, params).withColumn("score", score(spec, terms))
+    keys = sort_keys(spec, params.applied_sort())
+    cut = [snippet(F.col(spec.text), terms).alias("snippet")] if spec.text else []
+    rows = found.select(*kept, *shown, F.round("score", 1).alias("score"), *cut, *[c.alias(f"_key{i}") for i, (c, _) in enumerate(keys)])
+    order = [F.col(f"_key{i}").desc() if falling else F.col(f"_key{i}").asc() for i, (_, falling) in enumerate(keys)]
+    rows = rows.orderBy(*order).offset((params.page - 1) * params.page_size).limit(params.page_size)
+    return rows.drop(*[f"_key{i}" for i in range(len(keys))])
 
 
 def total(df: DataFrame, spec: SearchSpec, params: SearchParams) -> DataFrame:
@@ -215,14 +258,13 @@ class Paging:
         return self.total > 0 and self.page > 1
 
     def window(self) -> list[int | None]:
-        """Page numbers to offer, None for a gap."""
-        near = sorted({1, self.total_pages, *range(self.page - 1, self.page + 2)} & {*range(1, self.total_pages + 1)})
-        found: list[int | None] = []
-        for n in near:
-            if found and n - found[-1] > 1:
-                found.append(None)
-            found.append(n)
-        return found
+        """Page numbers to offer: all up to seven, else the first, the last and those around this one; None for a gap."""
+        last = self.total_pages
+        if last <= 7:
+            return [*range(1, last + 1)]
+        shown = sorted({1, last} | {n for n in (self.page - 1, self.page, self.page + 1) if 1 <= n <= last})
+        after_gap = {b for a, b in pairwise(shown) if b > a + 1}
+        return [x for n in shown for x in ([None, n] if n in after_gap else [n])]
 
     def showing(self) -> tuple[int, int]:
         return (0, 0) if not self.total else ((self.page - 1) * self.page_size + 1, min(self.page * self.page_size, self.total))

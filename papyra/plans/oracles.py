@@ -234,7 +234,65 @@ WRAPPED = strip("regexp_replace(text, '([^\\n]{50}[^ \\n]*) ', '\\1' || chr(10),
 CLEANED = "chr(32) || chr(9) || replace(text, '.', '.' || chr(10) || chr(10) || chr(10) || ' ' || chr(9) || ' ')"
 SIZE = "(n_chars * n_chars)"
 LABEL = "CASE status " + " ".join(f"WHEN {q(k)} THEN {q(x)}" for k, x in v.STATUS_LABELS.items()) + " ELSE status END"
-MINUTES = f"date_diff('second', uploaded_at, {AS_OF}) // 60"
+
+# ---------------------------------------------------------------- analysed rows
+ACTIONS = f"""{BASE}, kept AS (SELECT id, n, {trim_to('s', 260)} AS x FROM said WHERE {has('st', v.ACTION_SIGNALS)} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n) <= 8)
+SELECT id, coalesce(string_agg(x, ' ' ORDER BY n), '') AS action_texts, count(x) AS action_count FROM lib LEFT JOIN kept USING (id) GROUP BY id"""
+DEADLINE_COUNT = DEADLINES[: DEADLINES.index("SELECT id, coalesce(")] + "SELECT id, count(date) AS deadline_count FROM lib LEFT JOIN kept USING (id) GROUP BY id"
+TYPE = f"{BASE} SELECT id, coalesce(({best(v.DOCUMENT_TYPE_KEYWORDS, 14, 3)})[1].name, 'Other') AS document_type FROM tagged"
+SECONDARY = f"{BASE} SELECT id, array_to_string(list_transform(list_filter(list_slice(ranked, 2, 4), lambda d: d.score >= greatest(2, top * 0.35)), lambda d: d.name), ' ') AS secondary FROM judged"
+ANALYSED = f"""SELECT l.*, title, document_type, department, priority, summary, action_count, deadline_count,
+  CASE WHEN keywords = '' THEN '[]' ELSE '["' || replace(keywords, '|', '", "') || '"]' END AS keywords_text, {language('extracted_text')} AS language,
+  lower(concat_ws(' ' || chr(10), filename, nullif(title, ''), document_type, department, nullif(secondary, ''), priority, nullif(summary, ''), nullif(replace(keywords, '|', ' '), ''), nullif(key_points, ''), nullif(action_texts, ''), {language('extracted_text')}, nullif(extracted_text, ''))) AS search_blob
+FROM (SELECT * EXCLUDE (document_type, department, priority, search_blob) FROM ({LIB})) l JOIN ({TITLE}) USING (id) JOIN ({TYPE}) USING (id) JOIN ({SECONDARY}) USING (id) JOIN ({BASE} SELECT id, department, priority FROM prior) p USING (id)
+JOIN ({SUMMARY.replace("'|') AS key_points", "' ') AS key_points")}) USING (id) JOIN ({KEYWORDS}) USING (id) JOIN ({ACTIONS}) USING (id) JOIN ({DEADLINE_COUNT}) USING (id)"""
+SEARCH_ANALYSED = f"""WITH a AS MATERIALIZED ({ANALYSED}), hits AS MATERIALIZED (SELECT *, {score('inspection', 'safety', weights=lib.ANALYSED.weights)} AS score FROM a WHERE {match('inspection', 'safety')} AND priority IN ('High', 'Medium'))
+SELECT id, filename, title, file_type, lower(regexp_extract(filename, '\\.([^.]+)$', 1)) AS file_ext, strlen(extracted_text) AS size_bytes, uploaded_at, uploaded_at AS processed_at, status, 'Analysed with rule engine' AS status_detail, page_count,
+  len(list_filter(regexp_split_to_array(extracted_text, '\\s+'), lambda w: w <> '')) AS word_count, language, ocr_used, ocr_quality, document_type, department, priority, summary, keywords_text AS keywords, action_count, deadline_count, 'rule-based' AS analysis_engine,
+  {LABEL} AS status_label, score, {snippet('extracted_text', ('inspection', 'safety'))} AS snippet, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY score DESC, uploaded_at DESC, id DESC LIMIT 100"""
+ASKED = "(id % 6 IN (0, 1) AND id % 11 <> 0)"
+NOTE = "'AI analysis unavailable (' || {} || '); used rule-based analysis.'"
+FALLBACK = f"""SELECT l.id, CASE WHEN {ASKED} THEN l.department WHEN id % 11 = 0 THEN 'Unassigned' ELSE p.department END AS department,
+  CASE WHEN {ASKED} THEN CASE id % 4 WHEN 1 THEN 'High' WHEN 3 THEN 'Low' ELSE 'Medium' END WHEN id % 11 = 0 THEN 'Medium' ELSE p.priority END AS priority,
+  CASE WHEN {ASKED} THEN 'Review of ' || filename WHEN id % 11 = 0 THEN {filename_title('filename')} ELSE title END AS title,
+  CASE WHEN {ASKED} THEN 'model' ELSE 'rule-based' END AS analysis_engine,
+  CASE WHEN id % 11 = 0 THEN '' WHEN id % 6 = 2 THEN {NOTE.format("'TimeoutError'")} WHEN id % 6 = 3 THEN {NOTE.format("'unreadable reply'")} ELSE '' END AS analysis_error
+FROM ({LIB}) l JOIN ({BASE} SELECT id, department, priority FROM prior) p USING (id) JOIN ({TITLE}) USING (id)"""
+
+
+# ---------------------------------------------------------------- files
+def clean(x: str) -> str:
+    return strip(f"regexp_replace(regexp_replace(replace({x}, chr(0), ' '), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def seen(x: str) -> tuple[str, str]:
+    """Text and confidence of the recogniser."""
+    words = f"list_filter(list_transform(string_split({x}, ' '), lambda w: {{'w': {strip('w')}, 'c': CASE WHEN length(w) = 1 THEN -1.0::DOUBLE ELSE least(100.0, 10.0 * length(w))::DOUBLE END}}), lambda e: e.w <> '')"
+    return clean(f"array_to_string(list_transform({words}, lambda e: e.w), ' ')"), f"round_even(list_avg(list_transform(list_filter({words}, lambda e: e.c >= 0), lambda e: e.c)), 1)"
+
+
+def one(n: int, text: str, ocr: str = "FALSE", sure: str = "NULL") -> str:
+    return f"{{'n': {n}, 'x': {text}, 'o': {ocr}, 'c': CAST({sure} AS DOUBLE)}}"
+
+
+SCAN, IMAGE = seen("left(text, 200)"), seen("left(text, 400)")
+BARE = "regexp_replace({}, '[\\x00-\\x08\\x0a-\\x1f]', '', 'g')"
+DOCX = clean(f"array_to_string(list_append(list_filter(list_transform(string_split(text, chr(10)), lambda l: {BARE.format('l')}), lambda l: {strip('l')} <> ''), 'a | ' || coalesce(nullif({BARE.format(strip('left(text, 20)'))}, ''), 'b')), chr(10))")
+FILES = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, (['txt', 'docx', 'pdf', 'png', 'exe', 'csv', 'log', 'pdf'])[CAST(doc_id % 8 + 1 AS INT)] AS kind FROM documents),
+gated AS (SELECT *, CASE WHEN kind = 'exe' THEN 'unsupported type' WHEN doc_id % 50 = 9 OR (text = '' AND kind NOT IN ('docx', 'pdf') AND doc_id % 50 <> 8) THEN 'empty file' WHEN doc_id % 50 = 8 THEN 'over 40 MB' END AS reason FROM docs),
+parts AS MATERIALIZED (SELECT *, {clean('left(text, 300)')} AS first, {SCAN[0]} AS scan, {SCAN[1]} AS scan_sure, {IMAGE[0]} AS image, {IMAGE[1]} AS image_sure, {DOCX} AS docx, {clean('text')} AS plain FROM gated),
+read AS MATERIALIZED (SELECT *, CASE WHEN reason IS NOT NULL THEN [] WHEN kind = 'docx' THEN [{one(1, 'docx')}] WHEN kind = 'png' THEN [{one(1, 'image', 'TRUE', 'image_sure')}]
+  WHEN kind = 'pdf' THEN [CASE WHEN first = '' THEN {one(1, "'x'", 'TRUE', '50')} ELSE {one(1, 'first')} END, CASE WHEN length(scan) > 2 THEN {one(2, 'scan', 'TRUE', 'scan_sure')} ELSE {one(2, "'p2'")} END, {one(3, "'page three'")}]
+  WHEN plain = '' THEN [] ELSE [{one(1, 'plain')}] END AS pages FROM parts),
+whole AS (SELECT *, {clean("array_to_string(list_transform(list_filter(pages, lambda p: p.x <> ''), lambda p: p.x), chr(10) || chr(10))")} AS body, len(list_filter(pages, lambda p: p.o)) AS scanned FROM read)"""
+WORDS = "len(list_filter(regexp_split_to_array(body, '\\s+'), lambda w: w <> ''))"
+EXTRACT = f"""{FILES} SELECT 'Note of ' || doc_id || '.' || CASE WHEN doc_id % 3 = 0 THEN upper(kind) ELSE kind END AS filename, CASE kind WHEN 'pdf' THEN 'PDF' WHEN 'docx' THEN 'DOCX' WHEN 'png' THEN 'IMAGE' ELSE 'TXT' END AS file_type, kind AS file_ext,
+  CAST(CASE WHEN reason IS NOT NULL THEN NULL WHEN kind = 'docx' THEN CASE WHEN {WORDS} > 0 THEN greatest(1, round_even({WORDS} / 500.0, 0)) END WHEN kind = 'pdf' THEN 3 ELSE 1 END AS INT) AS page_count,
+  scanned > 0 AS ocr_used, round(list_avg(list_transform(list_filter(pages, lambda p: p.o), lambda p: p.c)), 1) AS ocr_quality,
+  CASE WHEN reason IS NOT NULL THEN NULL WHEN kind = 'docx' THEN 'docx' WHEN kind = 'png' THEN 'ocr' WHEN kind <> 'pdf' THEN 'plain-text' WHEN scanned = 0 THEN 'pdf-text' ELSE 'pdf-text+ocr' END AS extraction_method,
+  sha256(body) AS digest, {WORDS} AS words, CASE WHEN reason IS NULL AND body = '' AND kind = 'png' THEN 'No readable text was found in this image.' END AS warnings, reason FROM whole"""
+PAGE_TABLE = f"""{FILES}, each AS (SELECT doc_id, unnest(pages) AS p FROM read)
+SELECT doc_id AS document_id, p.n AS page_number, sha256(p.x) AS digest, length(p.x) AS char_count, p.o AS ocr_used, p.c AS ocr_confidence FROM each"""
 
 ORACLES: dict[str, str] = {
     "search_relevance": page("id, filename, score", ("the", "that")),
@@ -244,7 +302,7 @@ ORACLES: dict[str, str] = {
     "search_total": f"SELECT count(*) AS total FROM ({LIB}) WHERE {match('the', 'that')} AND department IN ('Safety', 'Finance', 'IT')",
     "search_snippet": page(f"id, {snippet('extracted_text', ('inspection', 'of'))} AS snippet", ("inspection", "of"), limit=50),
     "search_escape_chars": f"{ids(match('src1_en', '100%', 'a_b'))} UNION ALL {ids(match('src1_en'))}",
-    "search_highlight": f"SELECT id, h AS hits FROM (SELECT id, len(regexp_extract_all(left(extracted_text, 300), '(?i)the|inspection')) AS h FROM ({LIB})) WHERE h > 0",
+    "search_highlight": f"SELECT id, len(regexp_extract_all(extracted_text, '(?i)(the|he|inspection|100%)')) AS hits, regexp_replace({snippet('extracted_text', ('inspection', 'the'))}, '(?i)(the|he|inspection|100%)', '[\\1]', 'g') AS snippet FROM ({LIB}) WHERE hits > 0",
     "search_blob": per_entry(n="length(search_blob)", digest="sha256(search_blob)"),
     "search_part_catalog": page("p_partkey, score", ("st",), table="part", by="score DESC, p_partkey DESC", limit=50, weights=PARTS, blob=("p_name", "p_type", "p_brand")),
     "search_pages_html": page("page_id, score", ("example", "the"), table="pages", by="score DESC, page_id DESC", limit=50, weights=lib.PAGES.weights, blob=("url", "html")),
@@ -303,10 +361,21 @@ ORACLES: dict[str, str] = {
     "normalise_priority": f"SELECT doc_id, {alias(v.PRIORITY_ALIASES, v.PRIORITIES, q('Medium'))} AS priority FROM {CASED}",
     "normalise_doc_type": f"SELECT doc_id, {alias({}, v.DOCUMENT_TYPES, '''coalesce(nullif(left(trim(c), 60), ''), 'Other')''')} AS document_type FROM {CASED}",
     "status_labels": per_entry(label=LABEL),
-    "llm_postprocess": f"""SELECT id, trim(regexp_replace(r->>'title', '\\s+', ' ', 'g')) AS title, department, CASE id % 4 WHEN 1 THEN 'High' WHEN 3 THEN 'Low' ELSE 'Medium' END AS priority, coalesce(nullif(document_type, ''), 'Other') AS document_type, least(CAST(r->>'confidence' AS DOUBLE), 1.0) AS confidence, 'alpha|beta' AS keywords, 'late' AS risks, 1 AS n_actions FROM (SELECT *, CAST({REPLY} AS JSON) AS r FROM ({LIB}))""",
+    "llm_postprocess": f"""SELECT id, trim(regexp_replace(r->>'title', '\\s+', ' ', 'g')) AS title, department, CASE id % 4 WHEN 1 THEN 'High' WHEN 3 THEN 'Low' ELSE 'Medium' END AS priority, coalesce(nullif(document_type, ''), 'Other') AS document_type, least(greatest(CASE WHEN r->>'confidence' <> 'high' THEN CAST(r->>'confidence' AS DOUBLE) END, CASE WHEN r->>'confidence' <> 'high' THEN 0.0 END), CASE WHEN r->>'confidence' <> 'high' THEN 1.0 END) AS confidence, 'alpha|beta' AS keywords, 'late' AS risks, 1 AS n_actions FROM (SELECT *, CAST({REPLY} AS JSON) AS r FROM ({LIB}))""",
     "json_decode_lists": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN source || '|' || lang ELSE '' END AS items FROM documents",
     "format_bytes": f"SELECT doc_id, CASE WHEN p = 0 THEN printf('%.0f B', x) ELSE printf(CASE WHEN x / pow(1024, p) >= 10 THEN '%.0f ' ELSE '%.1f ' END, x / pow(1024, p)) || (['KB', 'MB', 'GB'])[p] END AS size FROM (SELECT doc_id, CAST({SIZE} AS DOUBLE) AS x, CASE WHEN {SIZE} < 1024 THEN 0 WHEN {SIZE} < 1048576 THEN 1 WHEN {SIZE} < 1073741824 THEN 2 ELSE 3 END AS p FROM documents)",
-    "relative_time": f"SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN m < 1440 THEN (m // 60) || ' hr ago' WHEN m < 43200 THEN (m // 1440) || ' day' || CASE WHEN m // 1440 = 1 THEN '' ELSE 's' END || ' ago' ELSE strftime(uploaded_at, '%d %b %Y') END AS \"when\" FROM (SELECT id, uploaded_at, {MINUTES} AS m FROM ({LIB}))",
+    "relative_time": f"""SELECT id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min ago' WHEN h < 24 THEN h || ' hr ago' WHEN d = 1 THEN '1 day ago' WHEN d < 30 THEN d || ' days ago' ELSE strftime(uploaded_at, '%d %b %Y') END AS "when"
+FROM (SELECT *, CAST(floor(h / 24.0 + 0.5) AS BIGINT) AS d FROM (SELECT *, CAST(floor(m / 60.0 + 0.5) AS BIGINT) AS h FROM (SELECT id, uploaded_at, CAST(floor(date_diff('millisecond', uploaded_at, {AS_OF}) / 60000.0 + 0.5) AS BIGINT) AS m FROM ({LIB}))))""",
     "ingest_batch_text": f"SELECT 'analysis_complete' AS status, 'Unassigned' AS department, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS words, sha256({strip('text')}) AS digest FROM benchmark",
 }
+ORACLES |= {
+    "search_analysed": SEARCH_ANALYSED,
+    "rule_blob": f"SELECT id, length(search_blob) AS n, sha256(search_blob) AS digest, action_count, deadline_count FROM ({ANALYSED})",
+    "llm_fallback": FALLBACK,
+    "extract_files": EXTRACT,
+    "page_table": PAGE_TABLE,
+    "filter_in_progress": ids("status NOT IN ('analysis_complete', 'failed')"),
+    "json_encode_lists": per_document(items="'[' || to_json(source)::VARCHAR || ', ' || to_json(substr(text, 1, 30))::VARCHAR || ', ' || to_json('é \"q\" \\')::VARCHAR || ']'"),
+    "store_lifecycle": f"SELECT item_id, CASE WHEN item_id % 6 = 0 THEN 'back' ELSE 'again' END AS uploaded_by, 'analysis_complete' AS status, sha256({strip('text')}) AS digest, 1 AS pages FROM benchmark WHERE item_id % 3 <> 0 OR item_id % 6 = 0",
+}
 ORACLES["ingest_stream_text"] = ORACLES["ingest_batch_text"]

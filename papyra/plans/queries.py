@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,10 @@ from papyra.functions import text as t
 from papyra.functions import vocabulary as v
 from papyra.operators import display, facets, rules, search
 from papyra.operators.search import SearchParams, SearchSpec
+from papyra.plans.workers import checkpointed, small_batches
+from papyra.sources import files
 from papyra.sources import library as lib
+from papyra.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 P = SearchParams.of
@@ -71,12 +75,18 @@ def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.agg(*kept)
 
 
+HIGHLIGHTED = ["The", "he", "inspection", "a", "100%"]
+
+
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = lib.library(spark, sf_dir).select("id", F.posexplode(display.highlighted(F.col("extracted_text"), ["the", "inspection"])).alias("at", "part"))
-    return parts.where("part.hit").groupBy("id").agg(F.count("*").alias("hits"))
+    """Hits in whole texts, and the snippet with its hits in brackets."""
+    hits = F.filter(display.highlighted(F.col("extracted_text"), HIGHLIGHTED), lambda p: p["hit"])
+    shown = display.highlighted(search.snippet(F.col("extracted_text"), ["inspection", "the"]), HIGHLIGHTED)
+    marked = F.array_join(F.transform(shown, lambda p: F.when(p["hit"], F.concat(F.lit("["), p["text"], F.lit("]"))).otherwise(p["text"])), "")
+    return lib.library(spark, sf_dir).select("id", F.size(hits).cast("long").alias("hits"), marked.alias("snippet")).where("hits > 0")
 
 
-REPLY = """concat('{"title":"  Review of ', filename, ' ","department":"', department, '","priority":"p', CAST(id % 4 AS INT), '","document_type":"', lower(document_type), '","keywords":["  Alpha","BETA "],"risks":["", " late "],"actions":[{"action":" check ","owner":" x ","priority":"urgent"},{"action":" "}],"confidence":"', CAST(id % 3 AS INT), '.5"}')"""
+REPLY = """concat('{"title":"  Review of ', filename, ' ","department":"', department, '","priority":"p', CAST(id % 4 AS INT), '","document_type":"', lower(document_type), '","keywords":["  Alpha","BETA "],"risks":["", " late "],"actions":[{"action":" check ","owner":" x ","priority":"urgent"},{"action":" "}],"confidence":"', CASE WHEN id % 5 = 0 THEN 'high' WHEN id % 7 = 0 THEN '-0.25' ELSE concat(CAST(id % 3 AS INT), '.5') END, '"}')"""
 
 
 def llm_postprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +101,82 @@ def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.array_join(F.coalesce(F.from_json(raw, F.lit("array<string>")), F.array().cast("array<string>")), "|").alias("items"))
 
 
+def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The library with its departments, types and priorities by the rule engine, ready for search."""
+    rows = lib.library(spark, sf_dir).drop("search_blob")
+    rows = rules.analysed(rows).withColumns({
+        "file_ext": t.file_extension(F.col("filename")), "size_bytes": F.octet_length("extracted_text").cast("long"), "word_count": t.word_count(F.col("extracted_text")).cast("long"),
+        "language": t.language(F.col("extracted_text")), "processed_at": F.col("uploaded_at"), "status_detail": F.lit("Analysed with rule engine"), "analysis_engine": F.lit("rule-based"),
+    })
+    return rules.searchable(rows)
+
+
+def search_analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis and search from texts to a page of results: rows are analysed once, written, and searched like a store."""
+    rows = checkpointed(analysed(spark, sf_dir))
+    found = search.search(rows, lib.ANALYSED, P("inspection safety", {"priority": "High,Medium"}, page_size=100))
+    return found.withColumns({"keywords": t.json_list(F.col("keywords")), "total": search.total(rows, lib.ANALYSED, P("inspection safety", {"priority": "High,Medium"})).scalar()})
+
+
+def rule_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysed(spark, sf_dir).select("id", F.length("search_blob").cast("long").alias("n"), F.sha2("search_blob", 256).alias("digest"), "action_count", "deadline_count")
+
+
+FAILED = "CASE WHEN id % 6 = 2 THEN 'TimeoutError' END"
+
+
+def llm_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's replies for some rows, unreadable ones, errors and none for others; without text nothing is asked."""
+    rows = lib.library(spark, sf_dir).selectExpr("id", "filename", "document_type", "department", "CASE WHEN id % 11 = 0 THEN ' ' ELSE extracted_text END AS extracted_text")
+    rows = rows.selectExpr("*", f"CASE id % 6 WHEN 0 THEN {REPLY} WHEN 1 THEN {REPLY} WHEN 3 THEN 'no json' END AS reply", f"{FAILED} AS failure")
+    return rules.with_fallback(rows, "reply", "failure").select("id", "department", "priority", "title", "analysis_engine", "analysis_error")
+
+
+#: Invented files, from the documents: what follows from doc_id is their kind; page 2 and 3 of a PDF are scans, the third with nothing to recognise.
+KINDS = ("txt", "docx", "pdf", "png", "exe", "csv", "log", "pdf")
+
+
+def _file(kind: str, text: str) -> bytes:
+    """Content of an invented file; a PDF here is its pages with form feeds between, an image its text."""
+    if kind == "docx":
+        return files.docx_of(text.split("\n"), [["a", " ", text[:20].strip() or "b"]])
+    return "\f".join((text[:300], "p2", "page three")).encode() if kind == "pdf" else text.encode()
+
+
+def _recognised(text: str) -> tuple[str, float | None]:
+    """A recogniser that is the surer the longer a word is, and not at all of single characters."""
+    return files.ocr_text([(w, -1.0 if len(w) == 1 else min(100.0, 10.0 * len(w))) for w in text.split(" ")])
+
+
+def _invented_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+
+    def run(batches):
+        for batch in batches:
+            made = [_file(KINDS[i % 8], x or "") if i % 50 != 9 else b"" for i, x in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
+            paths = [f"/in/{i}/Note of {i}.{KINDS[i % 8].upper() if i % 3 == 0 else KINDS[i % 8]}" for i in batch["doc_id"].to_pylist()]
+            lengths = [files.MOST_BYTES + 1 if i % 50 == 8 else len(m) for i, m in zip(batch["doc_id"].to_pylist(), made, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(lengths, pa.int64()), pa.array(made, pa.binary())], names=["path", "length", "content"])
+
+    return documents(spark, sf_dir).select("doc_id", "text").mapInArrow(run, "path string, length long, content binary")
+
+
+DECODERS = {
+    "PDF": lambda content: files.with_ocr(p := content.decode().split("\f"), lambda i: _recognised(p[0][:200]) if i == 1 else ("x", 50.0)),
+    "IMAGE": lambda content: [((seen := _recognised(content.decode()[:400]))[0], True, seen[1])],
+}
+
+
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.extract(_invented_files(spark, sf_dir), DECODERS)
+    return rows.select("filename", "file_type", "file_ext", "page_count", "ocr_used", "ocr_quality", "extraction_method", F.sha2("extracted_text", 256).alias("digest"), F.col("word_count").cast("long").alias("words"), "warnings", "reason")
+
+
+def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = files.extract(_invented_files(spark, sf_dir), DECODERS).withColumn("id", F.regexp_extract("path", "^/in/([0-9]+)/", 1).cast("long"))
+    return ingest.pages(rows).select("document_id", "page_number", F.sha2("text", 256).alias("digest"), F.col("char_count").cast("long").alias("char_count"), "ocr_used", "ocr_confidence")
+
+
 def _joined(c: Column | str) -> Column:
     return F.array_join(c, "|")
 
@@ -100,9 +186,7 @@ NOW = datetime(2024, 3, 30, 12)
 
 
 def ingested(stream: bool) -> Query:
-    from papyra.streaming.ingest import demo
-
-    return lambda spark, sf_dir: demo(spark, sf_dir, stream)
+    return lambda spark, sf_dir: ingest.demo(spark, sf_dir, stream)
 
 
 QUERIES: dict[str, Query] = {
@@ -158,14 +242,14 @@ QUERIES: dict[str, Query] = {
     "text_phrase_count": per_entry({n: (lambda w=w: t.phrase_count(t.tagged(F.col("extracted_text")), w).cast("long")) for n, w in (("the", "the"), ("of_the", "of the"), ("subject", "subject:"), ("safety", "safety"))}),
     "rule_department": ruled((rules.with_department,), lambda: F.col("department")),
     "rule_secondary": ruled((rules.with_department,), lambda: _joined("secondary_departments").alias("secondary")),
-    "rule_doc_type": ruled((), lambda: rules.document_type(F.col("_tags")).alias("document_type")),
+    "rule_doc_type": ruled((), lambda: rules.document_type(F.col("_hits")).alias("document_type")),
     "rule_priority": ruled((rules.with_department, rules.with_priority), lambda: F.col("priority")),
     "rule_keywords": ruled((rules.with_terms,), lambda: _joined(F.slice("_terms", 1, rules.KEYWORDS)).alias("keywords")),
     "rule_summary": ruled((rules.with_terms, rules.with_sentences, rules.with_summary), lambda: F.col("summary"), lambda: _joined("key_points").alias("key_points")),
     "rule_actions": ruled((rules.with_department, rules.with_priority, rules.with_sentences), lambda: _joined(F.transform(rules.actions(), lambda a: F.concat_ws("~", a["action"], a["owner"], a["due_date"], a["priority"]))).alias("actions")),
     "rule_deadlines": ruled((rules.with_sentences,), lambda: _joined(F.transform(rules.deadlines(), lambda a: F.concat_ws("~", a["date"], a["description"]))).alias("deadlines")),
     "rule_risks": ruled((rules.with_sentences,), lambda: _joined(rules.risks()).alias("risks")),
-    "rule_flags": ruled((), lambda: _joined(rules.flags(F.col("_tags"))).alias("flags")),
+    "rule_flags": ruled((), lambda: _joined(rules.flags(F.col("_hits"))).alias("flags")),
     "rule_title": ruled((rules.with_title,), lambda: F.col("title")),
     "rule_confidence": ruled((rules.with_department,), lambda: rules.confidence(F.col("_body"), F.col("_top")).alias("confidence")),
     "normalise_department": lambda s, d: documents(s, d).select("doc_id", v.normalise_department(F.expr(CASES)).alias("department")),
@@ -176,6 +260,14 @@ QUERIES: dict[str, Query] = {
     "json_decode_lists": json_lists,
     "format_bytes": per_document({"size": lambda: display.format_bytes(F.col("n_chars") * F.col("n_chars"))}),
     "relative_time": per_entry({"when": lambda: display.relative_time(F.col("uploaded_at"), NOW)}),
+    "search_analysed": search_analysed,
+    "rule_blob": rule_blob,
+    "llm_fallback": llm_fallback,
+    "extract_files": extracted,
+    "page_table": page_table,
+    "filter_in_progress": lambda s, d: lib.library(s, d).where(facets.in_progress(F.col("status"))).select("id"),
+    "json_encode_lists": per_document({"items": lambda: t.json_list(F.array("source", F.substring("text", 1, 30), F.lit('é "q" \\')))}),
+    "store_lifecycle": ingest.lifecycle,
     "ingest_batch_text": ingested(False),
     "ingest_stream_text": ingested(True),
 }

@@ -1,4 +1,4 @@
-"""Python workers get this package from the driver, whether or not their machines have it."""
+"""What jobs need of the cluster: this package on its Python workers, and a shared folder for rows between jobs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +23,27 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(top.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder and read from there.
+
+    A folder of our own is set only in a single-process session that has none.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
+#: Of one Arrow batch: few rows, as single ones may be long, and a bound in bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """The package on the workers, and batches for Python that stay small whatever the length of rows; both hold for the session from then on."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

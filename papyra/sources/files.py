@@ -1,8 +1,9 @@
 """Documents from files: text, DOCX and, where a decoder is installed, PDF and images.
 
-Files are read as binary rows. Text is decoded by column expressions; DOCX by
-the standard library, in batches on the executors; PDF and image decoders are
-plugged in by kind. Files that cannot be read become rejects with a reason.
+Files are read as binary rows, once: one pass over them in small batches decodes
+text and DOCX by the standard library, PDF and images by decoders that are plugged
+in by kind. A file is one row throughout, its pages an array, so nothing is
+shuffled. Files that cannot be read become rejects with a reason.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import text as t
-from papyra.plans.workers import ship
+from papyra.plans.workers import small_batches
 
 # Supported extensions and limits.
 TEXT_EXTENSIONS = ("txt", "md", "csv", "log", "json")
@@ -63,68 +64,114 @@ def docx_pages(content: bytes) -> list[tuple[str, bool, float | None]]:
     return [("\n".join(lines), False, None)]
 
 
+def docx_of(paragraphs: list[str], rows: list[list[str]]) -> bytes:
+    """A plain document of paragraphs and a table, such as docx_pages() reads."""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+    def put(parent, text: str) -> None:
+        ElementTree.SubElement(ElementTree.SubElement(ElementTree.SubElement(parent, f"{w}p"), f"{w}r"), f"{w}t").text = "".join(c for c in text if c >= " " or c == "\t")
+
+    top = ElementTree.Element(f"{w}document")
+    body = ElementTree.SubElement(top, f"{w}body")
+    for text in paragraphs:
+        put(body, text)
+    table = ElementTree.SubElement(body, f"{w}tbl")
+    for cells in rows:
+        row = ElementTree.SubElement(table, f"{w}tr")
+        for text in cells:
+            put(ElementTree.SubElement(row, f"{w}tc"), text)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("word/document.xml", ElementTree.tostring(top, "utf-8"))
+    return data.getvalue()
+
+
+def text_pages(content: bytes) -> list[tuple[str, bool, float | None]]:
+    return [(content.decode("utf-8", "replace"), False, None)]
+
+
 def ocr_text(tokens: list[tuple[str, float]]) -> tuple[str, float | None]:
     """Text of recognised words and their mean confidence; negative confidences do not count."""
-    sure = [c for w, c in tokens if w.strip() and c >= 0]
-    return " ".join(w for w, _ in tokens if w.strip()), round(sum(sure) / len(sure), 1) if sure else None
+    words = [(w.strip(), c) for w, c in tokens if w.strip()]
+    sure = [c for _, c in words if c >= 0]
+    return " ".join(w for w, _ in words), round(sum(sure) / len(sure), 1) if sure else None
+
+
+def _clean(text: str) -> str:
+    """functions.text.clean() for what is compared before it is a row."""
+    return re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", text.replace("\0", " "))).strip()
 
 
 def with_ocr(native: list[str], recognise: Callable[[int], tuple[str, float | None]] | None, budget: int = OCR_PAGES) -> list[tuple[str, bool, float | None]]:
     """Pages; those with hardly any text of their own are recognised while the budget lasts, and that kept if longer."""
     pages: list[tuple[str, bool, float | None]] = []
-    for number, text in enumerate(native):
+    for number, text in enumerate(map(_clean, native)):
         page: tuple[str, bool, float | None] = (text, False, None)
-        if len(text.strip()) < SCANNED_CHARS and recognise and budget > 0:
+        if len(text) < SCANNED_CHARS and recognise and budget > 0:
             budget -= 1
             seen, sure = recognise(number)
-            if len(seen) > len(text.strip()):
-                page = (seen, True, sure)
+            if len(_clean(seen)) > len(text):
+                page = (_clean(seen), True, sure)
         pages.append(page)
     return pages
 
 
-def decoded_pages(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
-    """path, page_number, text, ocr_used, ocr_confidence, error for the kinds that need a decoder: a row per page, one with an error for a file that fails."""
-    ship(files.sparkSession)
-    plugged = {"DOCX": docx_pages, **(decoders or {})}
+_PAGES = "array<struct<page_number:int,text:string,ocr_used:boolean,ocr_confidence:double>>"
+
+
+def _decoded(files: DataFrame, decoders: dict[str, Decoder]) -> DataFrame:
+    """files with pages and error in place of content. Refused files have no content and no pages, as have images where there is no decoder."""
+    small_batches(files.sparkSession)
+    plugged = {"TXT": text_pages, "DOCX": docx_pages, "IMAGE": lambda content: [], **decoders}
+    names = [c for c in files.columns if c != "content"]
+    kinds = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string()), ("ocr_used", pa.bool_()), ("ocr_confidence", pa.float64())]))
+
+    def pages_of(kind: str, content: bytes | None) -> tuple[list, str | None]:
+        if content is None:
+            return [], None
+        try:
+            if kind not in plugged:
+                raise ValueError(f"no decoder for {kind} files")
+            return [(i, *page) for i, page in enumerate(plugged[kind](content), 1)], None
+        except Exception as e:
+            return [], str(e)[:1000] or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "page_number", "text", "ocr_used", "ocr_confidence", "error"]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.float64(), pa.string()]
         for batch in batches:
-            rows = []
-            for path, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                try:
-                    if kind not in plugged:
-                        raise ValueError(f"no decoder for {kind} files")
-                    rows += [(path, i, x, o, c, None) for i, (x, o, c) in enumerate(plugged[kind](content), 1)]
-                except Exception as e:
-                    rows.append((path, 0, "", False, None, str(e)[:1000] or type(e).__name__))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names=names)
+            found = [pages_of(kind.as_py(), content.as_py()) for kind, content in zip(batch["file_type"], batch["content"], strict=True)]
+            pages = pa.array([[dict(zip(("page_number", "text", "ocr_used", "ocr_confidence"), p, strict=True)) for p in pages] for pages, _ in found], kinds)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pages, pa.array([e for _, e in found], pa.string())], names=[*names, "pages", "error"])
 
-    wanted = files.select("path", t.file_type(F.col("path")).alias("kind"), "content")
-    return wanted.mapInArrow(run, "path string, page_number int, text string, ocr_used boolean, ocr_confidence double, error string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
+    return files.mapInArrow(run, f"{schema}, pages {_PAGES}, error string")
 
 
 def extract(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
-    """One row per file: path, filename, file_type, size_bytes, checksum, extracted_text, page_count, ocr_used, ocr_quality, extraction_method, language, word_count, char_count, reason (of a reject, else null)."""
-    facts = files.withColumns({"filename": t.safe_filename(F.col("path")), "file_type": t.file_type(F.col("path")), "checksum": F.sha2("content", 256), "size_bytes": F.col("length"), "refused": gate()})
-    plain = facts.where((F.col("file_type") == "TXT") & F.col("refused").isNull()).withColumn("extracted_text", t.clean(F.make_valid_utf8(F.col("content").cast("string"))))
-    plain = plain.select("path", "extracted_text", F.lit(1).alias("page_count"), F.lit(False).alias("ocr_used"), F.lit(None).cast("double").alias("ocr_quality"), F.lit("text").alias("extraction_method"), F.lit(None).cast("string").alias("error"))
-    pages = decoded_pages(facts.where((F.col("file_type") != "TXT") & F.col("refused").isNull()), decoders)
-    gathered = pages.groupBy("path").agg(
-        F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: F.trim(p["text"]) != ""), lambda p: p["text"]), "\n\n").alias("text"),
-        F.count_if(F.col("error").isNull()).cast("int").alias("pages"), F.count_if("ocr_used").alias("scanned"), F.round(F.avg("ocr_confidence"), 1).alias("ocr_quality"), F.max("error").alias("error"),
-    )
-    gathered = gathered.join(facts.select("path", "file_type"), "path").withColumn("extracted_text", t.clean(F.col("text")))
-    words = t.word_count(F.col("extracted_text"))
+    """One row per file: path, filename, file_type, file_ext, size_bytes, checksum, extracted_text, pages, page_count, ocr_used, ocr_quality, extraction_method, language, word_count, char_count, warnings, reason (of a reject, else null)."""
+    decoders, path = decoders or {}, F.col("path")
+    facts = files.select("path", t.safe_filename(path).alias("filename"), t.file_type(path).alias("file_type"), t.file_extension(path).alias("file_ext"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"), gate().alias("refused"), F.when(gate().isNull(), F.col("content")).alias("content"))
+    rows = _decoded(facts, decoders)
+    pdf, docx, image = (F.col("file_type") == k for k in ("PDF", "DOCX", "IMAGE"))
+    clean = F.transform("pages", lambda p: p.withField("text", t.clean(p["text"])))
+    rows = rows.withColumn("pages", F.filter(clean, lambda p: pdf | image | (p["text"] != "")))
+    joined = F.array_join(F.transform(F.filter("pages", lambda p: p["text"] != ""), lambda p: p["text"]), "\n\n")
+    rows = rows.withColumns({"extracted_text": t.clean(joined), "_scanned": F.filter("pages", lambda p: p["ocr_used"])})
+    words, scanned = t.word_count(F.col("extracted_text")), F.size("_scanned")
     by_words = F.when(words > 0, F.greatest(F.lit(1), F.bround(words / PAGE_WORDS).cast("int")))
-    method = F.when(F.col("file_type") == "DOCX", "docx").when(F.col("file_type") == "IMAGE", "ocr").when(F.col("scanned") == 0, "pdf-text").when(F.col("scanned") < F.col("pages"), "pdf-text+ocr").otherwise("ocr")
-    rich = gathered.select("path", "extracted_text", F.when(F.col("file_type") == "DOCX", by_words).otherwise(F.col("pages")).alias("page_count"), (F.col("scanned") > 0).alias("ocr_used"), "ocr_quality", method.alias("extraction_method"), "error")
-    read = plain.unionByName(rich)
-    rows = facts.drop("content", "length", "modificationTime").join(read, "path", "left").withColumn("reason", F.coalesce("refused", "error")).drop("refused", "error")
-    body = F.coalesce("extracted_text", F.lit(""))
-    return rows.withColumns({"extracted_text": body, "language": t.language(body), "word_count": t.word_count(body), "char_count": F.length(body)})
+    sure = F.filter(F.transform("_scanned", lambda p: p["ocr_confidence"]), lambda c: c.isNotNull())
+    read = F.coalesce("refused", "error").isNull()
+    empty = F.col("extracted_text") == ""
+    nothing = F.when(image, "No readable text was found in this image." if "IMAGE" in decoders else "OCR is unavailable on this server; image text was not read.")
+    nothing = nothing.when(pdf, "No text could be extracted from this PDF, even with OCR." if "IMAGE" in decoders else "This PDF has no text layer and OCR is unavailable on this server.")
+    rows = rows.withColumns({
+        "page_count": F.when(read, F.when(docx, by_words).when(pdf, F.size("pages")).otherwise(1)),
+        "ocr_used": scanned > 0,
+        "ocr_quality": F.round(F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.nullif(F.size(sure), F.lit(0)), 1),
+        "extraction_method": F.when(read, F.when(docx, "docx").when(image, "ocr").when(~pdf, "plain-text").when(scanned == 0, "pdf-text").when(scanned < F.size("pages"), "pdf-text+ocr").otherwise("ocr")),
+        "language": t.language(F.col("extracted_text")), "word_count": words, "char_count": F.length("extracted_text"),
+        "warnings": F.when(read & empty, nothing), "reason": F.coalesce("refused", "error"),
+    })
+    return rows.drop("refused", "error", "_scanned")
 
 
 def decoders_available() -> dict[str, bool]:

@@ -74,7 +74,7 @@ LIBRARY = SearchSpec(
     labels={"status": v.STATUS_LABELS},
     projection=("filename", "file_type", "department", "priority", "document_type", "page_count", "uploaded_at"),
 )
-#: A library of analysed documents, whose title, keywords and summary weigh too.
+#: A library of analysed documents, whose title, keywords and summary weigh too, with all that a list of results shows.
 ANALYSED = SearchSpec(
     id="id",
     weights={"filename": 50, "title": 34, "document_type": 40, "department": 30, "keywords_text": 26, "summary": 20, "extracted_text": 10},
@@ -85,7 +85,7 @@ ANALYSED = SearchSpec(
     text="extracted_text",
     rank="priority",
     labels=LIBRARY.labels,
-    projection=("filename", "title", "department", "priority", "document_type"),
+    projection=("filename", "title", "file_type", "file_ext", "size_bytes", "uploaded_at", "processed_at", "status", "status_detail", "page_count", "word_count", "language", "ocr_used", "ocr_quality", "document_type", "department", "priority", "summary", "keywords", "action_count", "deadline_count", "analysis_engine"),
 )
 ORDERS = SearchSpec("o_orderkey", {"o_orderpriority": 30, "o_orderstatus": 10}, ("o_orderpriority", "o_orderstatus"), {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority"}, "o_orderdate", rank="o_orderpriority", ranks=(("1-URGENT", "2-HIGH"), ("3-MEDIUM",)), projection=("o_orderpriority", "o_orderdate"))
 PARTS = SearchSpec("p_partkey", {"p_name": 50, "p_type": 40, "p_brand": 30}, ("p_name", "p_type", "p_brand"), {"p_brand": "p_brand", "p_type": "p_type"}, name="p_name", projection=("p_name", "p_brand"))

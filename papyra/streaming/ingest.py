@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,20 +18,35 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as t
 from papyra.operators import rules
+from papyra.plans.workers import checkpointed
 from papyra.sources import files as f
 
-LOW_OCR = "Low OCR quality: check the text."
+LOW_OCR = "OCR confidence is low; verify details against the original document."
+#: Superseded and deleted rows up to which they are broadcast to a reader; beyond that rows are joined by a shuffle.
+MOST_STALE = 500_000
 
 
-def documents(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: datetime | None = None) -> DataFrame:
-    """Analysed documents of files: extraction, rules, status and search blob. Rejects have status failed and a message."""
+def documents(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: datetime | None = None, replies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Analysed documents of files: extraction, rules, status and search blob. Rejects have status failed and a message.
+
+    replies adds columns reply (JSON of a model) and error to the rows; without it the rules judge all.
+    """
     now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") if as_of else F.to_timestamp_ntz(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
     rows = f.extract(files, decoders).withColumns({"id": F.xxhash64("path"), "uploaded_by": F.lit(uploaded_by), "uploaded_at": now, "stored_filename": F.concat(F.substring("checksum", 1, 32), F.lit("_"), F.col("filename"))})
-    rows = rules.analysed(rows)
     failed = F.col("reason").isNotNull()
+    if replies:
+        rows = rules.with_fallback(replies(rows), "reply", "error").drop("reply", "error")
+    else:
+        rows = rules.analysed(rows).withColumns({"analysis_engine": F.lit("rule-based"), "analysis_error": F.lit("")})
     low = F.coalesce(F.col("ocr_used") & (F.col("ocr_quality") < 70), F.lit(False))
-    rows = rows.withColumns({"status": F.when(failed, "failed").otherwise("analysis_complete"), "error_message": F.left(F.concat_ws(" ", "reason", F.when(low, LOW_OCR)), F.lit(1000)), "analysis_engine": F.when(~failed, "rule-based")})
-    return rows.withColumn("search_blob", rules.search_blob()).drop("reason")
+    rows = rows.withColumns({
+        "status": F.when(failed, "failed").otherwise("analysis_complete"),
+        "status_detail": F.when(failed, "Text extraction failed").when(F.col("analysis_engine") == "model", "Analysed with a model").otherwise("Analysed with rule engine"),
+        "error_message": F.left(F.concat_ws(" ", "reason", "warnings", F.when(low, LOW_OCR)), F.lit(1000)),
+        "analysis_engine": F.when(~failed, F.col("analysis_engine")),
+        "processed_at": F.when(~failed, F.col("uploaded_at")),
+    })
+    return rows.withColumn("search_blob", rules.search_blob()).drop("reason", "warnings")
 
 
 def ingest(spark: SparkSession, source: str, store: str, **options) -> str:
@@ -52,18 +68,30 @@ def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def _stale(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """id and batch of rows that a later one stands in for or that are deleted; no text is read."""
+    known = rows.select("id", "batch", "uploaded_at")
+    order = Window.partitionBy("id").orderBy(F.col("uploaded_at").desc(), F.col("batch").desc())
+    known = known.withColumn("n", F.row_number().over(order))
+    if gone is None:
+        return known.where("n > 1").select("id", "batch")
+    last = gone.groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
+    return known.join(last, "id", "left").where("n > 1 OR deleted_at >= uploaded_at").select("id", "batch")
+
+
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """The latest row of each document that is not deleted."""
+    """The latest row of each document that is not deleted. Ids are compared without texts; these are shuffled only if very many rows are stale."""
     rows = spark.read.option("mergeSchema", "true").parquet(f"{store}/documents")
-    latest = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("uploaded_at").desc(), F.col("batch").desc()))).where("_n = 1").drop("_n", "batch")
+    rows = rows.withColumn("batch", F.col("batch").cast("string"))
     try:
         gone = spark.read.parquet(f"{store}/deleted")
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return latest
-    gone = gone.groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
-    return latest.join(gone, (latest["id"] == gone["id"]) & (gone["deleted_at"] >= latest["uploaded_at"]), "left_anti")
+        gone = None
+    stale = checkpointed(_stale(rows, gone))
+    few = stale.count() <= MOST_STALE
+    return rows.join(F.broadcast(stale) if few else stale, ["id", "batch"], "left_anti").drop("batch")
 
 
 def delete(spark: SparkSession, store: str, ids: list[int], as_of: datetime | None = None) -> None:
@@ -72,19 +100,43 @@ def delete(spark: SparkSession, store: str, ids: list[int], as_of: datetime | No
     rows.select("id", F.col("at").cast("timestamp_ntz").alias("deleted_at")).write.mode("append").parquet(f"{store}/deleted")
 
 
-def pages(text_rows: DataFrame) -> DataFrame:
-    """The page table of documents that were read whole: one page each."""
-    return text_rows.where("extracted_text <> ''").select(F.col("id").alias("document_id"), F.lit(1).alias("page_number"), F.col("extracted_text").alias("text"), F.length("extracted_text").alias("char_count"))
+def pages(rows: DataFrame) -> DataFrame:
+    """The page table of documents: as the pages are part of their rows, those of a document go and come with it."""
+    page = F.explode("pages").alias("page")
+    return rows.select(F.col("id").alias("document_id"), page).select("document_id", "page.page_number", "page.text", F.length("page.text").alias("char_count"), "page.ocr_used", "page.ocr_confidence")
 
 
-def demo(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
-    """The benchmark table's texts, a file each, ingested and read back."""
+def _benchmark_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the benchmark table's texts, a file each."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ingest-')}"
     folder = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(f"{folder}/in")
+    return folder
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("status", "department", t.word_count(F.col("extracted_text")).cast("long").alias("words"), F.sha2("extracted_text", 256).alias("digest"))
+
+
+def demo(spark: SparkSession, sf_dir: str, stream: bool) -> DataFrame:
+    """The benchmark table's texts, a file each, ingested and read back."""
+    folder = _benchmark_files(spark, sf_dir)
     if stream:
         ingest_stream(spark, f"{folder}/in", f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
     else:
         ingest(spark, f"{folder}/in", f"{folder}/store")
-    found = read_store(spark, f"{folder}/store")
-    return found.select("status", "department", t.word_count(F.col("extracted_text")).cast("long").alias("words"), F.sha2("extracted_text", 256).alias("digest"))
+    return _shown(read_store(spark, f"{folder}/store"))
+
+
+def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark table's texts ingested, all again by another uploader, one in three deleted, and one in six of all ingested once more."""
+    folder = _benchmark_files(spark, sf_dir)
+    files, store = f.read_files(spark, f"{folder}/in"), f"{folder}/store"
+    item = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
+    for day, name, some in ((1, "first", files), (2, "again", files), (4, "back", files.where(item % 6 == 0))):
+        documents(some, uploaded_by=name, as_of=datetime(2024, 1, day)).write.parquet(f"{store}/documents/batch={day}")
+        if day == 2:
+            gone = files.where(item % 3 == 0).select(F.xxhash64("path").alias("id"), F.lit("2024-01-03").cast("timestamp_ntz").alias("deleted_at"))
+            gone.write.parquet(f"{store}/deleted")
+    rows = read_store(spark, store)
+    return rows.select(item.alias("item_id"), "uploaded_by", "status", F.sha2("extracted_text", 256).alias("digest"), F.size("pages").cast("long").alias("pages"))

@@ -91,3 +91,89 @@ def test_highlights_of_whole_texts(spark, monkeypatch):
     texts = spark.createDataFrame([(7, "word " * 100 + "Inspection"), (8, late), (9, "none")], "id long, extracted_text string")
     monkeypatch.setattr(lib, "library", lambda spark, sf_dir: texts)
     assert {r.id: r.hits for r in queries.highlights(spark, "").collect()} == {7: 1, 8: 3}
+
+
+def test_highlights_take_the_first_term_at_a_place(spark):
+    from papyra.operators import display
+
+    def parts(text, terms):
+        row = spark.createDataFrame([(text,)], "t string").select(display.highlighted(F.col("t"), terms).alias("p")).first()
+        return [(p["text"], p["hit"]) for p in row.p]
+
+    assert parts("On the way", ["the", "he"]) == [("On ", False), ("the", True), (" way", False)]
+    assert parts("On the way", ["he", "th", "the", "a"]) == [("On ", False), ("th", True), ("e way", False)]
+    assert parts("A.B (x) a.b", [" a.B ", "(X)"]) == [("A.B", True), (" ", False), ("(x)", True), (" ", False), ("a.b", True)]
+    assert parts("short", ["s"]) == [("short", False)] and parts("", ["the"]) == []
+    long = "y" * 300
+    assert parts(f"a {long} bb", [long.upper(), "bb"]) == [("a ", False), (long, True), (" ", False), ("bb", True)]
+
+
+def test_relative_time_rounds(spark):
+    from datetime import datetime, timedelta
+
+    from papyra.operators import display
+
+    now = datetime(2024, 3, 30, 12)
+    said = {29: "just now", 30: "1 min ago", 90: "2 min ago", 59 * 60 + 29: "59 min ago", 59 * 60 + 30: "1 hr ago", 90 * 60: "2 hr ago", 23 * 3600 + 30 * 60: "1 day ago", 36 * 3600: "2 days ago", 29 * 86400: "29 days ago", 30 * 86400: "29 Feb 2024", -5: "just now"}
+    rows = spark.createDataFrame([(s, now - timedelta(seconds=s)) for s in said] + [(0, None)], "s int, t timestamp_ntz")
+    got = {r.s: r.w for r in rows.select("s", display.relative_time(F.col("t"), now).alias("w")).collect()}
+    assert got == {**said, 0: "—"}
+
+
+def test_confidence_of_what_is_no_number(spark):
+    rows = spark.createDataFrame([("abc",), (None,), ("-3",), ("0.456",), (" 2 ",)], "c string")
+    assert [r[0] for r in rows.select(rules.as_confidence(F.col("c"))).collect()] == [None, None, 0.0, 0.46, 1.0]
+
+
+def test_page_numbers_and_the_address_of_a_search():
+    from papyra.operators.search import Paging, SearchParams, shown_terms
+
+    assert Paging(61, 4, 10).window() == [1, 2, 3, 4, 5, 6, 7] and Paging(0, 1, 10).window() == []
+    assert Paging(100, 1, 10).window() == [1, 2, None, 10] and Paging(100, 5, 10).window() == [1, None, 4, 5, 6, None, 10] and Paging(80, 7, 10).window() == [1, None, 6, 7, 8]
+    params = SearchParams.of('a "b c"', {"department": ["IT", "HR"]}, "week", page=3, page_size=50)
+    assert params.has_filters and not SearchParams.of("x").has_filters
+    assert SearchParams.of_query(params.as_query(), ("department", "priority")) == params
+    assert SearchParams.of_query("page=-2&page_size=900&page_size=1", ("department",)) == SearchParams.of(page_size=100) and SearchParams.of_query("page=x", ()) == SearchParams.of()
+    assert params.filtered_by("department", []).filters == {} and params.filtered_by("priority", ["High"]).page == 1
+    assert params.active({"date_range": {"week": "Last 7 days"}}) == [("department", "IT", "IT"), ("department", "HR", "HR"), ("date_range", "week", "Last 7 days")]
+    assert shown_terms('The "big Dog" a "b') == ["The", "big Dog"]
+
+
+def test_phrases_of_one_scan_are_those_of_each(spark):
+    import re
+
+    words = ["safety circular", "safety", "circular no", "near miss", "subject:", "scale 1:", "unsafety", "x", "as-built", "33kv", "the", "circular no.", "miss near"]
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(words) + rng.choice((" ", ", ", "", "\n", "9")) for _ in range(20)) for _ in range(100)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", t.phrases_in(F.col("t"), rules.PHRASES).alias("hits"))
+    ask = ("safety circular", "safety", "near miss", "subject:", "scale 1:", "as-built", "33kv", "circular no")
+    got = df.select("t", *[rules.signal_count(F.col("hits"), [a]).alias(f"n{i}") for i, a in enumerate(ask)]).collect()
+    for r in got:
+        assert list(r)[1:] == [len(re.findall(rf"(?<![a-z0-9]){re.escape(a)}(?![a-z0-9])", r.t)) for a in ask]
+
+
+def test_fallback_to_the_rules(spark):
+    rows = [("a.txt", "Tender document", '{"title": "", "department": "signaling", "confidence": "no"}', None), ("b.txt", "Tender document", "{broken", None), ("c.txt", "Tender document", None, "TimeoutError"), ("d.txt", " ", '{"department": "HR"}', "X"), ("e.txt", "Tender document", None, None)]
+    got = rules.with_fallback(spark.createDataFrame(rows, "filename string, extracted_text string, reply string, error string"), "reply", "error").collect()
+    assert [(r.department, r.analysis_engine) for r in got] == [("Signalling & Telecom", "model"), ("Procurement", "rule-based"), ("Procurement", "rule-based"), ("Unassigned", "rule-based"), ("Procurement", "rule-based")]
+    assert [bool(r.analysis_error) for r in got] == [False, True, True, False, False] and "TimeoutError" in got[2].analysis_error
+    assert got[0].title == "Tender Document" or got[0].title == "Tender document"
+    assert got[0].analysis_confidence is None
+
+
+def test_files_that_are_refused_or_broken(spark):
+    from papyra.sources import files
+
+    docx = files.docx_of(["one", " ", "two"], [["a", " ", "b"], [" "]])
+    rows = [("/x/a.txt", 3, "é\0b".encode() + b"\xff"), ("/x/none.txt", 0, b""), ("/x/big.txt", files.MOST_BYTES + 1, b"x"), ("/x/t.exe", 2, b"MZ"), ("/x/d.docx", len(docx), docx), ("/x/broken.docx", 3, b"zip"), ("/x/p.pdf", 1, b"p"), ("/x/i.png", 1, b"i"), ("/x/noext", 1, b"n")]
+    got = {r.filename: r for r in files.extract(spark.createDataFrame(rows, "path string, length long, content binary")).collect()}
+    assert got["a.txt"].extracted_text == "é b\ufffd" and got["a.txt"].page_count == 1 and len(got["a.txt"].pages) == 1
+    assert {n: got[n].reason for n in ("none.txt", "big.txt", "t.exe", "noext")} == {"none.txt": "empty file", "big.txt": "over 40 MB", "t.exe": "unsupported type", "noext": "unsupported type"}
+    assert got["d.docx"].extracted_text == "one\ntwo\na | b" and got["d.docx"].page_count == 1
+    assert got["broken.docx"].reason and got["p.pdf"].reason == "no decoder for PDF files"
+    assert got["i.png"].reason is None and "OCR is unavailable" in got["i.png"].warnings
+    pages = files.with_ocr(["x" * 40, "", "short", "s"], lambda i: ("seen it all here", 80.0) if i != 2 else ("no", 9.0), budget=2)
+    assert [(p[1], p[2]) for p in pages] == [(False, None), (True, 80.0), (False, None), (False, None)]
+    assert files.extract(spark.createDataFrame([], "path string, length long, content binary")).count() == 0
