@@ -90,13 +90,20 @@ def has_phrase(tags: Column, phrases: Iterable[str]) -> Column:
     return found
 
 
+def _any_of(phrases: list[str]) -> str:
+    """A pattern for the longest of the phrases, of which those with a common beginning share it."""
+    by_first: dict[str, list[str]] = {}
+    for phrase in phrases:
+        by_first.setdefault(phrase[:1], []).append(phrase[1:])
+    ends = by_first.pop("", [])
+    parts = [re.sub(r"([^\w ])", r"\\\1", first) + _any_of(rest) for first, rest in sorted(by_first.items())]
+    return f"(?:{'|'.join(parts)}){'?' if ends else ''}" if len(parts) > 1 or parts and ends else "".join(parts)
+
+
 def phrases_in(text: Column, phrases: Iterable[str]) -> Column:
     """For each place where phrases occur whole the longest of them, lower-cased, in one scan. Those that this begins with occur there too (begins_with_phrase)."""
-    by_first: dict[str, list[str]] = {}
-    for phrase in sorted(phrases, key=lambda p: (-len(p), p)):
-        by_first.setdefault(phrase[0], []).append(re.sub(r"([^\w ])", r"\\\1", phrase[1:]))
-    either = "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by_first.items()))
-    return F.regexp_extract_all(F.lower(text), F.lit(f"(?<![a-z0-9])(?=({either})(?![a-z0-9]))"), F.lit(1))
+    whole = f"[^a-z0-9](?=({_any_of(sorted({*phrases}))})(?![a-z0-9]))"
+    return F.regexp_extract_all(F.lower(F.concat(F.lit("\n"), text)), F.lit(whole), F.lit(1))
 
 
 def begins_with_phrase(longer: str, phrase: str) -> bool:
