@@ -25,16 +25,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read from there.
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir says; a new one of this machine only in a single-process session that has none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix=prefix)}"
+    return found.rstrip("/")
+
 
-    A folder of our own is set only in a single-process session that has none.
-    """
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder and read from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints-"))
     return df.checkpoint()
 
 

@@ -8,7 +8,6 @@ take the latest row of each id that is not deleted.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as t
 from papyra.operators import rules
-from papyra.plans.workers import checkpointed
+from papyra.plans.workers import checkpointed, shared_folder
 from papyra.sources import files as f
 
 LOW_OCR = "OCR confidence is low; verify details against the original document."
@@ -108,8 +107,7 @@ def pages(rows: DataFrame) -> DataFrame:
 
 def _benchmark_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder with the benchmark table's texts, a file each."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='ingest-')}"
-    folder = f"{shared.rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark, 'ingest-')}/ingest-{uuid.uuid4().hex}"
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(f"{folder}/in")
     return folder
 
