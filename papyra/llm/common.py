@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.plans.workers import ship
+from papyra.plans.workers import checkpointed, small_batches
 
-#: Of one Arrow batch: few rows, as single texts may be long, and a bound in bytes.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+__all__ = ["checkpointed", "map_batches", "out", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,26 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches that stay small whatever the length of the texts."""
-    spark = df.sparkSession
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder and read from there.
-
-    A folder of our own is set only in a single-process session that has none.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
