@@ -7,7 +7,6 @@ sequences. No SQL can express the near duplicates, so ORACLE_SQL is None.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from papyra.llm import near_dup, packing, pii, quality
 from papyra.llm.common import text_or_empty
 from papyra.llm.queries import pii_secret
+from papyra.plans.workers import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +43,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir. Stages are written to spark.checkpoint.dir, in a session without one to a temporary folder of its own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The stages over the documents of sf_dir. Stages are written to spark.checkpoint.dir, in a local session without one to a temporary folder of its own."""
+    folder = f"{shared_folder(spark, 'pipeline-')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         result = stage(spark, docs, sf_dir)
