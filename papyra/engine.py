@@ -70,17 +70,16 @@ class Engine:
         return self._found(self._row(key).select(*[c.alias(n) for n, c in t.chunk(F.col("extracted_text"), offset, limit).items()]), key)
 
     def original(self, key: int) -> bytes:
-        path = self._found(self._row(key).select("path"), key)["path"]
-        return bytes(self._found(self.spark.read.format("binaryFile").load(path), key)["content"])
+        """The bytes of a document's file as they were landed."""
+        self._found(self._row(key).select("id"), key)
+        return bytes(self._found(ingest.originals(self.spark, self.store, [key]), key)["content"] or b"")
 
     def ingest(self, source: str, **options) -> str:
         return ingest.ingest(self.spark, source, self.store, **options)
 
     def reprocess(self, keys: list[int], **options) -> None:
-        """Read the files of these documents again; the new rows stand in for the old."""
-        paths = [r["path"] for r in self.documents().where(F.col("id").isin(*keys)).select("path").collect()]
-        for path in paths:
-            self.ingest(path, **options)
+        """Read the stored files of these documents again, in one batch; the new rows stand in for the old."""
+        ingest.reprocess(self.spark, self.store, keys, **options)
 
     def delete(self, keys: list[int]) -> None:
         ingest.delete(self.spark, self.store, keys)

@@ -192,9 +192,10 @@ def search_blob() -> Column:
 
 
 def searchable(df: DataFrame) -> DataFrame:
-    """Rows of analysed() with what a search over them reads: keywords_text, search_blob, action_count and deadline_count."""
+    """Rows of analysed() with what a search over them reads: keywords_text, action_count, deadline_count and, if they have none, search_blob."""
+    blob = {} if "search_blob" in df.columns else {"search_blob": search_blob()}
     counts = {f"{name}_count": F.greatest(F.size(f"{name}s"), F.lit(0)) for name in ("action", "deadline")}
-    return df.withColumns({"keywords_text": t.json_list(F.col("keywords")), "search_blob": search_blob(), **counts})
+    return df.withColumns({"keywords_text": t.json_list(F.col("keywords")), **blob, **counts})
 
 
 _LLM = "title string, document_type string, department string, secondary_departments array<string>, priority string, summary string, key_points array<string>, keywords array<string>, actions array<struct<action:string,owner:string,due_date:string,priority:string>>, deadlines array<struct<date:string,description:string>>, risks array<string>, compliance_flags array<string>, confidence string"

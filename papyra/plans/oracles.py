@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from papyra.functions import vocabulary as v
-from papyra.plans.queries import CASES, REPLY
+from papyra.operators.rules import NO_TEXT
+from papyra.plans.queries import CASES, REPLY, UNREAD
 from papyra.sources import library as lib
 
 LIB = lib.duckdb_library()
@@ -378,4 +379,14 @@ ORACLES |= {
     "json_encode_lists": per_document(items="'[' || to_json(source)::VARCHAR || ', ' || to_json(substr(text, 1, 30))::VARCHAR || ', ' || to_json('é \"q\" \\')::VARCHAR || ']'"),
     "store_lifecycle": f"SELECT item_id, CASE WHEN item_id % 6 = 0 THEN 'back' ELSE 'again' END AS uploaded_by, 'analysis_complete' AS status, sha256({strip('text')}) AS digest, 1 AS pages FROM benchmark WHERE item_id % 3 <> 0 OR item_id % 6 = 0",
 }
+FILE = "encode(text || chr(10))"
+READ = "item_id % 2 = 0"
+ORACLES |= {
+    "store_stages": f"""SELECT item_id, CASE WHEN {READ} THEN 'analysis_complete' ELSE 'processing' END AS status, CASE WHEN {READ} THEN 'Analysed with rule engine' ELSE 'Queued for text extraction' END AS status_detail,
+      CASE WHEN {READ} THEN 1 ELSE 0 END AS pages, octet_length({FILE}) AS size_bytes, sha256({FILE}) AS checksum, item_id % 2 <> 0 AS name_only FROM benchmark""",
+    "store_downloads": f"SELECT item_id, octet_length({FILE}) AS size_bytes, sha256({FILE}) AS checksum FROM benchmark",
+    "document_detail": f"SELECT * EXCLUDE (extracted_text, search_blob), left(extracted_text, 4000) AS text_preview FROM ({LIB}) WHERE id = 77",
+    "rule_empty_body": f"""SELECT id, {filename_title('name')} AS title, coalesce(({best(v.DOCUMENT_TYPE_KEYWORDS, 14, 3)})[1].name, 'Other') AS document_type, 'Unassigned' AS department, 'Medium' AS priority,
+      {q(NO_TEXT)} AS summary, 0.15 AS confidence, 0 AS entries FROM (SELECT id, {UNREAD} AS name, {tag(UNREAD)} AS tags FROM ({LIB}))""",
+}
 ORACLES["ingest_stream_text"] = ORACLES["ingest_batch_text"]

@@ -122,6 +122,25 @@ def rule_blob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysed(spark, sf_dir).select("id", F.length("search_blob").cast("long").alias("n"), F.sha2("search_blob", 256).alias("digest"), "action_count", "deadline_count")
 
 
+def document_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document by its id: all fields and the beginning of its text, which is whole elsewhere."""
+    row = lib.library(spark, sf_dir).where("id = 77")
+    return row.withColumn("text_preview", F.left("extracted_text", F.lit(4000))).drop("extracted_text", "search_blob")
+
+
+#: Names of documents that nothing could be read of.
+UNREAD = "concat(CASE id % 4 WHEN 0 THEN 'Tender document' WHEN 1 THEN 'audit_report' WHEN 2 THEN 'Tax-Invoice' ELSE 'note' END, '_', filename)"
+
+
+def rule_empty_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without text, which are judged by their names alone."""
+    rows = lib.library(spark, sf_dir).selectExpr("id", f"{UNREAD} AS filename", "CASE WHEN id % 3 = 0 THEN ' ' WHEN id % 3 = 1 THEN '' END AS extracted_text")
+    rows = rules.analysed(rows)
+    lists = ("secondary_departments", "key_points", "keywords", "actions", "deadlines", "risks", "compliance_flags")
+    found = sum((F.size(c) for c in lists), F.lit(0)).cast("long").alias("entries")
+    return rows.select("id", "title", "document_type", "department", "priority", "summary", F.col("analysis_confidence").alias("confidence"), found)
+
+
 FAILED = "CASE WHEN id % 6 = 2 THEN 'TimeoutError' END"
 
 
@@ -268,6 +287,10 @@ QUERIES: dict[str, Query] = {
     "filter_in_progress": lambda s, d: lib.library(s, d).where(facets.in_progress(F.col("status"))).select("id"),
     "json_encode_lists": per_document({"items": lambda: t.json_list(F.array("source", F.substring("text", 1, 30), F.lit('é "q" \\')))}),
     "store_lifecycle": ingest.lifecycle,
+    "store_stages": ingest.stages,
+    "store_downloads": ingest.downloads,
+    "document_detail": document_detail,
+    "rule_empty_body": rule_empty_body,
     "ingest_batch_text": ingested(False),
     "ingest_stream_text": ingested(True),
 }

@@ -36,7 +36,7 @@ SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and content of all files under a folder."""
+    """path, length and content of all files under a folder, or of one file."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
@@ -45,6 +45,12 @@ def gate() -> Column:
     return F.when(~t.file_extension(F.col("path")).isin(*SUPPORTED), "unsupported type").when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "over 40 MB")
 
 
+def facts(files: DataFrame) -> DataFrame:
+    """What is known of files before they are read: path, filename, file_type, file_ext, size_bytes, checksum, refused (why, else null), content (of files that are not refused)."""
+    path = F.col("path")
+    return files.select("path", t.safe_filename(path).alias("filename"), t.file_type(path).alias("file_type"), t.file_extension(path).alias("file_ext"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"), gate().alias("refused"), F.when(gate().isNull(), F.col("content")).alias("content"))
+
+
 def docx_pages(content: bytes) -> list[tuple[str, bool, float | None]]:
     """Paragraphs with text, then table rows as cells between bars; one page."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -148,9 +154,8 @@ def _decoded(files: DataFrame, decoders: dict[str, Decoder]) -> DataFrame:
 
 def extract(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
     """One row per file: path, filename, file_type, file_ext, size_bytes, checksum, extracted_text, pages, page_count, ocr_used, ocr_quality, extraction_method, language, word_count, char_count, warnings, reason (of a reject, else null)."""
-    decoders, path = decoders or {}, F.col("path")
-    facts = files.select("path", t.safe_filename(path).alias("filename"), t.file_type(path).alias("file_type"), t.file_extension(path).alias("file_ext"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"), gate().alias("refused"), F.when(gate().isNull(), F.col("content")).alias("content"))
-    rows = _decoded(facts, decoders)
+    decoders = decoders or {}
+    rows = _decoded(facts(files), decoders)
     pdf, docx, image = (F.col("file_type") == k for k in ("PDF", "DOCX", "IMAGE"))
     clean = F.transform("pages", lambda p: p.withField("text", t.clean(p["text"])))
     rows = rows.withColumn("pages", F.filter(clean, lambda p: pdf | image | (p["text"] != "")))

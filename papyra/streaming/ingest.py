@@ -1,9 +1,10 @@
 """Ingest of files into a store of documents, in batches or as a stream of new files.
 
-A store is a folder of Parquet: a subfolder for each batch of ingest, a table
-of deleted ids. A document's id follows from its path, so that a batch that
-is run again, after a failure or to reprocess, gives the same rows; readers
-take the latest row of each id that is not deleted.
+A store is a folder of Parquet: the bytes of the files, a subfolder for each batch
+of ingest, a table of deleted ids. A batch first lands its files, then writes their
+rows as waiting, then as analysed or failed, so readers see each stage. A document's
+id follows from its path, so that a batch that is run again, after a failure or to
+reprocess, gives the same rows; readers take the latest row of each id that is not deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import uuid
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from papyra.functions import text as t
@@ -23,6 +24,46 @@ from papyra.sources import files as f
 LOW_OCR = "OCR confidence is low; verify details against the original document."
 #: Superseded and deleted rows up to which they are broadcast to a reader; beyond that rows are joined by a shuffle.
 MOST_STALE = 500_000
+#: Parquet looks at the size of what it holds after each of these rows, as one may be a whole file.
+LARGE_ROWS = {"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
+
+
+def _id() -> Column:
+    return F.xxhash64("path")
+
+
+def _now(as_of: datetime | None) -> Column:
+    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") if as_of else F.to_timestamp_ntz(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+
+
+def _stored_name() -> Column:
+    """A name by content, so that other bytes never stand under it."""
+    return F.concat(F.substring("checksum", 1, 32), F.lit("_"), F.col("filename"))
+
+
+def land(files: DataFrame, store: str, batch: str) -> DataFrame:
+    """The files (path, length, content) written to the store and read from there; of refused ones no bytes are kept."""
+    target = f"{store}/originals/batch={batch}"
+    rows = files.select(_id().alias("id"), "path", "length", F.when(f.gate().isNull(), F.col("content")).alias("content"), F.current_timestamp().alias("landed_at"))
+    rows.write.mode("overwrite").options(**LARGE_ROWS).parquet(target)
+    return files.sparkSession.read.parquet(target).drop("landed_at")
+
+
+def originals(spark: SparkSession, store: str, ids: list[int]) -> DataFrame:
+    """id, path, length and content of documents as they were landed last."""
+    rows = spark.read.parquet(f"{store}/originals").where(F.col("id").isin(*ids)).withColumn("batch", F.col("batch").cast("string"))
+    last = F.broadcast(rows.groupBy("id").agg(F.max_by("batch", F.struct("landed_at", "batch")).alias("batch")))
+    return rows.join(last, ["id", "batch"], "left_semi").drop("batch", "landed_at")
+
+
+def waiting(files: DataFrame, uploaded_by: str = "", as_of: datetime | None = None) -> DataFrame:
+    """Documents of files that are accepted but not read yet: a title and a blob of their names. Refused files have no row."""
+    rows = f.facts(files).where("refused IS NULL").drop("refused", "content")
+    return rows.withColumns({
+        "id": _id(), "uploaded_by": F.lit(uploaded_by), "uploaded_at": _now(as_of), "stored_filename": _stored_name(),
+        "status": F.lit("processing"), "status_detail": F.lit("Queued for text extraction"),
+        "title": t.title_from_filename(F.col("filename")), "search_blob": F.lower("filename"),
+    })
 
 
 def documents(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: datetime | None = None, replies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -30,8 +71,7 @@ def documents(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: dat
 
     replies adds columns reply (JSON of a model) and error to the rows; without it the rules judge all.
     """
-    now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") if as_of else F.to_timestamp_ntz(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
-    rows = f.extract(files, decoders).withColumns({"id": F.xxhash64("path"), "uploaded_by": F.lit(uploaded_by), "uploaded_at": now, "stored_filename": F.concat(F.substring("checksum", 1, 32), F.lit("_"), F.col("filename"))})
+    rows = f.extract(files, decoders).withColumns({"id": _id(), "uploaded_by": F.lit(uploaded_by), "uploaded_at": _now(as_of), "stored_filename": _stored_name()})
     failed = F.col("reason").isNotNull()
     if replies:
         rows = rules.with_fallback(replies(rows), "reply", "error").drop("reply", "error")
@@ -48,20 +88,42 @@ def documents(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: dat
     return rows.withColumn("search_blob", rules.search_blob()).drop("reason", "warnings")
 
 
+def _write(files: DataFrame, store: str, batch: str, known: DataFrame | None = None, **options) -> str:
+    """Waiting rows, then those of the documents, which come after them in the order of batches; gives the folder of these.
+
+    known has id, uploaded_by and uploaded_at of documents that keep them; a caller's list of ids bounds it.
+    """
+    plain = {k: x for k, x in options.items() if k in ("uploaded_by", "as_of")}
+    for n, rows in enumerate((waiting(files, **plain), documents(files, **options))):
+        rows = rows if known is None else rows.drop("uploaded_by", "uploaded_at").join(F.broadcast(known), "id")
+        rows.write.mode("overwrite").parquet(f"{store}/documents/batch={batch}-{n}")
+    return f"{store}/documents/batch={batch}-1"
+
+
+def _stamp() -> str:
+    return f"t{datetime.now():%Y%m%d%H%M%S%f}"
+
+
 def ingest(spark: SparkSession, source: str, store: str, **options) -> str:
     """One batch of all files under source; gives the folder it wrote."""
-    stamp = datetime.now().strftime("%Y%m%d%H%M%S%f")
-    target = f"{store}/documents/batch={stamp}"
-    documents(f.read_files(spark, source), **options).write.mode("overwrite").parquet(target)
-    return target
+    batch = _stamp()
+    return _write(land(f.read_files(spark, source), store, batch), store, batch, **options)
+
+
+def reprocess(spark: SparkSession, store: str, ids: list[int], **options) -> str:
+    """One batch of these documents' bytes as they are in the store, whatever their number; the new rows stand in for the old and keep who uploaded them and when. Ids that are deleted or unknown have no row."""
+    known = checkpointed(read_store(spark, store).where(F.col("id").isin(*ids)).select("id", "uploaded_by", "uploaded_at"))
+    files = originals(spark, store, ids).join(F.broadcast(known), "id", "left_semi")
+    return _write(files, store, _stamp(), known, **options)
 
 
 def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str, available_now: bool = True, **options):
     """The same for files as they arrive; a batch that is run again replaces what it wrote."""
     reader = spark.readStream.format("binaryFile").schema(f.SCHEMA).option("recursiveFileLookup", "true").load(source)
 
-    def write(batch: DataFrame, number: int) -> None:
-        documents(batch, **options).write.mode("overwrite").parquet(f"{store}/documents/batch=s{number:012d}")
+    def write(rows: DataFrame, number: int) -> None:
+        batch = f"s{number:012d}"
+        _write(land(rows, store, batch), store, batch, **options)
 
     writer = reader.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -134,7 +196,26 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     for day, name, some in ((1, "first", files), (2, "again", files), (4, "back", files.where(item % 6 == 0))):
         documents(some, uploaded_by=name, as_of=datetime(2024, 1, day)).write.parquet(f"{store}/documents/batch={day}")
         if day == 2:
-            gone = files.where(item % 3 == 0).select(F.xxhash64("path").alias("id"), F.lit("2024-01-03").cast("timestamp_ntz").alias("deleted_at"))
+            gone = files.where(item % 3 == 0).select(_id().alias("id"), F.lit("2024-01-03").cast("timestamp_ntz").alias("deleted_at"))
             gone.write.parquet(f"{store}/deleted")
     rows = read_store(spark, store)
     return rows.select(item.alias("item_id"), "uploaded_by", "status", F.sha2("extracted_text", 256).alias("digest"), F.size("pages").cast("long").alias("pages"))
+
+
+def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark table's texts as a reader sees them when all are accepted and half are read."""
+    folder = _benchmark_files(spark, sf_dir)
+    files, store = f.read_files(spark, f"{folder}/in"), f"{folder}/store"
+    item = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
+    day = datetime(2024, 1, 1)
+    waiting(files, as_of=day).write.parquet(f"{store}/documents/batch=a-0")
+    documents(files.where(item % 2 == 0), as_of=day).write.parquet(f"{store}/documents/batch=a-1")
+    rows = read_store(spark, store)
+    return rows.select(item.alias("item_id"), "status", "status_detail", F.coalesce(F.size("pages"), F.lit(0)).cast("long").alias("pages"), F.col("size_bytes").cast("long").alias("size_bytes"), "checksum", (F.col("search_blob") == F.lower("filename")).alias("name_only"))
+
+
+def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the store gives back of the benchmark table's texts that it was given as files."""
+    folder = _benchmark_files(spark, sf_dir)
+    landed = land(f.read_files(spark, f"{folder}/in"), f"{folder}/store", "a")
+    return landed.select(F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long").alias("item_id"), F.length("content").cast("long").alias("size_bytes"), F.sha2("content", 256).alias("checksum"))

@@ -36,3 +36,40 @@ def test_ingest_search_and_delete(spark, tmp_path):
     engine.delete([key])
     with pytest.raises(KeyError):
         engine.detail(key)
+
+
+def test_reprocessing_reads_the_stored_bytes_in_one_batch(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for i in range(3):
+        (source / f"note [{i}].txt").write_text(f"Safety hazard report number {i} for the near miss register.")
+    (source / "tool.exe").write_bytes(b"MZ")
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    engine.ingest(f"file://{source}", uploaded_by="ann")
+    before = {r["filename"]: r for r in engine.documents().collect()}
+    for file in source.iterdir():
+        file.unlink()
+    key, gone = before["note _0_.txt"]["id"], before["note _1_.txt"]["id"]
+    engine.delete([gone])
+    engine.reprocess([key, gone, before["tool.exe"]["id"], 12345])
+    after = {r["filename"]: r for r in engine.documents().collect()}
+    assert after.keys() == before.keys() - {"note _1_.txt"}
+    assert [after["note _0_.txt"][c] for c in ("uploaded_by", "uploaded_at", "status", "title")] == [before["note _0_.txt"][c] for c in ("uploaded_by", "uploaded_at", "status", "title")]
+    assert after["tool.exe"]["status"] == "failed" and after["tool.exe"]["stored_filename"] is None
+    assert engine.original(key) == b"Safety hazard report number 0 for the near miss register."
+    assert len(list((tmp_path / "store" / "documents").glob("batch=*"))) == 4
+
+
+def test_documents_wait_before_they_are_read(spark, tmp_path):
+    from papyra.sources import files
+    from papyra.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "Fire_drill.txt").write_text("All staff shall attend.")
+    (tmp_path / "in" / "empty.txt").write_text("")
+    rows = files.read_files(spark, f"file://{tmp_path}/in")
+    ingest.waiting(rows, uploaded_by="ann").write.parquet(f"file://{tmp_path}/store/documents/batch=a-0")
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    (found,) = ingest.read_store(spark, engine.store).collect()
+    assert (found["status"], found["title"], found["search_blob"], found["uploaded_by"]) == ("processing", "Fire Drill", "fire_drill.txt", "ann")
+    assert ingest.waiting(rows.limit(0)).count() == 0
