@@ -53,7 +53,7 @@ def ruled(steps: tuple[Callable[[DataFrame], DataFrame], ...], *columns: Callabl
     """Fields of the rule engine, by the steps that they need."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = rules.with_body(lib.library(spark, sf_dir).select("id", "filename", "extracted_text"))
+        df = rules.with_body(lib.spread(lib.library(spark, sf_dir).select("id", "filename", "extracted_text")))
         for step in steps:
             df = step(df)
         return df.select("id", *[c() for c in columns])
@@ -103,7 +103,7 @@ def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The library with its departments, types and priorities by the rule engine, ready for search."""
-    rows = lib.library(spark, sf_dir).drop("search_blob")
+    rows = lib.spread(lib.library(spark, sf_dir).drop("search_blob"))
     rows = rules.analysed(rows).withColumns({
         "file_ext": t.file_extension(F.col("filename")), "size_bytes": F.octet_length("extracted_text").cast("long"), "word_count": t.word_count(F.col("extracted_text")).cast("long"),
         "language": t.language(F.col("extracted_text")), "processed_at": F.col("uploaded_at"), "status_detail": F.lit("Analysed with rule engine"), "analysis_engine": F.lit("rule-based"),

@@ -11,6 +11,8 @@ from papyra.functions import vocabulary as v
 from papyra.operators.search import SearchSpec
 
 AS_OF = datetime(2024, 3, 30, 12)
+#: Bytes of a table that is a single row group's work, as Parquet writes them.
+SMALL_BYTES = 128 << 20
 MEMOS = (
     "Subject: Mandatory inspection of platform doors. All controllers shall complete the inspection by 30/09/2025. Failure to comply may attract a penalty.",
     "TAX INVOICE. Payment of the vendor invoice is due within 30 days of receipt and finance must confirm the accounts entry.",
@@ -55,6 +57,16 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("search_blob", F.expr(_BLOB))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few and small files dealt to all cores, as one row group keeps but one of them busy; of any other table as they are, without a shuffle. Results are alike."""
+    spark, paths = df.sparkSession, df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if not paths or len(paths) >= cores:
+        return df
+    size = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0]
+    return df.repartition(cores) if size <= SMALL_BYTES else df
+
+
 def duckdb_library() -> str:
     """The same rows, as a query for DuckDB."""
     columns = ", ".join(f"{sql} AS {name}" for name, sql in COLUMNS.items())

@@ -177,3 +177,16 @@ def test_files_that_are_refused_or_broken(spark):
     pages = files.with_ocr(["x" * 40, "", "short", "s"], lambda i: ("seen it all here", 80.0) if i != 2 else ("no", 9.0), budget=2)
     assert [(p[1], p[2]) for p in pages] == [(False, None), (True, 80.0), (False, None), (False, None)]
     assert files.extract(spark.createDataFrame([], "path string, length long, content binary")).count() == 0
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path, monkeypatch):
+    from papyra.sources import library
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    dealt = library.spread(rows)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in dealt.collect()) == list(range(100))
+    monkeypatch.setattr(library, "SMALL_BYTES", 10)
+    assert library.spread(rows) is rows
+    assert library.spread(spark.range(3)).count() == 3
