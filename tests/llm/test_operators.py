@@ -1,6 +1,7 @@
 import functools
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, chat, fingerprints, licenses, near_dup, packing, pii, quality, shingles, token_counts, url_filter
+from papyra.llm import bpe, chat, fingerprints, licenses, near_dup, packing, pii, quality, resampling, shingles, token_counts, url_filter
 
 ODD = ["", "  a  b", "a\n\nb \n", "\ta b\x1cc d", "<|endoftext|>x <|endoftext|> y  <|endoftext|>", "<|startoftext|>a'S I'LL", "Éá ΑΣ İstanbul ﬁ", "日本語 ١٢٣ ½", "🙂👍🏽", "A\x00b", "x" * 3000, "na " * 3000]
 DOCS = "doc_id long, text string, lang string, node string, label int"
@@ -634,3 +635,48 @@ def test_bands_cover_plain_similarity(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     buckets = {r.doc_id: set(r.buckets) for r in near_dup.sketch(rows, "doc_id", "text", near_dup.Settings()).collect()}
     assert [i for i in links if not buckets[i] & buckets[i + 1]] == []
+
+
+def _resampled(docs, target, settings):
+    """Importance resampling as a loop over (key, text)."""
+    def features(text):
+        low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        found = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        return len(found), [" ".join(found[i : i + n]) for n in range(1, settings.most + 1) for i in range(len(found) - n + 1)]
+
+    counts = []
+    for texts in ([t for _, t in docs], target):
+        counts.append(np.bincount([zlib.crc32(f.encode()) % settings.buckets for t in texts for f in features(t)[1]], minlength=settings.buckets))
+    (s, t), b = counts, settings.buckets
+    gain = [math.floor(1000 * math.log((float(y) + 1) * (float(s.sum()) + b) / ((float(x) + 1) * (float(t.sum()) + b)))) for x, y in zip(s, t, strict=True)]
+    rows = []
+    for key, text in docs:
+        n, found = features(text)
+        weight = sum(gain[zlib.crc32(f.encode()) % b] for f in found)
+        h = int(hashlib.sha256(f"{settings.seed}:{'' if key is None else key}".encode()).hexdigest()[:8], 16)
+        rows.append((n < settings.least_words, -(weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))), key is None, key or 0, len(found), weight))
+    rows.sort()
+    drawn = sum(not r[0] for r in rows) * settings.percent // 100
+    return sorted((none, key, n, weight, -less, i if i <= drawn and not short else 0) for i, (short, less, none, key, n, weight) in enumerate(rows, 1))
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_resampling_is_that_of_brute_force(spark, most):
+    rng = random.Random(12)
+    vocabulary = ["Éa", "ÀB", "the", "The", "x9", "日本", "of", "naïve", *(f"w{i}" for i in range(60))]
+    text = lambda n: "".join(rng.choice(vocabulary) + rng.choice((" ", ", ", "\n", "-", "\x7f", "\x00")) for _ in range(n))
+    docs = [(i, text(rng.randrange(60))) for i in range(150)] + [(None, None), (None, text(30)), (7, text(40)), (7, ""), (8, "A " * 30_000), (9, "x"), (9, "x")] + [(200, "same words " * 20)] * 40
+    target = [text(25) for _ in range(20)] + [None, ""]
+    settings = resampling.Settings(most=most, buckets=500)
+    frame = spark.createDataFrame([(k, t, 1, 2) for k, t in docs], "doc_id long, text string, bucket int, score int").repartition(5)
+    got = resampling.resample(frame, spark.createDataFrame([(t,) for t in target], "text string"), settings=settings).collect()
+    want = _resampled(docs, target, settings)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_features, r.weight, r.score, r["rank"] or 0) for r in got) == want
+    assert sorted(r["rank"] for r in got if r["rank"]) == list(range(1, sum(w[5] > 0 for w in want) + 1)) and sum(w[5] > 0 for w in want) > 10
+
+
+def test_resampling_of_empty_tables(spark, docs, none):
+    assert resampling.resample(none, docs).collect() == []
+    got = resampling.resample(docs, none).collect()
+    assert len(got) == len(ROWS) and {r.doc_id: r.n_features for r in got}[6] == 20_000
+    assert {(r.weight, r["rank"]) for r in got if r.doc_id in (1, 2)} == {(0, None)}
