@@ -7,6 +7,7 @@ import re
 import textwrap
 import unicodedata
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, chat, fingerprints, licenses, near_dup, packing, pii, quality, resampling, shingles, token_counts, url_filter
+from papyra.llm import bpe, chat, fingerprints, licenses, near_dup, packing, pii, quality, resampling, shingles, token_counts, toxicity, url_filter
 
 ODD = ["", "  a  b", "a\n\nb \n", "\ta b\x1cc d", "<|endoftext|>x <|endoftext|> y  <|endoftext|>", "<|startoftext|>a'S I'LL", "Éá ΑΣ İstanbul ﬁ", "日本語 ١٢٣ ½", "🙂👍🏽", "A\x00b", "x" * 3000, "na " * 3000]
 DOCS = "doc_id long, text string, lang string, node string, label int"
@@ -680,3 +681,56 @@ def test_resampling_of_empty_tables(spark, docs, none):
     got = resampling.resample(docs, none).collect()
     assert len(got) == len(ROWS) and {r.doc_id: r.n_features for r in got}[6] == 20_000
     assert {(r.weight, r["rank"]) for r in got if r.doc_id in (1, 2)} == {(0, None)}
+
+
+def test_swapped_names_of_groups_are_no_signs():
+    """Groups are named where they are abused, and hardly elsewhere: with the penalty a neutral mention is no sign."""
+    rng = random.Random(13)
+    filler = [f"word{i}" for i in range(40)]
+    texts, toxic = [], []
+    for i in range(600):
+        words = [*rng.sample(filler, 8), "are"]
+        if i % 3 == 0:
+            words += [rng.choice(["scum", "idiots", "trash"])] * (rng.random() < 0.8) + [rng.choice(["muslims", "immigrants", "women"])]
+        elif i % 3 == 1:
+            words.append("people")
+        texts.append(" ".join(words) + ".")
+        toxic.append(float(i % 3 == 0))
+    words = pa.array([sorted(set(toxicity.WORD.findall(t))) for t in texts])
+    named = Counter(s for t in texts for s in toxicity.identity_sentences(t))
+    assert set(named) == {"immigrants", "muslims", "women"}
+    neutral = ["the women are here", "muslims are word1", "immigrants word2 word3"]
+    plain = toxicity.fit(words, np.array(toxic), Counter())
+    fair = toxicity.fit(words, np.array(toxic), named)
+    change = lambda model: max(abs(model.scores([f"{a} word5"])[0] - model.scores([f"{b} word5"])[0]) for a in ("muslims", "women", "immigrants") for b in ("people", "christians"))
+    assert all(plain.scores(neutral) > 0.9)
+    assert all(fair.scores(neutral) < 0.5) and change(fair) < 0.05 < 0.5 < change(plain)
+    assert all(fair.scores(["women are scum", "word1 idiots", "such trash"]) > 0.5)
+
+
+def test_swaps_are_of_one_kind_and_to_a_neutral_word():
+    found = toxicity.swaps(Counter({"gay muslims": 2}))
+    assert ({"gay": 1, "human": -1, "muslims": 1, "people": -1}, 2) in found
+    assert all(n in (1, -1) and times == 2 for change, times in found for n in change.values())
+    assert toxicity.identity_sentences("nobody is here. women and men are.\nmuslims!") == ["men women", "muslims"]
+
+
+def test_toxicity_of_held_out_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    of = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert of[1, 1] / (of[1, 1] + of.get((1, 0), 0)) > 0.88
+    assert of.get((0, 1), 0) / of[0, 0] < 0.005
+
+
+def test_toxicity_of_odd_rows(spark, docs, none):
+    labels = "doc_id long, toxic int"
+    assert toxicity.toxicity(none, spark.createDataFrame([], labels)).count() == 0
+    for rows, expected in (([], 0), ([(2, 1)], 1), ([(2, 0), (3, None), (None, 1), (5, 1), (5, 0)], 0)):
+        got = toxicity.toxicity(docs, spark.createDataFrame(rows, labels)).collect()
+        assert len(got) == len(ROWS) and {r.predicted for r in got} == {expected} and all(0 <= r.score <= 1 for r in got)
+    assert {r.doc_id: r.held_out for r in got} == {k: k is not None and zlib.crc32(str(k).encode()) % 5 == 0 for k, *_ in ROWS}
+    many = spark.createDataFrame([(i, "you scum " * (i % 2) + f"word{i % 7} here") for i in range(200)] + [(1, "you scum")] * 300, "doc_id long, text string")
+    flags = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2, labels)
+    got = toxicity.toxicity(many.withColumn("toxic", F.lit(3)), flags).collect()
+    assert len(got) == 500 and all(r.predicted == r.doc_id % 2 for r in got)
