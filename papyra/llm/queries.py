@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyra.llm import bpe, chat, fingerprints, licenses, near_dup, packing, pii, quality, resampling, token_counts, toxicity, url_filter
+from papyra.llm import bpe, chat, fingerprints, hard_negatives, licenses, near_dup, packing, pii, quality, resampling, token_counts, toxicity, url_filter
 from papyra.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +67,6 @@ def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_chat_formatting, op3_best_fit_packing, op4_minhash_near_dedup, op5_pii, op6_bpe_encoding, op7_quality_rules, op8_license_scans, op9_token_counts, op10_url_filters, op12_importance_resampling, op13_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_chat_formatting, op3_best_fit_packing, op4_minhash_near_dedup, op5_pii, op6_bpe_encoding, op7_quality_rules, op8_license_scans, op9_token_counts, op10_url_filters, op11_hard_negatives, op12_importance_resampling, op13_toxicity)}
 
-ORACLES: dict[str, str] = {"op2_chat_formatting": chat.sql(), "op7_quality_rules": quality.sql(), "op8_license_scans": licenses.sql(), "op10_url_filters": url_filter.sql(), "op12_importance_resampling": resampling.sql()}
+ORACLES: dict[str, str] = {"op2_chat_formatting": chat.sql(), "op7_quality_rules": quality.sql(), "op8_license_scans": licenses.sql(), "op10_url_filters": url_filter.sql(), "op11_hard_negatives": hard_negatives.sql(), "op12_importance_resampling": resampling.sql()}

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, chat, fingerprints, licenses, near_dup, packing, pii, quality, resampling, shingles, token_counts, toxicity, url_filter
+from papyra.llm import bpe, chat, fingerprints, hard_negatives, licenses, near_dup, packing, pii, quality, resampling, shingles, token_counts, toxicity, url_filter
 
 ODD = ["", "  a  b", "a\n\nb \n", "\ta b\x1cc d", "<|endoftext|>x <|endoftext|> y  <|endoftext|>", "<|startoftext|>a'S I'LL", "Éá ΑΣ İstanbul ﬁ", "日本語 ١٢٣ ½", "🙂👍🏽", "A\x00b", "x" * 3000, "na " * 3000]
 DOCS = "doc_id long, text string, lang string, node string, label int"
@@ -734,3 +734,47 @@ def test_toxicity_of_odd_rows(spark, docs, none):
     flags = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2, labels)
     got = toxicity.toxicity(many.withColumn("toxic", F.lit(3)), flags).collect()
     assert len(got) == 500 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def _mined(rows, settings):
+    """Hard negatives by comparing all rows, in Python's whole numbers."""
+    kept = [(k, (y + 1) % settings.labels if k % settings.noisy_every == 0 else y, [math.floor(settings.scale * x) for x in v]) for k, y, v in rows if k is not None and y is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    long = lambda n: min(max(n, -(2**63)), 2**63 - 1)
+    found = []
+    for i, (k, y, v) in enumerate(kept):
+        if k % settings.anchor_every:
+            continue
+        scored = sorted((-long(sum(a * b for a, b in zip(v, w))), j, z) for n, (j, z, w) in enumerate(kept) if n != i)  # noqa: B905
+        for less, j, _ in [r for r in scored if r[2] == y][: settings.positives]:
+            band = [(a, b) for a, b, z in scored if z != y and 30 * -less <= 100 * -a <= 90 * -less]
+            found += [(k, j, n, b, -less, -a) for n, (a, b) in enumerate(band[: settings.negatives], 1)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_rows": 16, "first": 1, "widening": 2}, {"block_rows": 4, "pivots": 5, "first": 2, "widening": 3}])
+def test_hard_negatives_are_those_of_brute_force(spark, blocks):
+    rng = random.Random(11)
+    vector = lambda n=6, by=1.0: [float(np.float32(rng.gauss(0, by))) for _ in range(n)]
+    rows = [(rng.randrange(-300, 3000), rng.randrange(4), vector()) for _ in range(300)]
+    rows += [(100 * i, i % 4, vector()) for i in range(12)] + [(100, 1, vector()), (100, 1, rows[0][2])] * 2
+    rows += [(i, 2, [1.0, 2.0, 0.0, 0.0, 0.5, 0.25]) for i in range(3000, 3120)] + [(5000, 2, [1.0, 2.0, 0.0, 0.0, 0.5, 0.25]), (5001, 3, [0.5, 1.0, 0.0, 0.0, 0.25, 0.125])]
+    rows += [(7, 1, vector(3)), (200, 1, []), (300, 2, [0.0] * 6), (400, 3, vector(9))]
+    rows += [(None, 1, vector()), (500, None, vector()), (600, 1, None), (700, 1, [1.0, None]), (800, 1, [float("nan")]), (900, 1, [float("inf"), 1.0])]
+    settings = hard_negatives.Settings(**blocks)
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, label int, embedding array<float>, row string, query int").repartition(3)
+    got = hard_negatives.mine(frame, settings)
+    assert sorted(map(tuple, got.collect())) == _mined(rows, settings)
+
+
+def test_hard_negatives_of_huge_components(spark):
+    rng = random.Random(2)
+    rows = [(i, i % 2, [rng.choice((1e8, 3e9, -1e4, 2.0)) for _ in range(4)]) for i in range(101)] + [(200, 0, [1e30, 1.0, 0.0, 0.0]), (201, 0, [1e30, 0.0, 1.0, 0.0])]
+    got = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), hard_negatives.Settings(block_rows=8))
+    assert sorted(map(tuple, got.collect())) == _mined(rows, hard_negatives.Settings())
+
+
+def test_hard_negatives_of_few_rows(spark):
+    schema = "vec_id long, label int, embedding array<float>"
+    for rows in ([], [(None, 1, [1.0])], [(100, 1, [1.0])], [(1, 1, [1.0]), (2, 0, [0.5])], [(100, 1, [1.0]), (1, 1, [1.0])], [(100, 1, [1.0]), (1, 1, [1.0]), (2, 0, [0.5])]):
+        got = [tuple(r) for r in hard_negatives.mine(spark.createDataFrame(rows, schema)).collect()]
+        assert got == _mined(rows, hard_negatives.Settings())
