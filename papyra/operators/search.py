@@ -235,6 +235,52 @@ def search(df: DataFrame, spec: SearchSpec, params: SearchParams) -> DataFrame:
     return rows.drop(*[f"_key{i}" for i in range(len(keys))])
 
 
+#: Rows that ranked() looks into first, times as many in each round, and rows beyond which one plan over all does the rest.
+FIRST_ROWS, WIDENING, MOST_ROWS = 64, 4, 4096
+
+
+def ranked(df: DataFrame, spec: SearchSpec, params: SearchParams) -> DataFrame:
+    """The same page as search(), in order, from few texts: whatever the narrow columns say of a row bounds its score, as its text can add one weight for each term.
+
+    Rows go by that bound; those on top are verified and scored by their texts, more and more of them, until
+    no other row can come before the page's last. Snippets are cut for the page alone. What comes to the driver
+    are sort keys of 4,096 rows at most; a page that needs more is left to search().
+    """
+    terms, wanted = parse_terms(params.q), params.page * params.page_size
+    if not terms or not spec.text or wanted > MOST_ROWS:
+        return search(df, spec, params)
+    narrow = replace(spec, weights={c: w for c, w in spec.weights.items() if c != spec.text})
+    bound = score(narrow, terms) + spec.weights.get(spec.text, 0) * len(terms)
+    keys = sort_keys(spec, params.applied_sort())
+    named = [c.alias(f"_key{i}") for i, (c, _) in enumerate(keys)]
+    order = [F.col(f"_key{i}").desc() if falling else F.col(f"_key{i}").asc() for i, (_, falling) in enumerate(keys)]
+    kept = filtered(df, spec, replace(params, q=""))
+    hopeful = kept.withColumn("score", bound).select(F.col(spec.id).alias("_id"), *named).orderBy(*order)
+    rows = FIRST_ROWS + wanted
+    while True:
+        head = hopeful.limit(rows + 1).collect()
+        some = filtered(kept.where(F.col(spec.id).isin(*[r["_id"] for r in head[:rows]])), spec, replace(params, filters={}, date_range="any", date_from=None, date_to=None))
+        sure = some.withColumn("score", score(spec, terms)).select(F.col(spec.id).alias("_id"), *named).orderBy(*order).limit(wanted).collect()
+        if len(head) <= rows or len(sure) == wanted and _before(sure[-1], head[rows], keys):
+            break
+        rows *= WIDENING
+        if rows > MOST_ROWS:
+            return search(df, spec, params)
+    ids = [r["_id"] for r in sure[wanted - params.page_size :]]
+    return search(df.where(F.col(spec.id).isin(*ids)), spec, replace(params, page=1))
+
+
+def _before(a, b, keys: list[tuple[Column, bool]]) -> bool:
+    """Whether row a comes before row b by their keys; not said where one is null."""
+    for i, (_, falling) in enumerate(keys):
+        x, y = a[f"_key{i}"], b[f"_key{i}"]
+        if x is None or y is None:
+            return False
+        if x != y:
+            return (x > y) == falling
+    return True
+
+
 def total(df: DataFrame, spec: SearchSpec, params: SearchParams) -> DataFrame:
     return filtered(df, spec, params).agg(F.count("*").alias("total"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -30,8 +30,9 @@ SUPPORTED = (*TEXT_EXTENSIONS, *IMAGE_EXTENSIONS, *DOC_EXTENSIONS, *PDF_EXTENSIO
 MOST_BYTES = 40 * 1024 * 1024
 SCANNED_CHARS, OCR_PAGES, PAGE_WORDS = 40, 25, 500
 
-#: Pages of a file: (text, whether by OCR, confidence of the OCR). Raises where a file is broken.
-Decoder = Callable[[bytes], list[tuple[str, bool, float | None]]]
+#: Pages of a file: (text, whether by OCR, confidence of the OCR) and, if there is one, a warning. Raises where a file is broken.
+Page = tuple[str, bool, float | None] | tuple[str, bool, float | None, str | None]
+Decoder = Callable[[bytes], list[Page]]
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -45,10 +46,10 @@ def gate() -> Column:
     return F.when(~t.file_extension(F.col("path")).isin(*SUPPORTED), "unsupported type").when(F.col("length") == 0, "empty file").when(F.col("length") > MOST_BYTES, "over 40 MB")
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """What is known of files before they are read: path, filename, file_type, file_ext, size_bytes, checksum, refused (why, else null), content (of files that are not refused)."""
+def facts(files: DataFrame, *held: str) -> DataFrame:
+    """held and what is known of files before they are read: path, filename, file_type, file_ext, size_bytes, checksum, refused (why, else null), content (of files that are not refused)."""
     path = F.col("path")
-    return files.select("path", t.safe_filename(path).alias("filename"), t.file_type(path).alias("file_type"), t.file_extension(path).alias("file_ext"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"), gate().alias("refused"), F.when(gate().isNull(), F.col("content")).alias("content"))
+    return files.select("path", t.safe_filename(path).alias("filename"), t.file_type(path).alias("file_type"), t.file_extension(path).alias("file_ext"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"), gate().alias("refused"), F.when(gate().isNull(), F.col("content")).alias("content"), *held)
 
 
 def docx_pages(content: bytes) -> list[tuple[str, bool, float | None]]:
@@ -108,16 +109,30 @@ def _clean(text: str) -> str:
     return re.sub("\n{3,}", "\n\n", re.sub("[ \t]+", " ", text.replace("\0", " "))).strip()
 
 
-def with_ocr(native: list[str], recognise: Callable[[int], tuple[str, float | None]] | None, budget: int = OCR_PAGES) -> list[tuple[str, bool, float | None]]:
-    """Pages; those with hardly any text of their own are recognised while the budget lasts, and that kept if longer."""
-    pages: list[tuple[str, bool, float | None]] = []
-    for number, text in enumerate(map(_clean, native)):
-        page: tuple[str, bool, float | None] = (text, False, None)
+def _native(page: str | Callable[[], str]) -> str:
+    try:
+        return _clean(page if isinstance(page, str) else page())
+    except Exception:
+        return ""
+
+
+def with_ocr(native: Sequence[str | Callable[[], str]], recognise: Callable[[int], tuple[str, float | None]] | None, budget: int = OCR_PAGES) -> list[Page]:
+    """Pages; those with hardly any text of their own are recognised while the budget lasts, and that kept if longer.
+
+    A page is its text or a function that gives it; one that cannot is empty. Where
+    recognition fails a page keeps its own text, with a warning, and the budget stays as it was.
+    """
+    pages: list[Page] = []
+    for number, text in enumerate(map(_native, native)):
+        page: Page = (text, False, None)
         if len(text) < SCANNED_CHARS and recognise and budget > 0:
-            budget -= 1
-            seen, sure = recognise(number)
-            if len(_clean(seen)) > len(text):
-                page = (_clean(seen), True, sure)
+            try:
+                seen, sure = recognise(number)
+                if len(_clean(seen)) > len(text):
+                    page = (_clean(seen), True, sure)
+                budget -= 1
+            except Exception:
+                page = (text, False, None, f"OCR failed on page {number + 1}.")
         pages.append(page)
     return pages
 
@@ -126,36 +141,37 @@ _PAGES = "array<struct<page_number:int,text:string,ocr_used:boolean,ocr_confiden
 
 
 def _decoded(files: DataFrame, decoders: dict[str, Decoder]) -> DataFrame:
-    """files with pages and error in place of content. Refused files have no content and no pages, as have images where there is no decoder."""
+    """files with pages, page_warnings and error in place of content. Refused files have no content and no pages, as have images where there is no decoder."""
     small_batches(files.sparkSession)
     plugged = {"TXT": text_pages, "DOCX": docx_pages, "IMAGE": lambda content: [], **decoders}
     names = [c for c in files.columns if c != "content"]
     kinds = pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string()), ("ocr_used", pa.bool_()), ("ocr_confidence", pa.float64())]))
 
-    def pages_of(kind: str, content: bytes | None) -> tuple[list, str | None]:
+    def pages_of(kind: str, content: bytes | None) -> tuple[list, str | None, str | None]:
         if content is None:
-            return [], None
+            return [], None, None
         try:
             if kind not in plugged:
                 raise ValueError(f"no decoder for {kind} files")
-            return [(i, *page) for i, page in enumerate(plugged[kind](content), 1)], None
+            pages = list(plugged[kind](content))
+            return [(i, *page[:3]) for i, page in enumerate(pages, 1)], " ".join(p[3] for p in pages if len(p) > 3 and p[3]) or None, None
         except Exception as e:
-            return [], str(e)[:1000] or type(e).__name__
+            return [], None, str(e)[:1000] or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [pages_of(kind.as_py(), content.as_py()) for kind, content in zip(batch["file_type"], batch["content"], strict=True)]
-            pages = pa.array([[dict(zip(("page_number", "text", "ocr_used", "ocr_confidence"), p, strict=True)) for p in pages] for pages, _ in found], kinds)
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pages, pa.array([e for _, e in found], pa.string())], names=[*names, "pages", "error"])
+            pages = pa.array([[dict(zip(("page_number", "text", "ocr_used", "ocr_confidence"), p, strict=True)) for p in pages] for pages, _, _ in found], kinds)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pages, *(pa.array([x[i] for x in found], pa.string()) for i in (1, 2))], names=[*names, "pages", "page_warnings", "error"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema if f.name != "content")
-    return files.mapInArrow(run, f"{schema}, pages {_PAGES}, error string")
+    return files.mapInArrow(run, f"{schema}, pages {_PAGES}, page_warnings string, error string")
 
 
-def extract(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> DataFrame:
-    """One row per file: path, filename, file_type, file_ext, size_bytes, checksum, extracted_text, pages, page_count, ocr_used, ocr_quality, extraction_method, language, word_count, char_count, warnings, reason (of a reject, else null)."""
+def extract(files: DataFrame, decoders: dict[str, Decoder] | None = None, *held: str) -> DataFrame:
+    """One row per file: held, path, filename, file_type, file_ext, size_bytes, checksum, extracted_text, pages, page_count, ocr_used, ocr_quality, extraction_method, language, word_count, char_count, warnings, reason (of a reject, else null)."""
     decoders = decoders or {}
-    rows = _decoded(facts(files), decoders)
+    rows = _decoded(facts(files, *held), decoders)
     pdf, docx, image = (F.col("file_type") == k for k in ("PDF", "DOCX", "IMAGE"))
     clean = F.transform("pages", lambda p: p.withField("text", t.clean(p["text"])))
     rows = rows.withColumn("pages", F.filter(clean, lambda p: pdf | image | (p["text"] != "")))
@@ -174,9 +190,9 @@ def extract(files: DataFrame, decoders: dict[str, Decoder] | None = None) -> Dat
         "ocr_quality": F.round(F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.nullif(F.size(sure), F.lit(0)), 1),
         "extraction_method": F.when(read, F.when(docx, "docx").when(image, "ocr").when(~pdf, "plain-text").when(scanned == 0, "pdf-text").when(scanned < F.size("pages"), "pdf-text+ocr").otherwise("ocr")),
         "language": t.language(F.col("extracted_text")), "word_count": words, "char_count": F.length("extracted_text"),
-        "warnings": F.when(read & empty, nothing), "reason": F.coalesce("refused", "error"),
+        "warnings": F.nullif(F.concat_ws(" ", "page_warnings", F.when(read & empty, nothing)), F.lit("")), "reason": F.coalesce("refused", "error"),
     })
-    return rows.drop("refused", "error", "_scanned")
+    return rows.drop("refused", "error", "page_warnings", "_scanned")
 
 
 def decoders_available() -> dict[str, bool]:

@@ -1,31 +1,38 @@
 """Ingest of files into a store of documents, in batches or as a stream of new files.
 
-A store is a folder of Parquet: the bytes of the files, a subfolder for each batch
-of ingest, a table of deleted ids. A batch first lands its files, then writes their
-rows as waiting, then as analysed or failed, so readers see each stage. A document's
-id follows from its path, so that a batch that is run again, after a failure or to
-reprocess, gives the same rows; readers take the latest row of each id that is not deleted.
+A batch first lands its files, then commits its rows four times, each time in place
+of the last: accepted, being read, read, analysed or failed. So readers see each stage,
+and no half of one. A document's id follows from its path; a later batch stands in for
+earlier rows of its ids. A batch that is run again after a failure goes on where it was,
+and what was deleted or uploaded anew meanwhile stays so.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions import text as t
+from papyra.functions import vocabulary as v
 from papyra.operators import rules
 from papyra.plans.workers import checkpointed, shared_folder
 from papyra.sources import files as f
+from papyra.streaming.store import LARGE_ROWS, Store
 
 LOW_OCR = "OCR confidence is low; verify details against the original document."
-#: Superseded and deleted rows up to which they are broadcast to a reader; beyond that rows are joined by a shuffle.
-MOST_STALE = 500_000
-#: Parquet looks at the size of what it holds after each of these rows, as one may be a whole file.
-LARGE_ROWS = {"parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8}
+#: Fields of a document before its file is read, and before its text is analysed.
+UNREAD = {"extracted_text": "''", "extraction_method": "''", "language": "'Unknown'", "word_count": "0", "char_count": "0", "page_count": "CAST(NULL AS INT)", "ocr_used": "false", "ocr_quality": "CAST(NULL AS DOUBLE)", "error_message": "''", "processed_at": "CAST(NULL AS TIMESTAMP_NTZ)"}
+_NONE = "CAST(array() AS array<string>)"
+UNANALYSED = {
+    "document_type": "''", "department": f"'{v.UNASSIGNED}'", "priority": "'Medium'", "summary": "''", "analysis_engine": "''", "analysis_error": "''", "analysis_confidence": "CAST(NULL AS DOUBLE)",
+    **dict.fromkeys(("secondary_departments", "key_points", "keywords", "risks", "compliance_flags"), _NONE),
+    "actions": "CAST(array() AS array<struct<action:string,owner:string,due_date:string,priority:string>>)", "deadlines": "CAST(array() AS array<struct<date:string,description:string>>)",
+}
 
 
 def _id() -> Column:
@@ -33,7 +40,10 @@ def _id() -> Column:
 
 
 def _now(as_of: datetime | None) -> Column:
-    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") if as_of else F.to_timestamp_ntz(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"))
+    """An instant in UTC, to the microsecond."""
+    if as_of is not None and as_of.tzinfo:
+        as_of = as_of.astimezone(timezone.utc).replace(tzinfo=None)
+    return F.lit((as_of or datetime.now(timezone.utc).replace(tzinfo=None)).isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def _stored_name() -> Column:
@@ -44,121 +54,139 @@ def _stored_name() -> Column:
 def land(files: DataFrame, store: str, batch: str) -> DataFrame:
     """The files (path, length, content) written to the store and read from there; of refused ones no bytes are kept."""
     target = f"{store}/originals/batch={batch}"
-    rows = files.select(_id().alias("id"), "path", "length", F.when(f.gate().isNull(), F.col("content")).alias("content"), F.current_timestamp().alias("landed_at"))
-    rows.write.mode("overwrite").options(**LARGE_ROWS).parquet(target)
-    return files.sparkSession.read.parquet(target).drop("landed_at")
+    rows = files.select(_id().alias("id"), "path", "length", F.when(f.gate().isNull(), F.col("content")).alias("content"))
+    rows.sortWithinPartitions("id").write.mode("overwrite").options(**LARGE_ROWS).parquet(target)
+    return files.sparkSession.read.parquet(target).withColumn("landed", F.lit(batch))
 
 
-def originals(spark: SparkSession, store: str, ids: list[int]) -> DataFrame:
-    """id, path, length and content of documents as they were landed last."""
-    rows = spark.read.parquet(f"{store}/originals").where(F.col("id").isin(*ids)).withColumn("batch", F.col("batch").cast("string"))
-    last = F.broadcast(rows.groupBy("id").agg(F.max_by("batch", F.struct("landed_at", "batch")).alias("batch")))
-    return rows.join(last, ["id", "batch"], "left_semi").drop("batch", "landed_at")
+def _landed(files: DataFrame) -> list[str]:
+    """The column that says where the files' bytes are, if there is one."""
+    return [c for c in files.columns if c == "landed"]
 
 
-def waiting(files: DataFrame, uploaded_by: str = "", as_of: datetime | None = None) -> DataFrame:
-    """Documents of files that are accepted but not read yet: a title and a blob of their names. Refused files have no row."""
-    rows = f.facts(files).where("refused IS NULL").drop("refused", "content")
-    return rows.withColumns({
+def unanalysed(rows: DataFrame) -> DataFrame:
+    """rows with what a document is before its text is analysed, or where nothing was read: a title and a blob of its name."""
+    return rows.withColumns({**{c: F.expr(sql) for c, sql in UNANALYSED.items()}, "title": t.title_from_filename(F.col("filename")), "search_blob": F.lower("filename")})
+
+
+def waiting(files: DataFrame, uploaded_by: str = "", as_of: datetime | None = None, reading: bool = False, decoders=None) -> DataFrame:
+    """Documents of files that are accepted but not read yet, or are being read. Refused files have no row."""
+    rows = f.facts(files, *_landed(files)).where("refused IS NULL").drop("refused", "content")
+    scanned = F.col("file_type").isin("PDF", "IMAGE") & F.lit(reading and "IMAGE" in (decoders or {}))
+    rows = rows.withColumns({
         "id": _id(), "uploaded_by": F.lit(uploaded_by), "uploaded_at": _now(as_of), "stored_filename": _stored_name(),
-        "status": F.lit("processing"), "status_detail": F.lit("Queued for text extraction"),
-        "title": t.title_from_filename(F.col("filename")), "search_blob": F.lower("filename"),
+        "status": F.when(scanned, "ocr_processing").otherwise("processing"),
+        "status_detail": F.when(scanned, "Reading document (OCR enabled)").otherwise("Extracting text" if reading else "Queued for text extraction"),
+        **{c: F.expr(sql) for c, sql in UNREAD.items()},
     })
+    return unanalysed(rows)
 
 
-def documents(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: datetime | None = None, replies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Analysed documents of files: extraction, rules, status and search blob. Rejects have status failed and a message.
+def extracted(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: datetime | None = None) -> DataFrame:
+    """Documents of files that are read but not analysed yet. Refused files and those that cannot be read have failed: nothing is known of them but their names and why."""
+    rows = f.extract(files, decoders, *_landed(files)).withColumns({"id": _id(), "uploaded_by": F.lit(uploaded_by), "uploaded_at": _now(as_of), "stored_filename": _stored_name()})
+    failed = F.col("reason").isNotNull()
+    low = F.coalesce(F.col("ocr_used") & (F.col("ocr_quality") < 70), F.lit(False))
+    rows = rows.withColumns({
+        "status": F.when(failed, "failed").otherwise("ai_analysis"),
+        "status_detail": F.when(failed, "Text extraction failed").otherwise("Running AI analysis"),
+        "error_message": F.left(F.when(failed, F.col("reason")).otherwise(F.concat_ws(" ", "warnings", F.when(low, LOW_OCR))), F.lit(1000)),
+        "processed_at": F.lit(None).cast("timestamp_ntz"),
+        **{c: F.when(~failed, F.col(c)).otherwise(F.expr(UNREAD[c])) for c in ("extraction_method", "language", "word_count", "char_count")},
+    })
+    return unanalysed(rows.drop("reason", "warnings"))
+
+
+def analysed(rows: DataFrame, as_of: datetime | None = None, replies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """extracted() documents analysed by the rules or by a model's replies; failed ones stay as they are.
 
     replies adds columns reply (JSON of a model) and error to the rows; without it the rules judge all.
     """
-    rows = f.extract(files, decoders).withColumns({"id": _id(), "uploaded_by": F.lit(uploaded_by), "uploaded_at": _now(as_of), "stored_filename": _stored_name()})
-    failed = F.col("reason").isNotNull()
+    failed = rows.where("status = 'failed'")
+    read = rows.where("status <> 'failed'").drop("title", "search_blob", *UNANALYSED)
     if replies:
-        rows = rules.with_fallback(replies(rows), "reply", "error").drop("reply", "error")
+        read = rules.with_fallback(replies(read), "reply", "error").drop("reply", "error")
     else:
-        rows = rules.analysed(rows).withColumns({"analysis_engine": F.lit("rule-based"), "analysis_error": F.lit("")})
-    low = F.coalesce(F.col("ocr_used") & (F.col("ocr_quality") < 70), F.lit(False))
-    rows = rows.withColumns({
-        "status": F.when(failed, "failed").otherwise("analysis_complete"),
-        "status_detail": F.when(failed, "Text extraction failed").when(F.col("analysis_engine") == "model", "Analysed with a model").otherwise("Analysed with rule engine"),
-        "error_message": F.left(F.concat_ws(" ", "reason", "warnings", F.when(low, LOW_OCR)), F.lit(1000)),
-        "analysis_engine": F.when(~failed, F.col("analysis_engine")),
-        "processed_at": F.when(~failed, F.col("uploaded_at")),
-    })
-    return rows.withColumn("search_blob", rules.search_blob()).drop("reason", "warnings")
+        read = rules.analysed(read).withColumns({"analysis_engine": F.lit("rule-based"), "analysis_error": F.lit("")})
+    read = read.withColumns({
+        "status": F.lit("analysis_complete"), "processed_at": _now(as_of),
+        "status_detail": F.when(F.col("analysis_engine") == "model", "Analysed with a model").otherwise("Analysed with rule engine"),
+    }).withColumn("search_blob", rules.search_blob())
+    return read.unionByName(failed)
+
+
+def documents(files: DataFrame, decoders=None, uploaded_by: str = "", as_of: datetime | None = None, replies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """extracted() and analysed() in one plan."""
+    return analysed(extracted(files, decoders, uploaded_by, as_of), as_of, replies)
 
 
-def _write(files: DataFrame, store: str, batch: str, known: DataFrame | None = None, **options) -> str:
-    """Waiting rows, then those of the documents, which come after them in the order of batches; gives the folder of these.
+def _write(files: DataFrame, store: Store, name: str, known: DataFrame | None = None, decoders=None, uploaded_by: str = "", as_of: datetime | None = None, replies=None) -> str:
+    """All stages of a batch; gives the folder of the last.
 
-    known has id, uploaded_by and uploaded_at of documents that keep them; a caller's list of ids bounds it.
+    known has id, uploaded_by and uploaded_at of documents that keep them, and are the only ones to get rows.
     """
-    plain = {k: x for k, x in options.items() if k in ("uploaded_by", "as_of")}
-    for n, rows in enumerate((waiting(files, **plain), documents(files, **options))):
-        rows = rows if known is None else rows.drop("uploaded_by", "uploaded_at").join(F.broadcast(known), "id")
-        rows.write.mode("overwrite").parquet(f"{store}/documents/batch={batch}-{n}")
-    return f"{store}/documents/batch={batch}-1"
+    as_of = as_of or datetime.now(timezone.utc)
+    stages = [f"{name}-{n}" for n in range(4)]
+
+    def put(n: int, rows: DataFrame) -> None:
+        if known is not None:
+            rows = rows.drop("uploaded_by", "uploaded_at").join(known, "id")
+        must = F.lit(known is not None) if n == 0 else F.col("stored_filename").isNotNull() | F.lit(n == 3 or known is not None)
+        store.add(stages[n], rows, stages[:n], only_known=must)
 
+    put(0, waiting(files, uploaded_by, as_of))
+    put(1, waiting(files, uploaded_by, as_of, reading=True, decoders=decoders))
+    put(2, extracted(files, decoders, uploaded_by, as_of))
+    if stages[3] not in store.snapshot().ever:
+        rows = store.read("documents", [stages[2]]).drop("batch", "ord")
+        store.add(stages[3], analysed(rows, None, replies), stages[:3], only_known=F.lit(True))
+    return f"{store.path}/documents/batch={stages[3]}"
 
-def _stamp() -> str:
-    return f"t{datetime.now():%Y%m%d%H%M%S%f}"
+
+def _name() -> str:
+    return f"t{datetime.now(timezone.utc):%Y%m%d%H%M%S%f}-{uuid.uuid4().hex[:8]}"
 
 
 def ingest(spark: SparkSession, source: str, store: str, **options) -> str:
     """One batch of all files under source; gives the folder it wrote."""
-    batch = _stamp()
-    return _write(land(f.read_files(spark, source), store, batch), store, batch, **options)
+    name = _name()
+    return _write(land(f.read_files(spark, source), store, name), Store(spark, store), name, **options)
+
+
+def _ids(spark: SparkSession, ids: DataFrame | list[int]) -> DataFrame:
+    return ids.select("id") if isinstance(ids, DataFrame) else spark.createDataFrame([(i,) for i in ids], "id long")
 
 
-def reprocess(spark: SparkSession, store: str, ids: list[int], **options) -> str:
+def reprocess(spark: SparkSession, store: str, ids: DataFrame | list[int], **options) -> str:
     """One batch of these documents' bytes as they are in the store, whatever their number; the new rows stand in for the old and keep who uploaded them and when. Ids that are deleted or unknown have no row."""
-    known = checkpointed(read_store(spark, store).where(F.col("id").isin(*ids)).select("id", "uploaded_by", "uploaded_at"))
-    files = originals(spark, store, ids).join(F.broadcast(known), "id", "left_semi")
-    return _write(files, store, _stamp(), known, **options)
+    held = Store(spark, store)
+    known = checkpointed(held.rows().select("id", "uploaded_by", "uploaded_at", "landed").join(_ids(spark, ids).distinct(), "id", "left_semi"))
+    return _write(held.files(known), held, _name(), known.drop("landed"), **options)
 
 
 def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str, available_now: bool = True, **options):
-    """The same for files as they arrive; a batch that is run again replaces what it wrote."""
+    """The same for files as they arrive. Batches are named by the stream and their number, so that streams never meet, and one that is run again does not count twice."""
     reader = spark.readStream.format("binaryFile").schema(f.SCHEMA).option("recursiveFileLookup", "true").load(source)
 
     def write(rows: DataFrame, number: int) -> None:
-        batch = f"s{number:012d}"
-        _write(land(rows, store, batch), store, batch, **options)
+        query = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        name = f"s{hashlib.sha256(query.encode()).hexdigest()[:16]}-{number:012d}"
+        held = Store(rows.sparkSession, store)
+        if f"{name}-3" not in held.snapshot().ever:
+            _write(land(rows, store, name), held, name, **options)
 
     writer = reader.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _stale(rows: DataFrame, gone: DataFrame | None) -> DataFrame:
-    """id and batch of rows that a later one stands in for or that are deleted; no text is read."""
-    known = rows.select("id", "batch", "uploaded_at")
-    order = Window.partitionBy("id").orderBy(F.col("uploaded_at").desc(), F.col("batch").desc())
-    known = known.withColumn("n", F.row_number().over(order))
-    if gone is None:
-        return known.where("n > 1").select("id", "batch")
-    last = gone.groupBy("id").agg(F.max("deleted_at").alias("deleted_at"))
-    return known.join(last, "id", "left").where("n > 1 OR deleted_at >= uploaded_at").select("id", "batch")
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """The latest row of each document that is not deleted."""
+    return Store(spark, store).rows().drop("batch", "ord")
 
 
-def read_store(spark: SparkSession, store: str) -> DataFrame:
-    """The latest row of each document that is not deleted. Ids are compared without texts; these are shuffled only if very many rows are stale."""
-    rows = spark.read.option("mergeSchema", "true").parquet(f"{store}/documents")
-    rows = rows.withColumn("batch", F.col("batch").cast("string"))
-    try:
-        gone = spark.read.parquet(f"{store}/deleted")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        gone = None
-    stale = checkpointed(_stale(rows, gone))
-    few = stale.count() <= MOST_STALE
-    return rows.join(F.broadcast(stale) if few else stale, ["id", "batch"], "left_anti").drop("batch")
-
-
-def delete(spark: SparkSession, store: str, ids: list[int], as_of: datetime | None = None) -> None:
-    stamp = (as_of or datetime.now()).isoformat(sep=" ")
-    rows = spark.createDataFrame([(i, stamp) for i in ids], "id long, at string")
-    rows.select("id", F.col("at").cast("timestamp_ntz").alias("deleted_at")).write.mode("append").parquet(f"{store}/deleted")
+def delete(spark: SparkSession, store: str, ids: DataFrame | list[int]) -> None:
+    """These documents are gone for whoever reads from now on; purge() of the store removes their rows and bytes."""
+    Store(spark, store).delete(_ids(spark, ids))
 
 
 def pages(rows: DataFrame) -> DataFrame:
@@ -193,11 +221,11 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _benchmark_files(spark, sf_dir)
     files, store = f.read_files(spark, f"{folder}/in"), f"{folder}/store"
     item = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
+    held = Store(spark, store)
     for day, name, some in ((1, "first", files), (2, "again", files), (4, "back", files.where(item % 6 == 0))):
-        documents(some, uploaded_by=name, as_of=datetime(2024, 1, day)).write.parquet(f"{store}/documents/batch={day}")
+        held.add(f"{day}", documents(some, uploaded_by=name, as_of=datetime(2024, 1, day)))
         if day == 2:
-            gone = files.where(item % 3 == 0).select(_id().alias("id"), F.lit("2024-01-03").cast("timestamp_ntz").alias("deleted_at"))
-            gone.write.parquet(f"{store}/deleted")
+            delete(spark, store, files.where(item % 3 == 0).select(_id().alias("id")))
     rows = read_store(spark, store)
     return rows.select(item.alias("item_id"), "uploaded_by", "status", F.sha2("extracted_text", 256).alias("digest"), F.size("pages").cast("long").alias("pages"))
 
@@ -208,10 +236,11 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, store = f.read_files(spark, f"{folder}/in"), f"{folder}/store"
     item = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
     day = datetime(2024, 1, 1)
-    waiting(files, as_of=day).write.parquet(f"{store}/documents/batch=a-0")
-    documents(files.where(item % 2 == 0), as_of=day).write.parquet(f"{store}/documents/batch=a-1")
+    held = Store(spark, store)
+    held.add("a", waiting(files, as_of=day))
+    held.add("b", documents(files.where(item % 2 == 0), as_of=day))
     rows = read_store(spark, store)
-    return rows.select(item.alias("item_id"), "status", "status_detail", F.coalesce(F.size("pages"), F.lit(0)).cast("long").alias("pages"), F.col("size_bytes").cast("long").alias("size_bytes"), "checksum", (F.col("search_blob") == F.lower("filename")).alias("name_only"))
+    return rows.select(item.alias("item_id"), "status", "status_detail", F.greatest(F.coalesce(F.size("pages"), F.lit(0)), F.lit(0)).cast("long").alias("pages"), F.col("size_bytes").cast("long").alias("size_bytes"), "checksum", (F.col("search_blob") == F.lower("filename")).alias("name_only"))
 
 
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:

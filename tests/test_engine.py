@@ -57,18 +57,18 @@ def test_reprocessing_reads_the_stored_bytes_in_one_batch(spark, tmp_path):
     assert [after["note _0_.txt"][c] for c in ("uploaded_by", "uploaded_at", "status", "title")] == [before["note _0_.txt"][c] for c in ("uploaded_by", "uploaded_at", "status", "title")]
     assert after["tool.exe"]["status"] == "failed" and after["tool.exe"]["stored_filename"] is None
     assert engine.original(key) == b"Safety hazard report number 0 for the near miss register."
-    assert len(list((tmp_path / "store" / "documents").glob("batch=*"))) == 4
+    assert len([line for line in (tmp_path / "store" / "log").glob("*.json")]) == 9
 
 
 def test_documents_wait_before_they_are_read(spark, tmp_path):
     from papyra.sources import files
-    from papyra.streaming import ingest
+    from papyra.streaming import ingest, store
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "Fire_drill.txt").write_text("All staff shall attend.")
     (tmp_path / "in" / "empty.txt").write_text("")
     rows = files.read_files(spark, f"file://{tmp_path}/in")
-    ingest.waiting(rows, uploaded_by="ann").write.parquet(f"file://{tmp_path}/store/documents/batch=a-0")
+    store.Store(spark, f"file://{tmp_path}/store").add("a-0", ingest.waiting(rows, uploaded_by="ann"))
     engine = Engine(spark, f"file://{tmp_path}/store")
     (found,) = ingest.read_store(spark, engine.store).collect()
     assert (found["status"], found["title"], found["search_blob"], found["uploaded_by"]) == ("processing", "Fire Drill", "fire_drill.txt", "ann")
