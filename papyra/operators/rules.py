@@ -180,7 +180,7 @@ def analysed(df: DataFrame, filename: str = "filename", text: str = "extracted_t
         "analysis_confidence": confidence(F.col("_body"), F.col("_top")),
     })
     df = with_title(df, filename)
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return df.drop(*[c for c in df.columns if c.startswith("_") and not c.startswith("__")])
 
 
 def search_blob() -> Column:
@@ -219,27 +219,47 @@ def from_reply(reply: Column) -> dict[str, Column]:
 
 
 def as_confidence(value: Column) -> Column:
-    """Between 0 and 1 with two decimals, null if no number."""
+    """Between 0 and 1 with two decimals, null if no number; what is not a number by its own word stays so."""
     number = value.try_cast("double")
-    return F.when(number.isNotNull(), F.round(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), 2))
+    return F.when(F.isnan(number), number).when(number.isNotNull(), F.round(F.least(F.greatest(number, F.lit(0.0)), F.lit(1.0)), 2))
+
+
+def readable(reply: Column) -> Column:
+    """Whether a reply is a JSON object whose fields have the kinds that are read of them.
+
+    Of names strings, of actions and deadlines lists of objects, of the other lists lists; null, false, 0 and
+    what is empty stand for nothing everywhere.
+    """
+    whole = F.try_parse_json(reply)
+    field = lambda name: F.try_variant_get(whole, f"$.{name}", "variant")
+    nothing = lambda x: x.isNull() | F.to_json(x).isin("null", "false", "0", '""', "{}", "[]")
+    kind = F.schema_of_variant
+    names = [nothing(x) | (kind(x) == "STRING") for x in map(field, ("document_type", "department", "priority"))]
+    lists = [nothing(x) | kind(x).startswith("ARRAY<") for x in map(field, ("key_points", "keywords", "risks", "compliance_flags"))]
+    second = field("secondary_departments")
+    objects = [nothing(x) | kind(x).startswith("ARRAY<OBJECT<") for x in map(field, ("actions", "deadlines"))]
+    sound = kind(whole).startswith("OBJECT<") & (nothing(second) | kind(second).isin("ARRAY<STRING>", "ARRAY<VOID>"))
+    for part in (*names, *lists, *objects):
+        sound = sound & part
+    return F.coalesce(sound, F.lit(False))
 
 
 def with_fallback(df: DataFrame, reply: str, error: str, filename: str = "filename", text: str = "extracted_text") -> DataFrame:
-    """analysed() with the fields of a model's reply where there is one that can be read, and analysis_engine and analysis_error.
+    """The fields of a model's reply where there is a readable() one, of analysed() elsewhere, and analysis_engine and analysis_error.
 
     reply is a column of JSON, null where the model was not asked or failed; error
-    says how it failed. A document without text is left to the rules.
+    says how it failed. A document without text is left to the rules. Texts with a reply are not looked at by them; a title that a reply lacks is the file name's.
     """
-    df = analysed(df, filename, text)
     given = from_reply(F.col(reply))
     asked = t.trimmed(F.coalesce(F.col(text), F.lit(""))) != ""
-    read = F.coalesce(asked & F.from_json(reply, F.lit("map<string,string>")).isNotNull(), F.lit(False))
-    failed = asked & ~read & (F.col(reply).isNotNull() | F.col(error).isNotNull())
-    df = df.withColumns({"_read": read, "_failed": F.coalesce(failed, F.lit(False))})
-    fields = {name: F.when(F.col("_read"), column).otherwise(F.col(name)) for name, column in given.items() if name not in ("confidence", "title")}
-    fields["title"] = F.when(F.col("_read") & (given["title"] != ""), given["title"]).otherwise(F.col("title"))
-    fields["analysis_confidence"] = F.when(F.col("_read"), given["confidence"]).otherwise(F.col("analysis_confidence"))
-    fields["analysis_engine"] = F.when(F.col("_read"), "model").otherwise("rule-based")
+    failed = asked & ~F.col("__read") & (F.col(reply).isNotNull() | F.col(error).isNotNull())
+    df = df.withColumn("__read", asked & readable(F.col(reply))).withColumn("__failed", F.coalesce(failed, F.lit(False)))
+    df = df.withColumn("__text", F.col(text)).withColumn(text, F.when(~F.col("__read"), F.col(text)))
+    df = analysed(df, filename, text).withColumn(text, F.col("__text"))
+    fields = {name: F.when(F.col("__read"), column).otherwise(F.col(name)) for name, column in given.items() if name not in ("confidence", "title")}
+    fields["title"] = F.when(F.col("__read") & (given["title"] != ""), given["title"]).otherwise(F.col("title"))
+    fields["analysis_confidence"] = F.when(F.col("__read"), given["confidence"]).otherwise(F.col("analysis_confidence"))
+    fields["analysis_engine"] = F.when(F.col("__read"), "model").otherwise("rule-based")
     note = F.concat(F.lit("AI analysis unavailable ("), F.coalesce(F.col(error), F.lit("unreadable reply")), F.lit("); used rule-based analysis."))
-    fields["analysis_error"] = F.when(F.col("_failed"), note).otherwise("")
-    return df.withColumns(fields).drop("_read", "_failed")
+    fields["analysis_error"] = F.when(F.col("__failed"), note).otherwise("")
+    return df.withColumns(fields).drop("__read", "__failed", "__text")

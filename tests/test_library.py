@@ -1,3 +1,7 @@
+import json
+import math
+import time
+import uuid
 from datetime import datetime
 
 import pytest
@@ -159,10 +163,72 @@ def test_fallback_to_the_rules(spark):
     got = rules.with_fallback(spark.createDataFrame(rows, "filename string, extracted_text string, reply string, error string"), "reply", "error").collect()
     assert [(r.department, r.analysis_engine) for r in got] == [("Signalling & Telecom", "model"), ("Procurement", "rule-based"), ("Procurement", "rule-based"), ("Unassigned", "rule-based"), ("Procurement", "rule-based")]
     assert [bool(r.analysis_error) for r in got] == [False, True, True, False, False] and "TimeoutError" in got[2].analysis_error
-    assert got[0].title == "Tender Document" or got[0].title == "Tender document"
+    assert got[0].title == "A" and got[0].summary == ""
     assert got[0].analysis_confidence is None
 
 
+WRONG = ['{"actions":"x"}', '{"actions":[1]}', '{"deadlines":{"a":1}}', '{"keywords":7}', '{"department":5}', '{"secondary_departments":[1]}', '{"priority":["High"]}', "[]", "null", "7", '"text"', "", "no json"]
+RIGHT = ["{}", '{"actions":null,"deadlines":[],"keywords":false}', '{"actions":[{"action":"go"}]}', '{"keywords":["a",2],"department":""}', '{"secondary_departments":["HR","IT"],"confidence":"nan"}']
+
+
+def test_replies_of_the_wrong_shape_are_left_to_the_rules(spark):
+    rows = [("a.txt", "Tender document", r, None) for r in WRONG + RIGHT]
+    got = rules.with_fallback(spark.createDataFrame(rows, "filename string, extracted_text string, reply string, error string"), "reply", "error").collect()
+    engines = {r.reply: (r.analysis_engine, r.department) for r in got}
+    assert {engines[r] for r in WRONG} == {("rule-based", "Procurement")} and {engines[r] for r in RIGHT} == {("model", "Unassigned")}
+    assert all(bool(r.analysis_error) == (r.reply in WRONG) for r in got) and all(r.extracted_text == "Tender document" for r in got)
+    assert [a.action for a in next(r for r in got if "go" in r.reply).actions] == ["go"]
+    assert math.isnan(next(r for r in got if "nan" in r.reply).analysis_confidence)
+
+
+def test_a_model_that_fails_stalls_and_answers(spark, tmp_path):
+    from papyra.operators import model
+
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def ask(request):
+        asked = json.loads(request)
+        name = asked["filename"]
+        (log / f"{name}-{uuid.uuid4().hex}").touch()
+        tries = len(list(log.glob(f"{name}-*")))
+        if name == "stalls.txt":
+            time.sleep(8)
+        if name == "never.txt" or (name == "second.txt" and tries < 2):
+            raise ConnectionError("down")
+        return json.dumps({"title": f"{asked['truncated']} {len(asked['text'])} {asked['page_count']}", "actions": 1 if name == "wrong.txt" else []})
+
+    names = ("fine.txt", "second.txt", "never.txt", "stalls.txt", "wrong.txt")
+    rows = [(n, f"Tender document {n}", 3) for n in names] + [("long.txt", "x" * 60_001, None), ("empty.txt", " ", 1), ("fine.txt", "Tender document fine.txt", 3)]
+    df = spark.createDataFrame(rows, "filename string, extracted_text string, page_count int").coalesce(2)
+    options = {"cache": f"file://{tmp_path}/cache", "attempts": 2, "wait": 0.01, "most_seconds": 3.0}
+    got = rules.with_fallback(model.replies(df, ask, **options), "reply", "error").collect()
+    by = {r.filename: r for r in got}
+    assert len(got) == 8 and {n: (by[n].analysis_engine, by[n].error) for n in by} == {"fine.txt": ("model", None), "second.txt": ("model", None), "never.txt": ("rule-based", "ConnectionError"), "stalls.txt": ("rule-based", "TimeoutError"), "wrong.txt": ("rule-based", None), "long.txt": ("model", None), "empty.txt": ("rule-based", None)}
+    assert by["long.txt"].title == "true 60000 None" or by["long.txt"].title == "True 60000 None"
+    assert by["fine.txt"].title == "False 24 3" and len(list(log.glob("fine.txt-*"))) == 1 and not list(log.glob("empty.txt-*"))
+    assert model.replies(df, ask, **options).where("filename = 'never.txt' OR filename = 'second.txt'").where("reply IS NOT NULL").count() == 1
+    assert len(list(log.glob("fine.txt-*"))) == 1 and len(list(log.glob("second.txt-*"))) == 2
+
+
+def test_a_page_whose_recognition_fails_keeps_its_file(spark):
+    from papyra.sources import files
+
+    def broken():
+        raise ValueError("malformed")
+
+    def recognise(number):
+        if number in (1, 2):
+            raise OSError("engine")
+        return "recognised text of a page", 70.0
+
+    decoders = {"PDF": lambda content: files.with_ocr(["n" * 50, "own", broken, "", ""], recognise, budget=1), "IMAGE": lambda content: []}
+    (row,) = files.extract(spark.createDataFrame([("/x/a.pdf", 1, b"x")], "path string, length long, content binary"), decoders).collect()
+    assert row.reason is None and row.warnings == "OCR failed on page 2. OCR failed on page 3."
+    assert [(p.text, p.ocr_used) for p in row.pages] == [("n" * 50, False), ("own", False), ("", False), ("recognised text of a page", True), ("", False)]
+    assert row.extraction_method == "pdf-text+ocr" and row.ocr_quality == 70.0 and row.page_count == 5
+
+
 def test_files_that_are_refused_or_broken(spark):
     from papyra.sources import files
 
