@@ -198,7 +198,8 @@ def searchable(df: DataFrame) -> DataFrame:
     return df.withColumns({"keywords_text": t.json_list(F.col("keywords")), **blob, **counts})
 
 
-_LLM = "title string, document_type string, department string, secondary_departments array<string>, priority string, summary string, key_points array<string>, keywords array<string>, actions array<struct<action:string,owner:string,due_date:string,priority:string>>, deadlines array<struct<date:string,description:string>>, risks array<string>, compliance_flags array<string>, confidence string"
+_ENTRIES = {"actions": "action:string,owner:string,due_date:string,priority:string", "deadlines": "date:string,description:string"}
+_LLM = f"title string, document_type string, department string, secondary_departments array<string>, priority string, summary string, key_points array<string>, keywords array<string>, actions array<struct<{_ENTRIES['actions']}>>, deadlines array<struct<{_ENTRIES['deadlines']}>>, risks array<string>, compliance_flags array<string>, confidence string"
 
 
 def from_reply(reply: Column) -> dict[str, Column]:
@@ -207,9 +208,10 @@ def from_reply(reply: Column) -> dict[str, Column]:
     strings = lambda c, n, low=False: F.slice(F.transform(F.coalesce(r[c], F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)) if low else F.trim(x)), 1, n)
     filled = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(r[c], F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, n)
     clean = lambda x: F.coalesce(F.trim(x), F.lit(""))
+    listed = lambda c: F.filter(F.coalesce(r[c], F.from_json(F.lit("[]"), f"array<struct<{_ENTRIES[c]}>>")), lambda x: x.isNotNull())
     second = F.filter(F.transform(F.coalesce(r["secondary_departments"], F.array().cast("array<string>")), v.normalise_department), lambda d: d != v.UNASSIGNED)
-    asked = F.transform(F.filter(r["actions"], lambda a: clean(a["action"]) != ""), lambda a: F.struct(clean(a["action"]).alias("action"), clean(a["owner"]).alias("owner"), clean(a["due_date"]).alias("due_date"), v.normalise_priority(a["priority"]).alias("priority")))
-    due = F.transform(F.filter(r["deadlines"], lambda d: clean(d["date"]) != ""), lambda d: F.struct(clean(d["date"]).alias("date"), clean(d["description"]).alias("description")))
+    asked = F.transform(F.filter(listed("actions"), lambda a: clean(a["action"]) != ""), lambda a: F.struct(clean(a["action"]).alias("action"), clean(a["owner"]).alias("owner"), clean(a["due_date"]).alias("due_date"), v.normalise_priority(a["priority"]).alias("priority")))
+    due = F.transform(F.filter(listed("deadlines"), lambda d: clean(d["date"]) != ""), lambda d: F.struct(clean(d["date"]).alias("date"), clean(d["description"]).alias("description")))
     return {
         "title": t.trim_to(F.coalesce(r["title"], F.lit("")), 300), "document_type": v.normalise_document_type(r["document_type"]), "department": v.normalise_department(r["department"]),
         "secondary_departments": F.slice(second, 1, 4), "priority": v.normalise_priority(r["priority"]), "summary": clean(r["summary"]),

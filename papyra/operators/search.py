@@ -7,6 +7,9 @@ that reach the scan, a projection, and a top-k instead of a full sort.
 
 from __future__ import annotations
 
+import base64
+import hmac
+import json
 import math
 import re
 from dataclasses import dataclass, field, replace
@@ -235,6 +238,65 @@ def search(df: DataFrame, spec: SearchSpec, params: SearchParams) -> DataFrame:
     return rows.drop(*[f"_key{i}" for i in range(len(keys))])
 
 
+def _typed(value) -> list:
+    """A key's value with its kind, for JSON."""
+    if isinstance(value, datetime):
+        return ["t", value.isoformat()]
+    return ["n" if value is None else "s" if isinstance(value, str) else "f" if isinstance(value, float) else "i", value]
+
+
+def _literal(kind: str, value) -> Column:
+    return F.lit(value.replace("T", " ")).cast("timestamp_ntz") if kind == "t" else F.lit(None if kind == "n" else value)
+
+
+def _asked(params: SearchParams) -> str:
+    return repr(replace(params, page=1, page_size=1))
+
+
+def cursor(page: DataFrame, spec: SearchSpec, params: SearchParams, secret: str) -> str | None:
+    """Where a page of after() ends: the sort keys of its last row, signed together with the search they belong to. None for an empty page."""
+    names = [c for c in page.columns if c.startswith("_key")]
+    rows = page.select(*names).tail(1)
+    if not rows:
+        return None
+    body = json.dumps([_typed(rows[0][c]) for c in names])
+    return base64.urlsafe_b64encode(f"{_signed(body, spec, params, secret)}{body}".encode()).decode()
+
+
+def _signed(body: str, spec: SearchSpec, params: SearchParams, secret: str) -> str:
+    return hmac.new(secret.encode(), f"{spec.id}\n{_asked(params)}\n{body}".encode(), "sha256").hexdigest()
+
+
+def after(df: DataFrame, spec: SearchSpec, params: SearchParams, cursor: str | None, secret: str) -> DataFrame:
+    """The page that follows a cursor, the first without one, in order and with its sort keys (_key0 and so on).
+
+    The order's bound is a filter on the scan, so a page costs what the first one does however deep it lies.
+    A cursor of another search, or one that was tampered with, is refused.
+    """
+    terms, keys = parse_terms(params.q), sort_keys(spec, params.applied_sort())
+    rows = filtered(df, spec, params).withColumn("score", score(spec, terms))
+    if cursor:
+        raw = base64.urlsafe_b64decode(cursor.encode()).decode()
+        sign, body = raw[:64], raw[64:]
+        if not hmac.compare_digest(sign, _signed(body, spec, params, secret)):
+            raise ValueError("not a cursor of this search")
+        held = [(c, falling, _literal(*x)) for (c, falling), x in zip(keys, json.loads(body), strict=True)]
+        # Nulls come last in falling and first in rising order, as Spark sorts.
+        beyond, same = F.lit(False), F.lit(True)
+        for c, falling, x in held:
+            later = (c < x) | (c.isNull() & x.isNotNull()) if falling else (c > x) | (c.isNotNull() & x.isNull())
+            beyond = beyond | (same & F.coalesce(later, F.lit(False)))
+            same = same & c.eqNullSafe(x)
+        first, falling, x = held[0]
+        edge = F.coalesce(first <= x, F.lit(True)) if falling else F.coalesce(first >= x, x.isNull())
+        rows = rows.where(edge).where(beyond)
+    shown = [F.coalesce(v.one_of(F.col(spec.filters[k]), labels), F.col(spec.filters[k])).alias(f"{k}_label") for k, labels in spec.labels.items()]
+    cut = [snippet(F.col(spec.text), terms).alias("snippet")] if spec.text else []
+    rows = rows.select(*dict.fromkeys([spec.id, *spec.projection]), *shown, F.round("score", 1).alias("score"), *cut, *[c.alias(f"_key{i}") for i, (c, _) in enumerate(keys)])
+    order = [F.col(f"_key{i}").desc() if falling else F.col(f"_key{i}").asc() for i, (_, falling) in enumerate(keys)]
+    return rows.orderBy(*order).limit(params.page_size)
+
+
 #: Rows that ranked() looks into first, times as many in each round, and rows beyond which one plan over all does the rest.
 FIRST_ROWS, WIDENING, MOST_ROWS = 64, 4, 4096
 

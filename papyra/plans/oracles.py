@@ -6,8 +6,11 @@ import re
 
 from papyra.functions import vocabulary as v
 from papyra.operators.rules import NO_TEXT
+from papyra.operators.search import parse_terms
 from papyra.plans.queries import CASES, REPLY, UNREAD
+from papyra.plans.store_queries import SEARCHES
 from papyra.sources import library as lib
+from papyra.streaming.store import CHUNK
 
 LIB = lib.duckdb_library()
 AS_OF = "TIMESTAMP '2024-03-30 12:00:00'"
@@ -276,12 +279,12 @@ def one(n: int, text: str, ocr: str = "FALSE", sure: str = "NULL") -> str:
     return f"{{'n': {n}, 'x': {text}, 'o': {ocr}, 'c': CAST({sure} AS DOUBLE)}}"
 
 
-SCAN, IMAGE = seen("left(text, 200)"), seen("left(text, 400)")
+SCAN, IMAGE = seen("text"), seen("text")
 BARE = "regexp_replace({}, '[\\x00-\\x08\\x0a-\\x1f]', '', 'g')"
 DOCX = clean(f"array_to_string(list_append(list_filter(list_transform(string_split(text, chr(10)), lambda l: {BARE.format('l')}), lambda l: {strip('l')} <> ''), 'a | ' || coalesce(nullif({BARE.format(strip('left(text, 20)'))}, ''), 'b')), chr(10))")
 FILES = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, (['txt', 'docx', 'pdf', 'png', 'exe', 'csv', 'log', 'pdf'])[CAST(doc_id % 8 + 1 AS INT)] AS kind FROM documents),
 gated AS (SELECT *, CASE WHEN kind = 'exe' THEN 'unsupported type' WHEN doc_id % 50 = 9 OR (text = '' AND kind NOT IN ('docx', 'pdf') AND doc_id % 50 <> 8) THEN 'empty file' WHEN doc_id % 50 = 8 THEN 'over 40 MB' END AS reason FROM docs),
-parts AS MATERIALIZED (SELECT *, {clean('left(text, 300)')} AS first, {SCAN[0]} AS scan, {SCAN[1]} AS scan_sure, {IMAGE[0]} AS image, {IMAGE[1]} AS image_sure, {DOCX} AS docx, {clean('text')} AS plain FROM gated),
+parts AS MATERIALIZED (SELECT *, {clean('text')} AS first, {SCAN[0]} AS scan, {SCAN[1]} AS scan_sure, {IMAGE[0]} AS image, {IMAGE[1]} AS image_sure, {DOCX} AS docx, {clean('text')} AS plain FROM gated),
 read AS MATERIALIZED (SELECT *, CASE WHEN reason IS NOT NULL THEN [] WHEN kind = 'docx' THEN [{one(1, 'docx')}] WHEN kind = 'png' THEN [{one(1, 'image', 'TRUE', 'image_sure')}]
   WHEN kind = 'pdf' THEN [CASE WHEN first = '' THEN {one(1, "'x'", 'TRUE', '50')} ELSE {one(1, 'first')} END, CASE WHEN length(scan) > 2 THEN {one(2, 'scan', 'TRUE', 'scan_sure')} ELSE {one(2, "'p2'")} END, {one(3, "'page three'")}]
   WHEN plain = '' THEN [] ELSE [{one(1, 'plain')}] END AS pages FROM parts),
@@ -291,7 +294,7 @@ EXTRACT = f"""{FILES} SELECT 'Note of ' || doc_id || '.' || CASE WHEN doc_id % 3
   CAST(CASE WHEN reason IS NOT NULL THEN NULL WHEN kind = 'docx' THEN CASE WHEN {WORDS} > 0 THEN greatest(1, round_even({WORDS} / 500.0, 0)) END WHEN kind = 'pdf' THEN 3 ELSE 1 END AS INT) AS page_count,
   scanned > 0 AS ocr_used, round(list_avg(list_transform(list_filter(pages, lambda p: p.o), lambda p: p.c)), 1) AS ocr_quality,
   CASE WHEN reason IS NOT NULL THEN NULL WHEN kind = 'docx' THEN 'docx' WHEN kind = 'png' THEN 'ocr' WHEN kind <> 'pdf' THEN 'plain-text' WHEN scanned = 0 THEN 'pdf-text' ELSE 'pdf-text+ocr' END AS extraction_method,
-  sha256(body) AS digest, {WORDS} AS words, CASE WHEN reason IS NULL AND body = '' AND kind = 'png' THEN 'No readable text was found in this image.' END AS warnings, reason FROM whole"""
+  sha256(body) AS digest, {WORDS} AS words, CASE WHEN reason IS NULL AND body = '' AND kind = 'png' THEN 'No readable text was found in this image.' WHEN reason IS NULL AND kind = 'pdf' AND length(text) % 2 = 1 THEN 'OCR failed on page 3.' END AS warnings, reason FROM whole"""
 PAGE_TABLE = f"""{FILES}, each AS (SELECT doc_id, unnest(pages) AS p FROM read)
 SELECT doc_id AS document_id, p.n AS page_number, sha256(p.x) AS digest, length(p.x) AS char_count, p.o AS ocr_used, p.c AS ocr_confidence FROM each"""
 
@@ -390,3 +393,24 @@ ORACLES |= {
       {q(NO_TEXT)} AS summary, 0.15 AS confidence, 0 AS entries FROM (SELECT id, {UNREAD} AS name, {tag(UNREAD)} AS tags FROM ({LIB}))""",
 }
 ORACLES["ingest_stream_text"] = ORACLES["ingest_batch_text"]
+
+STRIPPED = strip("text")
+SHAPED = "id % 8 IN (5, 6)"
+ORACLES |= {
+    "search_indexed": " UNION ALL ".join(f"SELECT {n} AS query, id FROM ({LIB}) WHERE {match(*parse_terms(asked))}" for n, asked in enumerate(SEARCHES)),
+    "search_ranked": ORACLES["search_page2"],
+    "search_ranked_snippet": ORACLES["search_snippet"],
+    "search_seek": page("id, uploaded_at", (), by="uploaded_at DESC, id DESC", limit=15, offset=30),
+    "facets_bitmap": ORACLES["facets_self_excluding"],
+    "facets_bitmap_query": ORACLES["facets_with_query"],
+    "stats_bitmap": ORACLES["stats_library"].replace(f"({LIB})", f"(SELECT * FROM ({LIB}) WHERE id % 7 <> 3)"),
+    "store_two_streams": f"SELECT item_id, 'stream ' || (item_id % 2) AS uploaded_by, 'analysis_complete' AS status, sha256({STRIPPED}) AS digest FROM benchmark",
+    "store_delete": f"SELECT item_id, CASE WHEN item_id % 6 = 0 THEN 'again' ELSE 'first' END AS uploaded_by, sha256({STRIPPED}) AS digest FROM benchmark WHERE item_id % 3 <> 0 OR item_id % 6 = 0",
+    "store_purge": "SELECT item_id, unnest(['document', 'file']) AS kind FROM benchmark WHERE item_id % 3 <> 0",
+    "store_failed": """SELECT item_id, 'failed' AS status, CASE WHEN item_id % 2 = 0 THEN 'Safety Circular' ELSE 'Tender' END AS title, '' AS document_type, 'Unassigned' AS department, 'Medium' AS priority, '' AS summary,
+      CASE WHEN item_id % 2 = 0 THEN 'safety circular.docx' ELSE 'tender.exe' END AS search_blob, 'Unknown' AS language, 0 AS word_count, TRUE AS no_confidence, 0 AS entries FROM benchmark""",
+    "store_chunks": f"SELECT doc_id AS id, sha256(text) AS digest, (length(text) + {CHUNK - 1}) // {CHUNK} AS chunks FROM documents WHERE text <> ''",
+    "llm_wrong_shapes": f"""SELECT l.id, CASE WHEN id % 8 = 5 THEN l.department WHEN id % 8 = 6 THEN 'Unassigned' ELSE p.department END AS department, CASE id % 8 WHEN 5 THEN 'Medium' WHEN 6 THEN 'High' ELSE p.priority END AS priority,
+      CASE WHEN {SHAPED} THEN 'model' ELSE 'rule-based' END AS analysis_engine, CASE WHEN id % 8 < 5 THEN {NOTE.format("'unreadable reply'")} ELSE '' END AS analysis_error, CASE id % 8 WHEN 5 THEN 1 WHEN 6 THEN 0 END AS asked
+      FROM ({LIB}) l JOIN ({BASE} SELECT id, department, priority FROM prior) p USING (id)""",
+}

@@ -103,3 +103,34 @@ def test_bitmaps_of_random_rows(spark):
     want = {("department", x): sum(d[1] == x for d in data) for x in ("A", "B")} | {("priority", x): sum(d[1] == "A" and d[2] == x for d in data) for x in ("High", "Low")}
     assert got == want
     assert indexes.stats(bits).first()["pages"] == sum(d[3] or 0 for d in data)
+
+
+@pytest.mark.parametrize("params", [P(sort="newest", page_size=7), P("the", page_size=9), P("the", sort="priority", page_size=20), P(sort="name", page_size=33), P("of", {"priority": "High"}, sort="oldest", page_size=4)], ids=str)
+def test_pages_after_cursors_are_those_by_number(rows, params):
+    got, cursor = [], None
+    while True:
+        page = search.after(rows, lib.LIBRARY, params, cursor, "key")
+        found = [r["id"] for r in page.collect()]
+        if not found:
+            break
+        got += found
+        cursor = search.cursor(page, lib.LIBRARY, params, "key")
+        if len(got) > 60:
+            break
+    want = [r["id"] for r in search.search(rows, lib.LIBRARY, P(params.q, params.filters, sort=params.sort, page_size=100)).collect()]
+    assert got[:60] == want[:60]
+
+
+def test_cursors_with_nulls_and_foreign_ones(spark):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else i % 5, None if i % 4 == 0 else f"n{i % 2}") for i in range(40)], "id long, stamp int, name string").withColumn("at", F.expr("timestampadd(DAY, stamp, TIMESTAMP_NTZ'2024-01-01')"))
+    spec = search.SearchSpec("id", {}, (), timestamp="at", name="name")
+    for sort in ("newest", "oldest", "name"):
+        params, got, cursor = P(sort=sort, page_size=6), [], None
+        while found := (page := search.after(df, spec, params, cursor, "key")).collect():
+            got += [r["id"] for r in found]
+            cursor = search.cursor(page, spec, params, "key")
+        assert got == [r["id"] for r in search.search(df, spec, P(sort=sort, page_size=100)).collect()] and len(got) == 40
+    with pytest.raises(ValueError):
+        search.after(df, spec, P(sort="newest", page_size=6), search.cursor(search.after(df, spec, params, None, "key"), spec, params, "key"), "key")
+    with pytest.raises(ValueError):
+        search.after(df, spec, params, search.cursor(search.after(df, spec, params, None, "key"), spec, params, "other"), "key")
