@@ -100,18 +100,38 @@ DIGESTS = (
 
 #: What follows "copyright" or "(c)" in the wording of licences, so that a line that begins so is no notice (fixed values).
 WORDING = ("also", "and", "are", "disclaimer", "doctrines?", "for", "holders?", "if", "interests?", "laws?", "licen[cs]e[ds]?", "like", "line", "notices?", "of", "on", "or", "owner(?:s|ship)?", "patents?", "permissions?", "representations", "resulting", "statements?", "the (?:software|library|program|work)", "those", "treat(?:y|ies)", "under", "you")
-_WORDING = "|".join(("the(?=\\n|\\z)", *WORDING))
-#: A notice, after comment marks if there are any, goes with its line: "copyright" or its sign and a name or year, or (c) and a year; "all rights reserved" goes with its sentence.
-_NOTICE = (
-    r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:copyrights?(?!\p{L})|©|&copy;)(?:[^\p{L}\p{N}\n]*+(?!(?:%s)(?![\p{L}\p{N}]))[\p{L}\p{N}]|[ \t]*_{2})[^\n]*"
-    r"|\(c\)[^\p{L}\p{N}\n]*(?:copyright(?!\p{L})|(?:19|20)[0-9]{2}(?![0-9]))[^\n]*|all rights reserved[^\n.]*\.?)"
-) % _WORDING
+#: Words of clauses, which no notice has (fixed values): a line with one of them stays, so that a condition beside a name, a year or a sign is part of the text.
+CLAUSE = ("agree[sd]?", "allowed", "any", "appl(?:y|ies)", "are", "assign(?:s|ed|ment)?", "be", "becomes?", "belongs?", "cannot", "charges?", "consent", "doll?ars?", "euros?", "everyone", "except", "fees?", "forbidden", "goes", "granted", "ha[sd]", "have", "if", "is", "lasts?", "liable", "licen[cs]ees?", "licen[cs]ors?", "licen[cs]ed", "may not", "means?", "month", "must", "not", "nothing", "only", "owes?", "paid", "pays?", "payments?", "permi(?:ssion|tted)", "prohibited", "provided", "remains?", "require[sd]?", "reverts?", "royalt(?:y|ies)", "shall", "should", "subject", "sued?", "terminates?", "terms", "to", "transfer(?:s|red)?", "unless", "upon", "us", "use[sd]?", "vests?", "void", "waives?", "we", "when", "who", "will", "without", "you", "yours?")
+_NONE = r"[^\p{L}\p{N}]"
+#: Of a notice, after comment marks if there are any: "copyright", its sign, (c), in any order.
+_HEAD = rf"^(?:\(c\)|&copy;|©|copyrights?|{_NONE})*"
+_GLUED = r"copyrights?$"
+_DATED = r"^(?:(?:19|20)[0-9]{2}(?:[^0-9]|$)|(?:yyyy|years?)(?:[^\p{L}\p{N}]|$))"
+_SIGNED = r"©|&copy;|copyright"
+#: A name has so many words at most, "all rights reserved" aside.
+_NAME = r"^[\p{L}\p{N}]+(?:" + _NONE + r"+[\p{L}\p{N}]+){0,7}" + _NONE + "*$"
+_WORDED = rf"^(?:{'|'.join(('the$', *WORDING))})(?:{_NONE}|$)"
+_CLAUSED = rf"(?:^|{_NONE})(?:{'|'.join(CLAUSE)})(?:{_NONE}|$)"
+_MARKED = r"copyright|©|&copy;|\(c\)"
+_RESERVED = r"all rights reserved(?:\.|[^\p{L}\p{N}\n]*(?:\n|$))"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
+def _notice(line: Column) -> Column:
+    """Whether a lower-cased line is a copyright notice: after "copyright" or its signs a year, a place for one, or a name, which does not follow (c) alone; and no word of a clause."""
+    head = F.regexp_extract(line, _HEAD, 0)
+    rest = F.substring(line, F.length(head) + 1, F.length(line))
+    glued = head.rlike(_GLUED) & rest.rlike(r"^\p{L}")
+    dated = rest.rlike(_DATED) | head.contains("__")
+    named = head.rlike(_SIGNED) & F.regexp_replace(rest, _RESERVED, "").rlike(_NAME) & ~rest.rlike(_WORDED)
+    return head.rlike(_MARKED) & ~glued & (dated | named) & ~line.rlike(_CLAUSED)
+
+
 def canonical(text: Column) -> Column:
-    """Canonical form; empty for null and for texts of copyright notices only."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOTICE, "\n"), _OTHER, "  ")
+    """Canonical form; empty for null and for texts of copyright notices only. "All rights reserved" goes where it is a sentence or ends a line."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    kept = F.array_join(F.filter(F.split(low, "\n"), lambda line: ~(line.rlike(_MARKED) & _notice(line))), "\n")
+    bare = F.regexp_replace(F.regexp_replace(F.when(low.rlike(_MARKED), kept).otherwise(low), _RESERVED, "\n"), _OTHER, "  ")
     spelled = F.concat(F.lit(" "), bare, F.lit(" "))
     for written, taken in (*SPELLINGS, *MORE_SPELLINGS):
         spelled = F.replace(spelled, F.lit(f" {written} "), F.lit(f" {taken} "))
@@ -141,20 +161,15 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", known=(*KNOWN,
 
 def sql(known=(*KNOWN, *MORE_KNOWN), digests=DIGESTS) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    wording = "|".join(("the$", *WORDING))
-    # Line by line, as there is no lookahead here.
-    none = r"[^\p{L}\p{N}]"
-    mark = quote(rf"^{none}*(?:copyrights?($|[^\p{{L}}].*)|(?:©|&copy;)(.*))$")
-    follows = f"(regexp_extract(l, {mark}, 1) || regexp_extract(l, {mark}, 2))"
-    said = f"regexp_replace({follows}, '^{none}*', '')"
-    named = f"{said} <> '' AND NOT regexp_matches({said}, {quote(f'^(?:{wording})(?:{none}|$)')}) OR regexp_matches({follows}, {quote('^[ ' + chr(9) + ']*_{2}')})"
-    dated = "regexp_matches(l, " + quote(rf"^{none}*\(c\){none}*(?:copyright(?:[^\p{{L}}]|$)|(?:19|20)[0-9]{{2}}(?:[^0-9]|$))") + ")"
-    reserved = quote(rf"^{none}*all rights reserved[^.]*\.?")
+    head = f"regexp_extract(l, {quote(_HEAD)})"
+    rest = f"substr(l, length({head}) + 1)"
+    has = lambda x, pattern: f"regexp_matches({x}, {quote(pattern)})"
+    notice = f"""{has(head, _MARKED)} AND NOT ({has(head, _GLUED)} AND {has(rest, r'^\p{L}')}) AND NOT {has('l', _CLAUSED)}
+      AND ({has(rest, _DATED)} OR contains({head}, '__') OR ({has(head, _SIGNED)} AND {has(f"regexp_replace({rest}, {quote(_RESERVED)}, '', 'g')", _NAME)} AND NOT {has(rest, _WORDED)}))"""
 
     def form(column: str) -> str:
-        lines = f"list_filter(string_split(lower(coalesce({column}, '')), chr(10)), lambda l: NOT ({named} OR {dated}))"
-        lines = f"list_transform({lines}, lambda l: regexp_replace(l, {reserved}, ''))"
-        x = f"' ' || regexp_replace(array_to_string({lines}, chr(10)), {quote(_OTHER)}, '  ', 'g') || ' '"
+        lines = f"list_filter(string_split(lower(coalesce({column}, '')), chr(10)), lambda l: NOT ({notice}))"
+        x = f"' ' || regexp_replace(regexp_replace(array_to_string({lines}, chr(10)), {quote(_RESERVED)}, chr(10), 'g'), {quote(_OTHER)}, '  ', 'g') || ' '"
         for written, taken in (*SPELLINGS, *MORE_SPELLINGS):
             x = f"replace({x}, ' {written} ', ' {taken} ')"
         return f"sha256(regexp_replace(trim({x}), ' +', ' ', 'g'))"

@@ -455,6 +455,31 @@ def test_license_clauses_are_no_notices(spark):
     assert len({r.digest for r in got}) == len(clauses) + 1
 
 
+ADDED = (
+    "Copyright transfers to the licensor upon use.", "All rights reserved except for those who pay the licensor 100 dollars a month", "© means nothing here: you must pay the licensor",
+    "Copyright 2024 you must pay the author", "(c) 2024 The licensor may not be sued", "Copyright (c) 2024 Ann. You shall not sell this.", "© Ann Smith, unless you are a company", "Copyright © all users owe a fee",
+    "All rights reserved to sue", "All rights reserved, and fees apply", "Copyright of your changes goes to us", "Copyright year requires payment", "Copyrighted parts belong to Ann", "Copyright __ is granted only to members",
+    "The author is not liable in any country but France", "Use by armies is forbidden.", "You must share your changes.", "No commercial use.", "(c) any other use", "Copyright assignment: contributors waive their claims",
+)
+NOTICES = ("Copyright (c) 2024 Ann Smith", "Copyright 2019-2024 The Foo Authors. All rights reserved.", "© Ann Smith", "(c) 2001, 2002 Foo Inc.", "# Copyright (C) Foo GmbH", "Copyright © 2024 by Ann", "Copyright (c) <year> <owner>", "Copyright [yyyy] [name of copyright owner]", "All rights reserved.", "Copyright (c) 2024 Ann\nCopyright (c) 2023 Bob", "&copy; 2024 Foo")
+
+
+def test_licenses_with_an_added_clause_are_others(spark):
+    """Each licence with each added line is no known text; with each notice it is what it was. The SQL says the same."""
+    import duckdb
+
+    known = dict(reversed(licenses.KNOWN))
+    texts = [(name, f"{add}\n\n{text}", None) for name, text in known.items() for add in ADDED] + [(name, f"{text}\n{add}", None) for name, text in known.items() for add in ADDED]
+    texts += [(name, f"{add}\n\n{text}", name) for name, text in known.items() for add in NOTICES]
+    rows = [(i, text, want) for i, (_, text, want) in enumerate(texts)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    assert [(texts[i][1][:90], got[i].license) for i, _, want in rows if got[i].license != want] == []
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert {r[0]: r[1:] for r in con.execute(licenses.sql()).fetchall()} == {i: (r.digest, r.license) for i, r in got.items()}
+
+
 def test_license_sql_is_the_operator(spark):
     """Over texts that are licences, nearly so or not, with notices and lines that look like them."""
     import duckdb
