@@ -52,26 +52,35 @@ _UPPER, _LOWER = _letters("Lu"), _letters("Ll")
 _CASED = rf"[{_UPPER}](?:[{_LOWER}]|[-'’](?=[{_UPPER}{_LOWER}])|[{_UPPER}](?=[{_LOWER}]))+"
 #: Between the parts of a name: hyphens, apostrophes and inner capitals.
 _INNER = re.compile(rf"([-'’]|(?<=[{_LOWER}])(?=[{_UPPER}]))")
-_NAME = rf"(?:{_CASED}|[\u0620-\u064a]{{2,}}|[\u05d0-\u05ea]{{2,}}|[\u0900-\u0963\u0971-\u097f]{{2,}})"
+#: Small words inside of names, which stay, and academic titles after a title (fixed values).
+PARTICLES = ("von", "vom", "van", "der", "den", "dem", "de", "del", "della", "di", "da", "das", "do", "dos", "du", "des", "la", "las", "le", "los", "el", "al", "bin", "bint", "ibn", "ben", "zu", "zum", "zur", "ter", "ten", "y", "e", "af", "av")
+DEGREES = ("Dr", "Prof", "Ing", "Dipl", "Mag", "med", "phil", "rer", "nat", "jur", "dent", "vet", "habil", "h.c")
+#: Between the words of a name; after a title a line may end as well.
+_BLANK = r"[ \t\u00a0\u2000-\u200a\u202f\u3000]"
+_BREAK = rf"(?:{_BLANK}+(?:\r?\n{_BLANK}*)?|\r?\n{_BLANK}*)"
+_NAME = rf"(?:{_CASED}|[{_UPPER}](?:[-'’]?[{_UPPER}])+(?![{_LOWER}])|[\u0620-\u064a]{{2,}}|[\u05d0-\u05ea]{{2,}}|[\u0900-\u0963\u0971-\u097f]{{2,}})"
+_FULL = rf"(?:(?:{'|'.join(PARTICLES)}){_BLANK}+)*{_NAME}"
 #: Kind and pattern; where several begin at one place the first wins. The group v, if there is one, is what is replaced.
 PATTERNS = (
-    ("email", r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("pem", r"-----BEGIN (?P<begun>(?:[A-Z0-9]+ )*PRIVATE KEY)-----(?P<v8>(?:[^-]|-(?!----))+)-----END (?P=begun)-----"),
+    ("jwt", r"(?<![\w-])eyJ[\w-]+\.[\w-]+\.[\w-]*"),
+    ("email", r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"),
     ("key", r"(?<![A-Z0-9])(?:AKIA|ASIA)(?P<v1>[A-Z0-9]{16})(?![A-Z0-9])"),
     ("key", r"(?<![A-Za-z0-9])(?:gh[pousr]_|sk-|xox[abp]-)(?P<v2>[A-Za-z0-9_-]{16,})"),
-    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))[\"']?[ \t]*+\s{0,3}+[ \t]*+[=:][ \t]*+\s{0,3}+[ \t]*+[\"']?(?P<v3>[\w+/\-.!@#$%^&*~?=|:]{6,})"),
+    ("secret", r"(?i:(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))[\"']?[ \t]*+\s{0,3}+[ \t]*+[=:][ \t]*+\s{0,3}+[ \t]*+(?:\"(?P<v6>[^\"\n]+)\"|'(?P<v7>[^'\n]+)'|[\"']?(?P<v3>[\w+/\-.!@#$%^&*~?=|:]+))"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
-    ("ip6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    ("ip6", r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)(?![\w:])"),
     ("mac", r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])"),
     ("iban", r"(?<!\w)(?P<v4>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\d.-])(?:\d[ -]?){12,18}\d(?![\d-])"),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)"),
-    ("name", rf"(?<!\w)(?P<title>{'|'.join(sorted((*TITLES, *CUES), key=len, reverse=True))})\.?[ ](?P<v5>{_NAME}(?:[ ]{_NAME}){{0,2}})"),
+    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w+])\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?\d{1,5}(?:[ ./-]?\d{2,8}){1,5}(?!\w)|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<![\w+.,-])0\d(?:[ .-]\d{2}){4}(?![\w-]|[.,]\d)|(?<![\w+.,-])0\d{1,4}[ /-]\d{5,8}(?![\w-]|[.,]\d)"),
+    ("name", rf"(?<!\w)(?P<title>{'|'.join(sorted((*TITLES, *CUES), key=len, reverse=True))})(?:\.{_BREAK}?|{_BREAK})(?:(?:{'|'.join(map(re.escape, DEGREES))})(?:\.{_BREAK}?|{_BREAK}))*(?P<v5>{_FULL}(?:{_BLANK}+{_FULL})*)"),
 )
 _ALL = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p) in enumerate(PATTERNS)))
-_VALUES = ("v1", "v2", "v3", "v4", "v5")
+_VALUES = ("v1", "v2", "v3", "v4", "v5", "v6", "v7", "v8")
 #: A text without digit, at sign, sign of assignment, beginning of a key, title or six pairs of letters with hyphens has nothing to find.
-_MAYBE = re.compile(r"[\d@=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|\b(?:" + "|".join((*TITLES, *CUES)) + r")\b|श्री|(?:[A-Fa-f]{2}-){5}[A-Fa-f]{2}")
+_MAYBE = re.compile(r"[\d@=:]|eyJ|-----BEGIN|AKIA|ASIA|gh[pousr]_|sk-|xox[abp]-|\b(?:" + "|".join((*TITLES, *CUES)) + r")\b|श्री|(?:[A-Fa-f]{2}-){5}[A-Fa-f]{2}")
 
 
 def digest(key: bytes, *parts: str | bytes, bits: int = 256) -> int:
@@ -234,6 +243,8 @@ def name_part(key: bytes, part: str) -> str:
 
 def name_surrogate(key: bytes, name: str, gender: str = "n", steps: int = 0) -> str:
     """A name of the same script for each part between hyphens, apostrophes and inner capitals; its end tells the gender, if there is one. Steps that avoid a name are a further syllable after a hyphen."""
+    if len(name) > 1 and name.isupper():
+        return name_surrogate(key, name.capitalize(), gender, steps).upper()
     parts = _INNER.split(name)
     made = "".join(p if i % 2 else name_part(key, p) for i, p in enumerate(parts))
     consonants, vowels, _, woman, man = SYLLABLES[script(name)]
@@ -325,6 +336,14 @@ class Document:
         return f"[{kind}-{self.masks}]"
 
 
+_SPOKEN = re.compile(r"\S+")
+
+
+def _names(value: str) -> list[str]:
+    """The words of a name but its particles."""
+    return [n for n in _SPOKEN.findall(value) if n not in PARTICLES]
+
+
 _WORD, _PIECE = re.compile(r"\w+(?:[-'’]\w+)*"), re.compile(r"[-'’]")
 
 
@@ -365,19 +384,20 @@ def replaced(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     if not found:
         return text, counts
     made = Document(key)
-    made.reserve(part for f in found for part in ([f[3]] if f[2] != "name" else f[3].split(" ")))
+    made.reserve(part for f in found for part in ([f[3]] if f[2] != "name" else _names(f[3])))
     parts: dict[str, tuple[str, str]] = {}  # of names: given if any mention says so, and the gender that one tells
     for _, _, kind, value, gender in found:
         if kind == "name":
-            names = value.split(" ")
+            names = _names(value)
             for i, name in enumerate(names):
                 known = "given" if i < len(names) - 1 or name in KNOWN_GENDER else "family", gender
-                parts[name] = max(parts.get(name, known), known, key=lambda x: (x[0] == "given", x[1] != "n"))
+                for form in {name, name.capitalize()} if name.isupper() and len(name) > 1 else (name,):
+                    parts[form] = max(parts.get(form, known), known, key=lambda x: (x[0] == "given", x[1] != "n"))
     if parts:
         found = sorted([*found, *_later_mentions(text, parts, found)])
     pieces, end = [], 0
     for a, b, kind, value, _ in found:
-        new = " ".join(made.of(parts[n][0], n, parts[n][1]) for n in value.split(" ")) if kind == "name" else made.of(kind, value)
+        new = _SPOKEN.sub(lambda m: m[0] if m[0] in PARTICLES else made.of(parts[m[0]][0], m[0], parts[m[0]][1]), value) if kind == "name" else made.of(kind, value)
         pieces += [text[end:a], new]
         end = b
         counts[kind] = counts.get(kind, 0) + 1

@@ -803,3 +803,53 @@ def test_hard_negatives_of_few_rows(spark):
     for rows in ([], [(None, 1, [1.0])], [(100, 1, [1.0])], [(1, 1, [1.0]), (2, 0, [0.5])], [(100, 1, [1.0]), (1, 1, [1.0])], [(100, 1, [1.0]), (1, 1, [1.0]), (2, 0, [0.5])]):
         got = [tuple(r) for r in hard_negatives.mine(spark.createDataFrame(rows, schema)).collect()]
         assert got == _mined(rows, hard_negatives.Settings())
+
+
+def _personal(rng):
+    """200 strings with personal data, each with the parts that must go."""
+    given = ["Juan", "Carlos", "Anna-Lena", "Émile", "Zoë", "Иван", "Ελένη", "Siobhán", "O’Neil", "JOHN", "MARÍA"]
+    family = ["García", "López", "Müller", "Weiß", "Smith", "McDonald", "D'Angelo", "Петров", "SMITH", "WEISS", "Trapp"]
+    blanks = [" ", "  ", "\u00a0", "\u202f"]
+    pick = rng.choice
+    digits = lambda n: "".join(pick("0123456789") for _ in range(n))
+    word = lambda n, letters="abcdefghijkmnpqrstuvwxyzABCDEFGH0123456789": "".join(pick(letters) for _ in range(n))
+    found = []
+    for i in range(80):
+        names = [pick(given) for _ in range(rng.randrange(0, 5))] + [pick(family)]
+        title = pick(["Mr", "Mrs", "Dr.", "Prof. Dr.", "Dr. med.", "Herr", "Frau Dr.", "Señor", "Mme", "Monsieur", "my name is", "Je m'appelle"])
+        particle = pick(["", "", "von ", "de la ", "van der ", "bin "]) if len(names) < 3 else ""
+        after = pick([*blanks, "\n"]) if i % 4 == 0 else " "
+        found.append((f"we met {title}{after}{particle}{pick(blanks).join(names)}, who came.", names))
+    for form in ("06 {} {} {} {}", "0{}.{}.{}.{}.{}"):
+        found += [(f"tel {x} ok", [x]) for x in (form.format(*((digits(1),) if form[1] == "{" else ()), *(digits(2) for _ in range(4))) for _ in range(10))]
+    for area, form in ((2, "0{} {}"), (3, "0{}-{}"), (2, "0{}/{}"), (2, "+49 (0){} {}"), (2, "+33 {} {}"), (3, "+1-{}-555-{}")):
+        found += [(f"call {x}.", [x]) for x in (form.format(pick("123456789") + digits(area - 1), digits(7)) for _ in range(5))]
+    found += [(f"<{x}>", [x]) for x in [f"{word(5)}@{host}" for host in ("bücher.example", "пример.рф", "a-b.co.uk", "x.museum") for _ in range(4)]]
+    found += [(f"from {x} to", [x]) for x in ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8::", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "192.168.17.4", "10.0.0.1", "a1::b2"]]
+    found += [(f"Bearer {x}", [x]) for x in (f"eyJ{word(12)}.{word(20)}.{word(16)}" for _ in range(8))]
+    found += [(f"-----BEGIN {kind}PRIVATE KEY-----\n{x}\n-----END {kind}PRIVATE KEY-----", [x]) for kind in ("", "RSA ", "EC ", "OPENSSH ") for x in (word(64), word(40) + "\n" + word(30))]
+    found += [(f"{name}{sign}{quote}{x}{quote}", [x]) for name, sign in (("password", "="), ("api_key", ": "), ("token", "=")) for quote in ('"', "'") for x in ("my dog 4 pals", "x9", "k 7 z")]
+    found += [(f"{name}{sign}{x}", [x]) for name, sign in (("password", ": "), ("pwd", "="), ("secret", " = ")) for x in ("a1b", "pa55word", "x7")]
+    while len(found) < 200:
+        x = pick([f"{digits(3)}-{digits(2)}-{digits(4)}", f"AKIA{word(16, 'ABCDEFGHJKLMNP234567')}", f"ghp_{word(36)}"])
+        found.append((f"it is {x}, so", [x.removeprefix("AKIA").removeprefix("ghp_")]))
+    return found[:200]
+
+
+def _harmless(rng):
+    """200 strings without personal data."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    plain = ["std::vector<int> a::b", "Face::bad_cafe", "at 12:30:45 on 2024-03-05", "version 1.2.3 of 2021", "$1,234,567.89 in all", "The Doctor said so", "Miss the bus again", "the Professor and the lady", "chapter 12, page 340", "see RFC 2616 and ISO 8601", "a ratio of 3:2:1", "the password is needed", "a secret garden and a token of thanks", "@decorator for all", "f(x) = 2x + 1", "C3PO and R2D2", "on 05/12/2023 and 5.12.2023", "10 000 000 people", "0.25 0.50 0.75 1.00", "begin PRIVATE KEY end", "eyJ is how it begins", "phone me tomorrow", "Dr. no", "mr. nobody at all", "100 000 12 34"]
+    made = [f"{rng.choice(['item', 'row', 'id', 'no.', 'size'])} {digits(rng.randrange(1, 7))} {rng.choice(['of', 'and', 'x'])} {digits(rng.randrange(1, 7))}" for _ in range(100)]
+    made += [f"{rng.randrange(1, 24)}:{rng.randrange(10, 60)} {rng.choice(['Uhr', 'h', 'pm'])}, {rng.randrange(1900, 2030)}-{rng.randrange(10, 13)}-{rng.randrange(10, 29)}" for _ in range(75)]
+    return plain + made
+
+
+def test_detection_of_200_strings_with_and_200_without():
+    rng, key = random.Random(55), pii._key("k")
+    positive, negative = _personal(rng), _harmless(rng)
+    assert len(positive) == len(negative) == 200
+    hidden = [(t, pii.replaced(t, key)[0], parts) for t, parts in positive]
+    missed = [(t, new) for t, new, parts in hidden if new == t or any(p in new for p in parts)]
+    wrong = [(t, pii.replaced(t, key)[0]) for t in negative if pii.replaced(t, key)[0] != t]
+    assert missed == [] and wrong == []
