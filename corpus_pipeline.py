@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from papyra.llm import near_dup, packing, pii, quality
 from papyra.llm.common import text_or_empty
 from papyra.llm.queries import pii_secret
-from papyra.plans.workers import shared_folder
+from papyra.plans.workers import remove, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +43,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents of sf_dir. Stages are written to spark.checkpoint.dir, in a local session without one to a temporary folder of its own."""
+    """The stages over the documents of sf_dir. Stages are written to spark.checkpoint.dir, in a local session without one to a temporary folder of its own; each is removed when the next is written, so that no text without surrogates stays."""
     folder = f"{shared_folder(spark, 'pipeline-')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         result = stage(spark, docs, sf_dir)
         result.write.parquet(f"{folder}/{number}")
         docs = spark.read.parquet(f"{folder}/{number}")
+        if number:
+            remove(spark, f"{folder}/{number - 1}")
     return docs

@@ -36,6 +36,12 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
     return found.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder and all in it, if it is there, by the file system that its path names."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder and read from there."""
     context = df.sparkSession.sparkContext

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from papyra.operators import indexes
+from papyra.plans.workers import remove
 
 #: Gone rows up to which they are broadcast to a reader, or new ids to a writer; beyond that rows are joined by a shuffle.
 MOST_STALE = 500_000
@@ -280,9 +281,8 @@ class Store:
         return [n.removeprefix("batch=") for n in self._names("originals") if n.removeprefix("batch=") in complete]
 
     def _remove(self, paths: list[str]) -> None:
-        for p in paths:
-            _, path, fs = self._hadoop(p)
-            fs.delete(path, True)
+        for path in paths:
+            remove(self.spark, path)
 
     def row(self, key: int, *columns: str, snapshot: Snapshot | None = None) -> DataFrame:
         """These columns of one document: files and row groups are skipped by their ids, gone rows are those of this id."""
