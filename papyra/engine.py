@@ -14,7 +14,7 @@ from papyra.operators.search import Paging, SearchParams, SearchSpec
 from papyra.sources import files
 from papyra.sources.library import ANALYSED
 from papyra.plans.workers import checkpointed
-from papyra.streaming import ingest
+from papyra.streaming import ingest, progress
 from papyra.streaming.store import CHUNK, MOST_STALE, Snapshot, Store
 
 
@@ -76,6 +76,14 @@ class Engine:
         snapshot = self._store.snapshot()
         return indexes.stats(self._index(snapshot, "bitmaps"), gone=self._store.gone(snapshot) if snapshot.n_gone else None)
 
+    def uploads(self) -> DataFrame:
+        """How far each upload is."""
+        return progress.uploads(self._store)
+
+    def poll(self, keys: DataFrame | list[int]) -> DataFrame:
+        """How far these documents are."""
+        return progress.poll(self._store, keys)
+
     def filter_options(self) -> dict[str, list[str]]:
         return {"department": [*v.DEPARTMENTS, v.UNASSIGNED], "priority": [*v.PRIORITIES], "file_type": [*v.FILE_TYPES], "document_type": [*v.DOCUMENT_TYPES], "status": [*v.STATUS_LABELS.values()], "sort": [*search.SORTS]}
 

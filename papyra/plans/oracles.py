@@ -414,3 +414,10 @@ ORACLES |= {
       CASE WHEN {SHAPED} THEN 'model' ELSE 'rule-based' END AS analysis_engine, CASE WHEN id % 8 < 5 THEN {NOTE.format("'unreadable reply'")} ELSE '' END AS analysis_error, CASE id % 8 WHEN 5 THEN 1 WHEN 6 THEN 0 END AS asked
       FROM ({LIB}) l JOIN ({BASE} SELECT id, department, priority FROM prior) p USING (id)""",
 }
+RENEWED = f"SELECT * REPLACE ('High' AS priority, 'analysis_complete' AS status, 2 AS page_count) FROM ({LIB}) WHERE id % 5 = 0"
+STEPS = (f"({LIB})", f"(SELECT * FROM ({LIB}) WHERE id % 7 <> 3)", *[f"(SELECT * FROM ({LIB}) WHERE id % 7 <> 3 AND id % 5 <> 0 UNION ALL {RENEWED})"] * 2)
+ORACLES |= {
+    "store_progress": """SELECT v.version, v.version - 1 AS stage, CASE WHEN v.version < 3 THEN 'processing' WHEN item_id % 5 = 0 THEN 'failed' WHEN v.version = 3 THEN 'ai_analysis' ELSE 'analysis_complete' END AS status, count(*) AS documents
+      FROM benchmark, (SELECT unnest([1, 2, 3, 4]) AS version) v GROUP BY ALL""",
+    "store_live_figures": " UNION ALL ".join(f"SELECT *, {n} AS step FROM ({ORACLES['stats_library'].replace(f'({LIB})', rows)})" for n, rows in enumerate(STEPS)),
+}

@@ -12,7 +12,7 @@ from papyra.operators import indexes, rules, search
 from papyra.operators.search import SearchParams
 from papyra.plans.workers import checkpointed, shared_folder
 from papyra.sources import library as lib
-from papyra.streaming import ingest
+from papyra.streaming import ingest, live, progress
 from papyra.streaming.store import Store
 
 P = SearchParams.of
@@ -133,6 +133,33 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("id", F.sha2(F.array_join(F.transform("parts", lambda p: p["text"]), ""), 256).alias("digest"), F.size("parts").cast("long").alias("chunks"))
 
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by status at each commit of an ingest of the benchmark table's texts, of which those with numbers divisible by five cannot be read."""
+    store = Store(spark, _folder(spark))
+    rows = _files(spark, sf_dir).withColumn("path", F.when(_item() % 5 == 0, F.concat(F.lit("/in/"), _item(), F.lit("/note.docx"))).otherwise(F.col("path")))
+    ingest._write(ingest.land(rows, store.path, "t1"), store, "t1")
+    return progress.history(store).select("version", "stage", "status", "documents")
+
+
+def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key figures of the library as they follow its store: all documents come, every seventh goes, every fifth comes anew and is urgent, a compaction changes nothing."""
+    store = Store(spark, _folder(spark))
+    target, every = f"{store.path}-figures", None
+    docs = lib.library(spark, sf_dir).select("id", "filename", "status", "department", "priority", "page_count", F.lit(None).cast("string").alias("extracted_text"), F.col("filename").alias("search_blob"))
+    steps = (
+        lambda: store.add("a", docs),
+        lambda: store.delete(docs.where("id % 7 = 3")),
+        lambda: store.add("b", docs.where("id % 5 = 0").withColumns({"priority": F.lit("High"), "status": F.lit("analysis_complete"), "page_count": F.lit(2)})),
+        lambda: store.compact(),
+    )
+    for number, step in enumerate(steps):
+        step()
+        live.follow(store, target, f"{target}-checkpoint").awaitTermination()
+        one = checkpointed(live.figures(store, target).drop("version", "actions").withColumn("step", F.lit(number)))
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
 #: Replies of all shapes, by id.
 SHAPES = """CASE id % 8 WHEN 0 THEN '{"actions":"x"}' WHEN 1 THEN '{"actions":[1]}' WHEN 2 THEN '{"department":5}' WHEN 3 THEN '[]' WHEN 4 THEN '{"keywords":7}' WHEN 5 THEN concat('{"department":"', department, '","actions":[{"action":"go"}]}') WHEN 6 THEN '{"actions":null,"priority":"p1","confidence":"nan"}' END"""
 
@@ -157,5 +184,7 @@ QUERIES = {
     "store_purge": purged,
     "store_failed": failed,
     "store_chunks": chunks,
+    "store_progress": staged,
+    "store_live_figures": followed,
     "llm_wrong_shapes": wrong_shapes,
 }

@@ -22,6 +22,7 @@ from papyra.functions import vocabulary as v
 from papyra.operators import rules
 from papyra.plans.workers import checkpointed, shared_folder
 from papyra.sources import files as f
+from papyra.streaming import progress
 from papyra.streaming.store import LARGE_ROWS, Store
 
 LOW_OCR = "OCR confidence is low; verify details against the original document."
@@ -175,7 +176,7 @@ def ingest_stream(spark: SparkSession, source: str, store: str, checkpoint: str,
         if f"{name}-3" not in held.snapshot().ever:
             _write(land(rows, store, name), held, name, **options)
 
-    writer = reader.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = progress.observed(reader, f.gate().isNotNull(), store).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -85,16 +85,20 @@ class Store:
             return False
         return True
 
-    def snapshot(self, version: int | None = None) -> Snapshot:
-        """The store as its log is now, or as it was at an earlier version whose folders are not purged."""
+    def entries(self) -> list[dict]:
+        """The log, in order."""
         try:
             lines = self.spark.read.schema("value string").text(f"{self.path}/log").collect()
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return Snapshot()
+            return []
+        return sorted((json.loads(r["value"]) for r in lines), key=lambda e: e["version"])
+
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The store as its log is now, or as it was at an earlier version whose folders are not purged."""
         found = Snapshot()
-        for entry in sorted((json.loads(r["value"]) for r in lines), key=lambda e: e["version"]):
+        for entry in self.entries():
             if version is None or entry["version"] <= version:
                 found = found.after(entry)
         return found
@@ -133,13 +137,13 @@ class Store:
         gone = self.gone(snapshot).select("batch", "ord")
         return rows.join(F.broadcast(gone) if snapshot.n_gone <= MOST_STALE else gone, ["batch", "ord"], "left_anti")
 
-    def rows(self, snapshot: Snapshot | None = None) -> DataFrame:
-        """All documents that count, with batch and ord; a reader takes the columns that it needs."""
+    def rows(self, snapshot: Snapshot | None = None, batches: Sequence[str] | None = None) -> DataFrame:
+        """All documents that count, or those of some batches, with batch and ord; a reader takes the columns that it needs."""
         snapshot = snapshot or self.snapshot()
         if not snapshot.batches:
             raise FileNotFoundError(f"no documents in {self.path}")
         schema = StructType([*[f for f in snapshot.schema.fields if f.name != "batch"]])
-        return self.live(self.read("documents", list(snapshot.batches), schema.add("batch", "string")), snapshot)
+        return self.live(self.read("documents", list(snapshot.batches) if batches is None else batches, schema.add("batch", "string")), snapshot)
 
     def write(self, batch: str, rows: DataFrame) -> None:
         """The folders of a batch, over what an earlier try left: documents, each file's by id, each with a number of its own, their texts in chunks, and the indexes."""
@@ -179,6 +183,7 @@ class Store:
         self.write(batch, rows)
         new = self.spark.read.parquet(f"{self.path}/documents/batch={batch}")
         schema = new.schema.json()
+        counts = {r["status"]: r["count"] for r in new.groupBy("status").count().collect()} if "status" in new.columns else {}
 
         def change(seen: Snapshot) -> dict | None:
             if batch in seen.ever:
@@ -193,7 +198,7 @@ class Store:
                 ids = ids.join(self.spark.read.parquet(f"{self.path}/gone/{late['gone'][0]}"), "id", "left_anti")
             found = self._overlap(ids, seen, instead)
             both = {"gone": [*late.get("gone", []), *found.get("gone", [])], "n_gone": late.get("n_gone", 0) + found.get("n_gone", 0)}
-            return {"add": {batch: schema}, "remove": [b for b in instead if b in seen.batches], **both}
+            return {"add": {batch: schema}, "remove": [b for b in instead if b in seen.batches], "counts": counts, **both}
 
         self.commit(change)
 
@@ -272,8 +277,7 @@ class Store:
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
     def _ever_gone(self) -> set[str]:
-        lines = self.spark.read.schema("value string").text(f"{self.path}/log").collect()
-        return {g for r in lines for g in json.loads(r["value"])["gone"]}
+        return {g for entry in self.entries() for g in entry["gone"]}
 
     def _ever_landed(self, now: Snapshot) -> list[str]:
         """Folders of files that a batch in the log was made of: a compaction's own, or those of an ingest that is complete."""
