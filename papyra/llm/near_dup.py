@@ -53,8 +53,8 @@ class Settings:
     rows: int = 5
 
 
-#: Bits of the filter that keeps texts without company out of the verification; a fixed size, whatever the corpus.
-FILTER_BITS = 1 << 26
+#: Bits for each text of the filter that keeps texts without company out of the verification, and what it has at least and at most (128 MB, by which some 100 million texts with company are told from others).
+FILTER_PER_TEXT, LEAST_FILTER, MOST_FILTER = 10, 1 << 15, 1 << 30
 #: Places that the pairs of one leader are dealt to; each that has some gets a copy of its text.
 LEADER_PLACES = 256
 #: Slots that shingles are counted in, for their order from rare to frequent; a fixed size, whatever the corpus.
@@ -121,25 +121,31 @@ def sketch(df: DataFrame, key: str, text: str, settings: Settings) -> DataFrame:
     return map_batches(df.select(key, text), run, f"`{key}` {df.schema[key].dataType.simpleString()}, node binary, buckets array<long>")
 
 
+def filter_bits(nodes: int) -> int:
+    """How many bits a filter of so many nodes has: a power of two."""
+    return min(MOST_FILTER, max(LEAST_FILTER, 1 << (FILTER_PER_TEXT * nodes).bit_length()))
+
+
 def _may_have(bits: np.ndarray, node: bytes) -> bool:
     """Whether the filter may have the node."""
-    places = [int.from_bytes(node[i : i + 4], "big") % FILTER_BITS for i in (0, 4, 8)]
-    return all(bits[p >> 5] >> (p & 31) & 1 for p in places)
+    places = [int.from_bytes(node[i : i + 4], "big") % (8 * len(bits)) for i in (0, 4, 8)]
+    return all(bits[p >> 3] >> (p & 7) & 1 for p in places)
 
 
-def _filter_words(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of the nodes in FILTER_BITS bits."""
-    places = nodes.select(F.explode(F.array(*[F.expr(f"conv(hex(substring(node, {1 + 4 * i}, 4)), 16, 10)").cast("long") % FILTER_BITS for i in range(3)])).alias("bit"))
-    words = places.groupBy(F.expr("bit DIV 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits"))
-    table = words.toArrow()
-    found = np.zeros(FILTER_BITS // 32, dtype=np.uint64)
-    found[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint64)
-    return found.astype(np.uint32)
+def _filter(nodes: DataFrame) -> np.ndarray:
+    """A Bloom filter of the nodes, in bytes; what comes to the driver is a bitmap for each 32,768 bits."""
+    size = filter_bits(nodes.count())
+    places = nodes.select(F.explode(F.array(*[F.expr(f"conv(hex(substring(node, {1 + 4 * i}, 4)), 16, 10)").cast("long") % size + 1 for i in range(3)])).alias("place"))
+    table = places.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).toArrow()
+    found = np.zeros((size >> 15, 4096), dtype=np.uint8)
+    for bucket, bits in zip(table["bucket"].to_pylist(), table["bits"], strict=True):
+        found[bucket - 1] = np.frombuffer(bits.as_py(), dtype=np.uint8)
+    return found.ravel()
 
 
 def _texts_of(df: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
     """node and text of the nodes, and of few others."""
-    shared = df.sparkSession.sparkContext.broadcast(_filter_words(nodes))
+    shared = df.sparkSession.sparkContext.broadcast(_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = shared.value, set()
@@ -187,17 +193,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and label, the least node of its component, for all nodes of the edges (a, b); labels spread to neighbours and then along themselves."""
+    """node and label, the least node of its component, for all nodes of the edges (a, b); labels spread to neighbours and then along themselves.
+
+    Both joins are salted: neighbours of one node and members of one label are in many tasks.
+    """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")))
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"), _salts("b")))
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        step = checkpointed(step.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")))
-        labels = step.select("node", "label")
+        near = _salted_join(both, labels.withColumnRenamed("node", "b"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = checkpointed(labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label", F.col("salts").alias("own")))
+        jump = step.groupBy("next").agg(_salts("node")).join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
+        step = _salted_join(step, jump, "next", "node")
+        step = checkpointed(step.select("node", F.least("next", "far").alias("label"), F.col("own").alias("salts"), (F.least("next", "far") != F.col("label")).alias("moved")))
+        labels = step.drop("moved")
         if step.where("moved").isEmpty():
-            return labels
+            return labels.drop("salts")
 
 
 def _labelled(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -394,7 +404,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", sett
 
 def _first_rows(df: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
     """Rows of df with texts of the nodes, and few others; of rows with equal key and text, one for each task but for some."""
-    shared = df.sparkSession.sparkContext.broadcast(_filter_words(nodes))
+    shared = df.sparkSession.sparkContext.broadcast(_filter(nodes))
     names = df.columns
     at, of = names.index(text), names.index(key)
 

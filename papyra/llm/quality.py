@@ -110,6 +110,25 @@ def _vote(rule: Rule) -> Column:
     return F.when(F.expr(rule.bad), -1).when(F.expr(rule.good), 1).otherwise(0)
 
 
+def _voted(df: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, list[str]]:
+    """df, which has a column text without nulls, with the features and votes in its place, and the names of the votes."""
+    votes = [f"__vote{i}" for i in range(len(rules))]
+    return with_features(df).drop("text").withColumns({v: _vote(r).cast("int") for v, r in zip(votes, rules, strict=True)}), votes
+
+
+def _fitted(found: DataFrame, votes: list[str]) -> Model:
+    patterns = found.groupBy(*votes).count().collect()
+    return fit({tuple(r)[:-1]: r[-1] for r in patterns} or {(0,) * len(votes): 0})
+
+
+def _judged(found: DataFrame, votes: list[str], model: Model) -> DataFrame:
+    odds = F.lit(model.prior())
+    for v, w in zip(votes, model.weights(), strict=True):
+        odds = odds + F.get(F.array(*map(F.lit, w)), F.col(v) + 1)
+    found = found.withColumns({"base_failed": F.expr(BASE_FAILED), "quality": 1 / (1 + F.exp(-odds))})
+    return found.withColumn("kept", ~F.col("base_failed") & (F.col("quality") > 0.5)).drop(*votes)
+
+
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of df: key, the features, base_failed, quality (posterior probability of a good document) and kept.
 
@@ -117,16 +136,21 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[R
     stay and count as often; an empty table gives an empty one; further columns
     are not read. Features and votes are checkpointed, texts are not.
     """
-    votes = [f"__vote{i}" for i in range(len(rules))]
-    found = with_features(df.select(key, text_or_empty(text).alias("text"))).drop("text")
-    found = checkpointed(found.withColumns({v: _vote(r).cast("int") for v, r in zip(votes, rules, strict=True)}))
-    found_votes = found.groupBy(*votes).count().collect()
-    model = fit({tuple(r)[:-1]: r[-1] for r in found_votes} or {(0,) * len(rules): 0})
-    odds = F.lit(model.prior())
-    for v, w in zip(votes, model.weights(), strict=True):
-        odds = odds + F.get(F.array(*map(F.lit, w)), F.col(v) + 1)
-    found = found.withColumns({"base_failed": F.expr(BASE_FAILED), "quality": 1 / (1 + F.exp(-odds))})
-    return found.withColumn("kept", ~F.col("base_failed") & (F.col("quality") > 0.5)).drop(*votes)
+    found, votes = _voted(df.select(key, text_or_empty(text).alias("text")), rules)
+    found = checkpointed(found)
+    return _judged(found, votes, _fitted(found, votes))
+
+
+def kept_rows(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that judge() keeps, all their columns as they are.
+
+    A row is judged where it lies: texts are neither shuffled nor written, but looked
+    at twice, for the model and for the verdict. Null texts count as empty, repeated
+    rows have one verdict, columns may have any names, an empty table stays empty.
+    """
+    model = _fitted(*_voted(df.select(text_or_empty(text).alias("text")), rules))
+    found, votes = _voted(df.select(F.struct("*").alias("__row"), text_or_empty(text).alias("text")), rules)
+    return _judged(found, votes, model).select(F.inline(F.when(F.col("kept"), F.array("__row"))))
 
 
 def sql(rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> str:

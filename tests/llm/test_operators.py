@@ -853,3 +853,39 @@ def test_detection_of_200_strings_with_and_200_without():
     missed = [(t, new) for t, new, parts in hidden if new == t or any(p in new for p in parts)]
     wrong = [(t, pii.replaced(t, key)[0]) for t in negative if pii.replaced(t, key)[0] != t]
     assert missed == [] and wrong == []
+
+
+def test_kept_rows_are_those_that_are_judged_so(spark):
+    good = "The committee reviewed the annual plan and agreed on a budget for the new station building, which will open after the work on both platforms is complete next spring."
+    rows = [(1, good, "a"), (1, good, "a"), (None, good + " Twice.", None), (2, None, "b"), (3, "", "c"), (4, "## $$ ** " * 30, "d"), (1, "short", "e"), (5, " ".join(f"{good} {i}" for i in range(2000)), "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words string").withColumn("kept", F.lit("x"))
+    kept = quality.kept_rows(df)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    verdicts = quality.judge(df.withColumn("doc_id", F.struct("doc_id", "text", "n_words"))).where("kept").select("doc_id.*").collect()
+    assert sorted(map(str, (tuple(r)[:3] for r in kept.collect()))) == sorted(map(str, map(tuple, verdicts)))
+    assert quality.kept_rows(df.limit(0)).count() == 0
+    assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_of_chains_and_stars(spark):
+    name = lambda *of: bytes(of)
+    chain = [(name(1, i), name(1, i + 1)) for i in range(40)]
+    star = [(name(2, 200), name(2, i)) for i in range(150)]
+    edges = spark.createDataFrame([*chain, *star, *star[:5], (name(3), name(4))], "a binary, b binary")
+    got = {bytes(r.node): bytes(r.label) for r in near_dup.components(edges).collect()}
+    want = {name(1, i): name(1, 0) for i in range(41)} | {name(2, i): name(2, 0) for i in [*range(150), 200]} | {name(3): name(3), name(4): name(3)}
+    assert got == want
+    assert near_dup.components(edges.limit(0)).count() == 0
+
+
+def test_filter_of_nodes_misses_none(spark, monkeypatch):
+    nodes = [near_dup.digest(str(i).encode()) for i in range(3000)]
+    df = spark.createDataFrame([(n,) for n in nodes], "node binary")
+    others = [near_dup.digest(f"other {i}".encode()) for i in range(3000)]
+    bits = near_dup._filter(df)
+    assert 8 * len(bits) == near_dup.filter_bits(3000) == 1 << 15
+    assert all(near_dup._may_have(bits, n) for n in nodes) and sum(near_dup._may_have(bits, n) for n in others) < 300
+    assert near_dup.filter_bits(1_000_000) >= 10_000_000 and near_dup.filter_bits(10**12) == near_dup.MOST_FILTER
+    assert not near_dup._filter(df.limit(0)).any()
+    monkeypatch.setattr(near_dup, "LEAST_FILTER", 1 << 17)
+    assert all(near_dup._may_have(near_dup._filter(df), n) for n in nodes[:5])
