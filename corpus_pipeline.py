@@ -10,20 +10,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from papyra.llm import near_dup, packing, pii, quality
-from papyra.llm.common import text_or_empty
 from papyra.llm.queries import pii_secret
 from papyra.plans.workers import remove, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, each row by the verdict on its own text, known by its digest; equal texts have equal verdicts."""
-    own = F.sha2(text_or_empty(), 256)
-    judged = quality.judge(docs.select(F.struct("doc_id", own.alias("digest")).alias("doc_id"), "text"))
-    rejected = judged.where("NOT kept").select("doc_id.*").distinct().select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("__id")) & (own == F.col("__digest")), "left_anti")
+    """Documents that the rules keep, each row by the verdict on its own text."""
+    return quality.kept_rows(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
