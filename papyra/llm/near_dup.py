@@ -195,16 +195,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """node and label, the least node of its component, for all nodes of the edges (a, b); labels spread to neighbours and then along themselves.
 
-    Both joins are salted: neighbours of one node and members of one label are in many tasks.
+    The neighbours of one node are dealt to many tasks. Members of one label meet its next one in a plain
+    join, straight before a checkpoint, where Spark splits partitions that are too large.
     """
     both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label"), _salts("b")))
     while True:
         near = _salted_join(both, labels.withColumnRenamed("node", "b"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = checkpointed(labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label", F.col("salts").alias("own")))
-        jump = step.groupBy("next").agg(_salts("node")).join(labels.select(F.col("node").alias("next"), F.col("label").alias("far")), "next")
-        step = _salted_join(step, jump, "next", "node")
-        step = checkpointed(step.select("node", F.least("next", "far").alias("label"), F.col("own").alias("salts"), (F.least("next", "far") != F.col("label")).alias("moved")))
+        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label", "salts")
+        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
+        step = checkpointed(step.join(jump, "next").select("node", F.least("next", "far").alias("label"), "salts", (F.least("next", "far") != F.col("label")).alias("moved")))
         labels = step.drop("moved")
         if step.where("moved").isEmpty():
             return labels.drop("salts")
