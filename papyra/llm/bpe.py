@@ -96,6 +96,20 @@ def _for_latin(pattern: str) -> str:
     return "".join(found)
 
 
+#: Steps of normalising that leave runs of _LATIN as they are, but for the case of letters, and join no runs.
+_NORMALIZERS = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+
+
+def _demand_known(name: str, spec: dict) -> None:
+    """ValueError for a file whose normalising or special tokens are of kinds that would get other ids here than by the library."""
+    for step in _flat(spec["normalizer"], "normalizers"):
+        if step not in _NORMALIZERS:
+            raise ValueError(f"{name}: normalizer {step['type']} is not supported")
+    for token in spec["added_tokens"]:
+        if token["lstrip"] or token["rstrip"] or token["single_word"] or token["normalized"] or "<|" not in token["content"] or _SPACES.search(token["content"]):
+            raise ValueError(f"{name}: special token {token['content']} is not supported")
+
+
 class Bpe:
     """Encoder of a BPE file whose pre-tokens never hold white space, so that the runs between it are encoded one by one."""
 
@@ -105,6 +119,7 @@ class Bpe:
         model = spec["model"]
         if model["type"] != "BPE" or spec["decoder"] or spec["post_processor"] or model["unk_token"] or model["ignore_merges"] or model["continuing_subword_prefix"]:
             raise ValueError(f"{name}: not a file of the supported kind")
+        _demand_known(name, spec)
         self.library = library(name)
         self.end = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
