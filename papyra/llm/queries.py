@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from papyra.llm import bpe, chat, fingerprints, hard_negatives, licenses, near_dup, packing, pii, quality, resampling, token_counts, toxicity, url_filter
 from papyra.llm.common import table
+from papyra.sources.library import spread
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +33,11 @@ def pii_secret(spark: SparkSession) -> str:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_secret(spark), counts="kinds")
+    return pii.pseudonymise(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), pii_secret(spark), counts="kinds")
 
 
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), keep=False)
+    return bpe.encode_documents(spread(table(spark, sf_dir, "documents")), keep=False)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(spread(docs), frequent=token_counts.frequent_pretokens(token_counts.some_files(docs)))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
