@@ -72,8 +72,8 @@ def test_token_counts_whatever_the_table_holds(spark, docs):
     name, library = "byte_bpe_50k.json", bpe.library("byte_bpe_50k.json")
     rows = [(i, t) for i, t in enumerate([None, *ODD, *("the cat sat  on the mat,\nthe end <|endoftext|>" for _ in range(50))])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
-    found = token_counts.frequent_pretokens(df)
-    assert found[0] == " na" and {" cat", "the", " mat,"} < set(found) and len(token_counts.frequent_pretokens(df, entries=2)) == 2
+    found = token_counts.frequent_pretokens(df, part=1.0)
+    assert found[0] == " na" and {" cat", "the", " mat,"} < set(found) and len(token_counts.frequent_pretokens(df, entries=2, part=1.0)) == 2
     assert len(token_counts.frequent_pretokens(df.unionByName(df), docs=len(rows))) <= len(found)
     lengths = token_counts.frequent_lengths(name, found)
     assert token_counts.Table.of(lengths).unpacked() == lengths and token_counts.Table.of({}).unpacked() == {}
@@ -83,6 +83,57 @@ def test_token_counts_whatever_the_table_holds(spark, docs):
     assert [r.n_tokens for r in token_counts.count_tokens(docs).orderBy("doc_id").collect()][1:3] == [0, 0]
 
 
+def test_frequent_pretokens_come_from_some_files(spark, tmp_path):
+    """A table in many files is read in part, which the plan of the scan knows, names with odd characters included; one in few is read whole."""
+    folder = f"{tmp_path}/a b%20ü.parquet"
+    spark.range(400).repartition(80).selectExpr("id AS doc_id", "concat('w', id) AS text").write.parquet(folder)
+    df = spark.read.parquet(folder)
+    files = len(df.inputFiles())
+    some = token_counts.some_files(df, 8)
+    read = some.select("_metadata.file_path").distinct().count()
+    assert 0 < read < files / 2
+    some.collect()
+    assert f"{read} files" in _files_read(some)
+    assert token_counts.some_files(df, files) is df and 0 < len(token_counts.frequent_pretokens(some, part=1.0)) == some.count() < 400
+    made = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    assert token_counts.some_files(made, 1) is made
+
+
+def _files_read(df):
+    """What the scan of a collected frame says it read."""
+    metrics = df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    return f"{metrics.apply('numFiles').value()} files"
+
+
+def test_files_that_would_get_other_ids_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(Path(bpe.tokenizer_path("word_bpe_49k.json")).read_text())
+    changes = [lambda s: s["normalizer"]["normalizers"].append({"type": "StripAccents"}), lambda s: s["normalizer"]["normalizers"].append({"type": "Replace", "pattern": {"String": "a"}, "content": "b"})]
+    changes += [lambda s, flag=flag: s["added_tokens"][0].update({flag: True}) for flag in ("lstrip", "rstrip", "single_word", "normalized")]
+    changes += [lambda s: s["added_tokens"][0].update(content="[X]"), lambda s: s["added_tokens"][0].update(content="<|a b|>")]
+    for i, change in enumerate(changes):
+        other = json.loads(json.dumps(spec))
+        change(other)
+        path = tmp_path / f"{i}.json"
+        path.write_text(json.dumps(other))
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.Bpe(str(path))
+
+
+def test_encoded_odd_rows_by_value(spark, docs):
+    library = bpe.library("word_bpe_49k.json")
+    for keep in (False, True):
+        got = bpe.encode_documents(docs.withColumn("n_tokens", F.lit("x")).withColumn("ids", F.lit(1)), keep=keep).collect()
+        want = []
+        for i, text, *_ in ROWS:
+            ids = library.encode(text or "", add_special_tokens=False).ids
+            decoded = library.decode(ids, skip_special_tokens=False)
+            raw = np.array(ids, "<u4").tobytes()
+            want.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *[raw, decoded] * keep))
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_packing_is_whole_and_tight(spark):
     lengths = np.sort(np.random.default_rng(0).integers(1, 2049, 5000))[::-1]
     sequence, offset = packing.pack_lengths(lengths, packing.Capacity())
@@ -149,6 +200,13 @@ def test_chat_round_trip(spark):
         assert len(got) == 3
 
 
+def test_chat_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(none).count() == 0 and chat.format_conversations(none).count() == 0
+    probe = chat.read_back(chat.with_probe(none)).collect()
+    assert [(r.conv_id, r.n_turns, r.loss_chars) for r in probe] == [(-1, 2, len("</s>[INST] ok [/INST]"))]
+
+
 def test_fingerprints(spark, docs):
     got = fingerprints.compare_with_edits(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -330,6 +388,20 @@ def test_surrogates_keep_gender_and_script():
         assert title == text.split()[0] and name != text.split()[1] and unicodedata.name(name[0]).split()[0] == unicodedata.name(text.split()[1][0]).split()[0]
 
 
+def test_surrogates_of_repeated_rows_by_value(spark):
+    """Rows with findings come out as by replaced(), repeated ones alike, other columns as they were; counts are of mentions."""
+    text = "Dear Dr. Anna Keller, write to anna.keller@example.org or call +49 30 1234567."
+    long = "filler " * 20_000 + text
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, None), (2, long, "b"), (3, None, "c"), (4, "", "d")]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string, note string"), "k", counts="kinds").collect()
+    made, kinds = pii.replaced(text, pii._key("k"))
+    want = [(i, t and pii.replaced(t, pii._key("k"))[0], n) for i, t, n in rows]
+    assert sorted(((r.doc_id, r.text, r.note) for r in got), key=repr) == sorted(want, key=repr)
+    assert not any(x in made for x in ("Keller", "anna.keller", "1234567")) and sum(kinds.values()) >= 3
+    assert {r.kinds for r in got if r.text == made} == {",".join(f"{k}:{n}" for k, n in sorted(kinds.items()))}
+    assert all(r.text.startswith("filler " * 20_000) for r in got if r.doc_id == 2)
+
+
 def test_surrogates_need_a_secret_and_replace_a_column_of_counts(spark, docs):
     with pytest.raises(ValueError):
         pii.pseudonymise(docs, "")
@@ -413,6 +485,32 @@ def test_quality(spark, docs):
     assert got[6].n_repeat_words == 20_000 and got[6].base_failed
 
 
+def test_quality_of_odd_rows_by_value(spark, docs):
+    """Every row has its figures, repeated rows and a null id too."""
+
+    def figures(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        covered = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), len(words) < 20 or 100 * len(covered) > 30 * len(words)
+
+    rows = [*ROWS, *((7, t, "en", "n", 1) for t in ("a #b\na #b\n \n \n*c*", "one two three four five six seven eight nine " * 2, "é🙂 <x>|$%&\n" * 9)), (8, ROWS[2][1] + " | " + ROWS[2][1], None, None, None)]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    got = quality.judge(spark.createDataFrame(rows, DOCS)).select("doc_id", *names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((i, *figures(t)) for i, t, *_ in rows), key=repr)
+
+
+def test_licenses_of_odd_rows_by_value(spark):
+    """Repeated rows and null ids stay, columns named like results do not disturb, null and empty texts have one digest and no licence."""
+    mit = next(t for n, t in licenses.KNOWN if n == "MIT")
+    rows = [(1, mit, "x", "y"), (1, mit, "x", "y"), (None, mit, None, None), (2, None, "MIT", "d"), (3, "", "MIT", "d"), (4, "word " * 20_000, None, None)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string, digest string")).collect()
+    assert sorted(((r.doc_id, r.license) for r in got), key=repr) == sorted([(1, "MIT"), (1, "MIT"), (None, "MIT"), (2, None), (3, None), (4, None)], key=repr)
+    digests = {r.doc_id: r.digest for r in got}
+    assert digests[2] == digests[3] and digests[1] == digests[None] and len(set(digests.values())) == 3
+
+
 def test_licenses(spark):
     mit = licenses.KNOWN[0][1]
     rows = [(1, mit), (2, "Copyright (c) 2020 Me\n" + mit.upper().replace(",", " ,")), (3, mit + " but not"), (4, None), (5, "")]
