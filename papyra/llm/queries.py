@@ -45,7 +45,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_fingerprints, op2_chat_formatting, op3_best_fit_packing, op4_minhash_near_dedup, op5_pii, op6_bpe_encoding, op7_quality_rules, op8_license_scans, op9_token_counts, op10_url_filters, op11_hard_negatives, op12_importance_resampling, op13_toxicity)}
