@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 
 def format_bytes(size: Column) -> Column:
-    """Like 1.4 MB; one decimal under 10 except for bytes, a dash for 0 and null."""
+    """Like 1.4 MB; one decimal under 10 except for bytes, of two as near the even one; a dash for 0 and null."""
     power = F.when(size < 1 << 10, 0).when(size < 1 << 20, 1).when(size < 1 << 30, 2).otherwise(3)
     value = size / F.pow(F.lit(1024.0), power)
     unit = F.get(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), power)
-    shown = F.when((value >= 10) | (power == 0), F.format_string("%.0f %s", value, unit)).otherwise(F.format_string("%.1f %s", value, unit))
+    shown = F.when((value >= 10) | (power == 0), F.format_string("%.0f %s", F.bround(value, 0), unit)).otherwise(F.format_string("%.1f %s", F.bround(value, 1), unit))
     return F.when(F.coalesce(size, F.lit(0)) <= 0, "—").otherwise(shown)
 
 

@@ -72,6 +72,14 @@ def test_text_functions(spark):
     assert one(spark, t.reflow(F.lit(wrapped))) == "This line is long enough to be taken for wrapped text of one sentence.\nNew one."
 
 
+def test_sizes_between_two_decimals(spark):
+    from papyra.operators import display
+
+    sizes = [6400, 2304, 2816, 10 * 1024 + 512, 11 * 1024 + 512, 6553600, 1, None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(sizes)], "i int, x long").select("i", display.format_bytes(F.col("x")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == ["6.2 KB", "2.2 KB", "2.8 KB", "10 KB", "12 KB", "6.2 MB", "1 B", "—"]
+
+
 def test_search_treats_wildcards_as_text(spark):
     rows = [(1, "a_b 100%.pdf", "Safety", "x"), (2, "axb 1000.pdf", "IT", "y")]
     df = spark.createDataFrame(rows, "id long, filename string, department string, search_blob string")
