@@ -80,6 +80,14 @@ def test_sizes_between_two_decimals(spark):
     assert [r.s for r in got] == ["6.2 KB", "2.2 KB", "2.8 KB", "10 KB", "12 KB", "6.2 MB", "1 B", "—"]
 
 
+def test_confidences_between_two_tenths():
+    from papyra.sources import files
+
+    # Means of 56.45, 52.55 and 49.85, the binary forms of which lie beside the middle.
+    for total, mean in ((5645, 56.4), (5255, 52.6), (4985, 49.8)):
+        assert files.ocr_text([("w", float(total))] + [("v", 0.0)] * 99 + [("x", -1.0)])[1] == mean
+
+
 def test_search_treats_wildcards_as_text(spark):
     rows = [(1, "a_b 100%.pdf", "Safety", "x"), (2, "axb 1000.pdf", "IT", "y")]
     df = spark.createDataFrame(rows, "id long, filename string, department string, search_blob string")
