@@ -88,6 +88,15 @@ def test_confidences_between_two_tenths():
         assert files.ocr_text([("w", float(total))] + [("v", 0.0)] * 99 + [("x", -1.0)])[1] == mean
 
 
+def test_page_table_has_confidences_between_two_tenths(spark):
+    from papyra.sources import files
+    from papyra.streaming import ingest
+
+    decoders = {"PDF": lambda content: [(text, True, sure) for text, sure in [files.ocr_text([("w", float(n))] + [("v", 0.0)] * 99) for n in (4985, 4986, 5255)]], "IMAGE": lambda content: []}
+    rows = files.extract(spark.createDataFrame([("/x/a.pdf", 1, b"x")], "path string, length long, content binary"), decoders).withColumn("id", F.lit(1).cast("long"))
+    assert sorted((r.page_number, r.ocr_confidence) for r in ingest.pages(rows).collect()) == [(1, 49.8), (2, 49.9), (3, 52.6)]
+
+
 def test_search_treats_wildcards_as_text(spark):
     rows = [(1, "a_b 100%.pdf", "Safety", "x"), (2, "axb 1000.pdf", "IT", "y")]
     df = spark.createDataFrame(rows, "id long, filename string, department string, search_blob string")
