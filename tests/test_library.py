@@ -97,6 +97,16 @@ def test_page_table_has_confidences_between_two_tenths(spark):
     assert sorted((r.page_number, r.ocr_confidence) for r in ingest.pages(rows).collect()) == [(1, 49.8), (2, 49.9), (3, 52.6)]
 
 
+def test_reflow_looks_at_each_line_once(spark):
+    line = "Words of a paragraph that goes on and on and never ends"
+    text = "\n".join([line] * 12_000 + ["", "  ", "SHORT", "BANNER OF CAPITALS THAT IS LONG ENOUGH TO BE TAKEN FOR A LINE", "next", line + ".", "last\u2003"])
+    df = spark.createDataFrame([(text,), (None,), ("",), ("\n\n",)], "x string").coalesce(1)
+    began = time.time()
+    long, *rest = [r.x for r in df.select(t.reflow(F.col("x")).alias("x")).collect()]
+    assert time.time() - began < 30
+    assert long.split("\n") == [" ".join([line] * 12_000), "SHORT", "BANNER OF CAPITALS THAT IS LONG ENOUGH TO BE TAKEN FOR A LINE", "next", line + ".", "last"] and rest == [None, "", ""]
+
+
 def test_search_treats_wildcards_as_text(spark):
     rows = [(1, "a_b 100%.pdf", "Safety", "x"), (2, "axb 1000.pdf", "IT", "y")]
     df = spark.createDataFrame(rows, "id long, filename string, department string, search_blob string")
