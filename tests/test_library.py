@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import time
 import uuid
 from datetime import datetime
@@ -107,6 +108,30 @@ def test_reflow_looks_at_each_line_once(spark):
     assert long.split("\n") == [" ".join([line] * 12_000), "SHORT", "BANNER OF CAPITALS THAT IS LONG ENOUGH TO BE TAKEN FOR A LINE", "next", line + ".", "last"] and rest == [None, "", ""]
 
 
+def _scans(df):
+    """How often the plan goes through texts to replace or extract by patterns."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("regexp_replace(") + plan.count("regexp_extract_all(")
+
+
+def test_texts_are_gone_through_once(spark):
+    df = spark.createDataFrame([(["x"], [("s", "t")])], "xs array<string>, _sentences array<struct<s:string,tags:string>>")
+    for function, scans in ((lambda x: t.trim_to(x, 9), 1), (t.upper_ratio, 2), (t.language, 2)):
+        assert _scans(df.select(F.transform("xs", function).alias("x"))) == scans
+    assert _scans(df.select(rules.deadlines().alias("x"))) == 1
+
+
+def test_terms_by_count_and_first_place(spark):
+    from collections import Counter
+
+    rng = random.Random(3)
+    pool = [*(rng.choice("abcxyz") * 2 + rng.choice("Qé-0k") + str(n % 37) for n in range(90)), "the", "The", "ab", "a-b", "aaa", "aaaa", "aaa-aaa", "സുരക്ഷാ", "9ab", "\n"]
+    texts = ["", "the and", "word", *(" ".join(rng.choice(pool) for _ in range(rng.choice([3, 30, 800]))) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, _body string")
+    for r in rules.with_terms(rows.withColumn("tokens", t.tokens(F.col("_body")))).collect():
+        assert r["_terms"] == [w for w, _ in Counter(r.tokens).most_common(rules.TERMS)]
+
+
 def test_search_treats_wildcards_as_text(spark):
     rows = [(1, "a_b 100%.pdf", "Safety", "x"), (2, "axb 1000.pdf", "IT", "y")]
     df = spark.createDataFrame(rows, "id long, filename string, department string, search_blob string")
