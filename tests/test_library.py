@@ -132,6 +132,13 @@ def test_terms_by_count_and_first_place(spark):
         assert r["_terms"] == [w for w, _ in Counter(r.tokens).most_common(rules.TERMS)]
 
 
+def test_titles_of_capitals_with_marks_before_digits(spark):
+    rows = [(1, 'OF "9233A8EC"!! THE (2ND TIINST!!'), (2, "THE 112TH OF 9233A8EC, '5BIS"), (3, "REPORT OF THE TRACK GMBH ßUNG")]
+    df = spark.createDataFrame(rows, "id int, _raw string").withColumn("filename", F.lit("x.txt"))
+    got = [r.title for r in rules.with_title(df).orderBy("id").collect()]
+    assert got == ['Of "9233A8ec"!! the (2Nd Tiinst!!', "The 112th of 9233a8ec, '5Bis", "Report of the Track GMBH ẞung"]
+
+
 def test_search_treats_wildcards_as_text(spark):
     rows = [(1, "a_b 100%.pdf", "Safety", "x"), (2, "axb 1000.pdf", "IT", "y")]
     df = spark.createDataFrame(rows, "id long, filename string, department string, search_blob string")
