@@ -71,12 +71,17 @@ def docx_pages(content: bytes) -> list[tuple[str, bool, float | None]]:
     return [("\n".join(lines), False, None)]
 
 
+def xml_text(text: str) -> str:
+    """Without the characters that XML cannot hold, and without line ends."""
+    return re.sub("[\x00-\x08\n-\x1f\ufffe\uffff]", "", text)
+
+
 def docx_of(paragraphs: list[str], rows: list[list[str]]) -> bytes:
     """A plain document of paragraphs and a table, such as docx_pages() reads."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
     def put(parent, text: str) -> None:
-        ElementTree.SubElement(ElementTree.SubElement(ElementTree.SubElement(parent, f"{w}p"), f"{w}r"), f"{w}t").text = "".join(c for c in text if c >= " " or c == "\t")
+        ElementTree.SubElement(ElementTree.SubElement(ElementTree.SubElement(parent, f"{w}p"), f"{w}r"), f"{w}t").text = xml_text(text)
 
     top = ElementTree.Element(f"{w}document")
     body = ElementTree.SubElement(top, f"{w}body")

@@ -139,6 +139,15 @@ def test_titles_of_capitals_with_marks_before_digits(spark):
     assert got == ['Of "9233A8ec"!! the (2Nd Tiinst!!', "The 112th of 9233a8ec, '5Bis", "Report of the Track GMBH ẞung"]
 
 
+def test_page_table_of_texts_with_form_feeds_and_what_xml_cannot_hold(spark, tmp_path):
+    from papyra.plans import queries
+
+    rows = [(2, "one\ftwo of it"), (1, "ab\ufffecd"), (17, "\x01")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r)[:2] + tuple(r)[3:] for r in queries.page_table(spark, str(tmp_path)).orderBy("document_id", "page_number").collect()]
+    assert got == [(1, 1, 13, False, None), (2, 1, 13, False, None), (2, 2, 13, True, 36.7), (2, 3, 10, False, None), (17, 1, 5, False, None)]
+
+
 def test_search_treats_wildcards_as_text(spark):
     rows = [(1, "a_b 100%.pdf", "Safety", "x"), (2, "axb 1000.pdf", "IT", "y")]
     df = spark.createDataFrame(rows, "id long, filename string, department string, search_blob string")
